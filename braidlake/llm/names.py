@@ -73,7 +73,10 @@ def parse(name: str | None, kind: str | None = None) -> tuple[str, tuple[str, ..
         return None
     text = re.sub(r"(?<=[^\W\d_a-zß-ÿ])(?:\.(?=[^\W\d_]))", "", re.sub(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-Þ][a-zß-ÿ])", " ", name))
     text = re.sub(r"\b(\w)\.(?=\w+\.)", r"\1", text)
-    raw = re.findall(r"[^\W_]+(?:['’\-][^\W_]+)*", text)
+    raw = []
+    for t in re.findall(r"[^\W_]+(?:['’\-][^\W_]+)*", text):
+        parts = t.split("-")
+        raw += parts if any(fold(p) in ORG_WORDS or fold(p) in EXPANDED for p in parts) else [t]
     folded = [fold(t) for t in raw]
     words = [EXPANDED.get(t, t) for t in folded]
     legal = any(t in LEGAL for t in folded)
@@ -86,12 +89,16 @@ def parse(name: str | None, kind: str | None = None) -> tuple[str, tuple[str, ..
         return None
     else:
         acronym = len(own) == 2 and any(r.isupper() and 2 <= len(r) <= 5 for _, r in own) and not all(r.isupper() for _, r in own)
-        degree = any(t in DEGREES or t in TITLES for t in folded)
+        degree = any(t in DEGREES or t in TITLES and not r.isupper() for t, r in zip(folded, raw))
         org = legal or acronym and not degree and (kind or "").strip().upper() != "PERSON" or (kind or "").strip().upper() == "ORG" and len(own) > 1 and not degree and not any(t in _GIVEN for t, _ in own)
     if org:
         tokens = tuple(sorted(r.upper() if r.isupper() and 2 <= len(r) <= 5 and not name.isupper() and t not in ORG_WORDS else t for t, r in own))
         return ("org", tokens) if len(tokens) > 1 else None
-    tokens = [t for t in folded if t not in TITLES and t not in DEGREES and t not in SMALL]
+    tokens: list[str] = []
+    for t, r in zip(folded, raw):
+        if t in TITLES or t in DEGREES or t in SMALL and len(t) > 1:
+            continue
+        tokens += list(t) if len(r) == 2 and r.isupper() and not name.isupper() else [t]
     long = [t for t in tokens if len(t) > 1]
     if not long or len(tokens) < 2 or len(long) > 4 or any(c.isdigit() for t in tokens for c in t):
         return None

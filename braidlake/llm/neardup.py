@@ -185,7 +185,7 @@ def _candidates(sets: DataFrame, threshold: float, tile: int) -> DataFrame:
             run_sizes = group["n"].to_numpy(np.int64)
             recs, side = group["rec"].to_numpy(), group["left"].to_numpy(bool)
             low, high = group["low"].to_numpy(), group["high"].to_numpy()
-            marks = np.stack(group["bits"].to_numpy())
+            marks = np.stack(group["bits"].to_numpy()).view(np.uint64)  # bit counts of signed numbers are those of their absolute values
             out = []
             for s, e in zip(starts, ends):
                 if e - s < 2:
