@@ -1,23 +1,603 @@
-"""Queries and oracle SQL of the core operators."""
+"""Queries of the core operators over whole tables, and the SQL that checks them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from braidlake.runtime import read_table
+from braidlake.functions import models
+from braidlake.functions import text as T
+from braidlake.functions import vectors as V
+from braidlake.operators import chat, chunking, community, entities, evaluation, graph, search
+from braidlake.plans import ask, index
+from braidlake.runtime import checkpointed, read_table
+from braidlake.sources.store import replaced_by_source
+from braidlake.streaming.ingest import event_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
+_ALL: dict[str, Query] = {}
 
 
+def query(f: Query) -> Query:
+    _ALL[f.__name__] = f
+    return f
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks, one row per key."""
+    return read_table(spark, d, "chunks").select("source", "chunk_id", "text").where("source is not null and chunk_id is not null").dropDuplicates(["source", "chunk_id"])
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return entities.collapse(read_table(spark, d, "v2_relationships").distinct())
+
+
+def _held(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "entity_chunks").dropna().distinct()
+
+
+@query
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents")
+    """The best ten documents for each held-out question."""
+    docs, asked = read_table(spark, d, "documents"), read_table(spark, d, "eval_items")
+    return search.bm25_topk(docs, "doc_id", "text", asked, "item_id", "question", 10).select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+
+
+# Text and chunks
+
+
+@query
+def parse_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.parse_blocks(read_table(spark, d, "files").select("id", "text").distinct(), "id", "text")
+
+
+@query
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.clean_blocks(chunking.parse_blocks(read_table(spark, d, "files").select("id", "text").distinct(), "id", "text"))
+
+
+@query
+def chunk_words(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_words(read_table(spark, d, "documents"), ["doc_id"], "text", 100, 20)
+
+
+@query
+def chunk_words_numbered(spark: SparkSession, d: str) -> DataFrame:
+    files = read_table(spark, d, "files").select("id", "text").distinct().withColumnRenamed("id", "file_id")
+    return chunking.chunk_words_numbered(files, ["file_id"], "text", 100, 20).select("id", "file_id", "window", "text")
+
+
+@query
+def chunk_with_offsets(spark: SparkSession, d: str) -> DataFrame:
+    files = read_table(spark, d, "files").select("id", "text").distinct()
+    return chunking.chunk_with_offsets(files, "id", "text", 120, 20).select(F.col("source").alias("id"), "chunk_id", "text", "char_start", "char_end", "token_count")
+
+
+@query
+def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
+    tokens = read_table(spark, d, "documents").select("doc_id", T.tokens("text").alias("t"))
+    return tokens.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms"))
+
+
+@query
+def dedup_signature(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents").select("doc_id", T.short_hash(T.signature("text")).alias("signature")).where("signature is not null")
+    return docs.groupBy("signature").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query
+def dedup_hits(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "messages").select("session_id", "id", "content", "created_at").distinct().where("content is not null")
+    return search.first_by_key(rows, ["session_id", "content"], ["created_at", "id"]).select("session_id", "id")
+
+
+@query
+def entity_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "v2_entities").select("id", "name", "type", "descriptions").distinct()
+    return rows.select("id", T.normal_entity("name").alias("normal"), T.plain_name("name").alias("plain"), T.slug("name").alias("slug"), T.valid_entity("name").alias("valid"), T.node_id(F.coalesce("type", F.lit("ORG")), T.normal_entity("name")).alias("node_id"), T.short_hash("name").alias("hash"), T.description("descriptions").alias("description"))
+
+
+@query
+def json_extract(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "messages").select("id", T.json_object("metadata").alias("m")).where("m is not null").distinct()
+    parsed = rows.select("id", F.from_json("m", "mode string, retrieval_query string, num_hits int, communities_used int").alias("j"))
+    return parsed.select("id", "j.mode", "j.num_hits", "j.communities_used")
+
+
+@query
+def event_props(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "events").select("event_type", F.from_json("props", "k int").alias("j"), T.number_or(F.get_json_object("props", "$.k"), 1.0).alias("k"))
+    return rows.groupBy("event_type").agg(F.count("j.k").alias("n"), F.sum("k").alias("total"))
+
+
+@query
+def append_sources(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "predictions").where("error is null and generated_answer is not null").select("id", "generated_answer", "source").distinct()
+    marked = rows.select(F.col("id").alias("query_id"), F.concat("generated_answer", F.lit(" [1][2, 3] [Source: a.txt] .")).alias("answer"))
+    hits = rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "source")
+    return chat.with_sources(marked, hits)
+
+
+@query
+def citations(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").select("doc_id", F.concat(F.lit("see ["), F.format_string("CHUNK-%06d", F.col("doc_id") % 1000), F.lit("] and [CHUNK-000007], [CHUNK-12]")).alias("answer"))
+    cited = rows.select("doc_id", F.explode(T.cited_chunks("answer")).alias("chunk_id"))
+    return cited.groupBy("chunk_id").agg(F.count("*").alias("n"))
+
+
+# Search
+
+
+@query
+def bm25_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    terms, _ = search.corpus_stats(read_table(spark, d, "documents"), "doc_id", "text")
+    return terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    docs, asked = read_table(spark, d, "documents"), read_table(spark, d, "eval_items")
+    return search.bm25_topk(docs, "doc_id", "text", asked, "item_id", "question").select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+
+
+@query
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    vectors = read_table(spark, d, "embeddings")
+    found = search.dense_topk(vectors, "vec_id", "embedding", vectors.where("vec_id % 20 = 0"), "vec_id", "embedding")
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
+    vectors = read_table(spark, d, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0")
+    half = lambda df: df.select("vec_id", F.slice("embedding", 1, 32).alias("embedding"))
+    dense = search.dense_topk(vectors, "vec_id", "embedding", asked, "vec_id", "embedding")
+    other = search.dense_topk(half(vectors), "vec_id", "embedding", half(asked), "vec_id", "embedding")
+    return search.fuse(dense, other, top=20).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank", "dense_rank", "sparse_rank")
+
+
+@query
+def vector_functions(spark: SparkSession, d: str) -> DataFrame:
+    v = read_table(spark, d, "embeddings").select("vec_id", "embedding")
+    pairs = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
+    return pairs.select("vec_id", F.round(V.dot("embedding", "other"), 4).alias("dot"), F.round(V.cosine("embedding", "other"), 4).alias("cosine"), F.round(V.clamp(V.cosine("embedding", "other")), 4).alias("clamped"), F.round(V.answer_similarity("embedding", "other"), 4).alias("similarity"), F.round(V.norm(V.unit("embedding")), 4).alias("length"))
+
+
+# Entities and graph
+
+
+@query
+def entity_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return entities.mentions(_chunks(spark, d))
+
+
+@query
+def node_stats(spark: SparkSession, d: str) -> DataFrame:
+    return entities.node_stats(entities.mentions(_chunks(spark, d)))
+
+
+@query
+def cooccurrence_edges(spark: SparkSession, d: str) -> DataFrame:
+    return entities.edges(entities.edge_chunks(entities.mentions(_chunks(spark, d))))
+
+
+@query
+def prune_graph(spark: SparkSession, d: str) -> DataFrame:
+    found = entities.mentions(_chunks(spark, d))
+    return entities.prune(entities.node_stats(found), entities.edges(entities.edge_chunks(found)), 3, 2)[1]
+
+
+@query
+def canonicalize_entities(spark: SparkSession, d: str) -> DataFrame:
+    return index.build_graph(_chunks(spark, d))["nodes"]
+
+
+@query
+def canonicalize_edges(spark: SparkSession, d: str) -> DataFrame:
+    return index.build_graph(_chunks(spark, d))["edges"]
+
+
+@query
+def top_entities(spark: SparkSession, d: str) -> DataFrame:
+    nodes = entities.node_stats(entities.mentions(_chunks(spark, d)))
+    return nodes.orderBy(F.desc("mention_count"), "node_id").limit(25).select("node_id", "mention_count")
+
+
+@query
+def merge_entities(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "v2_entities").distinct()
+    extracted = rows.select(F.col("id").alias("pos"), "name", "type", F.get("descriptions", F.lit(0)).alias("description"), F.get("chunk_ids", F.lit(0)).alias("chunk_id"))
+    merged = entities.merge_entities(extracted)
+    return merged.select("id", "name", "type", T.description("descriptions").alias("description"), F.array_join("chunk_ids", ",").alias("chunk_ids"))
+
+
+@query
+def merge_relationships(spark: SparkSession, d: str) -> DataFrame:
+    return entities.merge_relations(read_table(spark, d, "v2_relationships").distinct())
+
+
+@query
+def resolve_relations(spark: SparkSession, d: str) -> DataFrame:
+    found = entities.mentions(_chunks(spark, d)).withColumn("chunk_key", T.chunk_key("source", "chunk_id"))
+    after = found.select("chunk_key", "sent_id", (F.col("pos") - 1).alias("pos"), F.col("name").alias("target_name"))
+    relations = found.select("chunk_key", "sent_id", "pos", F.col("name").alias("source_name")).join(after, ["chunk_key", "sent_id", "pos"]).select(F.col("chunk_key").alias("chunk_id"), "source_name", "target_name", F.lit(" ").alias("type"))
+    known = found.select(F.col("chunk_key").alias("chunk_id"), "name").distinct()
+    return entities.merge_relations(entities.resolve_relations(relations, known))
+
+
+@query
+def collapse_graph(spark: SparkSession, d: str) -> DataFrame:
+    return _links(spark, d)
+
+
+@query
+def weighted_degree(spark: SparkSession, d: str) -> DataFrame:
+    return entities.weighted_degree(_links(spark, d))
+
+
+@query
+def graph_stats(spark: SparkSession, d: str) -> DataFrame:
+    links = _links(spark, d)
+    nodes = read_table(spark, d, "v2_entities").agg(F.count_distinct("id").alias("nodes"))
+    both = links.agg(F.count("*").alias("edges")).withColumn("nodes", nodes.scalar())
+    return both.select("nodes", "edges", V.density("nodes", "edges").alias("density"))
+
+
+@query
+def graph_view(spark: SparkSession, d: str) -> DataFrame:
+    links = _links(spark, d)
+    top = entities.weighted_degree(links).orderBy(F.desc("degree"), "node").limit(20).select("node", F.lit(0).alias("group"))
+    return entities.induced(links, top).select("src", "dst", "weight").orderBy(F.desc("weight"), "src", "dst")
+
+
+@query
+def trade_graph(spark: SparkSession, d: str) -> DataFrame:
+    """A large bipartite graph: suppliers and customers linked by orders, and the suppliers' weighted degree."""
+    orders = read_table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    lines = read_table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    pairs = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).groupBy("l_suppkey", "o_custkey").agg(F.count("*").alias("weight"))
+    return pairs.groupBy("l_suppkey").agg(F.sum("weight").alias("degree"), F.count("*").alias("customers"))
+
+
+@query
+def connected_components(spark: SparkSession, d: str) -> DataFrame:
+    return graph.connected_components(_links(spark, d))
+
+
+@query
+def khop_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    seeds = spark.createDataFrame([("ENT-000000014",)], "node string")
+    return entities.within_hops(seeds, _links(spark, d), 2)
+
+
+@query
+def neighbor_expansion(spark: SparkSession, d: str) -> DataFrame:
+    ids = read_table(spark, d, "v2_entities").select(F.col("id").alias("seed")).distinct()
+    return entities.neighbour_chunks(ids, _links(spark, d), _held(spark, d))
+
+
+def _components(spark: SparkSession, d: str) -> DataFrame:
+    """(node, group): communities that both engines find alike."""
+    return graph.connected_components(_links(spark, d)).select("node", F.col("component").alias("group"))
+
+
+@query
+def community_chunks(spark: SparkSession, d: str) -> DataFrame:
+    held = _held(spark, d).withColumnRenamed("node_id", "node")
+    rows = _components(spark, d).join(held, "node").select("group", "source", "chunk_id").distinct()
+    first = Window.partitionBy("group").orderBy(T.chunk_key("source", "chunk_id"))
+    ranked = rows.withColumn("k", F.row_number().over(first)).where("k <= 6")
+    return ranked.select("group", T.chunk_key("source", "chunk_id").alias("chunk_key"), "k")
+
+
+@query
+def community_relationships(spark: SparkSession, d: str) -> DataFrame:
+    return entities.induced(_links(spark, d), _components(spark, d)).select("group", "src", "dst", "weight")
+
+
+@query
+def rank_community_entities(spark: SparkSession, d: str) -> DataFrame:
+    counts = _held(spark, d).groupBy(F.col("node_id").alias("node")).agg(F.count("*").alias("mention_count"))
+    members = checkpointed(_components(spark, d).withColumnRenamed("group", "community_id")).join(counts, "node", "left").na.fill(0, ["mention_count"])
+    none = spark.createDataFrame([], "community_id string, node string, coverage int, hits int")
+    return community.rank_entities(members, _links(spark, d), none).select("community_id", "node", "score", "rank")
+
+
+@query
+def communities(spark: SparkSession, d: str) -> DataFrame:
+    counts = _held(spark, d).groupBy(F.col("node_id").alias("node")).agg(F.count("*").alias("mention_count"))
+    return community.communities(checkpointed(_links(spark, d)), counts)
+
+
+@query
+def hierarchical_communities(spark: SparkSession, d: str) -> DataFrame:
+    nodes = read_table(spark, d, "v2_entities").select(F.col("id").alias("node")).distinct()
+    return community.hierarchy(checkpointed(_links(spark, d)), nodes)
+
+
+@query
+def representative_chunks(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _chunks(spark, d)
+    built = index.build_graph(chunks)
+    built = {k: checkpointed(v) for k, v in built.items()}
+    members = checkpointed(community.communities(built["edges"], built["nodes"].select(F.col("node_id").alias("node"), "mention_count")))
+    ranked = members.select(F.col("community_id").cast("bigint").alias("community_id"), "node", F.col("member_rank").alias("rank"))
+    held = built["entity_chunks"].withColumnRenamed("node_id", "node")
+    candidates = ranked.join(held, "node").select("community_id", "source", "chunk_id").distinct().join(chunks, ["source", "chunk_id"])
+    return community.representative_chunks(candidates, ranked)
+
+
+@query
+def community_summaries(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _chunks(spark, d)
+    built = {k: checkpointed(v) for k, v in index.build_graph(chunks).items()}
+    return index.community_tables(built, chunks)["community_summaries"]
+
+
+def _retriever(spark: SparkSession, d: str) -> ask.Retriever:
+    chunks = _chunks(spark, d)
+    tables = {k: checkpointed(v) for k, v in index.build_graph(chunks).items()}
+    tables |= {k: checkpointed(v) for k, v in index.community_tables(tables, chunks).items()}
+    vectors = models.embed_column(chunks, "text", "embedding").select("source", "chunk_id", "embedding")
+    return ask.Retriever(tables | {"chunks": chunks, "chunk_vectors": checkpointed(vectors)})
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "question")
+
+
+@query
+def hybrid_query(spark: SparkSession, d: str) -> DataFrame:
+    return _retriever(spark, d).hybrid(_questions(spark, d))
+
+
+@query
+def drift_search(spark: SparkSession, d: str) -> DataFrame:
+    return ask.drift(_retriever(spark, d), _questions(spark, d), depth=1)
+
+
+@query
+def format_context(spark: SparkSession, d: str) -> DataFrame:
+    """Context of each question of the predictions table: its evidence as one hit, its type as a summary."""
+    rows = read_table(spark, d, "predictions").select("id", "source", "evidence", "question_type").distinct().withColumnRenamed("id", "query_id")
+    hits = rows.where("evidence is not null").select("query_id", F.lit(1).alias("rank"), "source", F.col("evidence").alias("text"))
+    notes = rows.where("question_type is not null").select("query_id", F.lit(1).alias("rank"), F.col("question_type").alias("summary"))
+    return ask.format_context(rows.select("query_id"), hits, notes)
+
+
+# Chat
+
+
+@query
+def chat_recent_history(spark: SparkSession, d: str) -> DataFrame:
+    return chat.recent_history(read_table(spark, d, "messages")).select("session_id", "turn", "id", "role")
+
+
+@query
+def session_titles(spark: SparkSession, d: str) -> DataFrame:
+    return chat.titles(read_table(spark, d, "messages"))
+
+
+@query
+def orphan_sessions(spark: SparkSession, d: str) -> DataFrame:
+    both = read_table(spark, d, "messages").select("session_id").union(read_table(spark, d, "files").select("session_id"))
+    return chat.orphans(both, read_table(spark, d, "sessions"))
+
+
+@query
+def sessions_per_user(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "sessions").distinct()
+    return rows.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("updated_at").alias("last_update"))
+
+
+# Evaluation
+
+
+@query
+def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.stratified_sample(read_table(spark, d, "eval_items"), "item_id", ["corpus_name", "question_type"], 5).select("corpus_name", "question_type", "item_id")
+
+
+def _answered(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "predictions").where("error is null").select("id", "question_type", "generated_answer", "gold_answer").distinct()
+
+
+@query
+def rouge1_recall(spark: SparkSession, d: str) -> DataFrame:
+    return _answered(spark, d).select("id", F.round(evaluation.rouge1_recall("generated_answer", "gold_answer"), 6).alias("recall"))
+
+
+@query
+def rouge1_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.with_stemmed_recall(_answered(spark, d), "generated_answer", "gold_answer", "recall").select("id", F.round("recall", 6).alias("recall"))
+
+
+@query
+def eval_report(spark: SparkSession, d: str) -> DataFrame:
+    scores = _answered(spark, d).select("question_type", F.lit("rouge_score").alias("metric"), evaluation.rouge1_recall("generated_answer", "gold_answer").alias("score"))
+    return evaluation.means_by_type(scores)
+
+
+@query
+def metric_routing(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "predictions").where("error is null").select("id", "question_type").distinct()
+    return rows.join(evaluation.metric_table(spark), "question_type").groupBy("metric").agg(F.count("*").alias("n"))
+
+
+@query
+def judged_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Formulas of judged metrics over invented verdicts: the words of each answer, judged by their length."""
+    rows = _answered(spark, d).select("id", evaluation.rouge_tokens("generated_answer").alias("a"))
+    judged = rows.select("id", F.transform("a", lambda t: F.when(F.length(t) > 4, "yes").otherwise("0")).alias("v"), F.size("a").alias("n"))
+    share = evaluation.mean_verdict("v")
+    fact = evaluation.factuality(F.size(F.filter("v", lambda x: x == "yes")), F.col("n") % 3)
+    return judged.select("id", F.round(share, 6).alias("share"), F.round(fact, 6).alias("factuality"), evaluation.relevance(F.col("n") % 4).alias("relevance"), F.round(evaluation.weighted(share, fact), 6).alias("correctness"))
+
+
+# Store and stream
+
+
+@query
+def replace_by_source(spark: SparkSession, d: str) -> DataFrame:
+    old = _chunks(spark, d).select("source", "chunk_id", F.length("text").alias("n"))
+    new = old.where(F.col("source").startswith("file-")).select("source", "chunk_id", F.lit(0).alias("n"))
+    return replaced_by_source(old, new)
+
+
+@query
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    counted = event_counts(read_table(spark, d, "events"))
+    return counted.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_ALL)
+
+
+# SQL
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{T.SPACE}+', ''), '{T.SPACE}+$', '')"
+
+
+def _collapse(x: str) -> str:
+    return _strip(f"regexp_replace({x}, '{T.SPACE}+', ' ', 'g')")
+
+
+def _words(x: str) -> str:
+    return f"case when coalesce({_collapse(x)}, '') = '' then [] else string_split({_collapse(x)}, ' ') end"
+
+
+def _rouge(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^a-z0-9]+'), lambda t: t <> '')"
+
+
+def _plain(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '{T.NOT_WORD}', ' ', 'g'))"
+
+
+def _slug(x: str) -> str:
+    s = f"regexp_replace(regexp_replace({_plain(x)}, '{T.NOT_WORD}', '_', 'g'), '^_+|_+$', '', 'g')"
+    return f"case when {s} = '' then 'unnamed_entity' else substr({s}, 1, 120) end"
+
+
+_TOKEN = T.TOKEN.replace("'", "''")
+
+
+def _tokens(x: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({x}, '')), '{_TOKEN}')"
+
+
+_FILES = "f as (select distinct id, regexp_replace(text, '\\r\\n?', chr(10), 'g') as text from files where text is not null)"
+_BLOCKS = f"""with {_FILES}, b as (select id, list_filter(list_transform(regexp_split_to_array(text, '\\n[ \\t\\f]*\\n'),
+lambda p: array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda l: {_strip('l')}), lambda l: l <> ''), ' ')), lambda p: p <> '') as ps from f),
+bs as (select id, unnest(range(len(ps))) as i, ps from b)"""
+_CHUNKS = "c as (select source, chunk_id, any_value(text) as text from chunks where source is not null and chunk_id is not null group by 1, 2)"
+_LABEL = "case " + " ".join(f"when lower(regexp_split_to_array(raw, '[- ]')[-1]) in ({', '.join(repr(w) for w in ws)}) then '{label}'" for label, ws in reversed(list(entities.LABEL_BY_WORD.items()))) + " else 'PERSON' end"
+_MENTIONS = f"""{_CHUNKS}, s as (select source, chunk_id, string_split(regexp_replace(text, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)) as ss from c where text is not null),
+se as (select source, chunk_id, unnest(range(len(ss))) as sent_id, ss from s), sx as (select source, chunk_id, sent_id, regexp_extract_all(ss[sent_id + 1], '{entities.NAME_RUN}') as ms from se),
+mx as (select source, chunk_id, sent_id, unnest(range(len(ms))) as pos, ms from sx), my as (select source, chunk_id, sent_id, pos, ms[pos + 1] as raw from mx),
+m as (select source, chunk_id, sent_id::int as sent_id, pos::int as pos, lower({_collapse('raw')}) as name, {_LABEL} as label from my where length({_collapse('raw')}) > 2),
+n as (select label || '::' || name as node_id, name, label, count(*) as mention_count, count(distinct (source, chunk_id)) as chunk_count from m group by 1, 2, 3),
+si as (select distinct source, chunk_id, sent_id, label || '::' || name as node_id from m),
+ec as (select a.node_id as src, b.node_id as dst, a.source, a.chunk_id, count(*) as weight from si a join si b on a.source = b.source and a.chunk_id = b.chunk_id and a.sent_id = b.sent_id and a.node_id < b.node_id group by all),
+e as (select src, dst, sum(weight)::bigint as weight, count(*) as chunk_count from ec group by 1, 2)"""
+_CANON = f"""{_MENTIONS}, cm as (select *, regexp_replace(name, '^(?:the|a|an) ', '') as nn from n), cv as (select node_id, nn as name, label, label || '::' || nn as new_id, mention_count from cm where regexp_matches(nn, '\\p{{L}}')),
+ch as (select new_id, count(*) as chunk_count from (select distinct new_id, source, chunk_id from (select distinct label || '::' || name as node_id, source, chunk_id from m) h join cv using (node_id)) group by 1)"""
+_TYPE = f"case when coalesce({_strip('type')}, '') = '' then 'RELATED_TO' else upper({_strip('type')}) end"
+_LINKS = f"""r as (select distinct * from v2_relationships), l as (select least(source, target) as src, greatest(source, target) as dst, sum(coalesce(weight, 0))::bigint as weight, array_to_string(list_sort(list(distinct {_TYPE})), ',') as types
+from r where source <> target group by 1, 2), l2 as (select src, dst, weight from l union all select dst, src, weight from l), dg as (select src as node, sum(weight)::bigint as degree, count(*) as neighbours from l2 group by 1)"""
+_HELD = "h as (select distinct node_id, source, chunk_id from entity_chunks where node_id is not null and source is not null and chunk_id is not null)"
+_COMPONENTS = f"""with recursive {_LINKS}, reach as (select src as node, src as low from l2 union select l2.dst, reach.low from reach join l2 on l2.src = reach.node), cc as (select node, min(low) as component from reach group by 1), {_HELD}"""
+_BM25 = f"""with t as (select doc_id, {_tokens('text')} as ts from documents), dl as (select doc_id, len(ts) as dl, ts from t where len(ts) > 0), g as (select count(*) as n, avg(dl) as avgdl from dl),
+tf as (select doc_id, dl, term, count(*) as tf from (select doc_id, dl, unnest(ts) as term from dl) group by all), dfs as (select term, count(*) as df from tf group by 1),
+raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from dfs, g), idf as (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw),
+q as (select item_id, term, count(*) as qtf from (select item_id, unnest({_tokens('question')}) as term from eval_items) group by all),
+sc as (select item_id as query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) as score from q join idf using (term) join tf using (term), g group by all),
+rk as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc where score > 0)"""
+
+
+def _cosine(table: str, vector: str) -> str:
+    return f"""select q.vec_id as query_id, v.vec_id as doc_id, round(greatest(0, least(1, coalesce(list_cosine_similarity({vector.format(a='q')}::double[], {vector.format(a='v')}::double[]), 0))), 9) as score
+from {table} q, {table} v where q.vec_id % 20 = 0"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    bm25 = _BM25 + " select query_id, doc_id, round(score, 5) as score, rank from rk where rank <= "
+    return {
+        "flagship": bm25 + "10",
+        "bm25_topk": bm25 + "20",
+        "bm25_corpus_stats": _BM25 + " select term, df, round(idf, 6) as idf from idf",
+        "parse_blocks": _BLOCKS + " select id, i::int as block_index, ps[i + 1] as text from bs",
+        "clean_text": _BLOCKS
+        + f""", x as (select id, i::int as block_index, {_strip("regexp_replace(regexp_replace(regexp_replace(regexp_replace(ps[i + 1], '" + T.HEADING + "', '\\1'), '" + T.HTML_TAG + "', ' ', 'g'), '" + T.NUMERIC_CITATION + "', ' ', 'g'), '" + T.HORIZONTAL + "', ' ', 'g')")} as text from bs)
+select id, block_index, text from x where length(text) >= 3""",
+        "chunk_words": f"""with w as (select doc_id, {_words('text')} as ws from documents), k as (select doc_id, ws, unnest(range(greatest(0, ceil((len(ws) - 100) / 80.0)::int) + 1)) as i from w where len(ws) > 0)
+select doc_id, i::int as "window", (i * 80)::int as start, array_to_string(ws[i * 80 + 1:i * 80 + 100], ' ') as text from k""",
+        "chunk_words_numbered": f"""with f as (select distinct id, text from files), w as (select id, {_words('text')} as ws from f), k as (select id, ws, unnest(range(greatest(0, ceil((len(ws) - 100) / 80.0)::int) + 1)) as i from w where len(ws) > 0)
+select format('CHUNK-{{:06d}}', row_number() over (order by id, i) - 1) as id, id as file_id, i::int as "window", array_to_string(ws[i * 80 + 1:i * 80 + 100], ' ') as text from k""",
+        "chunk_with_offsets": f"""with f as (select distinct id, {_strip('text')} as text from files where text is not null), w as (select id, text, regexp_extract_all(text, '\\S+\\s*') as rs from f where text <> ''),
+p as (select id, text, rs, list_transform(rs, lambda r: length(r)) as ls, unnest(range(greatest(0, ceil((len(rs) - 120) / 100.0)::int) + 1)) as i from w),
+b as (select id, text, rs, ls, i::int as chunk_id, i * 100 as s, least(120, len(rs) - i * 100) as n, coalesce(list_sum(ls[1:i * 100]), 0)::int as a from p),
+z as (select *, (a + coalesce(list_sum(ls[s + 1:s + n - 1]), 0) + length(rtrim(rs[s + n], e' \\t\\r\\n\\f')))::int as e from b)
+select id, chunk_id, substr(text, a + 1, e - a) as text, a as char_start, e as char_end, n::int as token_count from z""",
+        "tokenize_counts": f"select doc_id, len(t)::int as n_tokens, len(list_distinct(t))::int as n_terms from (select doc_id, {_tokens('text')} as t from documents)",
+        "dedup_signature": f"select substr(md5(regexp_replace(lower(text), '{T.NOT_WORD}', '', 'g')), 1, 10) as signature, min(doc_id) as doc_id, count(*) as copies from documents where text is not null group by 1",
+        "dedup_hits": "select session_id, id from (select session_id, id, row_number() over (partition by session_id, content order by created_at nulls first, id) as r from (select distinct session_id, id, content, created_at from messages where content is not null)) where r = 1",
+        "entity_names": f"""select distinct id, lower({_collapse('name')}) as normal, {_plain('name')} as plain, {_slug('name')} as slug, length(name) > 2 and not regexp_matches(name, '^[0-9][0-9.,%:/\\- ]*$') as valid, coalesce(type, 'ORG') || '::' || lower({_collapse('name')}) as node_id,
+substr(md5(name), 1, 10) as hash, coalesce(array_to_string(list_filter(descriptions, lambda x: x is not null and trim(x) <> '')[1:6], ' '), '') as description from v2_entities""",
+        "json_extract": "select distinct id, json_extract_string(m, '$.mode') as mode, json_extract_string(m, '$.num_hits')::int as num_hits, json_extract_string(m, '$.communities_used')::int as communities_used from (select id, nullif(regexp_extract(metadata, '(?s)(\\{.*\\})', 1), '') as m from messages) where m is not null",
+        "event_props": "select event_type, count(try_cast(json_extract_string(props, '$.k') as int)) as n, sum(coalesce(try_cast(json_extract_string(props, '$.k') as double), 1.0)) as total from events group by 1",
+        "citations": "select chunk_id, count(*) as n from (select doc_id, unnest(list_distinct([format('CHUNK-{:06d}', doc_id % 1000), 'CHUNK-000007'])) as chunk_id from documents) group by 1",
+        "dense_topk": f"with s as ({_cosine('embeddings', '{a}.embedding')}), r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) select query_id, doc_id, round(score, 6) as score, rank from r where rank <= 20",
+        "rrf_fuse": f"""with d as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as dense_rank from ({_cosine('embeddings', '{a}.embedding')})), s as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as sparse_rank from ({_cosine('embeddings', '{a}.embedding[1:32]')})),
+j as (select coalesce(d.query_id, s.query_id) as query_id, coalesce(d.doc_id, s.doc_id) as doc_id, dense_rank, sparse_rank, coalesce(0.6::double / (60 + dense_rank), 0) + coalesce(0.4::double / (60 + sparse_rank), 0) as score from (select * from d where dense_rank <= 20) d full join (select * from s where sparse_rank <= 20) s on d.query_id = s.query_id and d.doc_id = s.doc_id),
+k as (select *, row_number() over (partition by query_id order by score desc, dense_rank nulls last, sparse_rank nulls last, doc_id) as rank from j) select query_id, doc_id, round(score, 9) as score, rank, dense_rank, sparse_rank from k where rank <= 20""",
+        "vector_functions": "with p as (select a.vec_id, a.embedding::double[] as x, b.embedding::double[] as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1), c as (select vec_id, list_dot_product(x, y) as d, coalesce(list_cosine_similarity(x, y), 0) as c, sqrt(list_dot_product(x, x)) as n from p) select vec_id, round(d, 4) as dot, round(c, 4) as cosine, round(greatest(0, least(1, c)), 4) as clamped, round((greatest(-1, least(1, c)) + 1) / 2, 4) as similarity, round(n / n, 4) as length from c",
+        "entity_mentions": f"with {_MENTIONS} select source, chunk_id, sent_id, pos, name, label from m",
+        "node_stats": f"with {_MENTIONS} select * from n",
+        "cooccurrence_edges": f"with {_MENTIONS} select * from e",
+        "prune_graph": f"with {_MENTIONS}, k as (select node_id from n where chunk_count >= 3) select * from e where weight >= 2 and src in (select node_id from k) and dst in (select node_id from k)",
+        "canonicalize_entities": f"with {_CANON} select new_id as node_id, name, label, sum(mention_count)::bigint as mention_count, any_value(chunk_count) as chunk_count from cv join ch using (new_id) group by 1, 2, 3",
+        "canonicalize_edges": f"with {_CANON}, x as (select least(a.new_id, b.new_id) as src, greatest(a.new_id, b.new_id) as dst, source, chunk_id, sum(weight) as weight from ec join cv a on a.node_id = src join cv b on b.node_id = dst where a.new_id <> b.new_id group by all) select src, dst, sum(weight)::bigint as weight, count(*) as chunk_count from x group by 1, 2",
+        "top_entities": f"with {_MENTIONS} select node_id, mention_count from n order by mention_count desc, node_id limit 25",
+        "merge_entities": f"""with x as (select distinct id as pos, name, type, descriptions[1] as description, chunk_ids[1] as chunk_id, {_slug('name')} as id from v2_entities where {_plain('name')} <> ''),
+g as (select id, arg_min(name, pos) as name, first(type order by pos) as type, list(description order by pos) filter (where trim(description) <> '') as ds, list(chunk_id order by pos) filter (where trim(chunk_id) <> '') as cs from x group by 1)
+select id, name, type, coalesce(array_to_string(list_transform(list_filter(ds, lambda v, i: list_position(ds, v) = i), lambda v: v)[1:6], ' '), '') as description, coalesce(array_to_string(list_filter(cs, lambda v, i: list_position(cs, v) = i), ','), '') as chunk_ids from g""",
+        "merge_relationships": f"select source, target, {_TYPE} as type, count(*) as weight from (select distinct * from v2_relationships) group by all",
+        "resolve_relations": f"with {_MENTIONS}, p as (select {_slug('a.name')} as source, {_slug('b.name')} as target from m a join m b on a.source = b.source and a.chunk_id = b.chunk_id and a.sent_id = b.sent_id and b.pos = a.pos + 1) select source, target, 'RELATED_TO' as type, count(*) as weight from p where source <> target group by 1, 2",
+        "collapse_graph": f"with {_LINKS} select * from l",
+        "weighted_degree": f"with {_LINKS} select * from dg",
+        "graph_stats": f"with {_LINKS}, x as (select (select count(distinct id) from v2_entities) as nodes, (select count(*) from l) as edges) select nodes, edges, case when nodes > 1 then round(2.0 * edges / (nodes * (nodes - 1.0)), 4)::double else 0 end as density from x",
+        "graph_view": f"with {_LINKS}, t as (select node from dg order by degree desc, node limit 20) select src, dst, weight from l where src in (select node from t) and dst in (select node from t)",
+        "trade_graph": "with p as (select l_suppkey, o_custkey, count(*) as weight from lineitem join orders on l_orderkey = o_orderkey group by 1, 2) select l_suppkey, sum(weight)::bigint as degree, count(*) as customers from p group by 1",
+        "connected_components": _COMPONENTS + " select node, component from cc",
+        "khop_neighbors": f"with {_LINKS}, a as (select distinct dst as node from l2 where src = 'ENT-000000014' and dst <> 'ENT-000000014'), b as (select distinct dst as node from l2 where src in (select node from a) and dst <> 'ENT-000000014' and dst not in (select node from a)) select 'ENT-000000014' as node, 0 as hop union all select node, 1 from a union all select node, 2 from b",
+        "neighbor_expansion": f"with {_LINKS}, {_HELD}, n as (select src as seed, dst as neighbour, weight, row_number() over (partition by src order by weight desc, dst) as r from l2 where src in (select id from v2_entities)), k as (select *, row_number() over (partition by node_id order by source || '_' || chunk_id) as r from h) select seed, neighbour, weight, source, chunk_id from n join k on k.node_id = neighbour where n.r <= 5 and k.r <= 20",
+        "community_chunks": _COMPONENTS + ", x as (select distinct component, source || '_' || chunk_id as chunk_key from cc join h on h.node_id = node), y as (select *, row_number() over (partition by component order by chunk_key) as k from x) select component as \"group\", chunk_key, k from y where k <= 6",
+        "community_relationships": _COMPONENTS + ' select a.component as "group", src, dst, weight from l join cc a on a.node = src join cc b on b.node = dst where a.component = b.component',
+        "rank_community_entities": _COMPONENTS
+        + ", mc as (select node_id as node, count(*) as n from h group by 1), x as (select component as community_id, cc.node, round(ln(1 + coalesce(n, 0)) + 1.5 * ln(1 + coalesce(degree, 0)), 6) as score from cc left join mc using (node) left join dg using (node)) select *, row_number() over (partition by community_id order by score desc, lower(node), node) as rank from x",
+        "format_context": f"""with p as (select distinct id, source, evidence, question_type from predictions), x as (select id, nullif(concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10), case when question_type <> '' then '## Knowledge Graph Community Summaries' || chr(10) || chr(10) || '- ' || question_type end,
+case when evidence is not null then '<source id="1" name="' || coalesce(source, 'unknown') || '">' || chr(10) || {_strip('evidence')} || chr(10) || '</source>' end), '') as context from p) select id as query_id, coalesce(context, 'No relevant content found.') as context from x""",
+        "chat_recent_history": f"""with r as (select distinct session_id, id, lower({_strip('role')}) as role, content, created_at from messages), k as (select * from r where role in ('user', 'assistant') and {_strip('content')} <> ''),
+l as (select *, row_number() over (partition by session_id order by created_at desc nulls last, id desc) as r from k) select session_id, row_number() over (partition by session_id order by created_at nulls first, id) as turn, id, role from l where r <= 12""",
+        "session_titles": f"with r as (select session_id, arg_min(content, (created_at, id)) as c from messages where lower({_strip('role')}) = 'user' and {_strip('content')} <> '' group by 1) select session_id, case when length({_strip('c')}) > 40 then substr({_strip('c')}, 1, 40) || '...' else {_strip('c')} end as title from r",
+        "orphan_sessions": "select distinct session_id from (select session_id from messages union all select session_id from files) where session_id is not null and session_id not in (select id from sessions where id is not null)",
+        "sessions_per_user": "select user_id, count(*) as sessions, max(updated_at) as last_update from (select distinct * from sessions) group by 1",
+        "stratified_sample": "select corpus_name, question_type, item_id from (select *, row_number() over (partition by corpus_name, question_type order by md5(item_id || '|42'), item_id) as r from eval_items) where r <= 5",
+        "rouge1_recall": f"""with p as (select distinct id, question_type, generated_answer, gold_answer from predictions where error is null), t as (select id, {_rouge('generated_answer')} as a, {_rouge('gold_answer')} as g from p),
+o as (select id, len(g) as n, coalesce(list_sum(list_transform(list_distinct(g), lambda w: least(len(list_filter(g, lambda x: x = w)), len(list_filter(a, lambda x: x = w))))), 0) as c from t) select id, case when n > 0 then round(c / n::double, 6) else 0.0 end as recall from o""",
+        "eval_report": f"""with p as (select distinct id, question_type, generated_answer, gold_answer from predictions where error is null), t as (select id, question_type, {_rouge('generated_answer')} as a, {_rouge('gold_answer')} as g from p),
+o as (select id, question_type, len(g) as n, coalesce(list_sum(list_transform(list_distinct(g), lambda w: least(len(list_filter(g, lambda x: x = w)), len(list_filter(a, lambda x: x = w))))), 0) as c from t)
+select coalesce(question_type, 'Unknown') as question_type, 'rouge_score' as metric, round(avg(case when n > 0 then c / n::double else 0.0 end), 6) as mean, count(*) as n from o group by 1""",
+        "metric_routing": "with p as (select distinct id, question_type from predictions where error is null), t as (select * from (values " + ", ".join(f"('{t}', '{m}')" for t, ms in evaluation.METRICS.items() for m in ms) + ") v(question_type, metric)) select metric, count(*) as n from p join t using (question_type) group by 1",
+        "judged_scores": f"""with p as (select distinct id, question_type, generated_answer, gold_answer from predictions where error is null), a as (select id, {_rouge('generated_answer')} as a from p), v as (select id, len(a) as n, len(list_filter(a, lambda t: length(t) > 4)) as y from a),
+s as (select id, n, case when n > 0 then y / n::double end as s, case when y + n % 3 > 0 then y / (y + n % 3)::double else 0 end as f from v) select id, round(s, 6) as share, round(f, 6) as factuality, case when n % 4 < 3 then (n % 4) / 2.0::double end as relevance, round(0.5 * s + 0.5 * f, 6) as correctness from s""",
+        "replace_by_source": f"with {_CHUNKS} select source, chunk_id, case when source like 'file-%' then 0 else length(text) end::int as n from c",
+        "event_windows": "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
+    }

@@ -55,3 +55,22 @@ def cpu_threads() -> None:
     """Keeps numeric libraries to one thread in a Python worker, which already has one core."""
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "RAYON_NUM_THREADS"):
         os.environ.setdefault(name, "1")
+
+
+def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
+    """Adds consecutive numbers from 0 in a total order, without bringing all rows into one task.
+
+    Rows are range-partitioned and sorted; only the size of each partition reaches the driver.
+    """
+    spark = df.sparkSession
+    n = max(tasks(spark), spark.sparkContext.defaultParallelism)
+    marked = checkpointed(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_place", 33)
+    sizes = marked.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).orderBy("_part").collect()
+    starts, total = [], 0
+    for r in sizes:
+        starts.append((r["_part"], total))
+        total += r["_n"]
+    offsets = spark.createDataFrame(starts, "_part bigint, _start bigint")
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return marked.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(into, F.col("_start") + inside).drop("_part", "_place", "_start")
