@@ -235,17 +235,10 @@ def similar_sets(sets: DataFrame, threshold: float, tile: int = 2000) -> DataFra
     b = sets.select(F.col("rec").alias("rec_b"), F.col("runs").alias("runs_b"))
     met = pairs.join(a, "rec_a").join(b, "rec_b")
 
-    @F.pandas_udf("double")
-    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
-        import numpy as np
-
-        out = []
-        for p, q in zip(x, y):
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(common / (len(p) + len(q) - common))
-        return pd.Series(out, dtype=float)
-
-    return met.select("rec_a", "rec_b", jaccard("runs_a", "runs_b").alias("similarity")).where(F.col("similarity") >= threshold)
+    # Sets are intersected inside the JVM: long sets would make Arrow batches of many rows too large.
+    common = F.size(F.array_intersect("runs_a", "runs_b"))
+    similarity = common / (F.size("runs_a") + F.size("runs_b") - common)
+    return met.select("rec_a", "rec_b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8, tile: int = 2000) -> tuple[DataFrame, DataFrame]:
