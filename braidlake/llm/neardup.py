@@ -27,7 +27,7 @@ from braidlake.operators.graph import connected_components
 from braidlake.runtime import checkpointed, spread
 
 _WORD = re.compile(r"[^\W_]+")
-SKETCH_WORDS = 8
+WIDTHS = (512, 1024, 2048, 4096)
 COUNT_BITS = 18
 
 
@@ -60,12 +60,48 @@ class RunHashes:
         return np.unique(total).view(np.int64)
 
 
-def sketch(runs):
-    """The 512-bit sketch of a set: each run flips the bit its hash names."""
+def sketch(runs) -> bytes:
+    """The sketch of a set: each run flips the bit its hash names. Larger sets get wider sketches, from 512 to 4096 bits.
+
+    A sketch is narrowed by exclusive-or of its halves, so sketches of different widths compare at the lesser one.
+    """
     import numpy as np
 
-    bits = np.bincount((runs.view(np.uint64) >> np.uint64(7)) & np.uint64(64 * SKETCH_WORDS - 1), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    width = next((w for w in WIDTHS if len(runs) <= 0.6 * w), WIDTHS[-1])
+    bits = np.bincount((runs.view(np.uint64) >> np.uint64(7)) & np.uint64(width - 1), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+class Sketches:
+    """Sketches of several sets, narrowed to every width they reach."""
+
+    def __init__(self, marks) -> None:
+        import numpy as np
+
+        self.bits = np.array([8 * len(m) for m in marks])
+        self.at = {}
+        for w in WIDTHS:
+            rows = np.flatnonzero(self.bits == w)
+            if not len(rows):
+                continue
+            words = np.frombuffer(b"".join(bytes(marks[r]) for r in rows), dtype=np.uint64).reshape(len(rows), w // 64)
+            for narrow in reversed(WIDTHS[: WIDTHS.index(w) + 1]):
+                while words.shape[1] > narrow // 64:
+                    half = words.shape[1] // 2
+                    words = words[:, :half] ^ words[:, half:]
+                self.at.setdefault(narrow, np.zeros((len(marks), narrow // 64), dtype=np.uint64))[rows] = words
+
+    def apart(self, i, j):
+        """A lower bound of the symmetric difference of each pair of sets."""
+        import numpy as np
+
+        out = np.empty(len(i), dtype=np.int64)
+        width = np.minimum(self.bits[i], self.bits[j])
+        for w in np.unique(width):
+            at = np.flatnonzero(width == w)
+            marks = self.at[int(w)]
+            out[at] = np.bitwise_count(marks[i[at]] ^ marks[j[at]]).sum(axis=1)
+        return out
 
 
 def record_sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -125,32 +161,39 @@ def _prefixes(sets: DataFrame, threshold: float, table) -> DataFrame:
     return sets.select("rec", "runs").mapInPandas(cut, "run bigint, rec bigint, n int")
 
 
-def compare_tile(sizes, sketches, left, right, threshold: float, step: int = 256):
-    """Index pairs (i < j in left x right order) whose bit count allows the threshold.
+def near_pairs(sizes, marks: Sketches, i, j, threshold: float, block: int = 100_000):
+    """The index pairs whose sizes and sketches allow the threshold, block by block."""
+    import numpy as np
+
+    out_i, out_j = [i[:0]], [j[:0]]
+    for at in range(0, len(i), block):
+        x, y = i[at : at + block], j[at : at + block]
+        a, b = sizes[x], sizes[y]
+        keep = np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
+        x, y = x[keep], y[keep]
+        near = marks.apart(x, y) <= (sizes[x] + sizes[y]) * ((1 - threshold) / (1 + threshold)) + 1e-9
+        out_i.append(x[near])
+        out_j.append(y[near])
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def compare_tile(sizes, marks: Sketches, left, right, threshold: float, step: int = 256):
+    """Index pairs of left x right that pass `near_pairs`, tile by tile.
 
-    Rows must be sorted by size; blocks of `step` rows are skipped when even their nearest sizes are too far apart.
+    Rows must be sorted by size; tiles of `step` rows are skipped when even their nearest sizes are too far apart.
     """
     import numpy as np
 
-    out_i, out_j = [], []
+    out_i, out_j = [left[:0]], [right[:0]]
     for a in range(0, len(left), step):
         i = left[a : a + step]
         for b in range(0, len(right), step):
             j = right[b : b + step]
             if sizes[i[-1]] < threshold * sizes[j[0]] or sizes[j[-1]] < threshold * sizes[i[0]]:
                 continue
-            both = sizes[i][:, None] + sizes[j][None, :]
-            apart = np.zeros(both.shape, dtype=np.int64)
-            for w in range(SKETCH_WORDS):
-                apart += np.bitwise_count(sketches[i, w][:, None] ^ sketches[j, w][None, :])
-            near = apart <= both * ((1 - threshold) / (1 + threshold)) + 1e-9
-            small = np.minimum(sizes[i][:, None], sizes[j][None, :])
-            near &= small >= threshold * np.maximum(sizes[i][:, None], sizes[j][None, :]) - 1e-9
-            x, y = np.nonzero(near)
-            out_i.append(i[x])
-            out_j.append(j[y])
-    if not out_i:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+            x, y = near_pairs(sizes, marks, np.repeat(i, len(j)), np.tile(j, len(i)), threshold)
+            out_i.append(x)
+            out_j.append(y)
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
@@ -166,7 +209,7 @@ def _candidates(sets: DataFrame, threshold: float, tile: int) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"rec": batch["rec"], "bits": [sketch(np.asarray(r, dtype=np.int64)) for r in batch["runs"]]})
 
-    sketches = sets.select("rec", "runs").mapInPandas(bits, "rec bigint, bits array<bigint>")
+    sketches = sets.select("rec", "runs").mapInPandas(bits, "rec bigint, bits binary")
     mine = F.pmod(F.xxhash64("rec"), F.col("_blocks")).cast("int")
     placed = (
         met.withColumn("_mine", mine)
@@ -182,29 +225,27 @@ def _candidates(sets: DataFrame, threshold: float, tile: int) -> DataFrame:
         rest: pd.DataFrame | None = None
 
         def pairs(group: pd.DataFrame, starts, ends):
-            run_sizes = group["n"].to_numpy(np.int64)
-            recs, side = group["rec"].to_numpy(), group["left"].to_numpy(bool)
-            low, high = group["low"].to_numpy(), group["high"].to_numpy()
-            marks = np.stack(group["bits"].to_numpy()).view(np.uint64)  # bit counts of signed numbers are those of their absolute values
-            out = []
-            for s, e in zip(starts, ends):
-                if e - s < 2:
-                    continue
-                here = np.arange(s, e)
+            starts, ends = np.asarray(starts), np.asarray(ends)
+            sizes, recs = group["n"].to_numpy(np.int64), group["rec"].to_numpy()
+            side, low, high = group["left"].to_numpy(bool), group["low"].to_numpy(), group["high"].to_numpy()
+            marks, many = Sketches(group["bits"].to_numpy()), ends - starts
+            whole = low[starts] == high[starts]
+            found = []
+            for m in np.unique(many[whole & (many > 1) & (many <= 128)]):  # small groups of one length at once
+                first = starts[whole & (many == m)]
+                x, y = np.triu_indices(m, 1)
+                found.append(near_pairs(sizes, marks, (first[:, None] + x).ravel(), (first[:, None] + y).ravel(), threshold))
+            for s, e in zip(starts[(many > 128) | ~whole], ends[(many > 128) | ~whole]):
+                here, own = np.arange(s, e), side[s:e]
                 if low[s] == high[s]:
-                    i, j = compare_tile(run_sizes, marks, here, here, threshold)
-                    keep = i < j
-                    i, j = i[keep], j[keep]
-                else:
-                    own = side[s:e]
-                    if own.all() or not own.any():
-                        continue
-                    i, j = compare_tile(run_sizes, marks, here[own], here[~own], threshold)
-                if len(i):
-                    a, b = recs[i], recs[j]
-                    out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-            both = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), dtype=np.int64)
-            return pd.DataFrame({"rec_a": both[0], "rec_b": both[1]})
+                    i, j = compare_tile(sizes, marks, here, here, threshold)
+                    found.append((i[i < j], j[i < j]))
+                elif own.any() and not own.all():
+                    found.append(compare_tile(sizes, marks, here[own], here[~own], threshold))
+            if not found:
+                return pd.DataFrame({"rec_a": recs[:0], "rec_b": recs[:0]})
+            a, b = (recs[np.concatenate(x)] for x in zip(*found))
+            return pd.DataFrame({"rec_a": np.minimum(a, b), "rec_b": np.maximum(a, b)}).drop_duplicates()
 
         for batch in batches:
             if rest is not None and len(rest):
