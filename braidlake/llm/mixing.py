@@ -121,7 +121,7 @@ def mixture(
     sizes = {r["source"]: (r["t"], r["d"]) for r in sized.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("t"), F.sum("n").alias("d")).collect()}
     total = float(total_tokens) if total_tokens is not None else _largest_total(sizes, goals)
     solved = solve_rates(sized, goals, total, sizes) if total > 0 else {}
-    table = [(s, float(goals[s][1]), None if math.isinf(at) else at, scale, min(goals[s][0] * total, sizes[s][0] * goals[s][1])) for s, (at, scale) in solved.items()]
+    table = [(s, float(goals[s][1]), None if math.isinf(at) else at, scale, float(min(goals[s][0] * total, sizes[s][0] * goals[s][1]))) for s, (at, scale) in solved.items()]
     rates = spark.createDataFrame(table, "source string, cap double, at double, scale double, goal double")
     rate = F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.exp(F.least(F.lit(50.0), F.col("at") * F.col("tokens") / F.col("scale")))))
     rated = counted.join(F.broadcast(rates), "source").withColumn("rate", rate)
