@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from braidlake.operators.entities import induced
 from braidlake.operators.graph import connected_components
-from braidlake.runtime import checkpointed
+from braidlake.runtime import checkpointed, numbered, ranked
 
 
 def modularity(links: list[tuple[str, str, float]], label: dict[str, str], resolution: float = 1.0) -> float:
@@ -172,15 +172,16 @@ def partition(links: DataFrame, nodes: DataFrame, algorithm=greedy_modularity, l
 def communities(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(community_id, node, member_rank, size): communities by size, then first member, numbered from 0.
 
-    `nodes` has (node, mention_count); members go by mentions, then lower-case name. Only one row per community is
-    numbered globally.
+    `nodes` has (node, mention_count); members go by mentions, then lower-case name. Numbers and ranks are taken over
+    range partitions, so neither all communities nor a large one are sorted in one task.
     """
     parts = checkpointed(partition(links, nodes).join(nodes.select("node", "mention_count"), "node"))
     order = F.struct((-F.col("mention_count")).alias("m"), F.lower("node").alias("n"), F.col("node").alias("x"))
     heads = parts.groupBy("label").agg(F.count("*").alias("size"), F.min(order)["x"].alias("first"))
-    ids = heads.withColumn("community_id", F.row_number().over(Window.orderBy(F.desc("size"), F.lower("first"), "first")) - 1)
-    ranked = parts.withColumn("member_rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("mention_count"), F.lower("node"), "node")))
-    return ranked.join(ids, "label").select("community_id", "node", "member_rank", "size")
+    heads = heads.withColumn("_size", -F.col("size")).withColumn("_name", F.lower("first"))
+    ids = numbered(heads, ["_size", "_name", "first"], "community_id").select("label", "size", "community_id")
+    placed = parts.join(ids, "label").withColumn("_mentions", -F.col("mention_count")).withColumn("_name", F.lower("node"))
+    return ranked(placed, ["community_id"], ["_mentions", "_name", "node"], "member_rank").select("community_id", "node", "member_rank", "size")
 
 
 def hierarchy(links: DataFrame, nodes: DataFrame, levels: int = 3, min_size: int = 5, resolution: float = 1.0) -> DataFrame:
@@ -191,7 +192,8 @@ def hierarchy(links: DataFrame, nodes: DataFrame, levels: int = 3, min_size: int
     out, current = None, top
     for level in range(levels):
         ids = current.groupBy("parent_id", "part").agg(F.count("*").alias("size"))
-        ids = ids.withColumn("id", F.format_string(f"L{level}-C%05d", F.row_number().over(Window.orderBy(F.asc_nulls_first("parent_id"), F.desc("size"), "part")) - 1))
+        ids = numbered(ids.withColumn("_size", -F.col("size")), ["parent_id", "_size", "part"], "_number")
+        ids = ids.withColumn("id", F.format_string(f"L{level}-C%05d", "_number"))
         ids = ids.select("id", "size", F.col("part").alias("_part"), F.col("parent_id").alias("_parent"))
         same = F.col("part").eqNullSafe(F.col("_part")) & F.col("parent_id").eqNullSafe(F.col("_parent"))
         named = checkpointed(current.join(ids, same).select("id", F.lit(level).alias("level"), "parent_id", "node", "size"))
@@ -223,9 +225,8 @@ def rank_entities(members: DataFrame, links: DataFrame, matches: DataFrame) -> D
     degree = inner.select("group", F.col("src").alias("node"), "weight").union(inner.select("group", "dst", "weight")).groupBy("node").agg(F.sum("weight").alias("degree"))
     scored = members.join(degree, "node", "left").join(matches.select("community_id", "node", "coverage", "hits"), ["community_id", "node"], "left").na.fill(0, ["degree", "coverage", "hits"])
     score = F.log1p("mention_count") + 1.5 * F.log1p("degree") + 2.0 * F.col("coverage") + 0.5 * F.log1p("hits")
-    ranked = scored.withColumn("score", F.round(score, 6))
-    order = Window.partitionBy("community_id").orderBy(F.desc("score"), F.lower("node"), "node")
-    return ranked.withColumn("rank", F.row_number().over(order))
+    placed = scored.withColumn("score", F.round(score, 6)).withColumn("_score", -F.col("score")).withColumn("_name", F.lower("node"))
+    return ranked(placed, ["community_id"], ["_score", "_name", "node"], "rank").drop("_score", "_name")
 
 
 def greedy_cover(texts: list[str], names: list[str], most: int) -> list[int]:
@@ -249,16 +250,16 @@ def greedy_cover(texts: list[str], names: list[str], most: int) -> list[int]:
     return chosen
 
 
-def representative_chunks(candidates: DataFrame, ranked: DataFrame, most_entities: int = 20, most_chunks: int = 8, pool: int = 400) -> DataFrame:
+def representative_chunks(candidates: DataFrame, leading: DataFrame, most_entities: int = 20, most_chunks: int = 8, pool: int = 400) -> DataFrame:
     """(community_id, position, source, chunk_id): chunks that cover a community's leading entities.
 
-    `candidates` has (community_id, source, chunk_id, text), `ranked` (community_id, node, rank). Copies by signature
+    `candidates` has (community_id, source, chunk_id, text), `leading` (community_id, node, rank). Copies by signature
     drop out first. Each community's chunks are scored in the JVM by the number of leading names they hold; greedy
     choice runs on its `pool` best, since a chunk outside them cannot gain more than one inside while names remain.
     """
     from braidlake.functions import text as T
 
-    names = ranked.where(F.col("rank") <= most_entities).groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node"))), lambda x: F.substring_index(x["node"], "::", -1)).alias("names"))
+    names = leading.where(F.col("rank") <= most_entities).groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node"))), lambda x: F.substring_index(x["node"], "::", -1)).alias("names"))
     texts = candidates.withColumn("text", T.collapse("text")).withColumn("_sig", F.md5(F.encode(T.signature("text"), "utf-8"))).where(T.signature("text") != "")
     once = texts.groupBy("community_id", "_sig").agg(F.min_by(F.struct("source", "chunk_id", "text"), T.chunk_key("source", "chunk_id")).alias("c")).select("community_id", "c.*")
     held = F.size(F.filter("names", lambda n: F.contains(F.lower("text"), n)))
@@ -273,13 +274,13 @@ def representative_chunks(candidates: DataFrame, ranked: DataFrame, most_entitie
     return pooled.groupBy("community_id").applyInPandas(choose, "community_id bigint, position int, source string, chunk_id int")
 
 
-def summaries(members: DataFrame, ranked: DataFrame, chosen: DataFrame, chunks: DataFrame, model=None) -> DataFrame:
+def summaries(members: DataFrame, leading: DataFrame, chosen: DataFrame, chunks: DataFrame, model=None) -> DataFrame:
     """(community_id, title, summary, summary_status): generated from the chosen chunks of communities with two members
     or more; `insufficient_evidence` without chunks, `fallback` where the model gives nothing."""
     from braidlake.functions.models import TemplateGenerator, retrying
 
     generator = model or TemplateGenerator()
-    title = ranked.where("rank <= 2").groupBy("community_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node"))), lambda x: x["node"]), " and ").alias("title"))
+    title = leading.where("rank <= 2").groupBy("community_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node"))), lambda x: x["node"]), " and ").alias("title"))
     sizes = members.groupBy("community_id").agg(F.count("*").alias("_n")).where("_n >= 2")
     evidence = chosen.join(chunks, ["source", "chunk_id"]).groupBy("community_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "\n\n").alias("evidence"))
     rows = sizes.join(title, "community_id", "left").join(evidence, "community_id", "left")

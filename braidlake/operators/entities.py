@@ -111,15 +111,28 @@ def canonicalize(nodes: DataFrame, held: DataFrame, per_chunk: DataFrame, mappin
 
 
 def merge_entities(extracted: DataFrame) -> DataFrame:
-    """Entities of one slug merged: (id, name, type, descriptions, chunk_ids), the first name and type win.
+    """Entities of one slug merged: (id, name, type, description, chunk_count), the first name and type win.
 
-    `extracted` has (pos, name, type, description, chunk_id); pos orders the extractions.
+    `extracted` has (pos, name, type, description, chunk_id); pos orders the extractions. The description joins the
+    first six distinct ones. Chunks stay rows (`merged_chunks`): a frequent entity would make an array of any length.
     """
-    rows = extracted.withColumn("id", T.slug("name")).where(T.plain_name("name") != "")
-    texts = lambda c: F.array_agg(F.when(F.col(c).isNotNull() & (F.trim(c) != ""), F.struct("pos", F.col(c).alias("v"))))
-    merged = rows.groupBy("id").agg(F.min_by("name", "pos").alias("name"), F.min_by("type", "pos").alias("type"), texts("description").alias("_d"), texts("chunk_id").alias("_c"))
-    plain = lambda c: F.array_distinct(F.transform(F.array_sort(F.filter(c, lambda x: x.isNotNull())), lambda x: x["v"]))
-    return merged.select("id", "name", "type", plain("_d").alias("descriptions"), plain("_c").alias("chunk_ids"))
+    rows = _slugged(extracted)
+    heads = rows.groupBy("id").agg(F.min_by("name", "pos").alias("name"), F.min_by("type", "pos").alias("type"))
+    said = rows.where("trim(description) <> ''").groupBy("id", "description").agg(F.min("pos").alias("_p"))
+    first = Window.partitionBy("id").orderBy("_p", "description")
+    said = said.withColumn("_r", F.row_number().over(first)).where("_r <= 6")
+    texts = said.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "description"))), lambda x: x["description"]), " ").alias("description"))
+    counts = merged_chunks(extracted).groupBy("id").agg(F.count("*").alias("chunk_count"))
+    return heads.join(texts, "id", "left").join(counts, "id", "left").select("id", "name", "type", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+
+
+def _slugged(extracted: DataFrame) -> DataFrame:
+    return extracted.withColumn("id", T.slug("name")).where(T.plain_name("name") != "")
+
+
+def merged_chunks(extracted: DataFrame) -> DataFrame:
+    """(id, chunk_id, pos): the distinct chunks of each merged entity and where they were first extracted."""
+    return _slugged(extracted).where("trim(chunk_id) <> ''").groupBy("id", "chunk_id").agg(F.min("pos").alias("pos"))
 
 
 def resolve_relations(relations: DataFrame, extracted: DataFrame) -> DataFrame:

@@ -210,8 +210,7 @@ def top_entities(spark: SparkSession, d: str) -> DataFrame:
 def merge_entities(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "v2_entities").distinct()
     extracted = rows.select(F.col("id").alias("pos"), "name", "type", F.get("descriptions", F.lit(0)).alias("description"), F.get("chunk_ids", F.lit(0)).alias("chunk_id"))
-    merged = entities.merge_entities(extracted)
-    return merged.select("id", "name", "type", T.description("descriptions").alias("description"), F.array_join("chunk_ids", ",").alias("chunk_ids"))
+    return entities.merge_entities(extracted)
 
 
 @query
@@ -567,7 +566,7 @@ k as (select *, row_number() over (partition by query_id order by score desc, de
         "top_entities": f"with {_MENTIONS} select node_id, mention_count from n order by mention_count desc, node_id limit 25",
         "merge_entities": f"""with x as (select distinct id as pos, name, type, descriptions[1] as description, chunk_ids[1] as chunk_id, {_slug('name')} as id from v2_entities where {_plain('name')} <> ''),
 g as (select id, arg_min(name, pos) as name, first(type order by pos) as type, list(description order by pos) filter (where trim(description) <> '') as ds, list(chunk_id order by pos) filter (where trim(chunk_id) <> '') as cs from x group by 1)
-select id, name, type, coalesce(array_to_string(list_transform(list_filter(ds, lambda v, i: list_position(ds, v) = i), lambda v: v)[1:6], ' '), '') as description, coalesce(array_to_string(list_filter(cs, lambda v, i: list_position(cs, v) = i), ','), '') as chunk_ids from g""",
+select id, name, type, coalesce(array_to_string(list_transform(list_filter(ds, lambda v, i: list_position(ds, v) = i), lambda v: v)[1:6], ' '), '') as description, coalesce(len(list_distinct(cs)), 0)::bigint as chunk_count from g""",
         "merge_relationships": f"select source, target, {_TYPE} as type, count(*) as weight from (select distinct * from v2_relationships) group by all",
         "resolve_relations": f"with {_MENTIONS}, p as (select {_slug('a.name')} as source, {_slug('b.name')} as target from m a join m b on a.source = b.source and a.chunk_id = b.chunk_id and a.sent_id = b.sent_id and b.pos = a.pos + 1) select source, target, 'RELATED_TO' as type, count(*) as weight from p where source <> target group by 1, 2",
         "collapse_graph": f"with {_LINKS} select * from l",

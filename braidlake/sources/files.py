@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from braidlake.functions import text as T
+
 EVAL_SCHEMA = "corpus_name string, context string, questions array<struct<id string, question string, question_type string, answer string, evidence string>>"
 
 
@@ -24,7 +26,7 @@ def read_texts(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("txt
         return contents.map(lambda b: bytes(b).decode("utf-8", "replace"))
 
     name = F.element_at(F.split("path", "/"), -1)
-    return kept.select("path", F.regexp_replace(name, r"\.[^.]*$", "").alias("source"), decode("content").alias("text")).where(F.trim("text") != "")
+    return kept.select("path", F.regexp_replace(name, r"\.[^.]*$", "").alias("source"), decode("content").alias("text")).where(T.strip("text") != "")
 
 
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:

@@ -10,18 +10,18 @@ def one(spark, value, column, kind="string"):
 
 
 CASES = [
-    (T.strip("x"), "  a b \n", "a b"), (T.collapse("x"), " a \n\t b ", "a b"), (T.clean("x"), "== Head  line ==", "Head line"), (T.clean("x"), "a <b>c</b> [1, 2-3] d", "a c d"),
-    (T.normal_entity("x"), "  New \n YORK ", "new york"), (T.plain_name("x"), "O'Neil, & Sons", "o neil sons"), (T.slug("x"), "Élan / Vital", "élan_vital"), (T.slug("x"), "!!", "unnamed_entity"),
-    (T.signature("x"), "A, b-C!", "abc"), (T.json_object("x"), 'Sure: ```json\n{"a": {"b": 1}}\n```', '{"a": {"b": 1}}'), (T.json_object("x"), "none", None),
-    (T.answer_of("x"), "<thinking>t</thinking> <answer> yes </answer>", "yes"), (T.answer_of("x"), "<thinking>t</thinking> yes", "yes"),
-    (T.without_citations("x"), "A [1][2, 3] b [Source: f.txt] .\n\n### Sources\n- f", "A b."), (T.readable_source("x"), "/d/notes.txt_0123abcd", "notes.txt"), (T.session_title("x"), "y" * 41, "y" * 40 + "..."),
+    (T.strip, "  a b \n", "a b"), (T.collapse, " a \n\t b ", "a b"), (T.clean, "== Head  line ==", "Head line"), (T.clean, "a <b>c</b> [1, 2-3] d", "a c d"),
+    (T.normal_entity, "  New \n YORK ", "new york"), (T.plain_name, "O'Neil, & Sons", "o neil sons"), (T.slug, "Élan / Vital", "élan_vital"), (T.slug, "!!", "unnamed_entity"),
+    (T.signature, "A, b-C!", "abc"), (T.json_object, 'Sure: ```json\n{"a": {"b": 1}}\n```', '{"a": {"b": 1}}'), (T.json_object, "none", None),
+    (T.answer_of, "<thinking>t</thinking> <answer> yes </answer>", "yes"), (T.answer_of, "<thinking>t</thinking> yes", "yes"),
+    (T.without_citations, "A [1][2, 3] b [Source: f.txt] .\n\n### Sources\n- f", "A b."), (T.readable_source, "/d/notes.txt_0123abcd", "notes.txt"), (T.session_title, "y" * 41, "y" * 40 + "..."),
 ]
 
 
 @pytest.mark.parametrize(("column", "value", "wanted"), CASES)
 def test_strings(spark, column, value, wanted):
-    assert one(spark, value, column) == wanted
-    assert one(spark, None, column) is None
+    assert one(spark, value, column("x")) == wanted
+    assert one(spark, None, column("x")) is None
 
 
 def test_tokens_keep_letters_of_all_scripts(spark):
