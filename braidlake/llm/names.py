@@ -56,6 +56,9 @@ NICKNAMES = {
 _GIVEN = frozenset(unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode() for x in GIVEN_NAMES)
 _MARKS = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "’": "'"})
 
+_LEADING = re.compile(rf"^\s*(?:(?:{'|'.join(sorted(TITLES))})\.?\s+)*(?:[^\W\d_]\.){{2,}}(?=\s*[^\W\d_]{{2}})", re.I)
+_TRAILING = re.compile(r"^\s*[^\s,]+,\s*(?:[^\W\d_]\.){2,}\s*$")
+
 
 def fold(text: str) -> str:
     """Lower case without accents."""
@@ -71,8 +74,10 @@ def parse(name: str | None, kind: str | None = None) -> tuple[str, tuple[str, ..
     """
     if not name or not name.strip():
         return None
-    text = re.sub(r"(?<=[^\W\d_a-zß-ÿ])(?:\.(?=[^\W\d_]))", "", re.sub(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-Þ][a-zß-ÿ])", " ", name))
-    text = re.sub(r"\b(\w)\.(?=\w+\.)", r"\1", text)
+    # Dotted capitals before a surname, or after a lone one, are initials; elsewhere they are degrees and abbreviations.
+    apart = lambda m: m.group().replace(".", ". ")
+    name = _LEADING.sub(apart, name) if _LEADING.match(name) else _TRAILING.sub(apart, name)
+    text = re.sub(r"\b([^\W\d_]{1,2})\.(?=[^\W\d_]{1,2}\b)", r"\1", re.sub(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-Þ][a-zß-ÿ])", " ", name))
     raw = []
     for t in re.findall(r"[^\W_]+(?:['’\-][^\W_]+)*", text):
         parts = t.split("-")
@@ -82,7 +87,10 @@ def parse(name: str | None, kind: str | None = None) -> tuple[str, tuple[str, ..
     legal = any(t in LEGAL for t in folded)
     if folded and folded[0] == "the" and folded[-1] == "group" and len(folded) > 2:
         legal = True
-    own = [(t, r) for t, r in zip(words, raw) if t not in LEGAL and t not in SMALL]
+    acronyms = not name.isupper()
+    own = [(t, r) for t, r in zip(words, raw) if t not in LEGAL and (t not in SMALL or acronyms and r.isupper() and 2 <= len(r) <= 5)]
+    if len(own) == 1 and acronyms:  # what looks like a legal form may stand for the rest of the name
+        own = [(t, r) for t, r in zip(words, raw) if (t, r) in own or r.isupper() and len(r) > 2]
     if any(t in ORG_WORDS for t, _ in own):
         org = True
     elif any(t in OTHER_WORDS for t, _ in own):

@@ -5,7 +5,7 @@ from braidlake.llm.names import name_pairs, parse, same_organisation, same_perso
 SAME = [
     ("Timothy Huhiramen", "Huhiramen, Timothy W."), ("Timothy Huhiramen", "Timtthy Huhiramen"), ("Hugo Bamoloved", "HugoBamoloved"), ("Prof. Dr. Xenia Pihozakak", "Xenia Pihozakak, Ph.D."),
     ("Wanda Göhotazek", "WANDA GOHOTAZEK"), ("Bob Kozifukuk", "Robert Kozifukuk"), ("Chekunup Laboratory of Polar Acoustics", "Chekunup LPA"), ("Univ. of Insect Ecology (Stirath)", "Stirath University for Insect Ecology"),
-    ("the Skipuw Instruments group", "Skipuw Instr. Ltd."),
+    ("the Skipuw Instruments group", "Skipuw Instr. Ltd."), ("Webigl SPA", "Webigl Society of Polar Acoustics"), ("Stebew DIE", "Stebew Department of Insect Ecology"), ("V.B. Bekamison", "Bekamison, B. V."),
 ]
 DIFFERENT = [("Greta Dufopivud", "Rebecca Dufopivud"), ("Hanna Kopodiv", "Anna Kopodiv"), ("Chuput Printing", "Chuput Shipping"), ("Wezach Department of Rural Statistics", "Wezach Department of Tidal Energy")]
 
