@@ -55,16 +55,19 @@ def chunk_with_offsets(df: DataFrame, source: str, text: str, size: int = 500, o
     _checked(size, overlap)
     gaps = F.regexp_extract_all(F.col("_text"), F.lit(r"(\S+)(\s*)"), 0)
     spans = df.select(F.col(source).alias("source"), T.strip(text).alias("_text")).where("_text is not null and _text <> ''").withColumn("_runs", gaps)
+    add = lambda xs: F.aggregate(xs, F.lit(0), lambda s, n: s + n)
+    sized = spans.withColumn("_lengths", F.transform("_runs", lambda r: F.length(r))).withColumn("_firsts", windows(F.size("_runs"), size, overlap))
+    # The start of each window is the sum of all strides before it; strides are summed once.
+    strides = F.transform("_firsts", lambda i: add(F.slice("_lengths", i + 1, size - overlap)))
     starts = F.aggregate(
-        F.transform("_runs", lambda r: F.length(r)),
+        strides,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
         lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")),
         lambda s: s["all"],
     )
-    placed = spans.withColumn("_starts", starts)
-    parts = placed.select("source", "_text", "_runs", "_starts", F.posexplode(windows(F.size("_runs"), size, overlap)).alias("chunk_id", "_first"))
-    count = F.least(F.lit(size), F.size("_runs") - F.col("_first"))
-    begin = F.element_at("_starts", F.col("_first") + 1)
-    last = F.col("_first") + count
-    end = F.element_at("_starts", last) + F.length(F.regexp_replace(F.element_at("_runs", last), r"\s+$", ""))
+    placed = sized.withColumn("_starts", starts)
+    parts = placed.select("source", "_text", "_runs", "_lengths", F.posexplode(F.arrays_zip("_firsts", "_starts")).alias("chunk_id", "_w"))
+    first, begin = F.col("_w._firsts"), F.col("_w._starts")
+    count = F.least(F.lit(size), F.size("_runs") - first)
+    end = begin + add(F.slice("_lengths", first + 1, count - 1)) + F.length(F.regexp_replace(F.element_at("_runs", first + count), r"\s+$", ""))
     return parts.select("source", "chunk_id", F.col("_text").substr(begin + 1, end - begin).alias("text"), begin.alias("char_start"), end.alias("char_end"), count.alias("token_count"))
