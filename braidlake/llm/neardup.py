@@ -37,7 +37,7 @@ class RunHashes:
     def __init__(self, size: int) -> None:
         self.size, self.known = size, {}
 
-    def __call__(self, text: str):
+    def __call__(self, text: str, scope: str = ""):
         import numpy as np
         import xxhash
 
@@ -53,7 +53,7 @@ class RunHashes:
             if h is None:
                 h = known[w] = xxhash.xxh3_64_intdigest(w)
             hashes[i] = h
-        total = np.zeros(n, dtype=np.uint64)
+        total = np.full(n, xxhash.xxh3_64_intdigest(scope) if scope else 0, dtype=np.uint64)
         for k in range(self.size):
             total = (total ^ hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
             total ^= total >> np.uint64(32)
@@ -104,16 +104,20 @@ class Sketches:
         return out
 
 
-def record_sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, digest, runs): one row per record with a set; digest is a 128-bit hash of the set."""
-    source = spread(df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("_text")).where(F.col(text).isNotNull() & F.col(key).isNotNull()))
+def record_sets(df: DataFrame, key: str, text: str, words: int, scope: str | None = None) -> DataFrame:
+    """(key, digest, runs): one row per record with a set; digest is a 128-bit hash of the set.
+
+    Records of different scopes share no run: the scope's hash is part of each.
+    """
+    own = F.coalesce(F.col(scope).cast("string"), F.lit("")) if scope else F.lit("")
+    source = spread(df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("_text"), own.alias("_scope")).where(F.col(text).isNotNull() & F.col(key).isNotNull()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         hashes = RunHashes(words)
         for batch in batches:
-            out = [(k, xxhash.xxh3_128_hexdigest(r.tobytes()), r) for k, t in zip(batch["key"], batch["_text"]) if (r := hashes(t)) is not None]
+            out = [(k, xxhash.xxh3_128_hexdigest(r.tobytes()), r) for k, t, s in zip(batch["key"], batch["_text"], batch["_scope"]) if (r := hashes(t, s)) is not None]
             yield pd.DataFrame(out, columns=["key", "digest", "runs"])
 
     return source.mapInPandas(run, "key string, digest string, runs array<bigint>")
@@ -282,19 +286,21 @@ def similar_sets(sets: DataFrame, threshold: float, tile: int = 2000) -> DataFra
     return met.select("rec_a", "rec_b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8, tile: int = 2000) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(
+    df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8, scope: str | None = None, tile: int = 2000
+) -> tuple[DataFrame, DataFrame]:
     """Two tables: members (key, rec) that map each record to the representative of its set, and links
-    (rec_a, rec_b, similarity) between representatives of different sets."""
-    records = checkpointed(record_sets(df, key, text, words).dropDuplicates(["key", "digest"]))
+    (rec_a, rec_b, similarity) between representatives of different sets. Only records of one scope are compared."""
+    records = checkpointed(record_sets(df, key, text, words, scope))
     classes = records.groupBy("digest").agg(F.min("key").alias("first"), F.any_value("runs").alias("runs"))
     numbered = checkpointed(classes.withColumn("rec", F.monotonically_increasing_id()))
-    members = records.select("key", "digest").join(numbered.select("digest", "rec"), "digest").select("key", "rec")
+    members = records.select("key", "digest").distinct().join(numbered.select("digest", "rec"), "digest").select("key", "rec")
     return members, similar_sets(numbered.select("rec", "runs"), threshold, tile)
 
 
-def near_duplicate_pairs(df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(key_a, key_b): all pairs of different keys whose texts reach the threshold, key_a < key_b as strings."""
-    members, links = near_duplicates(df, key, text, words, threshold)
+def near_duplicate_pairs(df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8, scope: str | None = None) -> DataFrame:
+    """(key_a, key_b): all pairs of different keys of one scope whose texts reach the threshold, key_a < key_b as strings."""
+    members, links = near_duplicates(df, key, text, words, threshold, scope)
     equal = members.select("rec", F.col("key").alias("key_a")).join(members.select("rec", F.col("key").alias("key_b")), "rec").where("key_a < key_b").select("key_a", "key_b")
     left = members.select(F.col("rec").alias("rec_a"), F.col("key").alias("_x"))
     right = members.select(F.col("rec").alias("rec_b"), F.col("key").alias("_y"))

@@ -52,8 +52,12 @@ def _chunk_keys(chunks: DataFrame) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     files = read_table(spark, d, "files").select(F.col("id").cast("string").alias("key"), "text")
     chunks = _chunk_keys(read_table(spark, d, "chunks"))
-    found = [neardup.near_duplicate_pairs(t, "key", "text", 3, 0.6).select(F.lit(tab).alias("tab"), "key_a", "key_b") for tab, t in (("files", files), ("chunks", chunks))]
-    return found[0].unionByName(found[1])
+    # Both tables run as one, each a scope of its own; the common prefix of the keys leaves their order as it is.
+    both = files.withColumn("tab", F.lit("files")).unionByName(chunks.withColumn("tab", F.lit("chunks")))
+    both = both.select("tab", F.concat("tab", F.lit("\u001f"), "key").alias("key"), "text")
+    found = neardup.near_duplicate_pairs(both, "key", "text", 3, 0.6, "tab")
+    plain = lambda c: F.regexp_replace(c, "^(files|chunks)\u001f", "").alias(c)
+    return found.select(F.substring_index("key_a", "\u001f", 1).alias("tab"), plain("key_a"), plain("key_b"))
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -43,7 +43,7 @@ def corpus():
 def test_brute_force(spark, n, t, tile, monkeypatch):
     from braidlake.llm import neardup
 
-    monkeypatch.setattr(neardup.near_duplicates, "__defaults__", (5, 0.8, tile))
+    monkeypatch.setattr(neardup.near_duplicates, "__defaults__", (5, 0.8, None, tile))
     texts = corpus()
     df = spark.createDataFrame([(k, x, "c") for k, x in texts], "key string, text string, runs string")
     got = [tuple(r) for r in near_duplicate_pairs(df, "key", "text", n, t).collect()]
@@ -63,6 +63,11 @@ def test_sketch_bound_and_tiles():
     assert all((x, y) in near for x, a in enumerate(sets) for y, b in enumerate(sets) if len(np.intersect1d(a, b)) >= 0.6 * len(np.union1d(a, b)))
 
 
+def test_scopes_are_apart(spark):
+    df = spark.createDataFrame([("a", "x y z u v w", "1"), ("b", "x y z u v w", "1"), ("c", "x y z u v w", "2"), ("d", "x y z u v w", None)], "key string, text string, s string")
+    assert [tuple(r) for r in near_duplicate_pairs(df, "key", "text", 3, 0.6, "s").collect()] == [("a", "b")]
+
+
 def test_groups_and_empty(spark):
     df = spark.createDataFrame([("a", "x y z u v w"), ("b", "x y z u v w"), ("c", "x y z u v w q"), ("d", "other words stand here now")], "key string, text string")
     got = {r["key"]: (r["group_id"], r["group_size"]) for r in near_duplicate_groups(df, "key", "text", 3, 0.6).collect()}
