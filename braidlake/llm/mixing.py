@@ -30,6 +30,12 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published split pattern of this byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BINS = 4096
+#: Up to so many sources, tables of one row per source are broadcast.
+FEW_SOURCES = 10_000
+
+
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= FEW_SOURCES else df
 
 
 @lru_cache(maxsize=2)
@@ -83,7 +89,7 @@ def solve_rates(sized: DataFrame, targets: dict[str, tuple[float, int]], total:
         x = F.col("tokens") / F.col("scale")
         rate = F.least(F.col("cap"), F.exp(F.least(F.lit(50.0), F.col("at") * x)))
         free = F.when(rate < F.col("cap"), rate).otherwise(0.0)
-        sums = sized.join(F.broadcast(now), "source").groupBy("source").agg(F.sum(rate * x * F.col("n")).alias("f"), F.sum(free * x * x * F.col("n")).alias("slope"))
+        sums = sized.join(_few(now, len(rows)), "source").groupBy("source").agg(F.sum(rate * x * F.col("n")).alias("f"), F.sum(free * x * x * F.col("n")).alias("slope"))
         for row in sums.collect():
             s = state[row["source"]]
             gap = row["f"] - s["goal"] / s["scale"]
@@ -124,7 +130,7 @@ def mixture(
     table = [(s, float(goals[s][1]), None if math.isinf(at) else at, scale, float(min(goals[s][0] * total, sizes[s][0] * goals[s][1]))) for s, (at, scale) in solved.items()]
     rates = spark.createDataFrame(table, "source string, cap double, at double, scale double, goal double")
     rate = F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.exp(F.least(F.lit(50.0), F.col("at") * F.col("tokens") / F.col("scale")))))
-    rated = counted.join(F.broadcast(rates), "source").withColumn("rate", rate)
+    rated = counted.join(_few(rates, len(table)), "source").withColumn("rate", rate)
     base = F.floor("rate")
     # u < fraction gives the extra copy; u - fraction is binned to find each source's threshold near 0.
     u = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))) - (F.col("rate") - base)
@@ -146,7 +152,7 @@ def mixture(
         limits.append((s, limit))
     cut = spark.createDataFrame(limits, "source string, last_bin long")
     extra = F.when(F.col("bin") <= F.col("last_bin"), 1).otherwise(0)
-    mixed = lined.join(F.broadcast(cut), "source").select("doc_id", "source", "tokens", "rate", (F.col("base") + extra).cast("bigint").alias("copies"))
+    mixed = lined.join(_few(cut, len(limits)), "source").select("doc_id", "source", "tokens", "rate", (F.col("base") + extra).cast("bigint").alias("copies"))
     done = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("available_tokens"), F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"))
     whole = done.agg(F.sum("mixed_tokens").alias("all"))
     wishes = spark.createDataFrame([(s, a, c) for s, (a, c) in goals.items()], "source string, target_share double, max_repeats int")

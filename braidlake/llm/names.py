@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from braidlake.llm.pii import GIVEN_NAMES
 from braidlake.operators.graph import connected_components
-from braidlake.runtime import checkpointed, spread
+from braidlake.runtime import checkpointed, python_tasks, spread
 
 # Titles and degrees around a person's name.
 TITLES = frozenset("mr mrs ms miss mx dr prof professor doctor sir dame lord lady rev hon capt captain maj col gen lt sgt herr frau madame monsieur mme senor senora sr sra don dona dipl ing mag".split())
@@ -240,7 +240,7 @@ def name_links(forms: DataFrame, suffix: int = 4, common: int = 200) -> DataFram
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
         .select("block", "rec", "kind", "form", F.least("_mine", "_other").alias("low"), F.greatest("_mine", "_other").alias("high"), (F.col("_mine") <= F.col("_other")).alias("left"))
     )
-    grouped = tiled.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high")
+    grouped = tiled.repartition(python_tasks(forms.sparkSession), "block", "low", "high").sortWithinPartitions("block", "low", "high")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, group = None, []

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidlake.operators.graph import connected_components
-from braidlake.runtime import checkpointed, spread
+from braidlake.runtime import checkpointed, python_tasks, spread
 
 _WORD = re.compile(r"[^\W_]+")
 WIDTHS = (512, 1024, 2048, 4096)
@@ -221,7 +221,7 @@ def _candidates(sets: DataFrame, threshold: float, tile: int) -> DataFrame:
         .select("run", "rec", "n", F.least("_mine", "_other").alias("low"), F.greatest("_mine", "_other").alias("high"), (F.col("_mine") <= F.col("_other")).alias("left"))
         .join(sketches, "rec")
     )
-    grouped = placed.repartition("run", "low", "high").sortWithinPartitions("run", "low", "high", "n", "rec")
+    grouped = placed.repartition(python_tasks(sets.sparkSession), "run", "low", "high").sortWithinPartitions("run", "low", "high", "n", "rec")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np

@@ -40,9 +40,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     done = read_table(spark, d, "chunks").select("source").where(F.col("source").startswith("file-")).distinct()
-    files = read_table(spark, d, "files").select("id", "text").where(F.length("text") > 1200).withColumn("source", F.concat(F.lit("file-"), F.col("id")))
-    open_files = files.join(done, "source", "left_anti").select("id", "text")
-    return splitting.pieces_of_long_texts(open_files, "id", "text").select(F.col("id").alias("file_id"), "char_start", "char_end")
+    # Offsets are small, texts aren't: files are cut first, and the pieces of those that have chunks drop out after.
+    cut = splitting.pieces_of_long_texts(read_table(spark, d, "files"), "id", "text", texts=False)
+    open_files = cut.withColumn("source", F.concat(F.lit("file-"), F.col("id").cast("string"))).join(done, "source", "left_anti")
+    return open_files.select(F.col("id").alias("file_id"), "char_start", "char_end")
 
 
 def _chunk_keys(chunks: DataFrame) -> DataFrame:

@@ -60,15 +60,18 @@ def pieces(text: str, limit: int = 1200, least: int = 600, overlap: int = 120) -
     return [*out, (start, len(text))]
 
 
-def pieces_of_long_texts(df: DataFrame, key: str, text: str, limit: int = 1200, least: int = 600, overlap: int = 120) -> DataFrame:
-    """(key, char_start, char_end, piece) of every text longer than `limit`, distinct. Only the two columns are read."""
+def pieces_of_long_texts(df: DataFrame, key: str, text: str, limit: int = 1200, least: int = 600, overlap: int = 120, texts: bool = True) -> DataFrame:
+    """(key, char_start, char_end, piece) of every text longer than `limit`, distinct. Only the two columns are read.
+
+    Without `texts` the pieces' texts are left out, so only offsets are moved.
+    """
     source = spread(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.length("_text") > limit))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, a, b, t[a:b]) for k, t in zip(batch["_key"], batch["_text"]) for a, b in pieces(t, limit, least, overlap)]
+            rows = [(k, a, b, t[a:b] if texts else None) for k, t in zip(batch["_key"], batch["_text"]) for a, b in pieces(t, limit, least, overlap)]
             yield pd.DataFrame(rows, columns=["_key", "char_start", "char_end", "piece"])
 
     kind = source.schema["_key"].dataType.simpleString()
-    found = source.mapInPandas(cut, f"_key {kind}, char_start bigint, char_end bigint, piece string")
-    return found.withColumnRenamed("_key", key).dropDuplicates([key, "char_start", "char_end", "piece"])
+    found = source.mapInPandas(cut, f"_key {kind}, char_start bigint, char_end bigint, piece string").withColumnRenamed("_key", key)
+    return found.distinct() if texts else found.drop("piece").distinct()
