@@ -19,9 +19,13 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
 
     A large table already has more splits than cores and passes through unchanged; only a table
     of few splits is shuffled, so the cost is bounded by cores x split size.
-    Call it on plain scans and projections: their partition count is known without running a job.
+    The partition count of plain scans, filters and projections is known without running a job; anything with a
+    shuffle in its plan is left to adaptive execution, which sizes partitions by what they hold.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
+    plan = scan._jdf.queryExecution().optimizedPlan().toString()
+    if any(step in plan for step in ("Join ", "Aggregate ", "Window ", "Sort ", "Distinct", "Repartition", "WithCTE")):
+        return scan
     if scan.rdd.getNumPartitions() >= cores:
         return scan
     return scan.repartition(cores * 2, *keys)
@@ -32,6 +36,12 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def python_tasks(spark: SparkSession) -> int:
+    """Number of partitions for a shuffle before heavy Python work; given as a number, so that small bytes of costly
+    work aren't coalesced into a few tasks."""
+    return max(tasks(spark), 2 * spark.sparkContext.defaultParallelism)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialises `df` in the shared folder of spark.checkpoint.dir and cuts its lineage.
 
