@@ -31,8 +31,8 @@ CYRILLIC = "АаВЕеЅѕІіЈјКМНОоРрСсТУуХхԁԛԜԝҮҺһӀӏ
 CYRILLIC_AS = "AaBEeSsIiJjKMHOoPpCcTYyXxdqWwYhhIlVvG"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟοΡΤΥΧνϳϲιαυ"
 GREEK_AS = "ABEZHIKMNOoPTYXvjciau"
-OTHERS = "ɑɡɩ℮ոսցօհԱՍՕᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃꓐꓓꓖꓗꓝꓡꓢꓣꓤ"
-OTHERS_AS = "agieNuqohUSOABCDEHJKLMPRSTVWZBDGKFLSRR"
+OTHERS = "ɑɡɩ℮ոսցօհՍՕᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃꓐꓓꓖꓗꓝꓡꓢꓣ"
+OTHERS_AS = "agienugohUOABCDEHJKLMPRSTVWZBDGKFLSR"
 # Characters without a width, special blanks and hyphens.
 INVISIBLE = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF]
 SPACES = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
@@ -68,10 +68,9 @@ class Classes:
 
 @lru_cache(maxsize=1)
 def _foreign() -> dict[str, str]:
-    pairs = dict(zip(CYRILLIC, CYRILLIC_AS, strict=True)) | dict(zip(GREEK, GREEK_AS, strict=True))
-    pairs |= {c: d for c, d in zip(OTHERS, OTHERS_AS) if d.isascii() and c not in "ո"}
+    """Characters and the plain characters they look like."""
+    pairs = {a: b for own, plain in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (OTHERS, OTHERS_AS)) for a, b in zip(own, plain, strict=True)}
     pairs |= {chr(c): "" for c in INVISIBLE} | {chr(c): " " for c in SPACES} | {chr(c): "-" for c in HYPHENS}
-    # ι, α and υ are drawn unlike i, a and u in most faces when a Greek word is around, alike in isolation.
     return pairs
 
 
