@@ -1,12 +1,13 @@
 """Variant spellings of names typed by people (problem 3).
 
-Method: suffix blocking. Names are folded and cut into tokens; each token of four letters or more is indexed by its
-suffix. A suffix that too many names share is refined with another field, the beginning of each other token, instead
-of being dropped; what is still long is compared in blocks. Pairs that meet are compared token by token by the ratio
-of their longest common subsequence, with rules for initials, nicknames, abbreviations and acronyms.
+Method: keys that lose no pair. Names are folded and cut into tokens. Two forms mean the same if their tokens agree but
+for nicknames, one slip, an initial or an acronym, so a form is indexed by its tokens with given names in full and one of
+them less any one letter, by initial and surname, and by one token and the initials of the rest; what is still long is
+compared in tiles. Pairs that meet are compared token by token by the length of their longest common subsequence, with
+rules for initials, nicknames, abbreviations and acronyms.
 
 Links between full forms are closed transitively. A form with only an initial and a surname joins the one person it
-fits; if it fits several, it says nothing and stays alone.
+fits; if it fits several, it says nothing and stays alone. A surname as it is written goes before one that is only alike.
 
 Defined results: null and blank names are linked to nothing; repeated rows count once; names of places, works, events
 and laws are neither persons nor organisations and are left out whatever their type says; a null or wrong type is
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -206,39 +208,64 @@ def parsed(df: DataFrame, key: str, name: str, kind: str) -> DataFrame:
     return source.mapInPandas(run, f"id {source.schema['id'].dataType.simpleString()}, kind string, form string").distinct()
 
 
-def _keys(form: str, suffix: int) -> list[tuple[str, str]]:
-    """(suffix, refined suffix) for each long token and each other token."""
-    tokens = form.split(" ")
-    out = []
+def _variants(token: str) -> set[str]:
+    """The token and, from four letters on, it less any one letter: two tokens are alike only if their variants meet."""
+    return {token} | ({token[:i] + token[i + 1 :] for i in range(len(token))} if len(token) >= 4 else set())
+
+
+def _less(tokens: list[str], i: int) -> list[str]:
+    return tokens[:i] + tokens[i + 1 :]
+
+
+def _person_keys(tokens: list[str]) -> set[tuple[str, bool]]:
+    long = [t for t in tokens if len(t) > 1]
+    plain = [NICKNAMES.get(t, t) for t in long]
+    if len(long) == 1:
+        return set() if long[0] in _GIVEN else {(f"i {i} {v}", True) for i in tokens if len(i) == 1 for v in _variants(long[0])}
+    # Without a slip all long tokens of one form are in the other, but for nicknames; with a slip all but one are.
+    out = {(f"e {' '.join(sorted(c))}", n == len(plain)) for n in range(2, len(plain) + 1) for c in combinations(plain, n)}
+    for i, t in enumerate(long):
+        rest, initials = " ".join(sorted(_less(plain, i))), {x[0] for x in _less(long, i)}
+        out |= {(f"s {rest} {v}", True) for v in _variants(t)} | {(f"i {x} {v}", False) for x in initials for v in _variants(t)}
+    return out
+
+
+def _organisation_keys(tokens: list[str]) -> set[tuple[str, bool]]:
+    out = set()
     for i, t in enumerate(tokens):
-        if len(t) >= suffix:
-            others = {u[:3].lower() for j, u in enumerate(tokens) if j != i and len(u) > 1} or {u[0] for u in tokens if len(u) == 1} or {""}
-            out += [(t[-suffix:].lower(), f"{t[-suffix:].lower()}|{o}") for o in others]
+        rest = _less(tokens, i)
+        # An acronym stands for the letters it has, so both forms agree in the initials beside any token they share.
+        plain = "".join(sorted(x[0].upper() for x in rest))
+        short = {"".join(sorted([*x, *(y[0].upper() for y in _less(rest, j))])) for j, x in enumerate(rest) if x.isupper()}
+        for v in _variants(t):
+            out |= {(f"s {' '.join(sorted(rest))} {v}", True), (f"a {plain} {v}", False)} | {(f"a {x} {v}", True) for x in short}
     return out
 
 
-def name_links(forms: DataFrame, suffix: int = 4, common: int = 200) -> DataFrame:
+def name_keys(kind: str, form: str) -> set[tuple[str, bool]]:
+    """(key, leads): two forms that mean the same share a key in which one of them leads, so no pair is lost."""
+    return (_person_keys if kind == "person" else _organisation_keys)(form.split(" "))
+
+
+def name_links(forms: DataFrame, common: int = 200) -> DataFrame:
     """(a, b, rule): pairs of different forms that mean the same; `forms` has rec, kind, form, all distinct."""
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(f"{k}:{s}", f"{k}:{r}", i, k, f) for i, k, f in zip(batch["rec"], batch["kind"], batch["form"]) for s, r in _keys(f, suffix)]
-            yield pd.DataFrame(rows, columns=["suffix", "refined", "rec", "kind", "form"])
-
-    rows = forms.mapInPandas(blocks, "suffix string, refined string, rec bigint, kind string, form string")
-    sizes = rows.groupBy("suffix").agg(F.count_distinct("rec").alias("_many")).where("_many > 1")
-    sized = rows.join(sizes, "suffix").withColumn("block", F.when(F.col("_many") > common, F.col("refined")).otherwise(F.col("suffix")))
-    # An initial has no beginning to refine with, so such forms enter a common suffix under their initial and meet full forms there.
-    initial = F.substring_index("refined", "|", -1)
-    met = sized.where("_many > " + str(common)).withColumn("block", F.concat("suffix", F.lit("|"), F.substring(initial, 1, 1))).unionByName(sized)
-    placed = met.select("block", "rec", "kind", "form").distinct()
-    counts = placed.groupBy("block").agg(F.count("*").alias("_n")).where("_n > 1")
+            rows = [(f"{k}:{s}", i, lead) for i, k, f in zip(batch["rec"], batch["kind"], batch["form"]) for s, lead in name_keys(k, f)]
+            yield pd.DataFrame(rows, columns=["key", "rec", "lead"])
+
+    # Keys that collide only add comparisons.
+    keys = forms.mapInPandas(blocks, "key string, rec bigint, lead boolean").groupBy(F.xxhash64("key").alias("block"), "rec").agg(F.max("lead").alias("lead"))
+    keys = checkpointed(keys)
+    counts = keys.groupBy("block").agg(F.count("*").alias("_n"), F.max("lead").alias("_led")).where("_n > 1 and _led").drop("_led")
     tiled = (
-        placed.join(counts, "block")
+        keys.join(counts, "block")
+        .join(forms, "rec")
         .withColumn("_tiles", F.ceil(F.col("_n") / F.lit(4 * common)).cast("int"))
         .withColumn("_mine", F.pmod(F.xxhash64("rec"), F.col("_tiles")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-        .select("block", "rec", "kind", "form", F.least("_mine", "_other").alias("low"), F.greatest("_mine", "_other").alias("high"), (F.col("_mine") <= F.col("_other")).alias("left"))
+        .select("block", "rec", "lead", "kind", "form", F.least("_mine", "_other").alias("low"), F.greatest("_mine", "_other").alias("high"), (F.col("_mine") <= F.col("_other")).alias("left"))
     )
     grouped = tiled.repartition(python_tasks(forms.sparkSession), "block", "low", "high").sortWithinPartitions("block", "low", "high")
 
@@ -247,10 +274,10 @@ def name_links(forms: DataFrame, suffix: int = 4, common: int = 200) -> DataFram
 
         def pairs(rows: list[tuple]) -> list[tuple]:
             out = []
-            for i, (rec, kind, tokens, left, same, letters) in enumerate(rows):
+            for i, (rec, kind, tokens, left, same, lead) in enumerate(rows):
                 test = same_person if kind == "person" else same_organisation
-                for other, _, more, side, _, its in rows[i + 1 :]:
-                    if not same and left == side or kind == "person" and len(letters & its) < min(len(letters), len(its)) - 1:
+                for other, its, more, side, _, leads in rows[i + 1 :]:
+                    if not (lead or leads) or not same and left == side or kind != its:
                         continue
                     rule = test(tokens, more)
                     if rule:
@@ -259,12 +286,11 @@ def name_links(forms: DataFrame, suffix: int = 4, common: int = 200) -> DataFram
 
         for batch in batches:
             out = []
-            for block, low, high, rec, kind, form, left in zip(*(batch[c] for c in ("block", "low", "high", "rec", "kind", "form", "left"))):
+            for block, low, high, rec, lead, kind, form, left in zip(*(batch[c] for c in ("block", "low", "high", "rec", "lead", "kind", "form", "left"))):
                 if (block, low, high) != current:
                     out += pairs(group)
                     current, group = (block, low, high), []
-                tokens = tuple(form.split(" "))
-                group.append((rec, kind, tokens, left, low == high, frozenset(t[0] for t in tokens)))
+                group.append((rec, kind, tuple(form.split(" ")), left, low == high, lead))
             yield pd.DataFrame(out, columns=["a", "b", "rule"])
         yield pd.DataFrame(pairs(group), columns=["a", "b", "rule"])
 
@@ -283,11 +309,14 @@ def name_classes(df: DataFrame, key: str, name: str, kind: str) -> DataFrame:
     marked = classes.withColumn("short", (F.col("kind") == "person") & short)
     weak = links.where("rule = 'initial'")
     sides = weak.select(F.col("a").alias("rec"), F.col("b").alias("other")).union(weak.select("b", "a"))
+    surname = F.filter(F.split("form", " "), lambda t: F.length(t) > 1)[0]
+    # The surname as it is written goes before one that is only alike.
+    exact = F.when(F.array_contains(F.split("_full", " "), F.col("_surname")), F.col("_fit"))
     fits = (
-        sides.join(marked.where("short").select("rec"), "rec", "left_semi")
-        .join(marked.where("not short").select(F.col("rec").alias("other"), F.col("class").alias("_fit")), "other")
+        sides.join(marked.where("short").select("rec", surname.alias("_surname")), "rec")
+        .join(marked.where("not short").select(F.col("rec").alias("other"), F.col("form").alias("_full"), F.col("class").alias("_fit")), "other")
         .groupBy("rec")
-        .agg(F.min("_fit").alias("_one"), F.max("_fit").alias("_last"))
+        .agg(F.coalesce(F.min(exact), F.min("_fit")).alias("_one"), F.coalesce(F.max(exact), F.max("_fit")).alias("_last"))
         .where("_one = _last")
     )
     final = marked.join(fits, "rec", "left").select("kind", "form", F.coalesce("_one", "class").alias("class"))

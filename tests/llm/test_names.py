@@ -47,3 +47,20 @@ def test_common_suffixes_lose_nothing(spark):
     few = {tuple(r) for r in name_links(df, common=5).collect()}
     many = {tuple(r) for r in name_links(df, common=10_000).collect()}
     assert few == many and name_links(df, common=5).where(F.col("rule") == "initial").count() > 0
+
+
+def test_keys_lose_no_pair(spark):
+    """All pairs by brute force: nicknames, slips in first and last letters, initials and acronyms under common suffixes."""
+    from braidlake.llm.names import name_links
+
+    people = [f"{g} {s}" for g in ("becky", "rebecca", "ted", "edward", "edwerd", "karl", "varl", "t") for s in ("kibafemon", "kibafemom", "sibafemon", "kohn", "sohn")] + ["becky maria kohn", "rebecca maria peggy sohn"]
+    groups = ["stebew DIE", "department ecology insect stebew", "department ecology insect stebow", "DIE dept stebow", "department department ecology insect stebew", "ecology insect university"]
+    forms = [(k, " ".join(sorted(f.split()))) for k, names in (("person", people), ("org", groups)) for f in names]
+    want = set()
+    for i, (kind, a) in enumerate(forms):
+        for j, (other, b) in enumerate(forms[:i]):
+            rule = (same_person if kind == "person" else same_organisation)(tuple(a.split()), tuple(b.split())) if kind == other else None
+            want |= {(j, i, rule)} if rule else set()
+    df = spark.createDataFrame([(i, k, f) for i, (k, f) in enumerate(forms)], "rec bigint, kind string, form string")
+    for common in (2, 200):
+        assert {tuple(r) for r in name_links(df, common=common).collect()} == want
