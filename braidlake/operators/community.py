@@ -214,6 +214,25 @@ def hierarchy(links: DataFrame, nodes: DataFrame, levels: int = 3, min_size: int
     return out
 
 
+def entity_matches(members: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(community_id, node, coverage, hits): chunks of the community that name a node, and how often they do in all.
+
+    `members` has (community_id, node), `candidates` (community_id, source, chunk_id, text). Names stand as whole words,
+    whatever the case. A name meets only the chunks that hold its first word, by narrow rows; texts are moved once.
+    """
+    from braidlake.functions import text as T
+
+    words = lambda x: F.regexp_extract_all(F.lower(F.upper(x)), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    names = members.select("community_id", "node", T.collapse(F.regexp_replace("node", "^[^:]*::", "")).alias("_name")).where("_name <> ''")
+    # A name without a word meets every chunk by the empty one.
+    names = names.withColumn("_word", F.coalesce(F.get(words("_name"), F.lit(0)), F.lit("")))
+    once = candidates.where("text is not null").dropDuplicates(["community_id", "source", "chunk_id"]).withColumn("text", T.collapse("text"))
+    held = once.select("community_id", "source", "chunk_id", F.explode(F.array_union(words("text"), F.array(F.lit("")))).alias("_word"))
+    met = held.join(names, ["community_id", "_word"]).drop("_word")
+    counted = met.join(once, ["community_id", "source", "chunk_id"]).withColumn("_hits", T.mention_count("text", "_name")).where("_hits > 0")
+    return counted.groupBy("community_id", "node").agg(F.count("*").alias("coverage"), F.sum("_hits").alias("hits"))
+
+
 def rank_entities(members: DataFrame, links: DataFrame, matches: DataFrame) -> DataFrame:
     """Members by log1p(mentions) + 1.5 log1p(degree inside) + 2 chunks matched + 0.5 log1p(matches).
 

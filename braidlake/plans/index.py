@@ -34,8 +34,8 @@ def community_tables(graph: dict[str, DataFrame], chunks: DataFrame, model=None)
     members = community.communities(graph["edges"], graph["nodes"].select(F.col("node_id").alias("node"), "mention_count"))
     with_counts = members.join(graph["nodes"].select(F.col("node_id").alias("node"), "mention_count"), "node")
     candidates = members.join(graph["entity_chunks"].withColumnRenamed("node_id", "node"), "node").select("community_id", "source", "chunk_id").distinct().join(chunks.select("source", "chunk_id", "text"), ["source", "chunk_id"])
-    none = candidates.select("community_id", F.lit("").alias("node"), F.lit(0).alias("coverage"), F.lit(0).alias("hits")).limit(0)
-    ranked = community.rank_entities(with_counts.select("community_id", "node", "mention_count"), graph["edges"], none)
+    matches = community.entity_matches(members, candidates)
+    ranked = community.rank_entities(with_counts.select("community_id", "node", "mention_count"), graph["edges"], matches)
     chosen = community.representative_chunks(candidates.withColumn("community_id", F.col("community_id").cast("bigint")), ranked)
     return {"community_members": members, "community_summaries": community.summaries(members, ranked, chosen, chunks.select("source", "chunk_id", "text"), model)}
 

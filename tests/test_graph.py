@@ -113,3 +113,26 @@ def test_greedy_cover():
     texts = ["ada and bert", "ada ada ada ada ada", "cleo", "bert"]
     assert community.greedy_cover(texts, ["ada", "bert", "cleo"], 3) == [0, 1, 2] or community.greedy_cover(texts, ["ada", "bert", "cleo"], 3)[0] == 1
     assert community.greedy_cover(texts, [], 2) == [1, 0] and community.greedy_cover([], ["a"], 3) == []
+
+
+def test_matches_count_in_the_ranking(spark):
+    """Coverage and hits by brute force, and in the title that the ranking leads to."""
+    import re
+
+    from braidlake.plans.index import community_tables
+
+    texts = ["Ada Byron met ADA  BYRON, not Ada Byrony.", "Bert, ada byron and C++ (C++).", "bert-ada", None, "nobody"]
+    chunks = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "source string, chunk_id int, text string")
+    names = {"PERSON::ada byron": "ada byron", "PERSON::bert": "bert", "ORG::c++": "c++", "ORG::::": "::", "GPE::gone": "gone"}
+    members = spark.createDataFrame([(7, n) for n in names], "community_id bigint, node string")
+    got = {r["node"]: (r["coverage"], r["hits"]) for r in community.entity_matches(members, chunks.withColumn("community_id", F.lit(7).cast("bigint"))).collect()}
+    want = {}
+    for node, name in names.items():
+        found = [len(re.findall(rf"(?<!\w){re.escape(name)}(?!\w)", " ".join((t or "").lower().split()))) for t in texts]
+        if any(found):
+            want[node] = (sum(n > 0 for n in found), sum(found))
+    assert got == want and len(want) == 3
+    nodes = spark.createDataFrame([("PERSON::ada byron", "ada byron", "PERSON", 2, 2), ("GPE::gone", "gone", "GPE", 3, 2)], "node_id string, name string, label string, mention_count bigint, chunk_count bigint")
+    held = spark.createDataFrame([(n, "s", i) for n in ("PERSON::ada byron", "GPE::gone") for i in (0, 1)], "node_id string, source string, chunk_id int")
+    graph_ = {"nodes": nodes, "edges": edges(spark, [("GPE::gone", "PERSON::ada byron", 2)]), "entity_chunks": held}
+    assert community_tables(graph_, chunks)["community_summaries"].first()["title"] == "PERSON::ada byron and GPE::gone"
