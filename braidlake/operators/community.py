@@ -6,9 +6,10 @@ gathered: it is divided by label propagation over the edge table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidlake.operators.entities import induced
@@ -248,18 +249,21 @@ def rank_entities(members: DataFrame, links: DataFrame, matches: DataFrame) -> D
     return ranked(placed, ["community_id"], ["_score", "_name", "node"], "rank").drop("_score", "_name")
 
 
-def greedy_cover(texts: list[str], names: list[str], most: int) -> list[int]:
-    """Positions of up to `most` texts: base score + 3 per name not covered yet - 0.25 per covered one, first wins ties.
+def cover_score(text: str, names: list[str]) -> tuple[set[str], float]:
+    """The names a text holds and its base score.
 
     The base is the sum over names of min(count, 4) x max(1, 4 - 0.2 rank), 2 per name, and min(length, 1500) / 1500.
     """
-    lows = [t.lower() for t in texts]
-    own, base = [], []
-    for low in lows:
-        counts = {n: low.count(n.lower()) for n in names if n}
-        held = {n for n, c in counts.items() if c}
-        own.append(held)
-        base.append(sum(min(counts[n], 4) * max(1.0, 4 - 0.2 * r) for r, n in enumerate(names) if n in held) + 2 * len(held) + min(len(low), 1500) / 1500)
+    low = text.lower()
+    counts = {n: low.count(n.lower()) for n in names if n}
+    held = {n for n, c in counts.items() if c}
+    return held, sum(min(counts[n], 4) * max(1.0, 4 - 0.2 * r) for r, n in enumerate(names) if n in held) + 2 * len(held) + min(len(low), 1500) / 1500
+
+
+def greedy_cover(texts: list[str], names: list[str], most: int) -> list[int]:
+    """Positions of up to `most` texts: base score + 3 per name not covered yet - 0.25 per covered one, first wins ties."""
+    scores = [cover_score(t, names) for t in texts]
+    own, base = [h for h, _ in scores], [b for _, b in scores]
     chosen: list[int] = []
     covered: set[str] = set()
     while len(chosen) < min(most, len(texts)):
@@ -269,28 +273,41 @@ def greedy_cover(texts: list[str], names: list[str], most: int) -> list[int]:
     return chosen
 
 
-def representative_chunks(candidates: DataFrame, leading: DataFrame, most_entities: int = 20, most_chunks: int = 8, pool: int = 400) -> DataFrame:
+def representative_chunks(candidates: DataFrame, leading: DataFrame, most_entities: int = 20, most_chunks: int = 8) -> DataFrame:
     """(community_id, position, source, chunk_id): chunks that cover a community's leading entities.
 
     `candidates` has (community_id, source, chunk_id, text), `leading` (community_id, node, rank). Copies by signature
-    drop out first. Each community's chunks are scored in the JVM by the number of leading names they hold; greedy
-    choice runs on its `pool` best, since a chunk outside them cannot gain more than one inside while names remain.
+    drop out first. The choice is that of `greedy_cover` over all chunks of a community: a chunk becomes a narrow row of
+    its base score and the names it holds, and each round is one aggregation per community, so no group is gathered.
     """
     from braidlake.functions import text as T
 
     names = leading.where(F.col("rank") <= most_entities).groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node"))), lambda x: F.substring_index(x["node"], "::", -1)).alias("names"))
     texts = candidates.withColumn("text", T.collapse("text")).withColumn("_sig", F.md5(F.encode(T.signature("text"), "utf-8"))).where(T.signature("text") != "")
     once = texts.groupBy("community_id", "_sig").agg(F.min_by(F.struct("source", "chunk_id", "text"), T.chunk_key("source", "chunk_id")).alias("c")).select("community_id", "c.*")
-    held = F.size(F.filter("names", lambda n: F.contains(F.lower("text"), n)))
-    lead = Window.partitionBy("community_id").orderBy(F.desc(held), F.desc(F.least(F.length("text"), F.lit(1500))), T.chunk_key("source", "chunk_id"))
-    pooled = once.join(names, "community_id").withColumn("_r", F.row_number().over(lead)).where(F.col("_r") <= pool).drop("_r")
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(_key=part["source"].fillna("") + "_" + part["chunk_id"].astype(str)).sort_values("_key").reset_index(drop=True)
-        at = greedy_cover(list(part["text"]), list(part["names"].iloc[0]), most_chunks)
-        return pd.DataFrame({"community_id": part["community_id"].iloc[0], "position": range(len(at)), "source": part["source"].iloc[at].values, "chunk_id": part["chunk_id"].iloc[at].values})
 
-    return pooled.groupBy("community_id").applyInPandas(choose, "community_id bigint, position int, source string, chunk_id int")
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch[["community_id", "source", "chunk_id"]].copy()
+            scores = [cover_score(t, list(n)) for t, n in zip(batch["text"], batch["names"])]
+            out["base"] = [b for _, b in scores]
+            out["held"] = [sorted(list(n).index(x) for x in h) for (h, _), n in zip(scores, batch["names"])]
+            yield out
+
+    kinds = {c: once.schema[c].dataType.simpleString() for c in ("source", "chunk_id")}
+    scored = once.join(names, "community_id").mapInPandas(score, f"community_id bigint, source {kinds['source']}, chunk_id {kinds['chunk_id']}, base double, held array<int>")
+    rows = checkpointed(scored.withColumn("key", T.chunk_key("source", "chunk_id")))
+    state = rows.select("community_id").distinct().withColumn("covered", F.array().cast("array<int>")).withColumn("picked", F.array().cast("array<string>"))
+    for _ in range(most_chunks):
+        gain = F.col("base") + 3.0 * F.size(F.array_except("held", "covered")) - 0.25 * F.size(F.array_intersect("held", "covered"))
+        left = rows.join(state, "community_id").where(~F.array_contains("picked", F.col("key"))).withColumn("_gain", gain)
+        best = left.groupBy("community_id").agg(F.min_by(F.struct("key", "held"), F.struct(-F.col("_gain"), "key")).alias("_best"))
+        added = F.when(F.col("_best").isNotNull(), F.array("_best.key")).otherwise(F.array().cast("array<string>"))
+        state = checkpointed(
+            state.join(best, "community_id", "left").select("community_id", F.array_union("covered", F.coalesce("_best.held", F.array().cast("array<int>"))).alias("covered"), F.concat("picked", added).alias("picked"))
+        )
+    places = state.select("community_id", F.posexplode("picked").alias("position", "key"))
+    return places.join(rows, ["community_id", "key"]).select("community_id", "position", "source", "chunk_id")
 
 
 def summaries(members: DataFrame, leading: DataFrame, chosen: DataFrame, chunks: DataFrame, model=None) -> DataFrame:

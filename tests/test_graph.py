@@ -136,3 +136,18 @@ def test_matches_count_in_the_ranking(spark):
     held = spark.createDataFrame([(n, "s", i) for n in ("PERSON::ada byron", "GPE::gone") for i in (0, 1)], "node_id string, source string, chunk_id int")
     graph_ = {"nodes": nodes, "edges": edges(spark, [("GPE::gone", "PERSON::ada byron", 2)]), "entity_chunks": held}
     assert community_tables(graph_, chunks)["community_summaries"].first()["title"] == "PERSON::ada byron and GPE::gone"
+
+
+def test_representatives_come_from_all_chunks(spark):
+    """More than 400 chunks that hold three names don't keep out one that names two others four times each."""
+    names = ["ada", "bert", "cleo", "dunn", "egon"]
+    texts = [f"ada bert cleo {i}" for i in range(420)] + ["dunn egon " * 4, "ada egon", "egon " * 9]
+    rows = [(1, "s", i, t) for i, t in enumerate(texts)] + [(2, "s", i, t) for i, t in enumerate(["cleo", "bert cleo", "Cleo!"])]
+    leading = spark.createDataFrame([(c, f"P::{n}", r) for c in (1, 2) for r, n in enumerate(names, 1)], "community_id bigint, node string, rank int")
+    got = {}
+    for r in community.representative_chunks(spark.createDataFrame(rows, "community_id bigint, source string, chunk_id int, text string"), leading).collect():
+        got.setdefault(r["community_id"], {})[r["position"]] = r["chunk_id"]
+    order = sorted(range(len(texts)), key=lambda i: f"s_{i}")
+    want = [order[i] for i in community.greedy_cover([texts[i].strip() for i in order], names, 8)]
+    assert [got[1][i] for i in range(8)] == want and 420 in want
+    assert got[2] == {0: 1, 1: 0}
