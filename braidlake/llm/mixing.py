@@ -6,8 +6,9 @@ tokens), cut at the cap. The lambdas solve a convex dual by Newton steps, each o
 (per source and token count, so that documents of equal size are counted once). Rates become whole copies by a
 hash of the document and a threshold per source, itself fitted by an aggregation so that the source's total holds.
 
-The total is the largest for which every target can be reached exactly within the caps, unless `total_tokens`
-is given; then sources that are too small are repeated up to their cap and the shares really reached are reported.
+The total is the largest for which every source that has tokens reaches its target exactly within the caps, unless
+`total_tokens` is given; then sources that are too small are repeated up to their cap and the shares really reached are
+reported. A source with a target and no tokens is reported with a share of 0, and the others keep their proportions.
 
 Defined results: documents with a null key, null source, a source without a target, or without tokens get no copies;
 null or non-positive shares count as no target; targets are brought to a sum of 1; repeated rows count once.
@@ -64,7 +65,7 @@ def token_counts(df: DataFrame, key: str, text: str, keep: list[str], tokenizer:
 
 
 def _largest_total(sizes: dict[str, tuple[int, int]], targets: dict[str, tuple[float, int]]) -> float:
-    return min((sizes.get(s, (0, 0))[0] * cap / share for s, (share, cap) in targets.items()), default=0.0)
+    return min((sizes[s][0] * cap / share for s, (share, cap) in targets.items() if s in sizes), default=0.0)
 
 
 def solve_rates(sized: DataFrame, targets: dict[str, tuple[float, int]], total: float, sizes: dict, rounds: int = 60, close: float = 1e-9) -> dict[str, tuple[float, float]]:

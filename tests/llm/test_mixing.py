@@ -43,3 +43,14 @@ def test_empty(spark):
     mixed, report = mixture(df, "doc_id", "text", "source", goals)
     assert mixed.count() == 0 and report.first()["actual_share"] == 0.0
     assert mixture(df, "doc_id", "text", "source", goals.limit(0))[1].count() == 0
+
+
+def test_source_without_tokens_leaves_the_others(spark):
+    docs = [(i, "some words here", "ab"[i % 2]) for i in range(400)] + [(900, None, "void"), (901, "", "void")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    goals = spark.createDataFrame([("a", 0.4, 1), ("b", 0.2, 1), ("void", 0.2, 3), ("gone", 0.2, 2)], "source string, target_share double, max_repeats int")
+    mixed, report = mixture(df, "doc_id", "text", "source", goals)
+    assert mixed.count() == 400
+    got = {r["source"]: (r["documents"], r["actual_share"]) for r in report.collect()}
+    assert got["void"] == got["gone"] == (0, 0.0)
+    assert got["a"][1] == pytest.approx(2 / 3, abs=0.01) and got["b"][1] == pytest.approx(1 / 3, abs=0.01)
