@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from braidlake.runtime import spread
 
-#: Masks of span 12 and weight 8 in which any two shifts share few positions.
-MASKS = ("110110010111", "111010011011")
+#: Masks of span 12 and weight 8. Each inner position is a 0 in one of them, so an overlap of 12 words with
+#: one substitution is always hit; without substitutions the first two are used.
+MASKS = ("110110010111", "111010011011", "101101101101")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -114,13 +115,14 @@ def leaks(
     passages: list[str],
     min_words: int = 12,
     substitutions: int = 0,
-    masks: tuple[str, ...] = MASKS,
+    masks: tuple[str, ...] | None = None,
     seed_bound: int = 2_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, side, overlap, differing): documents that hold at least `min_words` consecutive words of a
     passage of an item, with the longest overlap of each item and side (the index in `passages`)."""
     import numpy as np
 
+    masks = masks or (MASKS if substitutions else MASKS[:2])
     if any(len(m) > min_words for m in masks):
         raise ValueError("no mask may be longer than min_words")
     source = spread(documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col(text).isNotNull()))

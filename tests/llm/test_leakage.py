@@ -45,3 +45,13 @@ def test_substitutions():
         x, y = np.arange(12, dtype=np.uint64), np.arange(12, dtype=np.uint64)
         y[mask.index("0")] = 77
         assert seeds(x, mask)[0] == seeds(y, mask)[0]
+
+
+def test_one_substitution_at_any_position(spark):
+    words = [f"word{i}" for i in range(12)]
+    texts = [(k, " ".join(["before", *words[:k], "other", *words[k + 1 :], "after"])) for k in range(1, 11)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    tests = spark.createDataFrame([("i", " ".join(words))], "item_id string, evidence string")
+    for bound in (2_000_000, 0):
+        found = leaks(docs, "doc_id", "text", tests, "item_id", ["evidence"], substitutions=1, seed_bound=bound)
+        assert {r["doc_id"] for r in found.collect()} == set(range(1, 11))
