@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,13 +46,15 @@ def python_tasks(spark: SparkSession) -> int:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialises `df` in the shared folder of spark.checkpoint.dir and cuts its lineage.
 
-    The files survive the loss of executors. Only where the session names no folder (local tests)
-    a temporary one is set.
+    The files survive the loss of executors. Only a session in one JVM (local tests) may name no folder and gets a
+    temporary one; on a cluster that would be a folder of one machine, so it is an error there.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="braidlake-checkpoint-"))
     return df.checkpoint(eager=True)
 
