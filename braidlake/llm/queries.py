@@ -67,7 +67,7 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.session_defects(read_table(spark, d, "messages"), read_table(spark, d, "sessions"))
+    return conversations.defects(read_table(spark, d, "messages"), read_table(spark, d, "sessions"))
 
 
 def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
