@@ -1,17 +1,21 @@
 """Variant spellings of names typed by people (problem 3).
 
-Method: keys that lose no pair. Names are folded and cut into tokens. Two forms mean the same if their tokens agree but
-for nicknames, one slip, an initial or an acronym, so a form is indexed by its tokens with given names in full and one of
-them less any one letter, by initial and surname, and by one token and the initials of the rest; what is still long is
-compared in tiles. Pairs that meet are compared token by token by the length of their longest common subsequence, with
-rules for initials, nicknames, abbreviations and acronyms.
+Method: suffix blocking. Names are folded and cut into tokens, and each form is indexed by the suffixes of its tokens, as
+written, with nicknames in full, and less any one letter near the end, so that a slip there hides nothing. Two forms that
+mean the same have a token that differs by one letter at most, hence share such a suffix. A suffix of more than `common`
+forms is not discarded: its forms are indexed again by the suffixed token together with the other fields of the name (all
+tokens, one of them less any letter; initial and surname; one token and the initials of the rest), which again lose no
+pair, and what is then still long is compared in tiles. Pairs that meet are compared token by token by the ratio of their
+longest common subsequence, with rules for initials, nicknames, abbreviations and acronyms.
 
 Links between full forms are closed transitively. A form with only an initial and a surname joins the one person it
 fits; if it fits several, it says nothing and stays alone. A surname as it is written goes before one that is only alike.
 
 Defined results: null and blank names are linked to nothing; repeated rows count once; names of places, works, events
 and laws are neither persons nor organisations and are left out whatever their type says; a null or wrong type is
-overruled by the words of the name; equal names are linked unless they are left out.
+overruled by the words of the name; equal names are linked unless they are left out. A name of one distinctive word with
+a legal form or the type ORG is an organisation and is linked to others of that word alone; a single word of another type
+is left out, since it may be anything.
 """
 
 from __future__ import annotations
@@ -55,6 +59,8 @@ NICKNAMES = {
     "steph": "stephanie", "becky": "rebecca", "debbie": "deborah", "deb": "deborah", "jim": "james", "jimmy": "james", "jamie": "james", "joe": "joseph", "jo": "josephine", "josie": "josephine", "matt": "matthew", "nick": "nicholas", "leo": "leonard", "len": "leonard",
     "pat": "patricia", "trish": "patricia", "tricia": "patricia", "patty": "patricia", "simi": "simon", "theo": "theodore", "vicky": "victoria", "walt": "walter", "wally": "walter", "gabe": "gabriel", "greg": "gregory", "tony": "anthony", "andy": "andrew", "drew": "andrew",
 }
+#: Letters of an indexed suffix; forms compared in one tile at most; long tokens of a person whose subsets are all keys.
+SUFFIX, TILE, MANY = 4, 800, 4
 _GIVEN = frozenset(unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode() for x in GIVEN_NAMES)
 _MARKS = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "’": "'"})
 
@@ -100,17 +106,17 @@ def parse(name: str | None, kind: str | None = None) -> tuple[str, tuple[str, ..
     else:
         acronym = len(own) == 2 and any(r.isupper() and 2 <= len(r) <= 5 for _, r in own) and not all(r.isupper() for _, r in own)
         degree = any(t in DEGREES or t in TITLES and not r.isupper() for t, r in zip(folded, raw))
-        org = legal or acronym and not degree and (kind or "").strip().upper() != "PERSON" or (kind or "").strip().upper() == "ORG" and len(own) > 1 and not degree and not any(t in _GIVEN for t, _ in own)
+        org = legal or acronym and not degree and (kind or "").strip().upper() != "PERSON" or (kind or "").strip().upper() == "ORG" and not degree and not any(t in _GIVEN for t, _ in own)
     if org:
         tokens = tuple(sorted(r.upper() if r.isupper() and 2 <= len(r) <= 5 and not name.isupper() and t not in ORG_WORDS else t for t, r in own))
-        return ("org", tokens) if len(tokens) > 1 else None
+        return ("org", tokens) if tokens else None
     tokens: list[str] = []
     for t, r in zip(folded, raw):
         if t in TITLES or t in DEGREES or t in SMALL and len(t) > 1:
             continue
         tokens += list(t) if len(r) == 2 and r.isupper() and not name.isupper() else [t]
     long = [t for t in tokens if len(t) > 1]
-    if not long or len(tokens) < 2 or len(long) > 4 or any(c.isdigit() for t in tokens for c in t):
+    if not long or len(tokens) < 2 or any(c.isdigit() for t in tokens for c in t):
         return None
     return ("person", tuple(sorted(tokens)))
 
@@ -128,12 +134,18 @@ def common_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def ratio(a: str, b: str) -> float:
+    """Length of the longest common subsequence over that of the longer token."""
+    return common_length(a, b) / max(len(a), len(b), 1)
+
+
 def alike(a: str, b: str) -> bool:
-    """Whether two different tokens are one typing slip apart: the common subsequence lacks one letter at most."""
+    """Whether two different tokens are one typing slip apart: their ratio is 1 - 1 / length at least, which is 3/4 for the
+    shortest tokens of four letters. Two known given names are never alike."""
     long, short = max(len(a), len(b)), min(len(a), len(b))
     if short < 4 or long - short > 1 or a in _GIVEN and b in _GIVEN:
         return False
-    return common_length(a, b) >= long - 1
+    return ratio(a, b) >= 1 - 1 / long - 1e-9
 
 
 def _nick(a: str, b: str) -> bool:
@@ -185,6 +197,8 @@ def same_person(a: tuple[str, ...], b: tuple[str, ...]) -> str | None:
 
 def same_organisation(a: tuple[str, ...], b: tuple[str, ...]) -> str | None:
     """"full" if all tokens of both have a partner, but for an acronym that stands for the rest of the other."""
+    if min(len(a), len(b)) < 2:  # one word alone is linked to its equal only
+        return "full" if a == b else None
     rest_a, rest_b, slips = _matched(list(a), list(b), lambda x, y: False)
     if slips > 1:
         return None
@@ -217,13 +231,22 @@ def _less(tokens: list[str], i: int) -> list[str]:
     return tokens[:i] + tokens[i + 1 :]
 
 
+def _subsets(tokens: list[str]) -> set[str]:
+    """Sets of tokens that two forms with a token more or less share: pairs are enough, since two must agree."""
+    return {" ".join(sorted(c)) for c in combinations(tokens, 2)}
+
+
 def _person_keys(tokens: list[str]) -> set[tuple[str, bool]]:
     long = [t for t in tokens if len(t) > 1]
     plain = [NICKNAMES.get(t, t) for t in long]
     if len(long) == 1:
         return set() if long[0] in _GIVEN else {(f"i {i} {v}", True) for i in tokens if len(i) == 1 for v in _variants(long[0])}
     # Without a slip all long tokens of one form are in the other, but for nicknames; with a slip all but one are.
-    out = {(f"e {' '.join(sorted(c))}", n == len(plain)) for n in range(2, len(plain) + 1) for c in combinations(plain, n)}
+    if len(plain) <= MANY:
+        out = {(f"e {' '.join(sorted(c))}", n == len(plain)) for n in range(2, len(plain) + 1) for c in combinations(plain, n)}
+    else:
+        out = {(f"e {' '.join(sorted(plain))}", True)}
+    out |= {(f"p {c}", len(plain) > MANY) for c in _subsets(plain)}
     for i, t in enumerate(long):
         rest, initials = " ".join(sorted(_less(plain, i))), {x[0] for x in _less(long, i)}
         out |= {(f"s {rest} {v}", True) for v in _variants(t)} | {(f"i {x} {v}", False) for x in initials for v in _variants(t)}
@@ -231,6 +254,8 @@ def _person_keys(tokens: list[str]) -> set[tuple[str, bool]]:
 
 
 def _organisation_keys(tokens: list[str]) -> set[tuple[str, bool]]:
+    if len(tokens) == 1:
+        return set()
     out = set()
     for i, t in enumerate(tokens):
         rest = _less(tokens, i)
@@ -242,27 +267,62 @@ def _organisation_keys(tokens: list[str]) -> set[tuple[str, bool]]:
     return out
 
 
+def suffixes(token: str) -> set[str]:
+    """The last `SUFFIX` letters of a token and of the token less any one letter, or all of it if it is shorter.
+
+    Tokens that become equal when each gives up one letter at most share one of these.
+    """
+    tail = token[-SUFFIX - 1 :]
+    less = {tail[:i] + tail[i + 1 :] for i in range(len(tail))} if len(token) >= 4 else set()
+    return {token[-SUFFIX:]} | less
+
+
+def suffix_keys(kind: str, form: str) -> set[str]:
+    """Suffixes of all tokens of a form that may lead to a link, with nicknames also in full."""
+    tokens = [t for t in form.split(" ") if len(t) > 1]
+    if kind == "person":
+        if len(tokens) == 1 and tokens[0] in _GIVEN:
+            return set()
+        tokens += [NICKNAMES[t] for t in tokens if t in NICKNAMES]
+    elif len(tokens) == 1:
+        return set()
+    return {s for t in tokens for s in suffixes(t)}
+
+
 def name_keys(kind: str, form: str) -> set[tuple[str, bool]]:
-    """(key, leads): two forms that mean the same share a key in which one of them leads, so no pair is lost."""
+    """(key, leads) of refined blocks: two forms that mean the same share a key in which one leads, so no pair is lost."""
     return (_person_keys if kind == "person" else _organisation_keys)(form.split(" "))
 
 
-def name_links(forms: DataFrame, common: int = 200) -> DataFrame:
-    """(a, b, rule): pairs of different forms that mean the same; `forms` has rec, kind, form, all distinct."""
+def name_links(forms: DataFrame, common: int = 30) -> DataFrame:
+    """(a, b, rule): pairs of different forms that mean the same; `forms` has rec, kind, form, all distinct.
+
+    `common` is the number of forms up to which a suffix makes a block of its own; the forms of a longer one go into
+    refined blocks. Two forms that only share suffixes of long blocks are both among those, so they meet there.
+    """
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(f"{k}:{s}", i) for i, k, f in zip(batch["rec"], batch["kind"], batch["form"]) for s in suffix_keys(k, f)]
+            yield pd.DataFrame(rows, columns=["key", "rec"])
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(f"{k}:{s}", i, lead) for i, k, f in zip(batch["rec"], batch["kind"], batch["form"]) for s, lead in name_keys(k, f)]
+            rows = [(f"{k}|{s}", i, lead) for i, k, f in zip(batch["rec"], batch["kind"], batch["form"]) for s, lead in name_keys(k, f)]
             yield pd.DataFrame(rows, columns=["key", "rec", "lead"])
 
     # Keys that collide only add comparisons.
-    keys = forms.mapInPandas(blocks, "key string, rec bigint, lead boolean").groupBy(F.xxhash64("key").alias("block"), "rec").agg(F.max("lead").alias("lead"))
-    keys = checkpointed(keys)
+    tails = checkpointed(forms.mapInPandas(ends, "key string, rec bigint").select(F.xxhash64("key").alias("block"), "rec").distinct())
+    sizes = tails.groupBy("block").agg(F.count("*").alias("_n")).where("_n > 1")
+    small = tails.join(sizes.where(F.col("_n") <= common).select("block"), "block").withColumn("lead", F.lit(True))
+    again = tails.join(sizes.where(F.col("_n") > common).select("block"), "block").select("rec").distinct()
+    refined = forms.join(again, "rec", "left_semi").mapInPandas(blocks, "key string, rec bigint, lead boolean").groupBy(F.xxhash64("key").alias("block"), "rec").agg(F.max("lead").alias("lead"))
+    keys = checkpointed(small.select("block", "rec", "lead").unionByName(refined))
     counts = keys.groupBy("block").agg(F.count("*").alias("_n"), F.max("lead").alias("_led")).where("_n > 1 and _led").drop("_led")
     tiled = (
         keys.join(counts, "block")
         .join(forms, "rec")
-        .withColumn("_tiles", F.ceil(F.col("_n") / F.lit(4 * common)).cast("int"))
+        .withColumn("_tiles", F.ceil(F.col("_n") / F.lit(TILE)).cast("int"))
         .withColumn("_mine", F.pmod(F.xxhash64("rec"), F.col("_tiles")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
         .select("block", "rec", "lead", "kind", "form", F.least("_mine", "_other").alias("low"), F.greatest("_mine", "_other").alias("high"), (F.col("_mine") <= F.col("_other")).alias("left"))

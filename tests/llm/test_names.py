@@ -64,3 +64,16 @@ def test_keys_lose_no_pair(spark):
     df = spark.createDataFrame([(i, k, f) for i, (k, f) in enumerate(forms)], "rec bigint, kind string, form string")
     for common in (2, 200):
         assert {tuple(r) for r in name_links(df, common=common).collect()} == want
+
+
+def test_common_surnames_keep_their_links(spark):
+    """Nicknames, slips and long names under a suffix of far more forms than make a block; names of one word and short ones."""
+    from braidlake.llm.names import name_classes
+
+    others = [f"{a}{b}{c}{a.lower()}{b}{c}o Anderson" for a in "BCDFGHJKLM" for b in "aeiou" for c in "bcdfghjk"]
+    linked = [("Robert Anderson", "Bob Anderson"), ("William Anderson", "Bill Andersen"), ("Ana Maria Sofia Lopez Garcia Anderson", "Garcia Anderson, Ana Maria Sofia"), ("Siemens AG", "Siemens"), ("Wei Li", "W. Li")]
+    names = [(n, "PERSON") for n in others] + [(n, "ORG" if "Siemens" in n else "PERSON") for pair in linked for n in pair] + [("Siemens Foundation", "ORG")]
+    df = spark.createDataFrame(names, "name string, type string")
+    got = {r["id"]: r["class"] for r in name_classes(df, "name", "name", "type").collect()}
+    assert all(got[a] == got[b] for a, b in linked) and got["Siemens Foundation"] != got["Siemens"]
+    assert len({got[n] for n in others}) == len(others) and not {got[n] for n in others} & {got[a] for a, _ in linked}
