@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import combinations, product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -51,14 +51,22 @@ EXPANDED = {
 ORG_WORDS = frozenset(EXPANDED.values()) | frozenset("council consortium office press survey archive agency bureau ministry authority commission union federation trust club school observatory bank consulting logistics systems partners works studio studios publishing".split())
 # Words that mark a place, work, event, law or product.
 OTHER_WORDS = frozenset("river lake bridge expedition ballad act reader road street avenue mount mountain island isle bay valley sea canal station tower treaty law conference festival war battle award prize novel song symphony".split())
-# Common short forms of given names.
-NICKNAMES = {
-    "bill": "william", "will": "william", "billy": "william", "bob": "robert", "rob": "robert", "bobby": "robert", "dick": "richard", "rick": "richard", "rich": "richard", "tim": "timothy", "tom": "thomas", "tommy": "thomas", "mike": "michael", "mick": "michael",
-    "dan": "daniel", "danny": "daniel", "dave": "david", "ed": "edward", "ned": "edward", "ted": "edward", "fred": "frederick", "freddy": "frederick", "alex": "alexander", "sandy": "alexander", "ben": "benjamin", "chris": "christopher", "kit": "christopher",
-    "liz": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "lizzie": "elizabeth", "kate": "katherine", "kathy": "katherine", "katie": "katherine", "meg": "margaret", "maggie": "margaret", "peggy": "margaret", "sam": "samuel", "sue": "susan", "susie": "susan",
-    "steph": "stephanie", "becky": "rebecca", "debbie": "deborah", "deb": "deborah", "jim": "james", "jimmy": "james", "jamie": "james", "joe": "joseph", "jo": "josephine", "josie": "josephine", "matt": "matthew", "nick": "nicholas", "leo": "leonard", "len": "leonard",
-    "pat": "patricia", "trish": "patricia", "tricia": "patricia", "patty": "patricia", "simi": "simon", "theo": "theodore", "vicky": "victoria", "walt": "walter", "wally": "walter", "gabe": "gabriel", "greg": "gregory", "tony": "anthony", "andy": "andrew", "drew": "andrew",
-}
+# Common short forms of given names, each with the full names it stands for.
+SHORT_FORMS = """
+bill william, will william, billy william, willi wilhelm, bob robert, rob robert, bobby robert, dick richard, rick richard, rich richard, tim timothy, timmy timothy, tom thomas, tommy thomas
+mike michael, mick michael, micky michael, dan daniel, danny daniel, dave david, ed edward edmund edwin, ned edward, ted edward theodore, teddy edward theodore, eddie edward, fred frederick alfred, freddy frederick, fritz friedrich
+alex alexander alexandra, sandy alexander sandra, sascha alexander, sasha alexander, xander alexander, ben benjamin, benny benjamin, chris christopher christine christian, kit christopher, topher christopher, toph christopher
+liz elizabeth, beth elizabeth, betty elizabeth, lizzie elizabeth, lisbeth elizabeth, eliza elizabeth, kate katherine, kathy katherine, katie katherine, kat katherine, kitty katherine, meg margaret, maggie margaret, peggy margaret, madge margaret
+sam samuel samantha, sammy samuel, sue susan, susie susan, suzy susan, steph stephanie, steffi stephanie, stevie stephanie, steve stephen steven, becky rebecca, becca rebecca, debbie deborah, deb deborah, jim james, jimmy james, jamie james
+joe joseph, joey joseph, jo josephine joanna, josie josephine, pepi josephine, matt matthew, matty matthew, nick nicholas, nicky nicholas, klaus nikolaus, leo leonard leonardo leopold, len leonard, lenny leonard, pat patricia patrick, trish patricia, tricia patricia, patty patricia
+simi simon, theo theodore, vicky victoria, vic victor victoria, walt walter, wally walter, gabe gabriel, greg gregory, tony anthony antonio, andy andrew andreas, drew andrew, paco francisco, pancho francisco, kiko francisco, curro francisco, fran francisco frances
+pepe jose giuseppe, beppe giuseppe, peppe giuseppe, hannes johannes, hans johannes, jannis johannes, nacho ignacio, kike enrique, lola dolores, quim joaquin, chimo joaquin, gabi gabriel gabriela, rafa rafael, rafi rafael, dani daniel daniela, bea beatrice, sepp josef, toni anton antonia
+lena helena magdalena, mimi maria, uli ulrich ulrike, ully ulrich, tomek tomasz, tobi tobias, toby tobias, gus gustav augustus, gusti gustav, berti albert robert, bert albert robert, ron ronald, ray raymond, ken kenneth, larry lawrence, jerry gerald jerome, gerry gerald
+harry henry harold, hank henry, jack john, johnny john, chuck charles, charlie charles, art arthur, phil philip, zoli zoltan, vik viktor, fatou fatima, felo felix, nadi nadia, irenka irena, irka irena, ursi ursula, uschi ursula, steven stephen
+"""
+NICKNAMES = {x: tuple(full) for x, *full in (entry.split() for entry in SHORT_FORMS.replace("\n", ",").split(",") if entry.strip())}
+#: Short forms of several full names: they are no proof of one of them.
+AMBIGUOUS = sorted(x for x, full in NICKNAMES.items() if len(full) > 1)
 #: Letters of an indexed suffix; forms compared in one tile at most; long tokens of a person whose subsets are all keys.
 SUFFIX, TILE, MANY = 4, 800, 4
 _GIVEN = frozenset(unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode() for x in GIVEN_NAMES)
@@ -149,7 +157,7 @@ def alike(a: str, b: str) -> bool:
 
 
 def _nick(a: str, b: str) -> bool:
-    return NICKNAMES.get(a) == b or NICKNAMES.get(b) == a
+    return b in NICKNAMES.get(a, ()) or a in NICKNAMES.get(b, ())
 
 
 def _matched(a: list[str], b: list[str], extra: Callable[[str, str], bool]) -> tuple[list[str], list[str], int]:
@@ -172,7 +180,8 @@ def _matched(a: list[str], b: list[str], extra: Callable[[str, str], bool]) -> t
 
 
 def same_person(a: tuple[str, ...], b: tuple[str, ...]) -> str | None:
-    """"full" for two full forms of one name, "initial" where one form has only an initial for the given name."""
+    """"full" for two full forms of one name, "initial" where one form has only an initial for the given name, or a short
+    form of several names."""
     long_a, long_b = [t for t in a if len(t) > 1], [t for t in b if len(t) > 1]
     if len(long_a) > 1 and len(long_b) > 1:
         rest_a, rest_b, slips = _matched(long_a, long_b, _nick)
@@ -181,7 +190,8 @@ def same_person(a: tuple[str, ...], b: tuple[str, ...]) -> str | None:
         matched = len(long_a) - len(rest_a)
         if matched < 2 or (rest_a or rest_b) and slips:
             return None
-        return "full"
+        weak = {t for t in long_a if t in AMBIGUOUS} ^ {t for t in long_b if t in AMBIGUOUS}
+        return "initial" if weak and not weak <= {*rest_a, *rest_b} else "full"
     if len(long_a) == len(long_b) == 1:
         return None
     short, full = (a, long_b) if len(long_a) == 1 else (b, long_a)
@@ -238,9 +248,13 @@ def _subsets(tokens: list[str]) -> set[str]:
 
 def _person_keys(tokens: list[str]) -> set[tuple[str, bool]]:
     long = [t for t in tokens if len(t) > 1]
-    plain = [NICKNAMES.get(t, t) for t in long]
     if len(long) == 1:
         return set() if long[0] in _GIVEN else {(f"i {i} {v}", True) for i in tokens if len(i) == 1 for v in _variants(long[0])}
+    return {k for plain in product(*(NICKNAMES.get(t, (t,)) for t in long)) for k in _full_keys(long, plain)}
+
+
+def _full_keys(long: list[str], plain: tuple[str, ...]) -> set[tuple[str, bool]]:
+    """Keys of a full form whose short forms of given names are read as in `plain`."""
     # Without a slip all long tokens of one form are in the other, but for nicknames; with a slip all but one are.
     if len(plain) <= MANY:
         out = {(f"e {' '.join(sorted(c))}", n == len(plain)) for n in range(2, len(plain) + 1) for c in combinations(plain, n)}
@@ -248,7 +262,7 @@ def _person_keys(tokens: list[str]) -> set[tuple[str, bool]]:
         out = {(f"e {' '.join(sorted(plain))}", True)}
     out |= {(f"p {c}", len(plain) > MANY) for c in _subsets(plain)}
     for i, t in enumerate(long):
-        rest, initials = " ".join(sorted(_less(plain, i))), {x[0] for x in _less(long, i)}
+        rest, initials = " ".join(sorted(_less(list(plain), i))), {x[0] for x in _less(long, i)}
         out |= {(f"s {rest} {v}", True) for v in _variants(t)} | {(f"i {x} {v}", False) for x in initials for v in _variants(t)}
     return out
 
@@ -283,7 +297,7 @@ def suffix_keys(kind: str, form: str) -> set[str]:
     if kind == "person":
         if len(tokens) == 1 and tokens[0] in _GIVEN:
             return set()
-        tokens += [NICKNAMES[t] for t in tokens if t in NICKNAMES]
+        tokens += [full for t in tokens for full in NICKNAMES.get(t, ())]
     elif len(tokens) == 1:
         return set()
     return {s for t in tokens for s in suffixes(t)}
@@ -364,12 +378,13 @@ def name_classes(df: DataFrame, key: str, name: str, kind: str) -> DataFrame:
     links = checkpointed(name_links(forms))
     full = connected_components(links.where("rule = 'full'").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     classes = forms.join(full.withColumnRenamed("node", "rec"), "rec", "left").select("rec", "kind", "form", F.coalesce("component", "rec").alias("class"))
-    # A form with one long token joins the only class it fits.
-    short = F.size(F.filter(F.split("form", " "), lambda t: F.length(t) > 1)) == 1
+    # A form with one long token, or with a short form of several names, joins the only class it fits.
+    long = F.filter(F.split("form", " "), lambda t: F.length(t) > 1)
+    short = (F.size(long) == 1) | F.arrays_overlap(long, F.array(*[F.lit(x) for x in AMBIGUOUS]))
     marked = classes.withColumn("short", (F.col("kind") == "person") & short)
     weak = links.where("rule = 'initial'")
     sides = weak.select(F.col("a").alias("rec"), F.col("b").alias("other")).union(weak.select("b", "a"))
-    surname = F.filter(F.split("form", " "), lambda t: F.length(t) > 1)[0]
+    surname = F.get(F.filter(long, lambda t: ~t.isin(*AMBIGUOUS)), F.lit(0))
     # The surname as it is written goes before one that is only alike.
     exact = F.when(F.array_contains(F.split("_full", " "), F.col("_surname")), F.col("_fit"))
     fits = (
