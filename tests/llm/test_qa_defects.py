@@ -11,6 +11,11 @@ CASES = [
     ("La meunière a perdu la clé pendant le long hiver.", "other_language"),
     ("the copper kettle", None), ("1. the mill\n2. a kettle\n3. the harbour", None), ("The clerk said sorry and declined, but the mill lost a kettle all the same.", None),
     ("The mill refused to answer and could not help with the kettle; it lost a spoon instead.", None), ('The inscription reads "la rivière sans autorisation", and the mill lost a kettle.', None),
+    ("The mill stands by the harbour. It has two wheels. I cannot answer this question any further, though.", "refusal"),
+    ("I have read all of the passages that you supplied with the greatest care and in the end I am unable to tell which object it was.", "refusal"),
+    ("Mi dispiace, ma non posso rispondere a questa domanda.", "refusal"), ("抱歉，我无法回答这个问题。", "refusal"), ("К сожалению, я не могу ответить на этот вопрос.", "refusal"),
+    ("Il vecchio mulino ha perso una caldaia di rame dietro il porto durante la tempesta.", "other_language"), ("Старая мельница потеряла медный котёл за тихой гаванью.", "other_language"), ("老磨坊在安静的港口后面丢了一个铜壶。", "other_language"),
+    ('The clerk said that he was sorry and "I cannot answer" stood on the door of the mill, which lost a kettle.', None), ("The miller told them I refuse to pay, and so the mill lost a kettle.", None),
     (Q + " Because the storm broke the gate, the mill had lost a copper kettle that nobody could find in the end.", None),
 ]
 
