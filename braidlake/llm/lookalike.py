@@ -1,8 +1,9 @@
 """Visually identical text with different characters (problem 10).
 
 Method: transitive look-alike classes by union-find over strings and code points; the representative of a class is
-its most frequent member in the corpus; texts are rewritten greedily (leftmost, longest) with an Aho-Corasick
-automaton over all other members.
+its most frequent member in the corpus; texts are brought to the canonical order of their combining marks and rewritten
+greedily (leftmost, longest) with an Aho-Corasick automaton over all other members, until nothing changes. Canonically
+equivalent texts therefore always agree.
 
 Classes join full-width and half-width forms, ligatures, presentation forms, composed and decomposed accents,
 invisible characters (with the empty string), special spaces and hyphens, and look-alike letters of other scripts.
@@ -15,6 +16,7 @@ texts are rewritten whole.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidlake.runtime import spread
+from braidlake.runtime import checkpointed, spread
 
 # Letters of other scripts and the Latin letters they look like.
 CYRILLIC = "АаВЕеЅѕІіЈјКМНОоРрСсТУуХхԁԛԜԝҮҺһӀӏѴѵԌ"
@@ -82,9 +84,12 @@ def look_alikes() -> dict[str, list[str]]:
         classes.union(a, b)
     marked: list[tuple[str, str]] = []
     for code in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:
+        if 0xD800 <= code < 0xE000:
             continue
         c = chr(code)
+        if 0xAC00 <= code < 0xD7A4:  # a syllable and its conjoining letters
+            classes.union(c, unicodedata.normalize("NFD", c))
+            continue
         shape = unicodedata.decomposition(c)
         if not shape:
             continue
@@ -146,6 +151,8 @@ class Rewriter:
         self.dropped = {ord(x): None for x, y in rules.items() if y == ""}
         self.foreign_ascii = any(x.isascii() for x in rules if set(x) <= present)
         self.automaton = ahocorasick.Automaton()
+        # Composing makes characters that no text holds as such, so they may occur too.
+        present = present | {c for x in rules if set(x) <= present for c in unicodedata.normalize("NFC", x)}
         for x, y in rules.items():
             if y and set(x) <= present:
                 self.automaton.add_word(x, (len(x), y))
@@ -156,13 +163,15 @@ class Rewriter:
     def __call__(self, text: str | None) -> str | None:
         if text is None or text.isascii() and not self.foreign_ascii:
             return text
-        for _ in range(8):
-            before, text = text, self._once(text.translate(self.dropped))
-            if before == text:
-                break
-        return text
+        states = []
+        while text not in states:
+            states.append(text)
+            text = self._once(text.translate(self.dropped))
+        return min(states[states.index(text) :])  # the last state, or the least of those that follow each other in a circle
 
     def _once(self, text: str) -> str:
+        # The canonical composition puts marks in order, however they were typed.
+        text = unicodedata.normalize("NFC", text)
         if not self.some:
             return text
         out, at = [], 0
@@ -197,23 +206,43 @@ def unify_look_alikes(df: DataFrame, text: str, into: str) -> DataFrame:
     """Adds column `into`, the text in its consistent form; all other columns stay. Runs one counting job first."""
     counts = code_point_counts(df, text)
     rules, present = rewrite_rules(counts), set(counts)
+    digest = hashlib.md5(repr((sorted(rules.items()), sorted(present))).encode("utf-8", "surrogatepass")).hexdigest()
 
     @F.pandas_udf("string")
     def unified(texts: pd.Series) -> pd.Series:
-        rewriter = _rewriter(rules, present)
+        rewriter = _rewriter(digest, rules, present)
         return pd.Series([rewriter(t) for t in texts], dtype=object)
 
     return df.withColumn(into, unified(F.col(text)))
 
 
-_KEPT: list[tuple[int, Rewriter]] = []
+_KEPT: dict[str, Rewriter] = {}
+
+
+def _rewriter(digest: str, rules: dict[str, str], present: set[str]) -> Rewriter:
+    """The worker's rewriter for the rules of this digest, built once."""
+    if digest not in _KEPT:
+        _KEPT.clear()
+        _KEPT[digest] = Rewriter(rules, present)
+    return _KEPT[digest]
 
 
-def _rewriter(rules: dict[str, str], present: set[str]) -> Rewriter:
-    """The worker's rewriter for these rules, built once."""
-    if not _KEPT or _KEPT[0][0] != id(rules):
-        _KEPT[:] = [(id(rules), Rewriter(rules, present))]
-    return _KEPT[0][1]
+def _digests(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(_key, _raw, _form): 128-bit digests of each text and of its consistent form; texts are rewritten once."""
+    source = spread(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col(text).isNotNull() & F.col(key).isNotNull()))
+    marked = unify_look_alikes(source, "_text", "_same").select("_key", F.md5(F.encode("_text", "utf-8")).alias("_raw"), F.md5(F.encode("_same", "utf-8")).alias("_form"))
+    return checkpointed(marked.distinct())
+
+
+def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, class_id, spellings): one row per key and class; texts of one class read the same, class_id is the least key.
+
+    spellings is the number of different texts in the class. Partial minima and counts are taken before the shuffle.
+    """
+    marked = _digests(df, key, text)
+    texts = marked.groupBy("_form", "_raw").agg(F.min("_key").alias("_first"))
+    classes = texts.groupBy("_form").agg(F.min("_first").alias("class_id"), F.count("*").alias("spellings"))
+    return marked.join(classes, "_form").select(F.col("_key").alias(key), "class_id", "spellings").distinct()
 
 
 def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -222,8 +251,7 @@ def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     Texts are compared by 128-bit digests, so the shuffle carries no texts. Distinct spellings are paired first
     and their keys joined after, so that copies of one spelling are never paired with each other.
     """
-    source = spread(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col(text).isNotNull() & F.col(key).isNotNull()))
-    marked = unify_look_alikes(source, "_text", "_same").select("_key", F.md5(F.encode("_text", "utf-8")).alias("_raw"), F.md5(F.encode("_same", "utf-8")).alias("_form")).distinct()
+    marked = _digests(df, key, text)
     forms = marked.select("_form", "_raw").distinct()
     several = forms.groupBy("_form").agg(F.count("*").alias("_n")).where("_n > 1").select("_form")
     kept = marked.join(several, "_form", "left_semi")

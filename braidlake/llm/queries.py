@@ -106,11 +106,19 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     return unified.select("doc_id", "unified")
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_alike_classes(read_table(spark, d, "documents"), "doc_id", "text")
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_classes(read_table(spark, d, "v2_entities"), "id", "name", "type")
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_masked, p2_found, p2_pairs, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_conversations, p7_found, p8_found, p8_leaks, p9_mixture, p9_shares, p10_found, p10_texts,
+            p1_found, p1_masked, p2_found, p2_pairs, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_conversations, p7_found, p8_found, p8_leaks, p9_mixture, p9_shares, p10_found, p10_texts, p10_classes, p3_classes,
         )
     }
 

@@ -1,6 +1,10 @@
+import unicodedata
 from collections import Counter
 
-from braidlake.llm.lookalike import Rewriter, look_alike_pairs, look_alikes, rewrite_rules, unify_look_alikes
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from braidlake.llm.lookalike import Rewriter, look_alike_classes, look_alike_pairs, look_alikes, rewrite_rules, unify_look_alikes
 
 PLAIN = "The office déjà vu, coöperate - fine."
 VARIANTS = [
@@ -36,6 +40,25 @@ def test_rewriting_is_stable():
     assert all(rewrite(rewrite(x)) == rewrite(x) for x in VARIANTS)
 
 
+def test_equivalent_spellings_agree():
+    texts = ["\ud55c\uae00 vi\u1ec7t", unicodedata.normalize("NFD", "\ud55c\uae00 vi\u1ec7t"), "\ud55c\uae00 vie\u0302\u0323t", "\ud55c\uae00 vi\u0435\u0323\u0302t", "\ud55c\uae00 vi\u00ea\u0323t"]
+    rewrite = rewriter(texts)
+    assert len({rewrite(t) for t in texts}) == 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aeo\u0435\u043e\u0301\u0302\u0323\u0327\u00e9\u00ea\u1ec7\u200d\ud55c\u1112\u1161\u11ab\uff45 -", max_size=12), st.sampled_from(["NFC", "NFD"]))
+def test_forms_follow_canonical_equivalence(text, form):
+    other = unicodedata.normalize(form, text)
+    rewrite = rewriter([text, other, other])
+    assert rewrite(text) == rewrite(other) == rewrite(rewrite(text))
+
+
+def test_classes(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([PLAIN, PLAIN, *VARIANTS[:2], OTHERS[0], None])] + [(3, VARIANTS[1])], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in look_alike_classes(df, "doc_id", "text").collect()) == [(0, 0, 3), (1, 0, 3), (2, 0, 3), (3, 0, 3), (4, 4, 1)]
+
+
 def test_tables(spark):
     texts = [PLAIN, PLAIN, *VARIANTS[:2], OTHERS[0], None, ""]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, VARIANTS[2], "x"), (2, VARIANTS[0], "x")], "doc_id bigint, text string, _form string")
