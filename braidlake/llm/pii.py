@@ -1,18 +1,21 @@
 """Personal information inside free text (problem 1).
 
 Method: anchor expansion. One Aho-Corasick pass over the lower-cased text finds anchors: at-signs and
-their spelled-out forms, digits, street words, given names, titles, initials and label cues. At each
-anchor a deterministic local parser expands to the item's borders and validates it. Nothing else of the
-text is looked at, so the cost is one automaton pass plus a constant amount of work per anchor.
+their spelled-out forms, schemes, digits, identifier cues, street words, given names, titles, initials, and
+words after which a person is named. At each anchor a deterministic local parser expands to the item's
+borders and validates it: addresses by their parts, account numbers (type ACCOUNT) by their check digits, names
+by context and form, so that a name need not stand in any list. Nothing else of the text is looked at, so the cost
+is one automaton pass plus a constant amount of work per anchor.
 
 Defined results: null, empty and blank texts have no items; texts are scanned whole, whatever their
-length; items that overlap keep the earlier start, then the longer item; repeated rows give equal rows,
-which `pii_items` removes when asked for distinct rows.
+length; of items that overlap the one of the stronger type stays (EMAIL, ACCOUNT, ADDRESS, ID_NUMBER, PHONE, NAME),
+then the earlier start, then the longer one; repeated rows give equal rows, which `pii_items` makes distinct.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,16 +56,30 @@ coordinates chapter section figure social security passport phone tel email le l
 que qui quand pourquoi comment pendant dans sur sous avec sans pour par je me mon ma mes vous nous el los las una unos
 en con sin por para y yo mi su sus qué cuándo cómo quién dónde der die das ein eine einen dem den des im am vom zum zur
 wer was wann warum wie wo mit nach bei ohne gegen für auf aus ich sie er es wir trotz während wegen seit numéro
-documento document there here then now also however overall interview vivo habito
+document documento there here then now also however overall interview vivo not very so just still only quite rather
 """.split()
 # Titles before a name.
 TITLES = "mr mrs ms miss dr prof sir madame monsieur herr frau señor señora sr sra mme capt".split()
-# Cues after which a name follows, with the punctuation that links them.
+# Labels and phrases after which a name must follow, with the punctuation that links them.
 NAME_CUES = (
-    "my name is ", "name=", "name: ", "contact: ", "signed: ", "signed by ", "regards,\n", '"author": "', '"holder": "', '"name": "', "me llamo ", "je suis ",
-    "je m'appelle ", "ich heiße ", "ich bin ", "mi nombre es ", "interview with ", "belongs to ", "au nom de ", "a nombre de ", "reply to ", "ask for ",
-    "written by ", "checked by ", "send the scan to ", "author: ", "holder: ", "attn: ", "dear ", "documento ", "im namen von ", "envoyez ",
+    "my name is ", "name=", "name: ", "full name: ", "contact: ", "signed: ", "signed by ", "regards,\n", "sincerely,\n", "cheers,\n", "thanks,\n", '"author": "', '"holder": "', '"name": "', '"owner": "', "author: ", "holder: ", "owner: ", "attn: ", "patient: ", "client: ",
+    "me llamo ", "mi nombre es ", "je m'appelle ", "je suis ", "ich heiße ", "mein name ist ", "ich bin ", "mi chiamo ", "dear ", "au nom de ", "a nombre de ", "en nombre de ", "im namen von ", "on behalf of ",
 )
+#: Those of them that can't be followed by anything else, so that a name in lower case is read as one.
+LABELS = ("name=", "name: ", "contact: ", "signed: ", "regards,\n", "sincerely,\n", '"author": "', '"holder": "', '"name": "', '"owner": "', "author: ", "holder: ", "owner: ", "attn: ", "patient: ", "client: ")
+# Words after which a person may be named.
+PERSON_CUES = """
+to for by with from tell told ask asked meet met contact call called thank thanks email message and or of für von mit bei an und durch de par avec chez pour à et con por para a y con di da per visit see saw inform notify send envoyez
+colleague doctor nurse teacher professor student client customer patient employee manager director author writer president chairman minister officer neighbour neighbor friend brother sister cousin uncle aunt wife husband son daughter
+""".split()
+# Verbs and turns after a person's name.
+PERSON_VERBS = ("said", "says", "wrote", "writes", "asked", "replied", "lives", "lived", "works", "worked", "called", "signed", "told", "explained", "thinks", "phoned", "emailed", "is", "was", "has", "had", "will", "sagte", "schrieb", "wohnt", "écrit", "habite", "vive", "dijo", "escribió")
+# Words before a capitalised word that make it a place or institution.
+PLACE_BEFORE = frozenset("lake saint st port mount isle bay the san santa upper lower old new north south east west great little fort cape rue via calle avenida upper".split())
+# Given names that are common words; in lower case they are read as names nowhere.
+COMMON_WORDS = frozenset("will bill max mark rob iris fred dan tim ben mike nick kim rosa noor tara vera clara irena paul yara".split()) - {"noor", "tara", "vera", "clara", "irena", "yara", "rosa", "paul"}
+# Cues before numbers that identify a person.
+ID_CUES = ("passport", "reisepass", "pasaporte", "passeport", "social security", "sécurité sociale", "seguridad social", "sozialversicherungsnummer", "national id", "identity card", "identity number", "personalausweis", "ssn", "dni", "nif", "nie ", "nino", "tax id", "steuer-id", "steuernummer")
 # Street words of English, French, Spanish and German; the German ones end a compound.
 STREET_AFTER = "street st avenue ave road rd lane ln drive dr court ct boulevard blvd square sq terrace place pl way close crescent row gardens".split()
 STREET_BEFORE = "rue avenue place boulevard chemin allée quai impasse calle avenida plaza paseo camino carrer via viale piazza".split()
@@ -71,7 +88,7 @@ STREET_SHORT = frozenset("st dr pl sq ct way row close place via".split())
 AT_FORMS = ("@", "[at]", "(at)", "{at}", "<at>", " at ", "[@]", "(@)", " arroba ")
 
 UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĻĽŁŃŅŇŌŐŘŚŞŠŤŪŮŰŲŹŻŽ"
-NAME_TOKEN = rf"[{UP}][^\W\d_]+(?:['’\-][{UP}]?[^\W\d_]+)*"
+NAME_TOKEN = rf"(?:[{UP}]['’])?[{UP}][^\W\d_]+(?:['’\-](?!s\b)[{UP}]?[^\W\d_]+)*"
 INITIAL = rf"[{UP}]\.?"
 LOCAL = re.compile(r"[\w.+%\-]+$")
 DOMAIN = re.compile(r"[^\W_](?:[\w\-]*[^\W_])?(?:(?:\.| ?[\[({<]dot[\])}>] ?| dot |\[\.\]|\(\.\))[^\W_](?:[\w\-]*[^\W_])?)+")
@@ -79,6 +96,10 @@ AFTER_GIVEN = re.compile(rf"((?:-{NAME_TOKEN})?)((?:[ \t ]{INITIAL}(?=[ \t ]))
 AFTER_INITIAL = re.compile(rf"[{UP}]\.[ \t ]?(?:[{UP}]\.[ \t ]?)*({NAME_TOKEN})")
 BEFORE_COMMA = re.compile(rf"(?<![\w'’\-])({NAME_TOKEN}),[ \t ]?$")
 BEFORE_PLAIN = re.compile(rf"(?<![\w'’\-])({NAME_TOKEN})[ \t ]$")
+LOWER_NAME = re.compile(r"([^\W\d_]{2,}(?:-[^\W\d_]{2,})?)((?:[ \t][^\W\d_]\.)*)[ \t]([^\W\d_]{3,}(?:['’\-][^\W\d_]+)*)(?![\w@])")
+LOWER_REST = re.compile(r"(?:-[^\W\d_]{2,})?((?:[ \t][^\W\d_]\.)*)[ \t]([^\W\d_]{3,}(?:['’\-][^\W\d_]+)*)(?![\w@])")
+ENDS = re.compile(r"[ \t]*(?:$|[\n.,;:!?\"<>|)(]|[ \t](?:and|und|et|y|e|i)[ \t])")
+PAIR_BEFORE = re.compile(rf"(?<![\w'’\-.])({NAME_TOKEN})((?:[ \t]{INITIAL}(?=[ \t]))*)[ \t]({NAME_TOKEN})$")
 CUED = re.compile(rf"({NAME_TOKEN}|[{UP}]\.)(,?)((?:[ \t]{INITIAL}(?=[ \t]))*)[ \t]({NAME_TOKEN}|[{UP}]\.)")
 TITLE_RUN = re.compile(rf"(?:(?:{'|'.join(TITLES)})\.?[ \t]+)*", re.I)
 PARTICLE = r"(?:(?:de|du|des|de la|de las|de los|del|la|le|les|d['’])[ \t]*)?"
@@ -113,6 +134,9 @@ IDENTITIES = re.compile(
     """,
     re.X,
 )
+ID_VALUE = re.compile(r"(?:[ \t]*(?:no\.?|nr\.?|n[oº°]\.?|number|nummer|número|numéro|card|is|ist|es|est|:|#))*[ \t]*([A-Za-z]{0,3}[ \-]?(?:\d{1,4}[ .\-]){0,5}\d[\dA-Za-z]{0,13})(?![A-Za-z0-9])")
+IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+CARD = re.compile(r"\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?![\w])|\d{4}[ \-]?\d{6}[ \-]?\d{5}(?![\w])")
 NOT_IDS = re.compile(r"\b(?:isbn|issn|ticket|invoice|doi|chunk|hash|version|build|coordinates)[ :#.]{0,3}$")
 
 _SOFT = (" ", "\t", " ")
@@ -131,6 +155,7 @@ class Scanner:
 
         self.given = frozenset(GIVEN_NAMES)
         self.blocked = frozenset(NOT_SURNAMES) | frozenset(STARTERS)
+        self.cues = frozenset(PERSON_CUES)
         anchors: dict[str, str] = {}
         for x in AT_FORMS:
             anchors[x] = "at"
@@ -138,10 +163,19 @@ class Scanner:
             anchors[x] = "digit"
         for x in self.given:
             anchors[x] = "given"
-        for x in TITLES:
-            anchors[x + " "] = anchors[x + ". "] = "title"
+        for x in self.cues:
+            anchors[x + " "] = "person"
+        for x in PERSON_VERBS:
+            anchors[" " + x] = "verb"
+        anchors["'s"] = anchors["’s"] = "verb"
         for x in NAME_CUES:
             anchors[x] = "cue"
+        for x in LABELS:
+            anchors[x] = "label"
+        for x in TITLES:
+            anchors[x + " "] = anchors[x + ". "] = "title"
+        for x in ID_CUES:
+            anchors[x] = "id"
         for x in "abcdefghijklmnopqrstuvwxyzéèáóúíöäüßøåñç":
             anchors[x + ". "] = anchors.get(x + ". ", "initial")
         for x in STREET_AFTER:
@@ -172,10 +206,16 @@ class Scanner:
                 item = self._given(text, start, end)
             elif kind == "initial":
                 item = self._initial(text, start)
-            elif kind == "cue":
-                item = self._cued(text, end)
+            elif kind in ("cue", "label"):
+                item = self._cued(text, end) or self._lower_cued(text, low, start, end, kind == "label")
             elif kind == "title":
-                item = None if start and low[start - 1].isalnum() else self._cued(text, end)
+                item = None if start and low[start - 1].isalnum() else self._cued(text, end) or self._lower_cued(text, low, start, end, True)
+            elif kind == "person":
+                item = None if start and low[start - 1].isalnum() else self._person(text, end)
+            elif kind == "verb":
+                item = None if end < len(low) and low[end].isalnum() else self._before_verb(text, start)
+            elif kind == "id":
+                item = None if start and low[start - 1].isalnum() else self._identity(text, low, end)
             elif kind == "street":
                 item = self._street(text, start, end)
             elif kind == "rue":
@@ -188,13 +228,21 @@ class Scanner:
 
     @staticmethod
     def _settled(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """Drops what lies inside or across an item of higher rank, or of equal rank and earlier start."""
-        rank = {"EMAIL": 0, "ADDRESS": 1, "ID_NUMBER": 2, "PHONE": 3, "NAME": 4}
-        kept: list[tuple[str, int, int]] = []
-        for item in sorted(set(found), key=lambda x: (rank[x[0]], x[1], -x[2])):
-            if all(item[2] <= k[1] or item[1] >= k[2] for k in kept):
-                kept.append(item)
-        return sorted(kept, key=lambda x: x[1])
+        """Drops what lies inside or across an item of a stronger type, or of the same type and earlier start.
+
+        Kept items never overlap, so a new one is compared with its two neighbours in order only.
+        """
+        rank = {"EMAIL": 0, "ACCOUNT": 1, "ADDRESS": 2, "ID_NUMBER": 3, "PHONE": 4, "NAME": 5}
+        out: list[tuple[int, int, str]] = []
+        for kind in sorted({k for k, _, _ in found}, key=rank.get):
+            mine: list[tuple[int, int, str]] = []
+            for _, start, end in sorted({x for x in found if x[0] == kind}, key=lambda x: (x[1], -x[2])):
+                at = bisect_left(out, (start, 0, ""))
+                if (at and out[at - 1][1] > start) or (at < len(out) and out[at][0] < end) or (mine and mine[-1][1] > start):
+                    continue
+                mine.append((start, end, kind))
+            out = sorted([*out, *mine])
+        return [(kind, start, end) for start, end, kind in out]
 
     def _email(self, text: str, start: int, end: int):
         left, right = start, end
@@ -213,6 +261,8 @@ class Scanner:
         if text[start:end] == "@" and ((left < start) != (right > end)):
             return None
         begin = local.start()
+        if text[max(0, begin - 3) : begin] == "://" or ":" in text[begin:left]:  # user part of a web address
+            return None
         while begin < left and text[begin] in ".-+%":
             begin += 1
         top = re.split(r"[^\w\-]+", domain.group())[-1]
@@ -242,12 +292,19 @@ class Scanner:
             starts.append(letters)
         if NOT_IDS.search(low, max(0, at - 24), at):
             return None, self._token_end(text, at)
+        for begin in (at, *starts):
+            account = (CARD if begin == at else IBAN).match(text, begin)
+            if account and (not begin or not text[begin - 1].isalnum() and text[begin - 1] not in "-/."):
+                if self._account(account.group()):
+                    return ("ACCOUNT", begin, account.end()), account.end()
+                if begin != at and len(account.group()) >= 15:  # an account number with a slip, not a telephone number
+                    return None, account.end()
         for begin in starts:
             previous = text[begin - 1] if begin else " "
             if previous.isalnum() or previous in "-/.@#+" and begin == at:
                 continue
             m = IDENTITIES.match(text, begin)
-            if m and self._ends(text, m.end()):
+            if m and self._ends(text, m.end()) and not re.fullmatch(r"\d{3}[- ](?:00[- ]\d{4}|\d{2}[- ]0000)", m.group()):  # empty groups are never given out
                 return ("ID_NUMBER", begin, m.end()), m.end()
             m = PHONES.match(text, begin)
             while m and not self._ends(text, m.end()):
@@ -257,6 +314,23 @@ class Scanner:
                 return ("PHONE", begin, m.end()), m.end()
         return None, at + 1 if at == run else self._token_end(text, at)
 
+    @staticmethod
+    def _account(value: str) -> bool:
+        """Check digits: remainder 1 by 97 for international account numbers, the doubling sum for card numbers."""
+        plain = re.sub(r"[ \-]", "", value)
+        if plain[0].isalpha():
+            return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+        digits = [int(c) for c in reversed(plain)]
+        return 13 <= len(digits) <= 19 and any(digits) and (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+
+    @staticmethod
+    def _identity(text: str, low: str, end: int):
+        """The number after an identifier cue, whatever its shape."""
+        m = ID_VALUE.match(text, end)
+        if not m or IDENTITIES.match(text, m.start(1)) or PHONES.match(text, m.start(1)):  # known shapes have their own anchors
+            return None
+        return ("ID_NUMBER", m.start(1), m.end()) if sum(c.isdigit() for c in m.group(1)) >= 5 else None
+
     @staticmethod
     def _token_end(text: str, at: int) -> int:
         while at < len(text) and text[at].isdigit():
@@ -271,9 +345,56 @@ class Scanner:
         return not (c.isalnum() or c == "_" or (c in "-/" and after.isalnum()) or (c in ".:" and after.isdigit()) or c == "@")
 
     def _surname(self, token: str) -> bool:
-        return len(token) > 2 and all(part.lower() not in self.blocked for part in re.split(r"[-'’]", token))
+        return len(token) > 2 and all(len(part) < 2 or part.lower() not in self.blocked for part in re.split(r"[-'’]", token))
+
+    def _lower(self, text: str, start: int, end: int):
+        """A given name in lower case: a name only after a cue or between commas, before a word that may be a surname."""
+        if start and (text[start - 1].isalnum() or text[start - 1] in "_-@.'’") or text[start:end] in COMMON_WORDS:
+            return None
+        m = LOWER_REST.match(text, end)
+        if not m or m.group(2).lower() in self.blocked or m.group(2).lower() in self.cues:
+            return None
+        prefix = text[max(0, start - 30) : start]
+        word = re.search(r"([^\W\d_]+)\.?[ \t]+$", prefix)
+        between = prefix.endswith(", ") and text[m.end() : m.end() + 1] == ","
+        return ("NAME", start, m.end()) if between or word and word.group(1).lower() in self.cues else None
+
+    def _lower_cued(self, text: str, low: str, start: int, at: int, label: bool):
+        """A name in lower case after a cue: two words that are no common ones; after a phrase, a known given name or an end."""
+        if start and low[start].isalpha() and low[start - 1].isalnum():
+            return None
+        at = TITLE_RUN.match(text, at).end()
+        m = LOWER_NAME.match(text, at)
+        if not m or not m.group(1).islower() or any(t.lower() in self.blocked or t.lower() in self.cues for t in (m.group(1), m.group(3))):
+            return None
+        known = m.group(1).split("-")[0] in self.given
+        return ("NAME", at, m.end()) if known or ENDS.match(text, m.end()) and (label or low[start:at].startswith(("my name", "me llamo", "je m'app", "ich hei", "mein name", "mi nombre", "mi chiamo"))) else None
+
+    def _paired(self, first: str, last: str) -> bool:
+        """Whether two capitalised words may be a person's name by their form."""
+        return all(self._surname(t) and not t.isupper() for t in (first, last)) and first.lower() not in PLACE_BEFORE
+
+    def _person(self, text: str, at: int):
+        """Two capitalised words after a word that names persons."""
+        if at >= len(text) or not text[at].isupper():
+            return None
+        m = CUED.match(text, at)
+        if not m or m.group(2) or len(m.group(1)) < 3 or len(m.group(4)) < 2 or not (len(m.group(4)) > 2 and self._paired(m.group(1), m.group(4))):
+            return None
+        word = re.match(rf"(?:[ \t]|[ \t]?-)({NAME_TOKEN})", text[m.end() : m.end() + 30])
+        return None if word and word.group(1).lower() not in STARTERS else ("NAME", at, m.end())
+
+    def _before_verb(self, text: str, end: int):
+        """Two capitalised words before a verb of saying or living."""
+        m = PAIR_BEFORE.search(text, max(0, end - 60), end)
+        if not m or not self._paired(m.group(1), m.group(3)):
+            return None
+        word = re.search(r"(\S+)[ \t]$", text[max(0, m.start() - 20) : m.start()])
+        return None if word and word.group(1)[0].isupper() and word.group(1).lower().rstrip(".") not in TITLES else ("NAME", m.start(), end)
 
     def _given(self, text: str, start: int, end: int):
+        if text[start].islower():
+            return self._lower(text, start, end)
         if not text[start].isupper() or (start and (text[start - 1].isalnum() or text[start - 1] in "_-@.'’")):
             return None
         if end < len(text) and (text[end].isalnum() or text[end] in "_@.'’" and text[end : end + 2].strip(".'’ \n") != ""):

@@ -12,7 +12,16 @@ CASES = [
     ("Ask @graphbot. Ticket KG-3749816, ISBN 000-0-00-5784154, 2024-11-03, 12:47:09, build 3.14.2, chunk 259-7832", []),
     ("In 1985, Old Carrow Road met Victoria Basin and Martin Peak in front of Lake Clara.", []),
     ("", []),
+    ("Dr. noor dopabosen asked; tell hugo kolemajun, and the diver, mei tevohomin, left. Signed: svetlana petrova\nmax speed will rise.", [("NAME", "noor dopabosen"), ("NAME", "hugo kolemajun"), ("NAME", "mei tevohomin"), ("NAME", "svetlana petrova")]),
+    ("Pay DE89 3704 0044 0532 0130 00 or 4111 1111 1111 1111, not DE88 3704 0044 0532 0130 00.", [("ACCOUNT", "DE89 3704 0044 0532 0130 00"), ("ACCOUNT", "4111 1111 1111 1111")]),
+    ("ssn 000-00-0000, passport no. ab1234567, dni: 12 345 678 Z; see https://user@host.example/a", [("ID_NUMBER", "ab1234567"), ("ID_NUMBER", "12 345 678")]),
 ]
+# Names outside every list, and capitalised words that are none.
+HELD_OUT = [
+    "Please contact {} about the lease.", "I spoke with {} yesterday.", "{} said it was fine.", "The report by {} is late.", "We met {} and left.", "{} lives next door.", "my neighbour {} called.", "Thanks to {} it worked.", "This is {}'s bag.", "Ask Dr {} for it.", "{} was there.",
+]
+PEOPLE = ["Svetlana Petrova", "Nadeem Qureshi", "Giulia Rossi", "Rajesh Kumar", "Fiona Gallagher", "Aoife O'Brien", "Mehmet Yılmaz", "Łukasz Wójcik", "Ngozi Okafor", "Jean-Luc Moreau"]
+NO_PEOPLE = ["We drove to Lake Superior and saw Tower Bridge.", "It was sent by Northfield College to Oxford Street Station.", "The Old Harbour was closed.", "Dinner with Victoria Sponge Company is on.", "Gegen Mitternacht verließ der Gärtner mit Der Müller das Haus."]
 
 
 def test_cases():
@@ -41,3 +50,21 @@ def test_tables(spark):
     assert pii_items(df.limit(0), "id", "content", "t").count() == 0
     masked = mask_pii(df, "content", "masked").collect()
     assert sorted(str(r["masked"]) for r in masked) == ["", "None", "[EMAIL]", "[EMAIL]", "[EMAIL]"]
+
+
+def test_names_outside_the_lists():
+    scan, found = Scanner(), 0
+    for frame in HELD_OUT:
+        for name in PEOPLE:
+            text = frame.format(name)
+            found += ("NAME", text.index(name), text.index(name) + len(name)) in scan.items(text)
+    assert found >= 0.9 * len(HELD_OUT) * len(PEOPLE)
+    assert [scan.items(t) for t in NO_PEOPLE] == [[]] * len(NO_PEOPLE)
+
+
+def test_many_items_in_one_text():
+    import time
+
+    text = "mail a.b@c.example now; " * 16_000
+    began = time.time()
+    assert len(Scanner().items(text)) == 16_000 and time.time() - began < 5
