@@ -5,13 +5,15 @@ words under the 1s are hashed, the words under the 0s ignored. Test and corpus h
 hit the aligned stretch of words is grown and verified, tolerating a stated number of substituted words.
 
 With no substitution allowed every shared run of `min_words` words holds a hit, because no mask is longer than
-`min_words`; nothing is missed.
+`min_words`; nothing is missed. With one, each inner position of a run of 12 words is a 0 of some mask.
 
 The test side is a stated set of held-out items. Its seeds are put into every worker only after counting them
-(`seed_bound`); a larger test set is joined with a shuffle instead. Corpus texts are scanned whole.
+(`seed_bound`). The seeds of a larger test set are joined: a bitmap of fixed size, made of the test seeds, drops nearly
+all corpus seeds inside the scan, so the shuffle carries candidates only. Both ways give the same rows. Corpus texts are
+scanned whole.
 
 Defined results: null and short texts match nothing; a null item side is skipped; repeated rows give equal rows,
-made distinct; tags in mark-up count as blanks.
+made distinct; tags in mark-up count as blanks, whatever their length.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidlake.runtime import spread
+from braidlake.runtime import checkpointed, spread
 
 #: Masks of span 12 and weight 8. Each inner position is a 0 in one of them, so an overlap of 12 words with
 #: one substitution is always hit; without substitutions the first two are used.
 MASKS = ("110110010111", "111010011011", "101101101101")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>")
+_TAG = re.compile(r"""</?[A-Za-z][\w:.-]*(?:\s+[\w:.-]+(?:\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))?)*\s*/?>""")
 _WORD = re.compile(r"[^\W_]+")
+#: Words that are hashed and looked up at once, and bits of the bitmap of test seeds.
+WORDS_AT_ONCE, BITS = 200_000, 1 << 27
 
 
 def words_of(text: str) -> list[str]:
@@ -39,26 +43,49 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+class _Known(dict):
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class WordHashes:
     """64-bit hashes of words, kept between texts while there are few of them."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Known()
 
     def __call__(self, words: list[str]):
         import numpy as np
-        import xxhash
 
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        out = np.empty(len(words), dtype=np.uint64)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            out[i] = h
-        return out
+        if len(self.known) > 500_000:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def grouped(texts, hashed: WordHashes):
+    """Hashes of many texts at once: (first text, hashes end to end, offsets), some `WORDS_AT_ONCE` words a group."""
+    import numpy as np
+
+    group, size, first = [], 0, 0
+    for n, text in enumerate(texts):
+        group.append(hashed(words_of(text)))
+        size += len(group[-1])
+        if size >= WORDS_AT_ONCE:
+            yield first, np.concatenate(group), np.cumsum([0, *map(len, group)])
+            group, size, first = [], 0, n + 1
+    if group:
+        yield first, np.concatenate(group), np.cumsum([0, *map(len, group)])
+
+
+def inside(offsets, n: int, span: int):
+    """Whether each of n positions starts a window of `span` words that lies within one text, and the text's number."""
+    import numpy as np
+
+    text = np.searchsorted(offsets, np.arange(n), "right") - 1
+    return np.arange(n) + span <= offsets[text + 1], text
 
 
 def seeds(hashes, mask: str):
@@ -79,26 +106,29 @@ def seeds(hashes, mask: str):
     return total.astype(np.int64)
 
 
-def longest_overlap(a, b, i: int, j: int, span: int, substitutions: int) -> tuple[int, int]:
-    """(words, differing words) of the longest stretch around the hit a[i:i+span], b[j:j+span] in which at most
-    `substitutions` words differ; it begins and ends with equal words."""
+def longest_overlap(a, b, diagonal: int, substitutions: int) -> tuple[int, int]:
+    """(words, differing words) of the longest stretch in which b[i + diagonal] stands against a[i], at most `substitutions`
+    words differ, and the first and last words are equal; (0, 0) without one."""
     import numpy as np
 
-    back = min(i, j)
-    n = min(len(a) - i, len(b) - j) + back
-    equal = a[i - back : i - back + n] == b[j - back : j - back + n]
-    different = np.flatnonzero(~equal)
-    borders = np.concatenate(([-1], different, [n]))
-    best = (0, 0)
-    for x in range(max(1, len(borders) - substitutions - 1)):
-        y = min(x + substitutions + 1, len(borders) - 1)
-        low, high = borders[x] + 1, borders[y]
-        if high <= back or low >= back + span:
-            continue
-        inside = np.flatnonzero(equal[low:high])
-        if len(inside) and inside[-1] - inside[0] + 1 > best[0]:
-            best = (int(inside[-1] - inside[0] + 1), int((~equal[low + inside[0] : low + inside[-1] + 1]).sum()))
-    return best
+    start = max(0, -diagonal)
+    n = min(len(a), len(b) - diagonal) - start
+    if n <= 0:
+        return 0, 0
+    equal = a[start : start + n] == b[start + diagonal : start + diagonal + n]
+    same, borders = np.flatnonzero(equal), np.concatenate(([-1], np.flatnonzero(~equal), [n]))
+    if not len(same):
+        return 0, 0
+    reach = min(substitutions + 1, len(borders) - 1)
+    first, last = np.searchsorted(same, borders[:-reach] + 1), np.searchsorted(same, borders[reach:]) - 1
+    held = first <= last
+    if not held.any():
+        return 0, 0
+    low, high = same[first[held]], same[last[held]]
+    sizes = high - low + 1
+    differing = sizes - (last[held] - first[held] + 1)
+    best = np.lexsort((differing, -sizes))[0]
+    return int(sizes[best]), int(differing[best])
 
 
 def _passages(items: DataFrame, item: str, texts: list[str]) -> DataFrame:
@@ -136,40 +166,36 @@ def leaks(
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hashed, own = WordHashes(), []
-            lists = []
+            lists: list[list] = [[] for _ in masks]
             for number, (_, _, passage) in enumerate(shared.value):
                 own.append(hashed(words_of(passage)))
                 for m, mask in enumerate(masks):
                     s = seeds(own[-1], mask)
-                    lists.append(np.stack([s, np.full(len(s), m), np.full(len(s), number), np.arange(len(s))]) if len(s) else np.empty((4, 0), dtype=np.int64))
-            table = np.concatenate(lists, axis=1) if lists else np.empty((4, 0), dtype=np.int64)
-            by_mask = []
-            for m in range(len(masks)):
-                part = table[:, table[1] == m]
-                by_mask.append(part[:, np.argsort(part[0], kind="stable")])
+                    lists[m].append(np.stack([s, np.full(len(s), number), np.arange(len(s))]))
+            by_mask = [np.concatenate(part, axis=1) if part else np.empty((3, 0), dtype=np.int64) for part in lists]
+            by_mask = [part[:, np.argsort(part[0], kind="stable")] for part in by_mask]
             for batch in batches:
-                out = []
-                for k, t in zip(batch["_key"], batch["_text"]):
-                    words = hashed(words_of(t))
-                    best: dict[int, tuple[int, int]] = {}
-                    seen: set[tuple[int, int]] = set()
+                keys, out = batch["_key"].to_list(), []
+                for first, words, offsets in grouped(batch["_text"], hashed):
+                    met: set[tuple[int, int, int]] = set()
                     for mask, part in zip(masks, by_mask):
-                        if not part.shape[1]:
-                            continue
                         s = seeds(words, mask)
+                        if not part.shape[1] or not len(s):
+                            continue
                         low = np.searchsorted(part[0], s, "left")
-                        hits = np.flatnonzero(part[0][np.minimum(low, part.shape[1] - 1)] == s)
-                        for j in hits:
-                            high = np.searchsorted(part[0], s[j], "right")
-                            for c in range(low[j], high):
-                                number, i = int(part[2, c]), int(part[3, c])
-                                if not substitutions and (number, int(j) - i) in seen:
-                                    continue
-                                size, differing = longest_overlap(own[number], words, i, int(j), len(mask), substitutions)
-                                if size >= min_words:
-                                    seen.add((number, int(j) - i))
-                                    best[number] = max(best.get(number, (0, 0)), (size, -differing))
-                    out += [(k, shared.value[n][0], shared.value[n][1], size, -d) for n, (size, d) in best.items()]
+                        whole, text = inside(offsets, len(s), len(mask))
+                        hits = np.flatnonzero((part[0][np.minimum(low, part.shape[1] - 1)] == s) & whole)
+                        for some in np.array_split(hits, 1 + len(hits) // 1000):  # seeds of repetitive texts meet many times
+                            many = np.searchsorted(part[0], s[some], "right") - low[some]
+                            at = np.repeat(low[some] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                            j = np.repeat(some, many)
+                            met |= set(zip(text[j].tolist(), part[1, at].tolist(), (j - offsets[text[j]] - part[2, at]).tolist()))
+                    best: dict[tuple[int, int], tuple[int, int]] = {}
+                    for t, number, diagonal in met:
+                        size, differing = longest_overlap(own[number], words[offsets[t] : offsets[t + 1]], diagonal, substitutions)
+                        if size >= min_words:
+                            best[t, number] = max(best.get((t, number), (0, 0)), (size, -differing))
+                    out += [(keys[first + t], shared.value[n][0], shared.value[n][1], size, -d) for (t, n), (size, d) in best.items()]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "side", "overlap", "differing"])
 
         return source.mapInPandas(scan, f"doc_id {kind}, item_id {item_kind}, side int, overlap int, differing int").distinct()
@@ -179,25 +205,33 @@ def leaks(
 def _joined(source: DataFrame, tests: DataFrame, min_words: int, substitutions: int, masks, kind: str, item_kind: str) -> DataFrame:
     """The same result for a test set of any size: seeds of both sides meet in a shuffle, then texts are verified."""
 
-    def seeded(df: DataFrame, names: list[str], text: str, schema: str) -> DataFrame:
+    def seeded(df: DataFrame, names: list[str], text: str, schema: str, bits=None) -> DataFrame:
+        """Distinct seeds of each text; with `bits`, a broadcast bitmap, only those whose bit is set."""
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             import numpy as np
 
             hashed = WordHashes()
             for batch in batches:
-                for row in batch.itertuples(index=False):
-                    h = hashed(words_of(getattr(row, text)))
+                for first, words, offsets in grouped(batch[text], hashed):
                     for m, mask in enumerate(masks):
-                        s = np.unique(seeds(h, mask))
-                        if len(s):
-                            yield pd.DataFrame({n: [getattr(row, n)] * len(s) for n in names} | {"mask": m, "seed": s})
+                        s = seeds(words, mask)
+                        whole, number = inside(offsets, len(s), len(mask))
+                        if bits is not None:
+                            slot = s & (BITS - 1)
+                            whole &= (bits.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                        at = pd.DataFrame({"text": number[whole], "seed": s[whole]}).drop_duplicates()
+                        rows = batch[names].iloc[first + at["text"].to_numpy()].reset_index(drop=True)
+                        yield rows.assign(mask=m, seed=at["seed"].to_numpy())
 
         return df.mapInPandas(run, schema + ", mask int, seed bigint")
 
-    test_seeds = seeded(tests.withColumnRenamed("_item", "item"), ["item", "side"], "passage", f"item {item_kind}, side int")
-    doc_seeds = seeded(source.withColumnRenamed("_key", "key").withColumnRenamed("_text", "body"), ["key"], "body", f"key {kind}")
-    hits = doc_seeds.join(test_seeds, ["mask", "seed"]).select("key", "item", "side").distinct()
-    both = hits.join(source.select(F.col("_key").alias("key"), "_text"), "key").join(tests.select(F.col("_item").alias("item"), "side", "passage"), ["item", "side"])
+    tests = checkpointed(tests.withColumnRenamed("_item", "item"))
+    test_seeds = checkpointed(seeded(tests, ["item", "side"], "passage", f"item {item_kind}, side int"))
+    shared = source.sparkSession.sparkContext.broadcast(_bitmap(test_seeds))
+    docs = source.withColumnRenamed("_key", "key").withColumnRenamed("_text", "body")
+    hits = seeded(docs, ["key"], "body", f"key {kind}", shared).join(test_seeds, ["mask", "seed"]).select("key", "item", "side").distinct()
+    both = hits.join(docs, "key").join(tests, ["item", "side"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -205,17 +239,30 @@ def _joined(source: DataFrame, tests: DataFrame, min_words: int, substitutions:
         hashed = WordHashes()
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False):
-                a, b = hashed(words_of(row.passage)), hashed(words_of(row.body))
-                best = (0, 0)
+            for item, side, key, body, passage in zip(*(batch[c] for c in ("item", "side", "key", "body", "passage"))):
+                a, b = hashed(words_of(passage)), hashed(words_of(body))
+                met: set[int] = set()
                 for mask in masks:
                     x, y = seeds(a, mask), seeds(b, mask)
                     for j in np.flatnonzero(np.isin(y, x)):
-                        for i in np.flatnonzero(x == y[j]):
-                            size, differing = longest_overlap(a, b, int(i), int(j), len(mask), substitutions)
-                            best = max(best, (size, -differing))
+                        met |= set((j - np.flatnonzero(x == y[j])).tolist())
+                best = max((longest_overlap(a, b, d, substitutions) for d in met), key=lambda v: (v[0], -v[1]), default=(0, 0))
                 if best[0] >= min_words:
-                    out.append((row.key, row.item, row.side, best[0], -best[1]))
+                    out.append((key, item, side, *best))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "side", "overlap", "differing"])
 
-    return both.withColumnRenamed("_text", "body").mapInPandas(verify, f"doc_id {kind}, item_id {item_kind}, side int, overlap int, differing int").distinct()
+    return both.mapInPandas(verify, f"doc_id {kind}, item_id {item_kind}, side int, overlap int, differing int").distinct()
+
+
+def _bitmap(test_seeds: DataFrame):
+    """`BITS` bits as bytes, those of the low bits of all test seeds set; at most BITS / 8 bytes reach the driver."""
+    import numpy as np
+
+    # Buckets of the built-in bitmaps have 32,768 bits and are numbered from 1.
+    slot = F.col("seed").bitwiseAND(F.lit(BITS - 1)) + 1
+    parts = test_seeds.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros(BITS // 8, dtype=np.uint8)
+    for r in parts.toLocalIterator():
+        own = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+        out[(r["bucket"] - 1) * 4096 : (r["bucket"] - 1) * 4096 + len(own)] = own
+    return out

@@ -91,6 +91,18 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """The longest overlap of each document with each side of an item, word for word."""
+    found = leakage.leaks(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_items"), "item_id", ["evidence", "answer"])
+    return found.select("doc_id", "item_id", "side", "overlap")
+
+
+def p8_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The same by joined seeds, the way of test sets beyond the bound of a broadcast."""
+    found = leakage.leaks(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_items"), "item_id", ["evidence", "answer"], seed_bound=0)
+    return found.select("doc_id", "item_id", "side", "overlap")
+
+
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(read_table(spark, d, "documents"), "doc_id", "text", "source", read_table(spark, d, "mix_targets"))[0]
 
@@ -120,7 +132,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_masked, p2_found, p2_pairs, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_conversations, p7_found, p8_found, p8_leaks, p9_mixture, p9_shares, p10_found, p10_texts, p10_classes, p3_classes,
+            p1_found, p1_masked, p2_found, p2_pairs, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_conversations, p7_found, p8_found, p8_leaks, p8_overlaps, p8_joined, p9_mixture, p9_shares, p10_found, p10_texts, p10_classes, p3_classes,
         )
     }
 
@@ -134,8 +146,19 @@ p as (select a.node_id as id_a, b.node_id as id_b, count(*) as n_ab from r a joi
 _FROM = " from p join n x on x.node_id = id_a join n y on y.node_id = id_b cross join t where n_ab * t.n >= 6 * x.n * y.n"
 
 
+_OVERLAPS = r"""
+with i as (select distinct item_id, 0 as side, evidence as passage from eval_items union all select distinct item_id, 1, answer from eval_items), iw as (select item_id, side, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') as w from i where passage is not null),
+ik as (select item_id, side, w, unnest(range(1, len(w) - 10)) as a from iw where len(w) >= 12), ig as (select item_id, side, a, array_to_string(w[a:a + 11], ' ') as g from ik),
+dw as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null), dk as (select doc_id, w, unnest(range(1, len(w) - 10)) as b from dw where len(w) >= 12), dg as (select doc_id, b, array_to_string(w[b:b + 11], ' ') as g from dk),
+m as (select distinct doc_id, item_id, side, b - a as diagonal, a from dg join ig using (g)), r as (select *, a - row_number() over (partition by doc_id, item_id, side, diagonal order by a) as island from m),
+n as (select doc_id, item_id, side, count(*) + 11 as overlap from r group by doc_id, item_id, side, diagonal, island)
+select doc_id, item_id, side, max(overlap)::int as overlap from n group by 1, 2, 3"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_overlaps": _OVERLAPS,
+        "p8_joined": _OVERLAPS,
         "p2_found": _PAIRS + "select id_a, id_b" + _FROM,
         "p2_pairs": _PAIRS
         + "select id_a, id_b, n_ab, x.n as n_a, y.n as n_b, round(n_ab * t.n / (x.n::double * y.n), 6) as lift, case when n_ab < x.n then round((1 - y.n / t.n) / (1 - n_ab / x.n), 6) end as conviction"

@@ -39,7 +39,8 @@ def test_substitutions():
     a = np.arange(30, dtype=np.uint64)
     b = a.copy()
     b[15] = 999
-    assert longest_overlap(a, b, 0, 0, 12, 0) == (15, 0) and longest_overlap(a, b, 0, 0, 12, 1) == (30, 1)
+    assert longest_overlap(a, b, 0, 0) == (15, 0) and longest_overlap(a, b, 0, 1) == (30, 1) and longest_overlap(a, b, 25, 1) == (0, 0)
+    assert longest_overlap(a[3:], b, 3, 0) == (14, 0) and longest_overlap(a, b[3:], -3, 1) == (27, 1)
     # a word under a 0 of the mask may differ
     for mask in MASKS:
         x, y = np.arange(12, dtype=np.uint64), np.arange(12, dtype=np.uint64)
@@ -47,6 +48,32 @@ def test_substitutions():
         assert seeds(x, mask)[0] == seeds(y, mask)[0]
 
 
+def test_both_ways_agree(spark):
+    """Broadcast and joined seeds give the same overlaps, those of a brute-force search, with up to two substitutions."""
+    random.seed(9)
+    items = [(i, " ".join(random.choice("abcdefgh") * random.randrange(1, 5) for _ in range(30))) for i in range(6)]
+    docs = []
+    for d in range(40):
+        part = random.choice(items)[1].split()[random.randrange(8) :][: random.randrange(12, 24)]
+        for _ in range(random.randrange(3)):
+            part[random.randrange(len(part))] = "zz"
+        filler = [random.choice("abcdefgh") * random.randrange(1, 5) for _ in range(20)]
+        docs.append((d, " ".join(filler[:10] + part + filler[10:])))
+    docs += [(99, "a <b href='" + "x" * 900 + "'>" + items[0][1] + "</b>"), (100, "a " * 3000)]
+    df, tests = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([*items, (7, "a " * 300)], "item_id bigint, evidence string")
+
+    def best(t, p, k):
+        x, y = re.findall(r"[^\W_]+", p.lower()), re.findall(r"[^\W_]+", re.sub(r"<[^>]*>", " ", t).lower())
+        tops = [longest_overlap(np.array([hash(w) for w in x]), np.array([hash(w) for w in y]), d, k) for d in range(-len(x), len(y))]
+        return max(tops, key=lambda v: (v[0], -v[1]))
+
+    for k in (0, 1):
+        rows = [sorted(tuple(r) for r in leaks(df, "doc_id", "text", tests, "item_id", ["evidence"], substitutions=k, seed_bound=b).collect()) for b in (2_000_000, 0)]
+        assert rows[0] == rows[1]
+        want = sorted((d, i, 0, *best(t, p, k)) for d, t in docs for i, p in items if best(t, p, k)[0] >= 12)
+        assert [r for r in rows[0] if r[1] != 7] == want and (100, 7, 0, 300, 0) in rows[0]
+
+
 def test_one_substitution_at_any_position(spark):
     words = [f"word{i}" for i in range(12)]
     texts = [(k, " ".join(["before", *words[:k], "other", *words[k + 1 :], "after"])) for k in range(1, 11)]
