@@ -2,13 +2,18 @@
 
 Method: tiled exact comparison. Records become sets of hashed word runs and, besides, bit sketches in which every
 run flips one bit, so that the exclusive-or of two sketches is the sketch of the symmetric difference and its bit
-count a lower bound of it. Tiles of sketches are compared with numpy exclusive-or and bit counts; tile pairs whose
+count a lower bound of it. Sketches are compared with numpy exclusive-or and bit counts, tile by tile; tile pairs whose
 set sizes differ beyond the radius are skipped. What passes is checked on the full sets. No step loses a pair.
 
-To compare only tiles that can hold a pair, records meet by the rarest runs of their sets (prefix filter): two sets
-of similarity t share a run among the (1 - t) n + 1 rarest of each. Rarity is that of a fixed-size table of hashed
-counts over all records. A run shared by more than `tile` records is cut into pairs of blocks, each a task of its
-own. Records with equal sets are collapsed to one first, so copies cost nothing beyond their membership row.
+All tiles of a large collection can't be compared with all others, so records first meet by the rarest runs of their
+sets (prefix filter): two sets of similarity t share a run among the (1 - t) n + 1 rarest of each, and must share the
+more of them the larger they are, since what lies outside both prefixes can't make up for it (`least_common`). Meetings
+are counted per pair, and only pairs that reach that number are compared. Where more than `tile` records meet in one
+run, nothing is counted: the run is cut into pairs of tiles, each a task of its own, whose sketches are compared whole.
+
+Rarity is that of a table of hashed counts over all records. It only has to tell common runs from others: any fixed
+order loses no pair. Records with equal sets are collapsed to one first, so copies cost nothing beyond their membership
+row. What is shuffled are run numbers and pairs of records; sets travel only if a pair of them passed everything before.
 
 Defined results: null texts and texts of fewer words than a run have no partner; texts are read whole; repeated rows
 count once; records with equal sets of runs are partners of similarity 1.
@@ -17,6 +22,7 @@ count once; records with equal sets of runs are partners of similarity 1.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,14 +34,23 @@ from braidlake.runtime import checkpointed, python_tasks, spread
 
 _WORD = re.compile(r"[^\W_]+")
 WIDTHS = (512, 1024, 2048, 4096)
-COUNT_BITS = 18
+#: Bits of the hash in the table of counts, segments it travels in, and bits of the map of records that passed.
+COUNT_BITS, SEGMENTS, MAP_BITS = 20, 16, 24
+
+
+class _Known(dict):
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
 
 
 class RunHashes:
     """Sorted distinct 64-bit hashes of the runs of `size` consecutive words of a text."""
 
     def __init__(self, size: int) -> None:
-        self.size, self.known = size, {}
+        self.size, self.known = size, _Known()
 
     def __call__(self, text: str, scope: str = ""):
         import numpy as np
@@ -47,12 +62,7 @@ class RunHashes:
             return None
         if len(known) > 500_000:
             known.clear()
-        hashes = np.empty(len(words), dtype=np.uint64)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            hashes[i] = h
+        hashes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
         total = np.full(n, xxhash.xxh3_64_intdigest(scope) if scope else 0, dtype=np.uint64)
         for k in range(self.size):
             total = (total ^ hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
@@ -124,25 +134,66 @@ def record_sets(df: DataFrame, key: str, text: str, words: int, scope: str | Non
 
 
 def _hashed_counts(sets: DataFrame):
-    """Counts of runs by a hash of `COUNT_BITS` bits, over all records; a table of fixed size."""
+    """Counts of runs by a hash of `COUNT_BITS` bits, over all records; a table of fixed size.
+
+    Tasks send their counts in packed segments, which are added segment by segment; `SEGMENTS` rows reach the driver.
+    """
     import numpy as np
 
+    size = (1 << COUNT_BITS) // SEGMENTS
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+        total = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
         for batch in batches:
-            for r in batch["runs"]:
-                total += np.bincount(np.asarray(r) & ((1 << COUNT_BITS) - 1), minlength=0 if not len(r) else 1 << COUNT_BITS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"slot": at.astype("int32"), "n": total[at]})
+            some: list = []
+            for k, r in enumerate(batch["runs"], 1):
+                some.append(np.asarray(r, dtype=np.int64))
+                if k == len(batch) or sum(map(len, some[-100:])) > 1_000_000 or len(some) >= 5000:
+                    total += np.bincount(np.concatenate(some) & ((1 << COUNT_BITS) - 1), minlength=len(total)).astype(np.uint32)
+                    some = []
+        yield pd.DataFrame({"segment": range(SEGMENTS), "counts": [zlib.compress(x.tobytes(), 1) for x in np.split(total, SEGMENTS)]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, object] = {}
+        for batch in batches:
+            for segment, packed in zip(batch["segment"], batch["counts"]):
+                own = np.frombuffer(zlib.decompress(packed), dtype=np.uint32).astype(np.uint64)
+                sums[segment] = sums[segment] + own if segment in sums else own
+        yield pd.DataFrame({"segment": list(sums), "counts": [zlib.compress(np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes(), 1) for x in sums.values()]})
 
-    rows = sets.select("runs").mapInPandas(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    schema = "segment int, counts binary"
+    rows = sets.select("runs").mapInPandas(count, schema).repartition(SEGMENTS, "segment").mapInPandas(add, schema).collect()
     table = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
-    table[rows["slot"]] = np.minimum(rows["n"], 2**32 - 1)
+    for r in rows:
+        table[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(zlib.decompress(bytes(r["counts"])), dtype=np.uint32)
     return table
 
 
-def _prefixes(sets: DataFrame, threshold: float, table) -> DataFrame:
-    """(run, rec, n): the rarest runs of each set, as many as the threshold needs."""
+def prefix_size(n, threshold: float):
+    """How many of its rarest runs a set of n runs meets others by."""
+    import numpy as np
+
+    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+
+
+def least_common(n, m, threshold: float):
+    """How many runs of both prefixes two sets of n and m runs must share at least to be similar.
+
+    Sets of similarity t have at least t / (1 + t) (n + m) runs in common. Those up to the less common of both prefixes'
+    ends lie in both prefixes; what comes after lies outside of one of them, hence is at most the larger rest.
+    """
+    import numpy as np
+
+    common = np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9).astype(np.int64)
+    return np.maximum(1, common - np.maximum(n - prefix_size(n, threshold), m - prefix_size(m, threshold)))
+
+
+def _prefixes(sets: DataFrame, threshold: float, table, tile: int) -> DataFrame:
+    """(rec, n, cold, warm, bits): the rarest runs of each set, shortened to 32 bits, as many as the threshold needs.
+
+    `warm` are those whose count in the table exceeds `tile`: only they may be shared by more records than that. The
+    sketch comes along where there are any.
+    """
     shared = sets.sparkSession.sparkContext.broadcast(table)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,19 +201,21 @@ def _prefixes(sets: DataFrame, threshold: float, table) -> DataFrame:
 
         rare = shared.value
         for batch in batches:
-            runs, recs, sizes = [], [], []
-            for rec, r in zip(batch["rec"], batch["runs"]):
+            cold, warm, sizes, bits = [], [], [], []
+            for r in batch["runs"]:
                 r = np.asarray(r, dtype=np.int64)
-                n = len(r)
-                keep = n - int(np.ceil(threshold * n - 1e-9)) + 1
-                order = np.lexsort((r, rare[r & ((1 << COUNT_BITS) - 1)]))[:keep]
-                runs.append(r[order])
-                recs.append(np.repeat(rec, keep))
-                sizes.append(np.repeat(np.int32(n), keep))
-            if runs:
-                yield pd.DataFrame({"run": np.concatenate(runs), "rec": np.concatenate(recs), "n": np.concatenate(sizes)})
+                counts = rare[r & ((1 << COUNT_BITS) - 1)]
+                order = np.lexsort((r, counts))[: int(prefix_size(np.int64(len(r)), threshold))]
+                own = r[order].view(np.uint64).astype(np.uint32).view(np.int32)
+                hot = counts[order] > tile
+                cold.append(np.unique(own[~hot]))
+                warm.append(np.unique(own[hot]))
+                sizes.append(len(r))
+                bits.append(sketch(r) if hot.any() else None)
+            plain = lambda xs: pd.Series(xs, dtype=object)
+            yield pd.DataFrame({"rec": batch["rec"].to_numpy(), "n": np.array(sizes, dtype=np.int32), "cold": plain(cold), "warm": plain(warm), "bits": plain(bits)})
 
-    return sets.select("rec", "runs").mapInPandas(cut, "run bigint, rec bigint, n int")
+    return sets.select("rec", "runs").mapInPandas(cut, "rec bigint, n int, cold array<int>, warm array<int>, bits binary")
 
 
 def near_pairs(sizes, marks: Sketches, i, j, threshold: float, block: int = 100_000):
@@ -201,85 +254,136 @@ def compare_tile(sizes, marks: Sketches, left, right, threshold: float, step: in
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def _candidates(sets: DataFrame, threshold: float, tile: int) -> DataFrame:
-    """Distinct (rec_a, rec_b), rec_a < rec_b, that pass the comparison of sketches."""
-    prefixes = _prefixes(sets, threshold, _hashed_counts(sets))
-    shared = prefixes.groupBy("run").agg(F.count("*").alias("_many")).where("_many > 1")
-    met = prefixes.join(shared, "run").withColumn("_blocks", F.ceil(F.col("_many") / F.lit(tile)).cast("int"))
+def _by_run(batches: Iterator[pd.DataFrame], columns: list[str]):
+    """(rows, starts, ends) of whole groups of the sorted `columns`, some batches at once."""
+    import numpy as np
 
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rest: pd.DataFrame | None = None
+    for batch in batches:
+        rest = batch if rest is None or not len(rest) else pd.concat([rest, batch], ignore_index=True)
+        if not len(rest):
+            continue
+        ids = rest[columns].to_numpy()
+        change = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
+        if len(change):
+            yield rest.iloc[: change[-1]], np.concatenate(([0], change[:-1])), change
+            rest = rest.iloc[change[-1] :].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest, np.array([0]), np.array([len(rest)])
+
+
+def _met(prefixes: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (rec_a, rec_b), rec_a < rec_b, that share as many cold runs as `least_common` asks for."""
+    rows = prefixes.select("rec", "n", F.explode("cold").alias("run"))
+    grouped = rows.repartition(python_tasks(prefixes.sparkSession), "run").sortWithinPartitions("run", "n", "rec")
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        for batch in batches:
-            yield pd.DataFrame({"rec": batch["rec"], "bits": [sketch(np.asarray(r, dtype=np.int64)) for r in batch["runs"]]})
-
-    sketches = sets.select("rec", "runs").mapInPandas(bits, "rec bigint, bits binary")
+        for group, starts, ends in _by_run(batches, ["run"]):
+            recs, sizes, many, found = group["rec"].to_numpy(), group["n"].to_numpy(np.int64), ends - starts, []
+            for m in np.unique(many[many > 1]):  # groups of one length at once, some million pairs a step
+                first, (x, y) = starts[many == m], np.triu_indices(m, 1)
+                for some in np.array_split(first, 1 + len(first) * len(x) // 2_000_000):
+                    i, j = (some[:, None] + x).ravel(), (some[:, None] + y).ravel()
+                    near = sizes[i] >= threshold * sizes[j] - 1e-9  # sorted by size
+                    i, j = i[near], j[near]
+                    a, b = recs[i], recs[j]
+                    found.append((np.minimum(a, b), np.maximum(a, b), least_common(sizes[i], sizes[j], threshold)))
+            if found:
+                a, b, least = (np.concatenate(x) for x in zip(*found))
+                yield pd.DataFrame({"rec_a": a, "rec_b": b, "least": least.astype(np.int32)})
+
+    counted = grouped.mapInPandas(pairs, "rec_a bigint, rec_b bigint, least int").groupBy("rec_a", "rec_b").agg(F.count("*").alias("_n"), F.first("least").alias("_least"))
+    return counted.where("_n >= _least").select("rec_a", "rec_b")
+
+
+def _tiled(prefixes: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """Distinct (rec_a, rec_b), rec_a < rec_b, that meet in a warm run and pass the comparison of sketches."""
+    met = prefixes.where(F.size("warm") > 0).select("rec", "n", F.explode("warm").alias("run"))
+    shared = met.groupBy("run").agg(F.count("*").alias("_many")).where("_many > 1")
+    met = met.join(shared, "run").withColumn("_blocks", F.ceil(F.col("_many") / F.lit(tile)).cast("int"))
     mine = F.pmod(F.xxhash64("rec"), F.col("_blocks")).cast("int")
     placed = (
         met.withColumn("_mine", mine)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .select("run", "rec", "n", F.least("_mine", "_other").alias("low"), F.greatest("_mine", "_other").alias("high"), (F.col("_mine") <= F.col("_other")).alias("left"))
-        .join(sketches, "rec")
+        .join(prefixes.where("bits is not null").select("rec", "bits"), "rec")
     )
-    grouped = placed.repartition(python_tasks(sets.sparkSession), "run", "low", "high").sortWithinPartitions("run", "low", "high", "n", "rec")
+    grouped = placed.repartition(python_tasks(prefixes.sparkSession), "run", "low", "high").sortWithinPartitions("run", "low", "high", "n", "rec")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        rest: pd.DataFrame | None = None
-
-        def pairs(group: pd.DataFrame, starts, ends):
-            starts, ends = np.asarray(starts), np.asarray(ends)
-            sizes, recs = group["n"].to_numpy(np.int64), group["rec"].to_numpy()
+        for group, starts, ends in _by_run(batches, ["run", "low", "high"]):
+            sizes, recs, marks = group["n"].to_numpy(np.int64), group["rec"].to_numpy(), Sketches(group["bits"].to_numpy())
             side, low, high = group["left"].to_numpy(bool), group["low"].to_numpy(), group["high"].to_numpy()
-            marks, many = Sketches(group["bits"].to_numpy()), ends - starts
-            whole = low[starts] == high[starts]
             found = []
-            for m in np.unique(many[whole & (many > 1) & (many <= 128)]):  # small groups of one length at once
-                first = starts[whole & (many == m)]
-                x, y = np.triu_indices(m, 1)
-                found.append(near_pairs(sizes, marks, (first[:, None] + x).ravel(), (first[:, None] + y).ravel(), threshold))
-            for s, e in zip(starts[(many > 128) | ~whole], ends[(many > 128) | ~whole]):
+            for s, e in zip(starts, ends):
                 here, own = np.arange(s, e), side[s:e]
                 if low[s] == high[s]:
                     i, j = compare_tile(sizes, marks, here, here, threshold)
                     found.append((i[i < j], j[i < j]))
                 elif own.any() and not own.all():
                     found.append(compare_tile(sizes, marks, here[own], here[~own], threshold))
-            if not found:
-                return pd.DataFrame({"rec_a": recs[:0], "rec_b": recs[:0]})
-            a, b = (recs[np.concatenate(x)] for x in zip(*found))
-            return pd.DataFrame({"rec_a": np.minimum(a, b), "rec_b": np.maximum(a, b)}).drop_duplicates()
+            if found:
+                a, b = (recs[np.concatenate(x)] for x in zip(*found))
+                yield pd.DataFrame({"rec_a": np.minimum(a, b), "rec_b": np.maximum(a, b)}).drop_duplicates()
+
+    return grouped.mapInPandas(compare, "rec_a bigint, rec_b bigint").distinct()
+
+
+def _paired_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rec, n, bits, runs) of the records in `pairs`.
+
+    A map of `MAP_BITS` hashed bits drops nearly all others inside the scan of the sets, so few of them are shuffled.
+    """
+    import numpy as np
 
+    recs = pairs.select(F.col("rec_a").alias("rec")).union(pairs.select("rec_b")).distinct()
+    slot = F.col("rec").bitwiseXOR(F.shiftrightunsigned("rec", 33) * 0x5BD1E995).bitwiseAND(F.lit((1 << MAP_BITS) - 1)) + 1
+    rows = recs.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()  # 512 rows of 4 KB at most
+    bitmap = np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8)
+    for r in rows:
+        bitmap[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]).ljust(4096, b"\0"), dtype=np.uint8)
+    shared = sets.sparkSession.sparkContext.broadcast(bitmap)
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if rest is not None and len(rest):
-                batch = pd.concat([rest, batch], ignore_index=True)
-            if not len(batch):
-                continue
-            ids = batch[["run", "low", "high"]].to_numpy()
-            change = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
-            last = int(change[-1]) if len(change) else 0
-            rest = batch.iloc[last:]
-            if last:
-                starts = np.concatenate(([0], change[:-1]))
-                yield pairs(batch.iloc[:last], starts, change)
-        if rest is not None and len(rest):
-            rest = rest.reset_index(drop=True)
-            yield pairs(rest, [0], [len(rest)])
+            rec = batch["rec"].to_numpy(np.int64)
+            at = (rec ^ ((rec >> 33) * 0x5BD1E995)) & ((1 << MAP_BITS) - 1)
+            own = batch[(shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            runs = [np.asarray(r, dtype=np.int64) for r in own["runs"]]
+            plain = lambda xs: pd.Series(xs, dtype=object)
+            yield pd.DataFrame({"rec": own["rec"].to_numpy(), "n": np.array([len(r) for r in runs], dtype=np.int32), "bits": plain([sketch(r) for r in runs]), "runs": plain(runs)})
 
-    return grouped.mapInPandas(compare, "rec_a bigint, rec_b bigint").distinct()
+    return sets.select("rec", "runs").mapInPandas(kept, "rec bigint, n int, bits binary, runs array<bigint>")
 
 
-def similar_sets(sets: DataFrame, threshold: float, tile: int = 2000) -> DataFrame:
-    """(rec_a, rec_b, similarity) of all pairs of distinct sets with Jaccard similarity >= threshold.
+def similar_sets(sets: DataFrame, threshold: float, tile: int = 2000, without: DataFrame | None = None) -> DataFrame:
+    """(rec_a, rec_b, similarity) of all pairs of sets with Jaccard similarity >= threshold, but for those of `without`.
 
-    `sets` has rec (bigint, unique) and runs (sorted distinct hashes).
+    `sets` has rec (bigint, unique) and runs (sorted distinct hashes) and is read more than once; `without` has rec.
     """
-    pairs = _candidates(sets, threshold, tile)
-    a = sets.select(F.col("rec").alias("rec_a"), F.col("runs").alias("runs_a"))
-    b = sets.select(F.col("rec").alias("rec_b"), F.col("runs").alias("runs_b"))
-    met = pairs.join(a, "rec_a").join(b, "rec_b")
+    prefixes = _prefixes(sets, threshold, _hashed_counts(sets), tile)
+    prefixes = checkpointed(prefixes if without is None else prefixes.join(without, "rec", "left_anti"))
+    pairs = checkpointed(_met(prefixes, threshold).unionByName(_tiled(prefixes, threshold, tile)).distinct())
+    own = checkpointed(_paired_sets(pairs, sets))
+    side = lambda x: own.select(*[F.col(c).alias(f"{c}_{x}") for c in ("rec", "n", "bits")])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            i = np.arange(len(batch))
+            sizes, marks = np.concatenate([batch["n_a"], batch["n_b"]]).astype(np.int64), Sketches([*batch["bits_a"], *batch["bits_b"]])
+            near, _ = near_pairs(sizes, marks, i, i + len(batch), threshold)
+            yield batch.iloc[near][["rec_a", "rec_b"]]
 
+    near = pairs.join(side("a"), "rec_a").join(side("b"), "rec_b").mapInPandas(compare, "rec_a bigint, rec_b bigint")
+    met = near.join(own.select(F.col("rec").alias("rec_a"), F.col("runs").alias("runs_a")), "rec_a").join(own.select(F.col("rec").alias("rec_b"), F.col("runs").alias("runs_b")), "rec_b")
     # Sets are intersected inside the JVM: long sets would make Arrow batches of many rows too large.
     common = F.size(F.array_intersect("runs_a", "runs_b"))
     similarity = common / (F.size("runs_a") + F.size("runs_b") - common)
@@ -291,11 +395,12 @@ def near_duplicates(
 ) -> tuple[DataFrame, DataFrame]:
     """Two tables: members (key, rec) that map each record to the representative of its set, and links
     (rec_a, rec_b, similarity) between representatives of different sets. Only records of one scope are compared."""
-    records = checkpointed(record_sets(df, key, text, words, scope))
-    classes = records.groupBy("digest").agg(F.min("key").alias("first"), F.any_value("runs").alias("runs"))
-    numbered = checkpointed(classes.withColumn("rec", F.monotonically_increasing_id()))
-    members = records.select("key", "digest").distinct().join(numbered.select("digest", "rec"), "digest").select("key", "rec")
-    return members, similar_sets(numbered.select("rec", "runs"), threshold, tile)
+    records = checkpointed(record_sets(df, key, text, words, scope).withColumn("rec", F.monotonically_increasing_id()))
+    # Only digests are shuffled to find copies; the sets stay where they are.
+    first = checkpointed(records.groupBy("digest").agg(F.min("rec").alias("first"), F.count("*").alias("copies")))
+    members = records.select("key", "digest").distinct().join(first.select("digest", F.col("first").alias("rec")), "digest").select("key", "rec")
+    copies = records.select("rec", "digest").join(first.where("copies > 1"), "digest").where("rec <> first").select("rec")
+    return members, similar_sets(records.select("rec", "runs"), threshold, tile, copies)
 
 
 def near_duplicate_pairs(df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8, scope: str | None = None) -> DataFrame:
