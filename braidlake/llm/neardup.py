@@ -35,7 +35,7 @@ from braidlake.runtime import checkpointed, python_tasks, spread
 _WORD = re.compile(r"[^\W_]+")
 WIDTHS = (512, 1024, 2048, 4096)
 #: Bits of the hash in the table of counts, segments it travels in, and bits of the map of records that passed.
-COUNT_BITS, SEGMENTS, MAP_BITS = 20, 16, 24
+COUNT_BITS, SEGMENTS, MAP_BITS = 22, 16, 24
 
 
 class _Known(dict):
@@ -294,8 +294,8 @@ def _met(prefixes: DataFrame, threshold: float) -> DataFrame:
                 a, b, least = (np.concatenate(x) for x in zip(*found))
                 yield pd.DataFrame({"rec_a": a, "rec_b": b, "least": least.astype(np.int32)})
 
-    counted = grouped.mapInPandas(pairs, "rec_a bigint, rec_b bigint, least int").groupBy("rec_a", "rec_b").agg(F.count("*").alias("_n"), F.first("least").alias("_least"))
-    return counted.where("_n >= _least").select("rec_a", "rec_b")
+    counted = grouped.mapInPandas(pairs, "rec_a bigint, rec_b bigint, least int").groupBy("rec_a", "rec_b", "least").agg(F.count("*").alias("_n"))
+    return counted.where("_n >= least").select("rec_a", "rec_b")
 
 
 def _tiled(prefixes: DataFrame, threshold: float, tile: int) -> DataFrame:
