@@ -111,6 +111,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(read_table(spark, d, "documents"), "doc_id", "text", "source", read_table(spark, d, "mix_targets"))[1]
 
 
+def p9_total(spark: SparkSession, d: str) -> DataFrame:
+    """Shares reached with a stated total, about the tokens of the whole corpus: small sources are repeated up to their cap."""
+    documents = read_table(spark, d, "documents")
+    total = documents.agg(F.coalesce(F.sum("n_chars"), F.lit(0)).alias("n")).first()["n"] // 4
+    return mixing.mixture(documents, "doc_id", "text", "source", read_table(spark, d, "mix_targets"), total_tokens=total)[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_pairs(read_table(spark, d, "documents"), "doc_id", "text")
 
@@ -132,7 +139,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_masked, p2_found, p2_pairs, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_conversations, p7_found, p8_found, p8_leaks, p8_overlaps, p8_joined, p9_mixture, p9_shares, p10_found, p10_texts, p10_classes, p3_classes,
+            p1_found, p1_masked, p2_found, p2_pairs, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_conversations, p7_found, p8_found, p8_leaks, p8_overlaps, p8_joined, p9_mixture, p9_shares, p9_total, p10_found, p10_texts, p10_classes, p3_classes,
         )
     }
 
@@ -157,6 +164,15 @@ select doc_id, item_id, side, max(overlap)::int as overlap from n group by 1, 2,
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": r"""
+with recursive f as (select distinct id, text from files where length(text) > 1200 and 'file-' || id not in (select source from chunks where source is not null)),
+x as (select id, length(text) as n, regexp_extract_all(text, '[^ \t\r\n]+|[ \t\r\n]+') as ts from f), y as (select id, unnest(range(1, len(ts) + 1)) as k, ts from x), t as (select id, k, ts[k] as token, sum(length(ts[k])) over (partition by id order by k) - length(ts[k]) as pos from y),
+v as (select *, lag(token) over w as gap, lag(token, 2) over w as word from t window w as (partition by id order by k)),
+b as (select id, pos, case when length(gap) - length(replace(gap, chr(10), '')) > 1 then 3 when contains(gap, chr(10)) then 2 when coalesce(right(word, 1), '') in ('.', '!', '?') then 1 else 0 end as kind from v where not regexp_matches(token, '^[ \t\r\n]') and gap is not null),
+p as (select id, n, 0::bigint as s from x union all select id, n, s from (select id, n, coalesce(min(pos), any_value(e) - 120)::bigint as s from
+(select q.id, q.n, q.e, c.pos from (select p.id, p.n, p.s, coalesce(max(b.kind * 1000000000000 + b.pos) % 1000000000000, p.s + 1200)::bigint as e from p left join b on b.id = p.id and b.pos > p.s + 600 and b.pos <= p.s + 1200 where p.n - p.s > 1200 group by p.id, p.n, p.s) q left join b c on c.id = q.id and c.pos >= q.e - 120 and c.pos < q.e) group by id, n))
+select p.id as file_id, p.s as char_start, case when p.n - p.s <= 1200 then p.n else coalesce(max(b.kind * 1000000000000 + b.pos) % 1000000000000, p.s + 1200) end::bigint as char_end
+from p left join b on b.id = p.id and b.pos > p.s + 600 and b.pos <= p.s + 1200 group by p.id, p.n, p.s""",
         "p8_overlaps": _OVERLAPS,
         "p8_joined": _OVERLAPS,
         "p2_found": _PAIRS + "select id_a, id_b" + _FROM,

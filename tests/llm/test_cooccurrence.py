@@ -23,7 +23,7 @@ def brute(rows, least, lift):
 def test_brute_force(spark, long_basket):
     random.seed(1)
     rows = [(f"i{random.randrange(25)}", random.choice("xy"), random.randrange(12)) for _ in range(400)]
-    rows += [(f"i{k}", "hot", 1) for k in range(25)] + [(None, "x", 1), ("i1", None, 1), ("i1", "x", None)]
+    rows += [(f"i{k}", "hot", b) for k in range(25) for b in (1, 2, 3)] + [(None, "x", 1), ("i1", None, 1), ("i1", "x", None)]
     df = spark.createDataFrame([(*r, "c") for r in rows], "node string, s string, c int, weight string")
     got = {tuple(r[:5]) for r in cooccurrence(df, "node", ["s", "c"], 3, 0.9, long_basket, 4).collect()}
     assert got == brute(rows, 3, 0.9) and got
