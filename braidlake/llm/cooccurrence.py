@@ -1,13 +1,12 @@
 """Items that appear together (problem 2).
 
-Method: basket collapsing. Rows become baskets of distinct items; identical baskets, told by their size and 128 bits of
-order-free hashes of their items, collapse into one with a weight; pairs are enumerated once per distinct basket and
-their weights summed; lift and conviction come from the pair count, the two item counts and the number of baskets.
-Items that stand in fewer baskets than a pair must are left out before, since none of their pairs can count.
+Method: basket collapsing. Rows become baskets (sorted distinct item arrays), identical baskets collapse into
+one row with a weight, pairs are enumerated once per distinct basket and their weights summed; lift and
+conviction come from the pair count, the two item counts and the number of baskets.
 
-Collapsing aggregates hashes, so no basket is gathered for it. A distinct basket longer than `long_basket` isn't gathered
-for its pairs either: its items are hashed into blocks and each pair of blocks becomes a task of its own, so one basket
-may hold any share of the rows. Both ways of enumerating give the same pairs with the same weight.
+A basket longer than `long_basket` is never gathered into one row. It collapses with identical ones too, told by its size
+and 128 bits of order-free hashes of its items; its items are hashed into blocks and each pair of blocks becomes a task
+of its own, so one basket may hold any share of the rows. Both ways give the same pairs with the same weight.
 
 Defined results: rows with a null item or a null basket column belong to no basket; repeated rows count once;
 a basket of one item counts for the item and the number of baskets and gives no pair; an empty table gives no
@@ -47,19 +46,26 @@ def cooccurrence(
     baskets together and reach `min_lift`. conviction is that of a -> b, null where a never stands without b.
     """
     keys = [f"_k{i}" for i in range(len(basket))]
-    rows = df.select(F.col(item).alias("_item"), *[F.col(c).alias(k) for c, k in zip(basket, keys)]).dropna().distinct()
-    counts = rows.groupBy("_item").agg(F.count("*").alias("_n"))
-    baskets = rows.select(*keys).distinct().agg(F.count("*").alias("n"))
-    kept = rows.join(counts.where(F.col("_n") >= min_count).select("_item"), "_item", "left_semi") if min_count > 1 else rows
-    signs = kept.groupBy(*keys).agg(
-        F.count("*").alias("_size"), F.bit_xor(F.xxhash64("_item", F.lit(1))).alias("_x"), F.bit_xor(F.xxhash64("_item", F.lit(2))).alias("_y")
-    )
-    heads = signs.where("_size > 1").groupBy("_size", "_x", "_y").agg(F.min(F.struct(*keys)).alias("_head"), F.count("*").alias("weight"))
-    chosen = kept.join(heads.select("_head.*", "_size", "weight"), keys)
-    gathered = chosen.where(F.col("_size") <= long_basket).groupBy(*keys, "weight").agg(F.array_sort(F.collect_list("_item")).alias("_items"))
-    head = gathered.select("weight", "_items", F.posexplode("_items").alias("_at", "a"))
+    rows = df.select(F.col(item).alias("_item"), *[F.col(c).alias(k) for c, k in zip(basket, keys)]).dropna()
+    crowded = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > long_basket).select(*keys)
+    some_crowded = not crowded.isEmpty()
+    short = rows.join(crowded, keys, "left_anti") if some_crowded else rows
+    collapsed = short.groupBy(*keys).agg(F.array_sort(F.collect_set("_item")).alias("_items")).groupBy("_items").agg(F.count("*").alias("weight"))
+    head = collapsed.where(F.size("_items") > 1).select("weight", "_items", F.posexplode("_items").alias("_at", "a"))
     pairs = head.select("a", F.explode(F.slice("_items", F.col("_at") + 2, F.size("_items"))).alias("b"), "weight")
-    pairs = pairs.unionByName(_pairs_of_blocks(chosen.where(F.col("_size") > long_basket), keys, block_items))
+    singles = collapsed.select(F.explode("_items").alias("_item"), "weight")
+    baskets = collapsed.agg(F.sum("weight").alias("n"))
+    if some_crowded:
+        long = rows.join(crowded, keys, "left_semi").distinct()
+        signs = long.groupBy(*keys).agg(
+            F.count("*").alias("_size"), F.bit_xor(F.xxhash64("_item", F.lit(1))).alias("_x"), F.bit_xor(F.xxhash64("_item", F.lit(2))).alias("_y")
+        )
+        heads = signs.groupBy("_size", "_x", "_y").agg(F.min(F.struct(*keys)).alias("_head"), F.count("*").alias("weight"))
+        chosen = long.join(heads.select("_head.*", "_size", "weight"), keys)
+        pairs = pairs.unionByName(_pairs_of_blocks(chosen, keys, block_items))
+        singles = singles.unionByName(chosen.select("_item", "weight"))
+        baskets = baskets.unionByName(heads.agg(F.sum("weight").alias("n"))).agg(F.sum("n").alias("n"))
+    counts = singles.groupBy("_item").agg(F.sum("weight").alias("_n"))
     together = pairs.groupBy("a", "b").agg(F.sum("weight").alias("n_ab")).where(F.col("n_ab") >= min_count)
     scored = (
         together.join(counts.select(F.col("_item").alias("a"), F.col("_n").alias("n_a")), "a")
