@@ -127,7 +127,7 @@ def json_object(x) -> Column:
 def answer_of(x) -> Column:
     """What stands in <answer> tags, else the text without <thinking> parts."""
     inner = F.regexp_extract(_c(x), r"(?is)<answer>(.*?)</answer>", 1)
-    return strip(F.when(inner != "", inner).otherwise(F.regexp_replace(_c(x), r"(?is)<thinking>.*?</thinking>", "")))
+    return strip(F.when(_c(x).rlike(r"(?is)<answer>.*?</answer>"), inner).otherwise(F.regexp_replace(_c(x), r"(?is)<thinking>.*?</thinking>", "")))
 
 
 def without_citations(x) -> Column:
@@ -184,3 +184,44 @@ def sentences(x) -> Column:
 def safe_folder(x) -> Column:
     """Whether a session id may name a folder."""
     return _c(x).cast("string").rlike("^[A-Za-z0-9_-]+$")
+
+
+def source_name(title, text) -> Column:
+    """The last part of a title with twelve hexadecimal digits of the text's hash, `PastFile_` without a title.
+
+    The digits follow from the content, so ingesting a text twice names it alike.
+    """
+    base = F.element_at(F.split(strip(_c(title)), "/"), -1)
+    mark = F.substring(F.md5(F.encode(F.coalesce(_c(text), F.lit("")), "utf-8")), 1, 12)
+    return F.concat(F.when(base.isNull() | base.isin("", ".", ".."), "PastFile").otherwise(base), F.lit("_"), mark)
+
+
+def filled(xs) -> Column:
+    """An array of texts without outer white space; null and blank ones go, a null array is empty."""
+    array = F.coalesce(_c(xs), F.array().cast("array<string>"))
+    return F.filter(F.transform(array, strip), lambda s: s.isNotNull() & (s != ""))
+
+
+def citation(chunk_id, source, page) -> Column:
+    """`[id] source, page n`; the page is left out where it is null."""
+    return F.concat(F.lit("["), _c(chunk_id), F.lit("] "), _c(source), F.coalesce(F.concat(F.lit(", page "), _c(page).cast("string")), F.lit("")))
+
+
+def excerpt(chunk_id, source, page, text, most: int = 1400) -> Column:
+    """A chunk as evidence in a prompt: its citation and the first `most` characters of its text."""
+    place = F.concat(F.lit("["), _c(chunk_id), F.lit("] Source: "), _c(source), F.coalesce(F.concat(F.lit(", page "), _c(page).cast("string")), F.lit("")))
+    return F.concat(place, F.lit("\n"), F.substring(_c(text), 1, most))
+
+
+def entity_line(name, kind, said) -> Column:
+    return F.concat(F.lit("- "), _c(name), F.lit(" ["), F.coalesce(_c(kind), F.lit("")), F.lit("]: "), F.coalesce(_c(said), F.lit("")))
+
+
+def relation_line(source, kind, target, said) -> Column:
+    return F.concat(F.lit("- "), _c(source), F.lit(" --"), _c(kind), F.lit("--> "), _c(target), F.lit(": "), F.coalesce(_c(said), F.lit("")))
+
+
+def report_text(title, summary, findings) -> Column:
+    """Title, summary and findings of a community report, each on lines of its own; blank parts are left out."""
+    listed = F.array_join(F.transform(filled(findings), lambda f: F.concat(F.lit("- "), f)), "\n")
+    return F.array_join(filled(F.array(_c(title), _c(summary), listed)), "\n")

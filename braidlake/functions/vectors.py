@@ -45,3 +45,9 @@ def density(nodes, edges) -> Column:
     """Share of possible undirected edges, 4 digits; 0 for one node or none."""
     n, m = _c(nodes).cast("double"), _c(edges)
     return F.when(n > 1, F.round(2 * m / (n * (n - 1)), 4)).otherwise(0.0)
+
+
+def text_similarity(text_a, text_b, a, b) -> Column:
+    """`answer_similarity` of the vectors of two texts: 1 if both texts are blank, 0 if one of them is."""
+    blank = lambda x: F.trim(F.coalesce(_c(x), F.lit(""))) == ""
+    return F.when(blank(text_a) & blank(text_b), 1.0).when(blank(text_a) | blank(text_b), 0.0).otherwise(answer_similarity(a, b))
