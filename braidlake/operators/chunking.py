@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidlake.functions import text as T
-from braidlake.runtime import numbered
+from braidlake.runtime import numbered, spread
+
+_RUN = re.compile(r"[^ \t\n\x0b\f\r]+")
 
 
 def parse_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,8 +43,9 @@ def chunk_words(df: DataFrame, keys: list[str], text: str, size: int = 650, over
     """(keys, window, start, text): windows of `size` words joined with blanks."""
     _checked(size, overlap)
     words = df.select(*keys, T.word_array(text).alias("_words"))
-    parts = words.select(*keys, "_words", F.posexplode(windows(F.size("_words"), size, overlap)).alias("window", "start"))
-    return parts.select(*keys, "window", "start", F.array_join(F.slice("_words", F.col("start") + 1, size), " ").alias("text"))
+    # Windows are cut inside the row, so the words aren't carried along with each of them.
+    cut = F.transform(windows(F.size("_words"), size, overlap), lambda i: F.struct(i.alias("start"), F.array_join(F.slice("_words", i + 1, size), " ").alias("text")))
+    return words.select(*keys, F.posexplode(cut).alias("window", "_w")).select(*keys, "window", F.col("_w.start").alias("start"), F.col("_w.text").alias("text"))
 
 
 def chunk_words_numbered(df: DataFrame, keys: list[str], text: str, size: int = 650, overlap: int = 100) -> DataFrame:
@@ -47,27 +54,52 @@ def chunk_words_numbered(df: DataFrame, keys: list[str], text: str, size: int =
     return parts.withColumn("id", F.format_string("CHUNK-%06d", "_number")).drop("_number")
 
 
-def chunk_with_offsets(df: DataFrame, source: str, text: str, size: int = 500, overlap: int = 80) -> DataFrame:
+def token_windows(counts: Sequence[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """(first, end) of greedy windows over words of the given token counts.
+
+    A window takes words while it stays within `size` tokens, at least one; the next one starts as far back as `overlap`
+    tokens reach, but after the start of the one before; the last is the first that reaches the end.
+    """
+    out, first, n = [], 0, len(counts)
+    end = used = 0
+    while first < n:
+        while end < n and (used + counts[end] <= size or end == first):
+            used += counts[end]
+            end += 1
+        out.append((first, end))
+        if end == n:
+            break
+        start, back = end, 0
+        while start - 1 > first and back + counts[start - 1] <= overlap:
+            start -= 1
+            back += counts[start]
+        used -= sum(counts[first:start])
+        first = start
+    return out
+
+
+def chunk_by_tokens(df: DataFrame, source: str, text: str, size: int = 500, overlap: int = 80, counter: Callable[[list[str]], list[int]] | None = None) -> DataFrame:
     """(source, chunk_id, text, char_start, char_end, token_count): windows that keep the text's own white space.
 
-    Offsets count code points of the cleaned text; words are the tokens.
+    `counter` gives the tokens of each word; without one a word is a token. Offsets count code points of the stripped
+    text. A text is cut in one pass, whatever its length; null and blank texts have no chunks.
     """
     _checked(size, overlap)
-    gaps = F.regexp_extract_all(F.col("_text"), F.lit(r"(\S+)(\s*)"), 0)
-    spans = df.select(F.col(source).alias("source"), T.strip(text).alias("_text")).where("_text is not null and _text <> ''").withColumn("_runs", gaps)
-    add = lambda xs: F.aggregate(xs, F.lit(0), lambda s, n: s + n)
-    sized = spans.withColumn("_lengths", F.transform("_runs", lambda r: F.length(r))).withColumn("_firsts", windows(F.size("_runs"), size, overlap))
-    # The start of each window is the sum of all strides before it; strides are summed once.
-    strides = F.transform("_firsts", lambda i: add(F.slice("_lengths", i + 1, size - overlap)))
-    starts = F.aggregate(
-        strides,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")),
-        lambda s: s["all"],
-    )
-    placed = sized.withColumn("_starts", starts)
-    parts = placed.select("source", "_text", "_runs", "_lengths", F.posexplode(F.arrays_zip("_firsts", "_starts")).alias("chunk_id", "_w"))
-    first, begin = F.col("_w._firsts"), F.col("_w._starts")
-    count = F.least(F.lit(size), F.size("_runs") - first)
-    end = begin + add(F.slice("_lengths", first + 1, count - 1)) + F.length(F.regexp_replace(F.element_at("_runs", first + count), r"\s+$", ""))
-    return parts.select("source", "chunk_id", F.col("_text").substr(begin + 1, end - begin).alias("text"), begin.alias("char_start"), end.alias("char_end"), count.alias("token_count"))
+    rows = spread(df.select(F.col(source).alias("source"), T.strip(text).alias("_text")).where("_text is not null and _text <> ''"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, body in zip(batch["source"], batch["_text"]):
+                spans = [m.span() for m in _RUN.finditer(body)]
+                counts = counter([body[a:b] for a, b in spans]) if counter else [1] * len(spans)
+                found = token_windows(counts, size, overlap)
+                starts, ends = [spans[i][0] for i, _ in found], [spans[j - 1][1] for _, j in found]
+                yield pd.DataFrame({"source": [key] * len(found), "chunk_id": range(len(found)), "text": [body[a:b] for a, b in zip(starts, ends)], "char_start": starts, "char_end": ends, "token_count": [sum(counts[i:j]) for i, j in found]})
+
+    kind = rows.schema["source"].dataType.simpleString()
+    return rows.mapInPandas(cut, f"source {kind}, chunk_id int, text string, char_start int, char_end int, token_count int")
+
+
+def chunk_with_offsets(df: DataFrame, source: str, text: str, size: int = 500, overlap: int = 80) -> DataFrame:
+    """`chunk_by_tokens` with white-space words as tokens."""
+    return chunk_by_tokens(df, source, text, size, overlap)

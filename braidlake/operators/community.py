@@ -1,7 +1,8 @@
-"""Communities of a weighted graph: greedy modularity within components, and a hierarchy by Louvain.
+"""Communities of a weighted graph: greedy modularity within components, and a hierarchy by Leiden.
 
-Components up to a size limit are solved one per task; a larger one, which may hold most of the graph, is never
-gathered: it is divided by label propagation over the edge table.
+A part of the graph of up to `LARGEST` edges is solved in one task. A larger one is never gathered: its nodes first move
+between communities by the same gain of modularity over the edge table, and each community becomes one node, until what
+is left fits; the same algorithm then finishes it.
 """
 
 from __future__ import annotations
@@ -9,13 +10,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidlake.operators.entities import induced
+from braidlake.operators.entities import induced, weighted_degree
 from braidlake.operators.graph import connected_components
 from braidlake.runtime import checkpointed, numbered, ranked
 
+#: Edges that one task may hold.
+LARGEST = 200_000
+
 
 def modularity(links: list[tuple[str, str, float]], label: dict[str, str], resolution: float = 1.0) -> float:
     """Weighted modularity of a partition."""
@@ -127,6 +131,72 @@ def louvain(links: list[tuple[str, str, float]], resolution: float = 1.0) -> dic
     return {x: lowest[of[x]] for x in names}
 
 
+def leiden(links: list[tuple[str, str, float]], resolution: float = 1.0) -> dict[str, str]:
+    """Leiden (Traag, Waltman and van Eck 2019) in a fixed order: local moves, refinement of each community from single
+    nodes, aggregation by the refined parts. Communities are connected; each is named by its lowest member."""
+    names = sorted({x for a, b, _ in links for x in (a, b)})
+    of, start, level = {x: x for x in names}, {x: x for x in names}, list(links)
+    while True:
+        near: dict[str, dict[str, float]] = {x: {} for x in start}
+        degree = dict.fromkeys(start, 0.0)
+        for a, b, w in level:
+            degree[a] += w
+            degree[b] += w
+            if a != b:
+                near[a][b] = near[a].get(b, 0.0) + w
+                near[b][a] = near[b].get(a, 0.0) + w
+        twice = sum(degree.values())
+        if not twice:
+            return of
+
+        def best(x: str, label: dict[str, str], volume: dict[str, float], own: str, allowed=None) -> tuple[float, str]:
+            weights = {own: 0.0}
+            for y, w in near[x].items():
+                if allowed is None or allowed[y] == allowed[x]:
+                    weights[label[y]] = weights.get(label[y], 0.0) + w
+            gains = {c: w - resolution * degree[x] * volume.get(c, 0.0) / twice for c, w in weights.items()}
+            top = min(gains, key=lambda c: (-gains[c], c != own, c))
+            return (gains[top], top) if gains[top] > gains[own] + 1e-12 else (gains[own], own)
+
+        label, volume = dict(start), {}
+        for x, c in label.items():
+            volume[c] = volume.get(c, 0.0) + degree[x]
+        for _ in range(50):
+            changed = False
+            for x in sorted(near):
+                own = label[x]
+                volume[own] -= degree[x]
+                _, label[x] = best(x, label, volume, own)
+                volume[label[x]] = volume.get(label[x], 0.0) + degree[x]
+                changed |= label[x] != own
+            if not changed:
+                break
+        part, size, inner = {x: x for x in near}, dict.fromkeys(near, 1), dict(degree)
+        for x in sorted(near):
+            if part[x] != x or size[x] > 1:
+                continue
+            inner[x] -= degree[x]
+            _, to = best(x, part, inner, x, label)
+            inner[to] = inner.get(to, 0.0) + degree[x]
+            if to != x:
+                part[x], size[x] = to, 0
+                size[to] += 1
+        lowest: dict[str, str] = {}
+        if len(set(part.values())) == len(near):  # nothing merges any more
+            for x in names:
+                lowest.setdefault(label[of[x]], x)
+            return {x: lowest[label[of[x]]] for x in names}
+        for x in sorted(near):
+            lowest.setdefault(label[x], part[x])
+        start = {part[x]: lowest[label[x]] for x in near}
+        of = {x: part[c] for x, c in of.items()}
+        merged: dict[tuple[str, str], float] = {}
+        for a, b, w in level:
+            k = (min(part[a], part[b]), max(part[a], part[b]))
+            merged[k] = merged.get(k, 0.0) + w
+        level = [(a, b, w) for (a, b), w in merged.items()]
+
+
 def _by_group(links: DataFrame, algorithm) -> DataFrame:
     """(group, node, label) by a function of a group's edge list; `links` has (group, src, dst, weight)."""
 
@@ -138,35 +208,73 @@ def _by_group(links: DataFrame, algorithm) -> DataFrame:
     return links.select("group", "src", "dst", "weight").groupBy("group").applyInPandas(run, "group string, node string, label string")
 
 
-def propagated(links: DataFrame, rounds: int = 8) -> DataFrame:
-    """(group, node, label) by label propagation: in each round a node takes the label of largest weight around it.
+def moved(links: DataFrame, resolution: float = 1.0, rounds: int = 30, still: float = 0.001) -> DataFrame:
+    """(group, node, label): nodes after local moves over the edge table.
 
-    Every round is a join and two aggregations over the edge table; ties go to the lowest label, and even and odd
-    nodes (by hash) move in turn, so that two ends don't swap labels for ever.
+    In a round every node weighs the communities around it by the gain of modularity, as Louvain's local moves do; even
+    and odd nodes (by hash and round) move in turn, so that two ends don't swap for ever. A round is a few joins and
+    aggregations; rounds end when fewer than `still` of all nodes moved in two of them, or after `rounds`, since a later
+    level goes on with what is left.
     """
     both = checkpointed(links.select("group", F.col("src").alias("node"), F.col("dst").alias("other"), "weight").union(links.select("group", "dst", "src", "weight")))
-    labels = both.select("group", "node").distinct().withColumn("label", F.col("node"))
+    degrees = checkpointed(both.groupBy("group", "node").agg(F.sum("weight").alias("degree")))
+    twice = degrees.groupBy("group").agg(F.sum("degree").alias("_twice"))
+    around = both.where("node <> other")
+    labels = degrees.withColumn("label", F.col("node"))
+    total, calm = degrees.count(), 0
     for r in range(rounds):
-        seen = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("_l")), "other").groupBy("node", "_l").agg(F.sum("weight").alias("_w"))
-        best = seen.groupBy("node").agg(F.max_by("_l", F.struct("_w", F.bitwise_not(F.xxhash64("_l")))).alias("_best"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        labels = checkpointed(labels.join(best, "node", "left").select("group", "node", F.when(turn, F.coalesce("_best", "label")).otherwise(F.col("label")).alias("label")))
-    return labels
+        volume = labels.groupBy("group", "label").agg(F.sum("degree").alias("_volume"))
+        seen = around.join(labels.select("group", F.col("node").alias("other"), "label"), ["group", "other"]).groupBy("group", "node", "label").agg(F.sum("weight").alias("_w"))
+        own = labels.select("group", "node", F.col("label").alias("_own"), "degree")
+        options = seen.unionByName(labels.select("group", "node", "label", F.lit(0.0).alias("_w"))).groupBy("group", "node", "label").agg(F.sum("_w").alias("_w"))
+        weighed = options.join(own, ["group", "node"]).join(volume, ["group", "label"]).join(twice, "group")
+        here = F.col("label") == F.col("_own")
+        rest = F.col("_volume") - F.when(here, F.col("degree")).otherwise(0.0)
+        gain = F.col("_w") - F.lit(resolution) * F.col("degree") * rest / F.col("_twice")
+        best = weighed.withColumn("_gain", gain).groupBy("group", "node").agg(
+            F.max("_gain").alias("_most"), F.max(F.when(here, F.col("_gain"))).alias("_stay"), F.max_by("label", F.struct("_gain", F.bitwise_not(F.xxhash64("label")))).alias("_best")
+        )
+        turn = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
+        goes = turn & (F.col("_most") > F.col("_stay") + 1e-12)
+        now = checkpointed(labels.join(best, ["group", "node"]).select("group", "node", "degree", F.when(goes, F.col("_best")).otherwise(F.col("label")).alias("label"), goes.cast("int").alias("_moves")))
+        moves = now.agg(F.coalesce(F.sum("_moves"), F.lit(0)).alias("n")).first()["n"]
+        labels = now.drop("_moves")
+        calm = calm + 1 if moves <= still * total else 0
+        if calm == 2:
+            break
+    return labels.select("group", "node", "label")
 
 
-def partition(links: DataFrame, nodes: DataFrame, algorithm=greedy_modularity, largest: int = 200_000) -> DataFrame:
+def divided(grouped: DataFrame, algorithm, largest: int = LARGEST, resolution: float = 1.0) -> DataFrame:
+    """(group, node, label) of each group of edges (group, src, dst, weight), whatever its size."""
+    sizes = checkpointed(grouped.groupBy("group").agg(F.count("*").alias("_n")))
+    large = sizes.where(F.col("_n") > largest).select("group")
+    if large.isEmpty():
+        return _by_group(grouped, algorithm)
+    found = _by_group(grouped.join(large, "group", "left_anti"), algorithm)
+    whole = checkpointed(grouped.join(large, "group", "left_semi"))
+    step = checkpointed(moved(whole, resolution))
+    to = lambda x: step.select("group", F.col("node").alias(x), F.col("label").alias(f"_{x}"))
+    ends = whole.join(to("src"), ["group", "src"]).join(to("dst"), ["group", "dst"])
+    coarse = checkpointed(ends.groupBy("group", F.least("_src", "_dst").alias("src"), F.greatest("_src", "_dst").alias("dst")).agg(F.sum("weight").alias("weight")))
+    if coarse.count() >= whole.count():  # nothing moves together: the communities are what they are
+        last = step
+    else:
+        inner = divided(coarse, algorithm, largest, resolution)
+        last = step.join(inner.select("group", F.col("node").alias("label"), F.col("label").alias("_to")), ["group", "label"]).select("group", "node", F.col("_to").alias("label"))
+    lowest = last.groupBy("group", "label").agg(F.min("node").alias("_first"))
+    return found.unionByName(last.join(lowest, ["group", "label"]).select("group", "node", F.col("_first").alias("label")))
+
+
+def partition(links: DataFrame, nodes: DataFrame, algorithm=greedy_modularity, largest: int = LARGEST, resolution: float = 1.0) -> DataFrame:
     """(node, label): the community of every node; a node without edges is its own.
 
     `largest` is the number of edges up to which a component is solved in one task.
     """
     clean = links.where("src <> dst").select("src", "dst", F.col("weight").cast("double").alias("weight"))
     component = connected_components(clean).select("node", F.col("component").alias("group"))
-    grouped = checkpointed(clean.join(component.withColumnRenamed("node", "src"), "src"))
-    sizes = grouped.groupBy("group").agg(F.count("*").alias("_n"))
-    large = sizes.where(F.col("_n") > largest).select("group")
-    found = _by_group(grouped.join(large, "group", "left_anti"), algorithm)
-    if not large.isEmpty():
-        found = found.unionByName(propagated(grouped.join(large, "group", "left_semi")))
+    grouped = checkpointed(clean.join(component.withColumnRenamed("node", "src"), "src").select("group", "src", "dst", "weight"))
+    found = divided(grouped, algorithm, largest, resolution)
     return nodes.select("node").distinct().join(found.select("node", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
@@ -185,11 +293,11 @@ def communities(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return ranked(placed, ["community_id"], ["_mentions", "_name", "node"], "member_rank").select("community_id", "node", "member_rank", "size")
 
 
-def hierarchy(links: DataFrame, nodes: DataFrame, levels: int = 3, min_size: int = 5, resolution: float = 1.0) -> DataFrame:
+def hierarchy(links: DataFrame, nodes: DataFrame, levels: int = 3, min_size: int = 5, resolution: float = 1.0, method=leiden, largest: int = LARGEST) -> DataFrame:
     """(id, level, parent_id, node): level 0 divides all nodes; a community of at least max(2 min_size, 4) members is
-    divided again on its own edges; a division into one part is dropped."""
-    algorithm = lambda rows: louvain(rows, resolution)
-    top = partition(links, nodes, algorithm).select("node", F.col("label").alias("part"), F.lit(None).cast("string").alias("parent_id"))
+    divided again on its own edges; a division into one part is dropped. `method` is `leiden` or `louvain`."""
+    algorithm = lambda rows: method(rows, resolution)
+    top = partition(links, nodes, algorithm, largest, resolution).select("node", F.col("label").alias("part"), F.lit(None).cast("string").alias("parent_id"))
     out, current = None, top
     for level in range(levels):
         ids = current.groupBy("parent_id", "part").agg(F.count("*").alias("size"))
@@ -206,7 +314,7 @@ def hierarchy(links: DataFrame, nodes: DataFrame, levels: int = 3, min_size: int
         if large.isEmpty():
             break
         inner = checkpointed(induced(links.where("src <> dst").select("src", "dst", F.col("weight").cast("double").alias("weight")), large))
-        found = _by_group(inner, algorithm)
+        found = divided(inner.select("group", "src", "dst", "weight"), algorithm, largest, resolution)
         parts = large.join(found.select("node", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("part"), F.col("group").alias("parent_id"))
         split = parts.groupBy("parent_id").agg(F.count_distinct("part").alias("_n")).where("_n > 1").select("parent_id")
         current = checkpointed(parts.join(split, "parent_id", "left_semi").select("node", "part", "parent_id"))
@@ -310,26 +418,127 @@ def representative_chunks(candidates: DataFrame, leading: DataFrame, most_entiti
     return places.join(rows, ["community_id", "key"]).select("community_id", "position", "source", "chunk_id")
 
 
-def summaries(members: DataFrame, leading: DataFrame, chosen: DataFrame, chunks: DataFrame, model=None) -> DataFrame:
+def summaries(members: DataFrame, leading: DataFrame, chosen: DataFrame, chunks: DataFrame, model=None, previous: DataFrame | None = None, force: bool = False) -> DataFrame:
     """(community_id, title, summary, summary_status): generated from the chosen chunks of communities with two members
-    or more; `insufficient_evidence` without chunks, `fallback` where the model gives nothing."""
+    or more; `insufficient_evidence` without chunks, `fallback` where the model gives nothing, `failed` where it raises.
+
+    `previous` has the same columns: a community that it has a generated summary for keeps it, unless `force`.
+    """
     from braidlake.functions.models import TemplateGenerator, retrying
 
     generator = model or TemplateGenerator()
     title = leading.where("rank <= 2").groupBy("community_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node"))), lambda x: x["node"]), " and ").alias("title"))
     sizes = members.groupBy("community_id").agg(F.count("*").alias("_n")).where("_n >= 2")
+    kept = None
+    if previous is not None and not force:
+        kept = checkpointed(previous.where("summary_status = 'generated'").join(sizes, "community_id", "left_semi").select("community_id", "title", "summary", "summary_status"))
+        sizes = sizes.join(kept.select("community_id"), "community_id", "left_anti")
     evidence = chosen.join(chunks, ["source", "chunk_id"]).groupBy("community_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "\n\n").alias("evidence"))
     rows = sizes.join(title, "community_id", "left").join(evidence, "community_id", "left")
 
-    @F.pandas_udf("string")
-    def write(prompts: pd.Series) -> pd.Series:
-        out = retrying(lambda: generator.generate(["Summarise what links these.\nEVIDENCE: " + (p or "") for p in prompts]))
-        return pd.Series(out, dtype=object)
-
-    text = F.when(F.col("evidence").isNotNull(), write("evidence"))
-    written = rows.withColumn("_s", text)
-    status = F.when(F.col("evidence").isNull(), "insufficient_evidence").when(F.coalesce("_s", F.lit("")) == "", "fallback").otherwise("generated")
+    @F.pandas_udf("text string, failed boolean")
+    def write(prompts: pd.Series) -> pd.DataFrame:
+        try:
+            out = retrying(lambda: generator.generate(["Summarise what links these.\nEVIDENCE: " + (p or "") for p in prompts]))
+            return pd.DataFrame({"text": pd.Series(out, dtype=object), "failed": False})
+        except Exception:  # the other communities must not wait for a model that refuses these
+            return pd.DataFrame({"text": pd.Series([None] * len(prompts), dtype=object), "failed": True})
+
+    written = checkpointed(rows.withColumn("_s", F.when(F.col("evidence").isNotNull(), write("evidence"))))
+    status = (
+        F.when(F.col("evidence").isNull(), "insufficient_evidence").when(F.col("_s.failed"), "failed").when(F.trim(F.coalesce("_s.text", F.lit(""))) == "", "fallback").otherwise("generated")
+    )
     fallback = F.concat(F.lit("Community of "), F.coalesce("title", F.lit("unnamed entities")))
-    return written.select("community_id", F.coalesce("title", F.concat(F.lit("Community "), F.col("community_id").cast("string"))).alias("title"), F.when(status == "generated", F.col("_s")).otherwise(fallback).alias("summary"), status.alias("summary_status"))
+    new = written.select("community_id", F.coalesce("title", F.concat(F.lit("Community "), F.col("community_id").cast("string"))).alias("title"), F.when(status == "generated", F.col("_s.text")).otherwise(fallback).alias("summary"), status.alias("summary_status"))
+    return new if kept is None else new.unionByName(kept)
+
 
+def community_list(members: DataFrame, held: DataFrame, summaries: DataFrame | None = None, top: int = 7, blank: str = "No summary yet.") -> DataFrame:
+    """(community_id, size, top_entities, num_chunks, summary): one row per community.
 
+    `members` has (community_id, node, member_rank), `held` (node, source, chunk_id), `summaries` (community_id, summary).
+    """
+    heads = members.groupBy("community_id").agg(F.count("*").alias("size"))
+    firsts = members.where(F.col("member_rank") <= top).groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("member_rank", "node"))), lambda x: x["node"]).alias("top_entities"))
+    counts = members.join(held, "node").select("community_id", "source", "chunk_id").distinct().groupBy("community_id").agg(F.count("*").alias("num_chunks"))
+    rows = heads.join(firsts, "community_id").join(counts, "community_id", "left")
+    rows = rows.join(summaries.select("community_id", "summary"), "community_id", "left") if summaries is not None else rows.withColumn("summary", F.lit(None).cast("string"))
+    return rows.select("community_id", "size", "top_entities", F.coalesce("num_chunks", F.lit(0)).alias("num_chunks"), F.coalesce(F.nullif(F.trim("summary"), F.lit("")), F.lit(blank)).alias("summary"))
+
+
+def community_view(listed: DataFrame, top: int = 5) -> DataFrame:
+    """What a graph view shows of `community_list`: no communities of one entity, the first `top` of each."""
+    return listed.where("size <> 1").withColumn("top_entities", F.slice("top_entities", 1, top))
+
+
+def report_contexts(
+    groups: DataFrame, links: DataFrame, entities: DataFrame, relations: DataFrame, entity_chunks: DataFrame, relation_chunks: DataFrame, chunks: DataFrame, most: tuple[int, int, int] = (25, 35, 12)
+) -> DataFrame:
+    """(community_id, context, chunk_ids): what a report on a community is written from.
+
+    The context names the `most` entities of largest weighted degree, the heaviest relations between them, and excerpts
+    of the first chunks of both, in their order. Tables: groups (community_id, node), links (src, dst, weight), entities
+    (id, name, type, description), relations (source, target, type, weight, description), entity_chunks (id, pos, chunk_id),
+    relation_chunks (source, target, type, pos, chunk_id), chunks (chunk_id, source, page, text). Every cut is a window whose
+    rows are limited before the shuffle.
+    """
+    from braidlake.functions import text as T
+
+    first = lambda by: F.row_number().over(Window.partitionBy("community_id").orderBy(*by))
+    lines = lambda df, into, sep: df.groupBy("community_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_line"))), lambda x: x["_line"]), sep).alias(into))
+    degrees = weighted_degree(links).select("node", "degree")
+    chosen = groups.select("community_id", "node").distinct().join(degrees, "node", "left").na.fill(0, ["degree"])
+    chosen = chosen.withColumn("_r", first([F.desc("degree"), F.asc("node")])).where(F.col("_r") <= most[0]).select("community_id", F.col("node").alias("id"), "_r")
+    named = checkpointed(chosen.join(entities.select("id", "name", "type", "description"), "id"))
+    told = named.select("community_id", "_r", T.entity_line("name", "type", "description").alias("_line"))
+    end = lambda x: named.select(F.col("community_id").alias(f"_c{x}"), F.col("id").alias(x), F.col("name").alias(f"_{x}"))
+    between = relations.join(end("source"), "source").join(end("target"), "target").where("_csource = _ctarget").withColumn("community_id", F.col("_csource"))
+    between = checkpointed(between.withColumn("_r", first([F.desc("weight"), F.asc("source"), F.asc("target"), F.asc("type")])).where(F.col("_r") <= most[1]))
+    related = between.select("community_id", "_r", T.relation_line("_source", "type", "_target", "description").alias("_line"))
+    of_entities = named.join(entity_chunks, "id").select("community_id", "chunk_id", F.struct(F.lit(0).alias("part"), "_r", "pos").alias("_at"))
+    of_relations = between.select("community_id", "_r", "source", "target", "type").join(relation_chunks, ["source", "target", "type"]).select("community_id", "chunk_id", F.struct(F.lit(1).alias("part"), "_r", "pos").alias("_at"))
+    once = of_entities.unionByName(of_relations).groupBy("community_id", "chunk_id").agg(F.min("_at").alias("_at"))
+    cited = checkpointed(once.withColumn("_r", first(["_at", "chunk_id"])).where(F.col("_r") <= most[2]))
+    texts = cited.join(chunks.select("chunk_id", "source", "page", "text"), "chunk_id")
+    excerpts = texts.select("community_id", "_r", F.concat(T.citation("chunk_id", "source", "page"), F.lit("\n"), F.substring("text", 1, 900)).alias("_line"))
+    ids = cited.groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
+    rows = groups.select("community_id").distinct()
+    for part in (lines(told, "_e", "\n"), lines(related, "_l", "\n"), lines(excerpts, "_x", "\n\n"), ids):
+        rows = rows.join(part, "community_id", "left")
+    plain = lambda c: F.coalesce(c, F.lit(""))
+    context = F.concat(F.lit("ENTITIES\n"), plain("_e"), F.lit("\n\nRELATIONSHIPS\n"), plain("_l"), F.lit("\n\nSOURCE EXCERPTS\n"), plain("_x"))
+    return rows.select("community_id", context.alias("context"), F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"))
+
+
+class ReportWriter:
+    """The default writer of community reports, a generator of JSON: titled by the first entity, a finding per excerpt."""
+
+    def generate(self, prompts) -> list[str]:
+        import json
+        import re
+
+        out = []
+        for p in prompts:
+            entities, _, rest = p.split("ENTITIES\n", 1)[1].partition("\n\nRELATIONSHIPS\n")
+            excerpts = rest.partition("\n\nSOURCE EXCERPTS\n")[2]
+            names = re.findall(r"(?m)^- (.*?) \[", entities)
+            findings = [f"{re.split(r'(?<=[.!?])[ ]', t.strip())[0]} [{c}]" for c, t in re.findall(r"(?m)^\[([^\]]+)\][^\n]*\n([^\n]*)", excerpts)][:7]
+            out.append(json.dumps({"title": names[0] if names else "", "summary": "Concerns " + ", ".join(names[:5]) + "." if names else "", "findings": findings}))
+        return out
+
+
+def community_reports(contexts: DataFrame, model=None, attempts: int = 3) -> DataFrame:
+    """(community_id, title, summary, findings, chunk_ids, text): reports a model writes from `report_contexts`.
+
+    A reply without a title is titled by its community; one that stays invalid gives a report without text.
+    """
+    from braidlake.functions import text as T
+    from braidlake.functions.models import asked
+    from braidlake.operators.entities import _is_object
+
+    valid = lambda reply: _is_object(reply, ())
+    prompt = F.concat(F.lit("Report on this community as JSON: title, summary, findings.\n"), "context")
+    rows = checkpointed(contexts.withColumn("_r", F.from_json(T.json_object(asked(prompt, model or ReportWriter(), valid, attempts=attempts)), "title string, summary string, findings array<string>")))
+    title = F.coalesce(F.nullif(T.strip("_r.title"), F.lit("")), F.col("community_id").cast("string"))
+    summary, findings = F.coalesce(T.strip("_r.summary"), F.lit("")), T.filled("_r.findings")
+    return rows.select("community_id", title.alias("title"), summary.alias("summary"), findings.alias("findings"), "chunk_ids", T.report_text(title, summary, findings).alias("text"))

@@ -85,8 +85,9 @@ def canonical_names(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("node_id").alias("old_id"), name.alias("name"), "label", (~name.rlike(r"\p{L}")).alias("removed"))
 
 
-def canonicalize(nodes: DataFrame, held: DataFrame, per_chunk: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges after a mapping: mentions add up, chunk sets are united, self loops drop out.
+def canonicalize(nodes: DataFrame, held: DataFrame, per_chunk: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and (node_id, source, chunk_id) after a mapping: mentions add up, chunk sets are united under the new
+    ids, self loops drop out.
 
     Nodes that the mapping doesn't name stay as they are; removed wins over mapped.
     """
@@ -96,7 +97,8 @@ def canonicalize(nodes: DataFrame, held: DataFrame, per_chunk: DataFrame, mappin
         .select("node_id", F.coalesce("_n", "name").alias("name"), F.coalesce("_l", "label").alias("label"), "mention_count")
         .withColumn("new_id", T.node_id("label", "name"))
     )
-    where = held.join(moved.select("node_id", "new_id"), "node_id").select("new_id", "source", "chunk_id").distinct().groupBy("new_id").agg(F.count("*").alias("chunk_count"))
+    new_held = held.join(moved.select("node_id", "new_id"), "node_id").select(F.col("new_id").alias("node_id"), "source", "chunk_id").distinct()
+    where = new_held.groupBy(F.col("node_id").alias("new_id")).agg(F.count("*").alias("chunk_count"))
     counts = moved.groupBy("new_id", "name", "label").agg(F.sum("mention_count").alias("mention_count"))
     new_nodes = counts.join(where, "new_id").select(F.col("new_id").alias("node_id"), "name", "label", "mention_count", "chunk_count")
     ends = moved.select("node_id", "new_id")
@@ -107,7 +109,7 @@ def canonicalize(nodes: DataFrame, held: DataFrame, per_chunk: DataFrame, mappin
         .groupBy(F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst"), "source", "chunk_id")
         .agg(F.sum("weight").alias("weight"))
     )
-    return new_nodes, edges(remapped)
+    return new_nodes, edges(remapped), new_held
 
 
 def merge_entities(extracted: DataFrame) -> DataFrame:
@@ -118,14 +120,23 @@ def merge_entities(extracted: DataFrame) -> DataFrame:
     """
     rows = _slugged(extracted)
     heads = rows.groupBy("id").agg(F.min_by("name", "pos").alias("name"), F.min_by("type", "pos").alias("type"))
-    said = rows.where("trim(description) <> ''").groupBy("id", "description").agg(F.min("pos").alias("_p"))
-    first = Window.partitionBy("id").orderBy("_p", "description")
-    said = said.withColumn("_r", F.row_number().over(first)).where("_r <= 6")
-    texts = said.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "description"))), lambda x: x["description"]), " ").alias("description"))
     counts = merged_chunks(extracted).groupBy("id").agg(F.count("*").alias("chunk_count"))
+    texts = first_descriptions(rows, ["id"])
     return heads.join(texts, "id", "left").join(counts, "id", "left").select("id", "name", "type", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
 
 
+def first_descriptions(rows: DataFrame, keys: list[str], most: int = 6) -> DataFrame:
+    """(keys, description): the first `most` distinct descriptions of each key that aren't blank, joined with blanks.
+
+    `rows` has the keys, description and pos, which orders them; equal places go by the text. A window keeps `most` rows
+    per task before the shuffle, so a key with any number of descriptions sends few.
+    """
+    said = rows.where("trim(description) <> ''").groupBy(*keys, "description").agg(F.min("pos").alias("_p"))
+    first = Window.partitionBy(*keys).orderBy("_p", "description")
+    kept = said.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most)
+    return kept.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "description"))), lambda x: x["description"]), " ").alias("description"))
+
+
 def _slugged(extracted: DataFrame) -> DataFrame:
     return extracted.withColumn("id", T.slug("name")).where(T.plain_name("name") != "")
 
@@ -155,6 +166,35 @@ def merge_relations(relations: DataFrame) -> DataFrame:
     return relations.groupBy("source", "target", relation_type("type").alias("type")).agg(F.count("*").alias("weight"))
 
 
+def told_relations(relations: DataFrame) -> DataFrame:
+    """(source, target, type, pos, description): the descriptions of relations as rows, in the order of their arrays."""
+    return relations.select("source", "target", relation_type("type").alias("type"), F.posexplode("descriptions").alias("pos", "description"))
+
+
+def described_relations(relations: DataFrame) -> DataFrame:
+    """`merge_relations` with the first six distinct descriptions and the number of distinct chunks: adds (description,
+    chunk_count). `relations` has descriptions and chunk_ids as arrays; chunks stay rows (`relation_chunks`). A relation
+    with a null end counts, but is told nothing about."""
+    keys = ["source", "target", "type"]
+    merged = merge_relations(relations)
+    texts = first_descriptions(told_relations(relations), keys)
+    counts = relation_chunks(relations).groupBy(*keys).agg(F.count("*").alias("chunk_count"))
+    both = merged.join(texts, keys, "left").join(counts, keys, "left")
+    return both.select(*keys, "weight", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+
+
+def relation_chunks(relations: DataFrame) -> DataFrame:
+    """(source, target, type, chunk_id, pos): the distinct chunks of each merged relation and their first place."""
+    rows = relations.select("source", "target", relation_type("type").alias("type"), F.posexplode("chunk_ids").alias("pos", "chunk_id"))
+    return rows.where("trim(chunk_id) <> ''").groupBy("source", "target", "type", "chunk_id").agg(F.min("pos").alias("pos"))
+
+
+def collapsed_descriptions(relations: DataFrame) -> DataFrame:
+    """(src, dst, description): what the relations of an undirected pair say, the first six distinct descriptions."""
+    ends = told_relations(relations).where("source is not null and target is not null and source <> target")
+    return first_descriptions(ends.select(F.least("source", "target").alias("src"), F.greatest("source", "target").alias("dst"), "pos", "description"), ["src", "dst"])
+
+
 def collapse(relations: DataFrame) -> DataFrame:
     """(src, dst, weight, types): undirected pairs with summed weights and their distinct types; self loops drop out."""
     ends = relations.where("source is not null and target is not null and source <> target")
@@ -203,3 +243,112 @@ def within_hops(seeds: DataFrame, links: DataFrame, hops: int) -> DataFrame:
         frontier = found.join(reached, "node", "left_anti").withColumn("hop", F.lit(hop))
         reached = reached.unionByName(frontier)
     return reached
+
+
+class ArticleCleaner:
+    """The default cleaner of entity names, a generator of JSON: a name without its article stands for both if the batch
+    has it; names without a letter are removed."""
+
+    def generate(self, prompts) -> list[str]:
+        import json
+        import re
+
+        out = []
+        for p in prompts:
+            given = json.loads(p.split("INPUT:", 1)[1])
+            names = {e["name"] for e in given}
+            groups: dict[str, dict] = {}
+            removed = []
+            for e in given:
+                if not re.search(r"[^\W\d_]", e["name"]):
+                    removed.append(e["name"])
+                    continue
+                plain = re.sub("^(?:the|a|an) ", "", e["name"])
+                name = plain if plain in names else e["name"]
+                own = groups.setdefault(name, {"name": name, "type": e["current_type"], "aliases": []})
+                if e["name"] == name and name not in own["aliases"]:
+                    own["type"] = e["current_type"]
+                own["aliases"] = sorted({*own["aliases"], e["name"]})
+            out.append(json.dumps({"entities": list(groups.values()), "removed_entities": removed}))
+        return out
+
+
+_CLEANED = "entities array<struct<name string, type string, aliases array<string>>>, removed_entities array<string>"
+
+
+def clean_entities(nodes: DataFrame, model=None, batch: int = 25, attempts: int = 3) -> DataFrame:
+    """(old_id, name, label, removed): what a model makes of entity names, batch by batch in the order of node ids.
+
+    The model gets each batch as JSON and replies with canonical names, their labels and aliases, and names to remove. A
+    canonical name must be a name of the batch, a label one of LABELS, an alias a name of the batch; what breaks this is
+    ignored. An alias named twice goes with the last one. Names that the reply leaves out, and batches without a valid
+    reply after `attempts`, have no row and stay as they are.
+    """
+    from braidlake.functions.models import asked
+    from braidlake.runtime import checkpointed, numbered
+
+    rows = numbered(nodes.select("node_id", "name", "label"), ["node_id"], "_at").withColumn("batch", F.floor(F.col("_at") / F.lit(batch)))
+    rows = checkpointed(rows.withColumn("name", T.normal_entity("name")))
+    given = F.transform(F.array_sort(F.collect_list(F.struct("_at", "name", "label"))), lambda x: F.struct(x["name"].alias("name"), x["label"].alias("current_type")))
+    prompts = rows.groupBy("batch").agg(F.concat(F.lit("Give canonical names, labels and aliases of these entities as JSON.\nINPUT:"), F.to_json(given)).alias("prompt"))
+    valid = lambda reply: _is_object(reply, ("entities",))
+    replies = checkpointed(prompts.select("batch", F.from_json(T.json_object(asked("prompt", model or ArticleCleaner(), valid, attempts=attempts)), _CLEANED).alias("r")).where("r is not null"))
+    names = rows.select("batch", F.col("name").alias("_name")).distinct()
+    items = replies.select("batch", F.posexplode("r.entities").alias("_pos", "e")).select("batch", "_pos", T.normal_entity("e.name").alias("_name"), F.upper(T.strip("e.type")).alias("label"), "e.aliases")
+    known = items.where(F.col("label").isin(*LABELS)).join(names, ["batch", "_name"], "left_semi")
+    aliases = known.select("batch", "_pos", "label", F.col("_name").alias("_new"), F.explode("aliases").alias("_alias")).withColumn("_name", T.normal_entity("_alias"))
+    last = aliases.groupBy("batch", "_name").agg(F.max_by(F.struct("_new", "label"), "_pos").alias("_to"))
+    moved = rows.select("node_id", "batch", F.col("name").alias("_name")).join(last, ["batch", "_name"])
+    mapped = moved.select(F.col("node_id").alias("old_id"), F.col("_to._new").alias("name"), F.col("_to.label").alias("label"), F.lit(False).alias("removed"))
+    gone = replies.select("batch", F.explode("r.removed_entities").alias("_n")).select("batch", T.normal_entity("_n").alias("name")).distinct()
+    removed = rows.join(gone, ["batch", "name"]).select(F.col("node_id").alias("old_id"), "name", "label", F.lit(True).alias("removed"))
+    return mapped.join(removed.select("old_id"), "old_id", "left_anti").unionByName(removed)
+
+
+def _is_object(reply: str | None, keys: tuple[str, ...]) -> bool:
+    """Whether a reply holds a JSON object with lists under the keys."""
+    import json
+
+    text = reply or ""
+    try:
+        found = json.loads(text[text.index("{") : text.rindex("}") + 1])
+    except ValueError:
+        return False
+    return isinstance(found, dict) and all(isinstance(found.get(k), list) for k in keys)
+
+
+class NameGraphWriter:
+    """The default extractor of chunk graphs, a generator of JSON: runs of capitalised words, each related to the next."""
+
+    def generate(self, prompts) -> list[str]:
+        import json
+
+        import regex
+
+        out = []
+        for p in prompts:
+            found = regex.findall(NAME_RUN, p.split("TEXT:", 1)[1])
+            names = list(dict.fromkeys(found))
+            pairs = list(dict.fromkeys((a, b) for a, b in zip(found, found[1:]) if a != b))
+            out.append(json.dumps({"entities": [{"name": n, "type": "ENTITY", "description": ""} for n in names], "relationships": [{"source": a, "target": b, "type": "NEXT_TO", "description": ""} for a, b in pairs]}))
+        return out
+
+
+_GRAPH = "entities array<struct<name string, type string, description string>>, relationships array<struct<source string, target string, type string, description string>>"
+
+
+def extract_chunk_graph(chunks: DataFrame, chunk_id: str, text: str, model=None, most_entities: int = 12, most_relations: int = 18, attempts: int = 3) -> DataFrame:
+    """(chunk_id, entities, relationships, error): a model's graph of each chunk, cut to the first entities and relations.
+
+    A null or blank text has an empty graph; a chunk without a valid reply has empty arrays and an error, so that it can be
+    asked for again (`unseen` over the chunks without one).
+    """
+    from braidlake.functions.models import asked
+
+    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    valid = lambda reply: _is_object(reply, ())
+    prompt = F.concat(F.lit("Extract a graph as JSON: entities and relationships.\nTEXT:"), "_text")
+    graph = F.from_json(T.json_object(asked(prompt, model or NameGraphWriter(), valid, attempts=attempts)), _GRAPH)
+    read = rows.withColumn("_g", graph)
+    first = lambda name, n: F.slice(F.coalesce(F.col(f"_g.{name}"), F.array().cast(read.schema["_g"].dataType[name].dataType)), 1, n).alias(name)
+    return read.select("chunk_id", first("entities", most_entities), first("relationships", most_relations), F.when(F.col("_g").isNull(), "no valid reply").alias("error"))

@@ -34,4 +34,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if (new["n"], new["h"]) == sign:
             break
         sign = (new["n"], new["h"])
+    else:
+        raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     return own.join(links.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from braidlake.functions import models
 from braidlake.functions import text as T
 from braidlake.functions import vectors as V
-from braidlake.operators import chat, chunking, community, entities, evaluation, graph, search
+from braidlake.operators import chat, chunking, community, entities, evaluation, graph, judging, search
 from braidlake.plans import ask, index
-from braidlake.runtime import checkpointed, read_table
+from braidlake.runtime import checkpointed, numbered, ranked, read_table
 from braidlake.sources.store import replaced_by_source
 from braidlake.streaming.ingest import event_counts
 
@@ -120,6 +120,43 @@ def append_sources(spark: SparkSession, d: str) -> DataFrame:
     return chat.with_sources(marked, hits)
 
 
+@query
+def strip_html(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without tags, with single blanks."""
+    docs = read_table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", T.clean("text", citations=False).alias("text"))
+
+
+@query
+def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks, words and characters of each source."""
+    rows = _chunks(spark, d).select("source", "chunk_id", F.size(T.word_array("text")).alias("words"), F.length("text").alias("chars"))
+    return rows.groupBy("source").agg(F.count("*").alias("chunks"), F.sum("words").alias("words"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.max("words").alias("most_words"))
+
+
+@query
+def text_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Scalar functions over the messages: white space, keys, answers in tags, names from titles, safe folders."""
+    rows = read_table(spark, d, "messages").select("id", "session_id", "role", "content").distinct()
+    tagged = F.concat(F.lit("<thinking>x</thinking> <answer>"), F.coalesce("content", F.lit("")), F.lit("</answer>"))
+    loose = F.concat(F.lit("<Thinking>a b</thinking>"), F.coalesce("content", F.lit("")))
+    lists = F.array("content", F.lit(" x "), F.lit("  "))
+    return rows.select(
+        "id", T.collapse("content").alias("collapsed"), T.substring_count("content", F.lit("the")).alias("parts"), T.document_key("role", "id", "content").alias("key"), T.answer_of(tagged).alias("tagged"), T.answer_of(loose).alias("loose"),
+        T.source_name("role", "content").alias("source_name"), F.array_join(T.filled(lists), "|").alias("filled"), T.safe_folder("session_id").alias("safe"), T.citation(F.lit("C"), "role", "session_id").alias("citation"),
+        T.excerpt(F.lit("C"), F.lit("s"), F.lit(None), "content", 20).alias("excerpt"),
+    )
+
+
+@query
+def mention_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How often each canonical entity is named as whole words in each chunk that holds it."""
+    chunks = _chunks(spark, d)
+    built = index.build_graph(chunks)
+    held = built["entity_chunks"].join(built["nodes"].select("node_id", "name"), "node_id").join(chunks, ["source", "chunk_id"])
+    return held.select("node_id", "source", "chunk_id", T.mention_count(T.collapse("text"), "name").alias("hits"))
+
+
 @query
 def citations(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "documents").select("doc_id", F.concat(F.lit("see ["), F.format_string("CHUNK-%06d", F.col("doc_id") % 1000), F.lit("] and [CHUNK-000007], [CHUNK-12]")).alias("answer"))
@@ -149,14 +186,26 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query
+def dense_topk_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Each label's centre as a question: the nearest vectors of the whole table."""
+    vectors = read_table(spark, d, "embeddings")
+    parts = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
+    centres = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("centre"))
+    found = search.dense_topk(vectors, "vec_id", "embedding", centres, "label", "centre", 10)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
+    """Dense and BM25 rankings of documents for the held-out questions; a vector belongs to the document or item of its number."""
     vectors = read_table(spark, d, "embeddings")
-    asked = vectors.where("vec_id % 20 = 0")
-    half = lambda df: df.select("vec_id", F.slice("embedding", 1, 32).alias("embedding"))
-    dense = search.dense_topk(vectors, "vec_id", "embedding", asked, "vec_id", "embedding")
-    other = search.dense_topk(half(vectors), "vec_id", "embedding", half(asked), "vec_id", "embedding")
-    return search.fuse(dense, other, top=20).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank", "dense_rank", "sparse_rank")
+    docs, items = read_table(spark, d, "documents"), read_table(spark, d, "eval_items")
+    asked = items.select("item_id", "question").join(vectors.withColumnRenamed("vec_id", "item_id"), "item_id")
+    own = vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    dense = search.dense_topk(own, "vec_id", "embedding", asked, "item_id", "embedding")
+    sparse = search.bm25_topk(docs, "doc_id", "text", asked, "item_id", "question")
+    return search.fuse(dense, sparse, top=20).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank", "dense_rank", "sparse_rank")
 
 
 @query
@@ -208,14 +257,18 @@ def top_entities(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def merge_entities(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "v2_entities").distinct()
-    extracted = rows.select(F.col("id").alias("pos"), "name", "type", F.get("descriptions", F.lit(0)).alias("description"), F.get("chunk_ids", F.lit(0)).alias("chunk_id"))
-    return entities.merge_entities(extracted)
+    rows = read_table(spark, d, "v2_entities").select("id", "name", "type", "descriptions", "chunk_ids").distinct()
+    place = lambda i: F.concat("id", F.format_string("|%04d", i))
+    none = F.lit(None).cast("string")
+    plain = rows.select(F.col("id").alias("pos"), "name", "type", none.alias("description"), none.alias("chunk_id"))
+    said = rows.select("id", "name", "type", F.posexplode("descriptions").alias("i", "description")).select(place(F.col("i")).alias("pos"), "name", "type", "description", none.alias("chunk_id"))
+    held = rows.select("id", "name", "type", F.posexplode("chunk_ids").alias("i", "chunk_id")).select(place(F.col("i")).alias("pos"), "name", "type", none.alias("description"), "chunk_id")
+    return entities.merge_entities(plain.unionByName(said).unionByName(held))
 
 
 @query
 def merge_relationships(spark: SparkSession, d: str) -> DataFrame:
-    return entities.merge_relations(read_table(spark, d, "v2_relationships").distinct())
+    return entities.described_relations(read_table(spark, d, "v2_relationships").distinct())
 
 
 @query
@@ -241,8 +294,9 @@ def weighted_degree(spark: SparkSession, d: str) -> DataFrame:
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
     links = _links(spark, d)
     nodes = read_table(spark, d, "v2_entities").agg(F.count_distinct("id").alias("nodes"))
-    both = links.agg(F.count("*").alias("edges")).withColumn("nodes", nodes.scalar())
-    return both.select("nodes", "edges", V.density("nodes", "edges").alias("density"))
+    parts = _components(spark, d).agg(F.count_distinct("group").alias("communities"))
+    both = links.agg(F.count("*").alias("edges")).withColumn("nodes", nodes.scalar()).withColumn("communities", parts.scalar())
+    return both.select("nodes", "edges", "communities", V.density("nodes", "edges").alias("density"))
 
 
 @query
@@ -268,8 +322,9 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def khop_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    seeds = spark.createDataFrame([("ENT-000000014",)], "node string")
-    return entities.within_hops(seeds, _links(spark, d), 2)
+    """All nodes within two hops of the entities that stand in most chunks."""
+    most = _held(spark, d).groupBy(F.col("node_id").alias("node")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node").limit(5)
+    return entities.within_hops(most, _links(spark, d), 2)
 
 
 @query
@@ -297,12 +352,92 @@ def community_relationships(spark: SparkSession, d: str) -> DataFrame:
     return entities.induced(_links(spark, d), _components(spark, d)).select("group", "src", "dst", "weight")
 
 
+def _named_graph(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The canonical graph of chunk mentions, its components as communities, and their chunks."""
+    chunks = _chunks(spark, d)
+    built = {k: checkpointed(v) for k, v in index.build_graph(chunks).items() if k != "mentions"}
+    parts = graph.connected_components(built["edges"]).select("node", F.col("component").alias("community_id"))
+    members = checkpointed(parts.join(built["nodes"].select(F.col("node_id").alias("node"), "mention_count"), "node"))
+    held = built["entity_chunks"].withColumnRenamed("node_id", "node")
+    candidates = members.join(held, "node").select("community_id", "source", "chunk_id").distinct().join(chunks, ["source", "chunk_id"])
+    return built | {"members": members, "held": held, "candidates": candidates}
+
+
+@query
+def entity_chunks_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return index.build_graph(_chunks(spark, d))["entity_chunks"]
+
+
 @query
 def rank_community_entities(spark: SparkSession, d: str) -> DataFrame:
-    counts = _held(spark, d).groupBy(F.col("node_id").alias("node")).agg(F.count("*").alias("mention_count"))
-    members = checkpointed(_components(spark, d).withColumnRenamed("group", "community_id")).join(counts, "node", "left").na.fill(0, ["mention_count"])
-    none = spark.createDataFrame([], "community_id string, node string, coverage int, hits int")
-    return community.rank_entities(members, _links(spark, d), none).select("community_id", "node", "score", "rank")
+    """Entities of each component by mentions, degree, chunks that name them and how often they do."""
+    g = _named_graph(spark, d)
+    matches = community.entity_matches(g["members"].select("community_id", "node"), g["candidates"])
+    ranked = community.rank_entities(g["members"], g["edges"], checkpointed(matches))
+    return ranked.select("community_id", "node", "coverage", "hits", F.round("score", 4).alias("score"), "rank")
+
+
+def _listed(spark: SparkSession, d: str) -> DataFrame:
+    links, held = _links(spark, d), _held(spark, d).withColumnRenamed("node_id", "node")
+    counts = held.groupBy("node").agg(F.count("*").alias("mention_count"))
+    members = _components(spark, d).select(F.col("group").alias("community_id"), "node").join(counts, "node", "left").na.fill(0, ["mention_count"])
+    nodes = read_table(spark, d, "v2_entities").select(F.col("id").alias("node")).distinct().join(links.select(F.col("src").alias("node")).union(links.select("dst")), "node", "left_anti")
+    alone = nodes.select(F.col("node").alias("community_id"), "node").join(counts, "node", "left").na.fill(0, ["mention_count"])
+    # The components of this graph are few and some hold most of it, so members are ranked over range partitions.
+    all_ = members.unionByName(alone).withColumn("_m", -F.col("mention_count")).withColumn("_l", F.lower("node"))
+    return community.community_list(ranked(all_, ["community_id"], ["_m", "_l", "node"], "member_rank"), held)
+
+
+@query
+def community_list(spark: SparkSession, d: str) -> DataFrame:
+    return _listed(spark, d).withColumn("top_entities", F.array_join("top_entities", "|"))
+
+
+@query
+def community_view(spark: SparkSession, d: str) -> DataFrame:
+    return community.community_view(_listed(spark, d)).withColumn("top_entities", F.array_join("top_entities", "|"))
+
+
+def _v2(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Tables of the hierarchical index over v2_entities and v2_relationships; chunks are known by their string keys."""
+    rows = read_table(spark, d, "v2_entities").select("id", "name", "type", "descriptions", "chunk_ids").distinct()
+    relations = read_table(spark, d, "v2_relationships").distinct()
+    own = rows.groupBy("id").agg(F.min(F.struct("name", F.coalesce("type", F.lit("")).alias("type"), T.description("descriptions").alias("description"))).alias("e")).select("id", "e.*")
+    held = rows.select("id", F.posexplode("chunk_ids").alias("pos", "chunk_id")).groupBy("id", "chunk_id").agg(F.min("pos").alias("pos"))
+    chunks = _chunks(spark, d).select(T.chunk_key("source", "chunk_id").alias("chunk_id"), "source", F.lit(None).cast("int").alias("page"), "text")
+    return {"entities": own, "relations": entities.described_relations(relations), "entity_chunks": held, "relation_chunks": entities.relation_chunks(relations), "chunks": chunks, "links": _links(spark, d)}
+
+
+@query
+def report_context(spark: SparkSession, d: str) -> DataFrame:
+    """The context of a report on each component: 25 entities, 35 relations, 12 excerpts."""
+    t = _v2(spark, d)
+    groups = _components(spark, d).select(F.col("group").alias("community_id"), "node")
+    found = community.report_contexts(groups, t["links"], t["entities"], t["relations"], t["entity_chunks"], t["relation_chunks"], t["chunks"])
+    return found.select("community_id", "context", F.array_join("chunk_ids", "|").alias("chunk_ids"))
+
+
+@query
+def community_reports(spark: SparkSession, d: str) -> DataFrame:
+    t = _v2(spark, d)
+    groups = _components(spark, d).select(F.col("group").alias("community_id"), "node")
+    found = community.report_contexts(groups, t["links"], t["entities"], t["relations"], t["entity_chunks"], t["relation_chunks"], t["chunks"])
+    return community.community_reports(found).select("community_id", "title", "summary", F.size("findings").alias("findings"), F.size("chunk_ids").alias("chunks"))
+
+
+@query
+def clean_entities(spark: SparkSession, d: str) -> DataFrame:
+    """What the default cleaner makes of the mentioned entities, in batches of 25."""
+    return entities.clean_entities(entities.node_stats(entities.mentions(_chunks(spark, d))))
+
+
+@query
+def chunk_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """The default extractor's graph of each chunk, 12 entities and 18 relations at most."""
+    rows = _chunks(spark, d).select(T.chunk_key("source", "chunk_id").alias("chunk_id"), "text")
+    found = entities.extract_chunk_graph(rows, "chunk_id", "text")
+    pair = lambda r: F.concat(r["source"], F.lit(">"), r["target"])
+    return found.select("chunk_id", F.array_join(F.transform("entities", lambda e: e["name"]), "|").alias("entities"), F.array_join(F.transform("relationships", pair), "|").alias("relations"), "error")
 
 
 @query
@@ -353,9 +488,60 @@ def hybrid_query(spark: SparkSession, d: str) -> DataFrame:
     return _retriever(spark, d).hybrid(_questions(spark, d))
 
 
+@query
+def global_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The three nearest community summaries of each held-out question."""
+    return _retriever(spark, d).global_summaries(_questions(spark, d))
+
+
+def _explorer(spark: SparkSession, d: str) -> ask.Explorer:
+    """An explorer over v2 tables; chunks are numbered as the ids that answers cite."""
+    t = _v2(spark, d)
+    ids = checkpointed(numbered(t["chunks"], ["chunk_id"], "_n").withColumn("id", F.format_string("CHUNK-%06d", "_n")))
+    moved = ids.select("chunk_id", "id")
+    renamed = lambda df: df.join(moved.withColumnRenamed("id", "_id"), "chunk_id").drop("chunk_id").withColumnRenamed("_id", "chunk_id")
+    groups = _components(spark, d).select(F.col("group").alias("community_id"), "node")
+    chunks = checkpointed(ids.select(F.col("id").alias("chunk_id"), "source", "page", "text"))
+    held, told = checkpointed(renamed(t["entity_chunks"])), checkpointed(renamed(t["relation_chunks"]))
+    contexts = community.report_contexts(groups, t["links"], t["entities"], t["relations"], held, told, chunks)
+    reports = community.community_reports(contexts).select("community_id", "text")
+    return ask.Explorer({"chunks": chunks, "entities": checkpointed(t["entities"]), "links": t["links"], "entity_chunks": held, "reports": checkpointed(reports)})
+
+
 @query
 def drift_search(spark: SparkSession, d: str) -> DataFrame:
-    return ask.drift(_retriever(spark, d), _questions(spark, d), depth=1)
+    """The trace of exploratory search, to depth 2 with three follow-ups."""
+    trace = _explorer(spark, d).search(_questions(spark, d))["trace"]
+    return trace.select("query_id", "depth", "number", "question", "answer", F.array_join("chunk_ids", "|").alias("chunk_ids"))
+
+
+@query
+def drift_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Final answers of exploratory search with the number of sources they cite."""
+    found = _explorer(spark, d).search(_questions(spark, d), depth=1)
+    cited = found["sources"].groupBy("query_id").agg(F.count("*").alias("cited"))
+    return found["answers"].join(cited, "query_id", "left").select("query_id", "answer", F.coalesce("cited", F.lit(0)).alias("cited"))
+
+
+@query
+def ask_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's last question in each session, answered from the chunks by hybrid retrieval with the session's history."""
+    messages, sessions = read_table(spark, d, "messages"), read_table(spark, d, "sessions")
+    rows = messages.where((F.lower(T.strip("role")) == "user") & (T.strip("content") != "")).groupBy("session_id").agg(F.max_by("content", F.struct("created_at", "id")).alias("question"))
+    owners = sessions.select(F.col("id").alias("session_id"), "user_id").distinct()
+    asked = rows.join(owners, "session_id").select(F.col("session_id").alias("query_id"), "session_id", "user_id", "question")
+    found = ask.converse(_retriever(spark, d), asked, messages, sessions)
+    return found.select("query_id", "session_id", "answer", "metadata.mode", "metadata.num_hits", "metadata.communities_used", F.array_join("metadata.sources", "|").alias("sources"))
+
+
+@query
+def cited_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks cited by texts that name the documents of the chunk before and after: unknown ids drop out."""
+    ids = numbered(_chunks(spark, d), ["source", "chunk_id"], "n")
+    chunks = checkpointed(ids.select(F.format_string("CHUNK-%06d", "n").alias("chunk_id"), "source", F.lit(None).cast("int").alias("page"), "n"))
+    mark = lambda c: F.concat(F.lit("["), F.format_string("CHUNK-%06d", c), F.lit("]"))
+    answered = chunks.select(F.col("n").alias("query_id"), F.concat(F.lit("See "), mark(F.col("n") + 1), F.lit(" and "), mark(F.abs(F.col("n") - 1)), F.lit(" or [CHUNK-1].")).alias("answer"))
+    return ask.cited_sources(answered, chunks).select("query_id", "chunk_id", "source")
 
 
 @query
@@ -380,6 +566,31 @@ def session_titles(spark: SparkSession, d: str) -> DataFrame:
     return chat.titles(read_table(spark, d, "messages"))
 
 
+@query
+def user_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """The sessions of the user who has most, the latest first."""
+    sessions = read_table(spark, d, "sessions")
+    top = sessions.distinct().groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").first()
+    return chat.sessions_of(sessions, top["user_id"]).select("id", "title", "updated_at") if top else sessions.select("id", "title", "updated_at")
+
+
+@query
+def session_messages(spark: SparkSession, d: str) -> DataFrame:
+    """All messages of every session that has a row, with their owner, in order."""
+    sessions, messages = read_table(spark, d, "sessions"), read_table(spark, d, "messages")
+    return chat.messages_of(sessions, messages).select("user_id", "session_id", "turn", "id")
+
+
+@query
+def deleted_session(spark: SparkSession, d: str) -> DataFrame:
+    """What each table keeps when the first session is deleted with all that belongs to it."""
+    sessions = read_table(spark, d, "sessions")
+    first = sessions.orderBy("id").select("id", "user_id").first()
+    kept = chat.delete_session(sessions, read_table(spark, d, "messages"), read_table(spark, d, "files"), first["id"] if first else -1, first["user_id"] if first else -1)
+    count = lambda name, df: df.agg(F.lit(name).alias("tab"), F.count("*").alias("n"))
+    return count("sessions", kept[0]).unionByName(count("messages", kept[1])).unionByName(count("files", kept[2]))
+
+
 @query
 def orphan_sessions(spark: SparkSession, d: str) -> DataFrame:
     both = read_table(spark, d, "messages").select("session_id").union(read_table(spark, d, "files").select("session_id"))
@@ -436,6 +647,38 @@ def judged_scores(spark: SparkSession, d: str) -> DataFrame:
     return judged.select("id", F.round(share, 6).alias("share"), F.round(fact, 6).alias("factuality"), evaluation.relevance(F.col("n") % 4).alias("relevance"), F.round(evaluation.weighted(share, fact), 6).alias("correctness"))
 
 
+def _to_judge(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "predictions").where("error is null").select("id", "question", "generated_answer", "gold_answer", "evidence").distinct()
+    return rows.withColumn("contexts", F.array("evidence"))
+
+
+@query
+def faithfulness(spark: SparkSession, d: str) -> DataFrame:
+    return judging.with_faithfulness(_to_judge(spark, d), "question", "generated_answer", "contexts", "score").select("id", F.round("score", 6).alias("score"))
+
+
+@query
+def coverage(spark: SparkSession, d: str) -> DataFrame:
+    return judging.with_coverage(_to_judge(spark, d), "question", "gold_answer", "generated_answer", "score").select("id", F.round("score", 6).alias("score"))
+
+
+@query
+def context_recall(spark: SparkSession, d: str) -> DataFrame:
+    return judging.with_context_recall(_to_judge(spark, d), "question", "contexts", "gold_answer", "score").select("id", F.round("score", 6).alias("score"))
+
+
+@query
+def context_relevance(spark: SparkSession, d: str) -> DataFrame:
+    return judging.with_context_relevance(_to_judge(spark, d), "question", "contexts", "score").select("id", "score")
+
+
+@query
+def answer_correctness(spark: SparkSession, d: str) -> DataFrame:
+    """Factuality alone (all weight on it), so that SQL can check it; the similarity of vectors has its own tests."""
+    found = judging.with_correctness(_to_judge(spark, d), "question", "generated_answer", "gold_answer", "score", weights=(1.0, 0.0))
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
 # Store and stream
 
 
@@ -446,6 +689,21 @@ def replace_by_source(spark: SparkSession, d: str) -> DataFrame:
     return replaced_by_source(old, new)
 
 
+@query
+def ingest_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of an ingest of all files: texts, paragraphs before and after cleaning."""
+    files = read_table(spark, d, "files").select(F.col("id").cast("string").alias("source"), "text").distinct()
+    return index.ingest_stats(files, 120, 20).where("step <> 'new_chunks'")
+
+
+@query
+def chunk_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 200 byte-pair tokens over all files: how many per file, and the most tokens of one."""
+    files = read_table(spark, d, "files").select("id", "text").distinct()
+    found = chunking.chunk_by_tokens(files, "id", "text", 200, 40, models.BytePairCounter("/opt/tokenizers/byte_bpe_50k.tiktoken"))
+    return found.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("chunks"), F.max("token_count").alias("most_tokens"))
+
+
 @query
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     counted = event_counts(read_table(spark, d, "events"))
@@ -512,6 +770,9 @@ _LINKS = f"""r as (select distinct * from v2_relationships), l as (select least(
 from r where source <> target group by 1, 2), l2 as (select src, dst, weight from l union all select dst, src, weight from l), dg as (select src as node, sum(weight)::bigint as degree, count(*) as neighbours from l2 group by 1)"""
 _HELD = "h as (select distinct node_id, source, chunk_id from entity_chunks where node_id is not null and source is not null and chunk_id is not null)"
 _COMPONENTS = f"""with recursive {_LINKS}, reach as (select src as node, src as low from l2 union select l2.dst, reach.low from reach join l2 on l2.src = reach.node), cc as (select node, min(low) as component from reach group by 1), {_HELD}"""
+_LISTED = _COMPONENTS + f""", mc as (select node_id as node, count(*) as n from h group by 1), mb as (select component as community_id, node from cc union all select distinct id, id from v2_entities where id not in (select node from cc)), rk as (select mb.*, row_number() over (partition by community_id order by coalesce(n, 0) desc, lower(node), node) as k from mb left join mc using (node)),
+nc as (select community_id, count(distinct (source, chunk_id)) as num_chunks from mb join h on h.node_id = mb.node group by 1),
+listed as (select community_id, count(*) as size, string_agg(node, '|' order by k) filter (where k <= 7) as top7, string_agg(node, '|' order by k) filter (where k <= 5) as top5, coalesce(any_value(num_chunks), 0) as num_chunks from rk left join nc using (community_id) group by 1)"""
 _BM25 = f"""with t as (select doc_id, {_tokens('text')} as ts from documents), dl as (select doc_id, len(ts) as dl, ts from t where len(ts) > 0), g as (select count(*) as n, avg(dl) as avgdl from dl),
 tf as (select doc_id, dl, term, count(*) as tf from (select doc_id, dl, unnest(ts) as term from dl) group by all), dfs as (select term, count(*) as df from tf group by 1),
 raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from dfs, g), idf as (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw),
@@ -520,6 +781,28 @@ sc as (select item_id as query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf
 rk as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc where score > 0)"""
 
 
+_MERGED = f"""r as (select distinct source, target, {_TYPE} as type, descriptions, chunk_ids, weight, type as raw from v2_relationships),
+rw as (select source, target, type, count(*) as weight from r group by 1, 2, 3),
+rd as (select source, target, type, description, min(pos) as p from (select source, target, type, unnest(descriptions) as description, unnest(range(len(descriptions))) as pos from r) where trim(description) <> '' group by 1, 2, 3, 4),
+rn as (select *, row_number() over (partition by source, target, type order by p, description) as k from rd), rt as (select source, target, type, string_agg(description, ' ' order by k) as description from rn where k <= 6 group by 1, 2, 3),
+rc as (select source, target, type, chunk_id, min(pos) as pos from (select source, target, type, unnest(chunk_ids) as chunk_id, unnest(range(len(chunk_ids))) as pos from r) where trim(chunk_id) <> '' group by 1, 2, 3, 4), rk as (select source, target, type, count(*) as chunk_count from rc group by 1, 2, 3),
+merged as (select rw.*, coalesce(description, '') as description, coalesce(chunk_count, 0) as chunk_count from rw left join rt using (source, target, type) left join rk using (source, target, type))"""
+
+
+def _support(text: str, statement: str) -> str:
+    """1 if at least half of the statement's tokens stand in the list of tokens."""
+    own = _rouge(statement)
+    return f"case when len({own}) > 0 and 2 * len(list_filter({own}, lambda t: list_contains({text}, t))) >= len({own}) then 1 else 0 end"
+
+
+def _sentences(x: str) -> str:
+    return f"list_filter(list_transform(string_split(regexp_replace(coalesce({x}, ''), '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, e' \\t\\r\\n')), lambda s: s <> '')"
+
+
+_JUDGED = f"""with p as (select distinct id, question, generated_answer as a, gold_answer as g, evidence as e from predictions where error is null), j as (select id, question, {_strip("coalesce(a, '')")} as a, {_strip("coalesce(g, '')")} as g, coalesce(g, '') as raw, {_strip("coalesce(e, '')")} as e from p),
+k as (select *, {_sentences('a')} as sa, {_sentences('g')} as sg, {_rouge('a')} as ta, {_rouge('raw')} as tg, {_rouge('e')} as te from j)"""
+
+
 def _cosine(table: str, vector: str) -> str:
     return f"""select q.vec_id as query_id, v.vec_id as doc_id, round(greatest(0, least(1, coalesce(list_cosine_similarity({vector.format(a='q')}::double[], {vector.format(a='v')}::double[]), 0))), 9) as score
 from {table} q, {table} v where q.vec_id % 20 = 0"""
@@ -553,9 +836,12 @@ substr(md5(name), 1, 10) as hash, coalesce(array_to_string(list_filter(descripti
         "event_props": "select event_type, count(try_cast(json_extract_string(props, '$.k') as int)) as n, sum(coalesce(try_cast(json_extract_string(props, '$.k') as double), 1.0)) as total from events group by 1",
         "citations": "select chunk_id, count(*) as n from (select doc_id, unnest(list_distinct([format('CHUNK-{:06d}', doc_id % 1000), 'CHUNK-000007'])) as chunk_id from documents) group by 1",
         "dense_topk": f"with s as ({_cosine('embeddings', '{a}.embedding')}), r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) select query_id, doc_id, round(score, 6) as score, rank from r where rank <= 20",
-        "rrf_fuse": f"""with d as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as dense_rank from ({_cosine('embeddings', '{a}.embedding')})), s as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as sparse_rank from ({_cosine('embeddings', '{a}.embedding[1:32]')})),
-j as (select coalesce(d.query_id, s.query_id) as query_id, coalesce(d.doc_id, s.doc_id) as doc_id, dense_rank, sparse_rank, coalesce(0.6::double / (60 + dense_rank), 0) + coalesce(0.4::double / (60 + sparse_rank), 0) as score from (select * from d where dense_rank <= 20) d full join (select * from s where sparse_rank <= 20) s on d.query_id = s.query_id and d.doc_id = s.doc_id),
+        "rrf_fuse": _BM25.replace("with t as", f"with cosine as (select q.item_id as query_id, v.vec_id as doc_id, round(greatest(0, least(1, coalesce(list_cosine_similarity(e.embedding::double[], v.embedding::double[]), 0))), 9) as score from eval_items q join embeddings e on e.vec_id = q.item_id join embeddings v on v.vec_id in (select doc_id from documents)), t as", 1)
+        + """, d as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as dense_rank from cosine), s as (select query_id, doc_id, rank as sparse_rank from rk where rank <= 20 and query_id in (select vec_id from embeddings)),
+j as (select coalesce(d.query_id, s.query_id) as query_id, coalesce(d.doc_id, s.doc_id) as doc_id, dense_rank, sparse_rank, coalesce(0.6::double / (60 + dense_rank), 0) + coalesce(0.4::double / (60 + sparse_rank), 0) as score from (select * from d where dense_rank <= 20) d full join s on d.query_id = s.query_id and d.doc_id = s.doc_id),
 k as (select *, row_number() over (partition by query_id order by score desc, dense_rank nulls last, sparse_rank nulls last, doc_id) as rank from j) select query_id, doc_id, round(score, 9) as score, rank, dense_rank, sparse_rank from k where rank <= 20""",
+        "dense_topk_batch": """with x as (select label, i, round(avg(embedding[i]::double), 6) as x from (select label, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings) group by 1, 2), c as (select label, list(x order by i) as centre from x group by 1),
+s as (select label as query_id, vec_id as doc_id, round(greatest(0, least(1, coalesce(list_cosine_similarity(centre, embedding::double[]), 0))), 9) as score from c, (select vec_id, embedding from embeddings)), r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) select query_id, doc_id, round(score, 6) as score, rank from r where rank <= 10""",
         "vector_functions": "with p as (select a.vec_id, a.embedding::double[] as x, b.embedding::double[] as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1), c as (select vec_id, list_dot_product(x, y) as d, coalesce(list_cosine_similarity(x, y), 0) as c, sqrt(list_dot_product(x, x)) as n from p) select vec_id, round(d, 4) as dot, round(c, 4) as cosine, round(greatest(0, least(1, c)), 4) as clamped, round((greatest(-1, least(1, c)) + 1) / 2, 4) as similarity, round(n / n, 4) as length from c",
         "entity_mentions": f"with {_MENTIONS} select source, chunk_id, sent_id, pos, name, label from m",
         "node_stats": f"with {_MENTIONS} select * from n",
@@ -564,23 +850,74 @@ k as (select *, row_number() over (partition by query_id order by score desc, de
         "canonicalize_entities": f"with {_CANON} select new_id as node_id, name, label, sum(mention_count)::bigint as mention_count, any_value(chunk_count) as chunk_count from cv join ch using (new_id) group by 1, 2, 3",
         "canonicalize_edges": f"with {_CANON}, x as (select least(a.new_id, b.new_id) as src, greatest(a.new_id, b.new_id) as dst, source, chunk_id, sum(weight) as weight from ec join cv a on a.node_id = src join cv b on b.node_id = dst where a.new_id <> b.new_id group by all) select src, dst, sum(weight)::bigint as weight, count(*) as chunk_count from x group by 1, 2",
         "top_entities": f"with {_MENTIONS} select node_id, mention_count from n order by mention_count desc, node_id limit 25",
-        "merge_entities": f"""with x as (select distinct id as pos, name, type, descriptions[1] as description, chunk_ids[1] as chunk_id, {_slug('name')} as id from v2_entities where {_plain('name')} <> ''),
-g as (select id, arg_min(name, pos) as name, first(type order by pos) as type, list(description order by pos) filter (where trim(description) <> '') as ds, list(chunk_id order by pos) filter (where trim(chunk_id) <> '') as cs from x group by 1)
-select id, name, type, coalesce(array_to_string(list_transform(list_filter(ds, lambda v, i: list_position(ds, v) = i), lambda v: v)[1:6], ' '), '') as description, coalesce(len(list_distinct(cs)), 0)::bigint as chunk_count from g""",
-        "merge_relationships": f"select source, target, {_TYPE} as type, count(*) as weight from (select distinct * from v2_relationships) group by all",
+        "merge_entities": f"""with v as (select distinct id as vid, name, type, descriptions, chunk_ids, {_slug('name')} as id from v2_entities where {_plain('name')} <> ''),
+h as (select id, arg_min(name, vid) as name, first(type order by vid) as type from v group by 1), ds as (select id, description, min(vid || '|' || printf('%04d', i)) as p from (select id, vid, unnest(descriptions) as description, unnest(range(len(descriptions))) as i from v) where trim(description) <> '' group by 1, 2),
+dn as (select *, row_number() over (partition by id order by p, description) as k from ds), dt as (select id, string_agg(description, ' ' order by k) as description from dn where k <= 6 group by 1), cs as (select id, count(distinct c) as chunk_count from (select id, unnest(chunk_ids) as c from v) where trim(c) <> '' group by 1)
+select id, name, type, coalesce(description, '') as description, coalesce(chunk_count, 0) as chunk_count from h left join dt using (id) left join cs using (id)""",
+        "merge_relationships": f"with {_MERGED} select * from merged",
         "resolve_relations": f"with {_MENTIONS}, p as (select {_slug('a.name')} as source, {_slug('b.name')} as target from m a join m b on a.source = b.source and a.chunk_id = b.chunk_id and a.sent_id = b.sent_id and b.pos = a.pos + 1) select source, target, 'RELATED_TO' as type, count(*) as weight from p where source <> target group by 1, 2",
         "collapse_graph": f"with {_LINKS} select * from l",
         "weighted_degree": f"with {_LINKS} select * from dg",
-        "graph_stats": f"with {_LINKS}, x as (select (select count(distinct id) from v2_entities) as nodes, (select count(*) from l) as edges) select nodes, edges, case when nodes > 1 then round(2.0 * edges / (nodes * (nodes - 1.0)), 4)::double else 0 end as density from x",
+        "graph_stats": _COMPONENTS + ", x as (select (select count(distinct id) from v2_entities) as nodes, (select count(*) from l) as edges, (select count(distinct component) from cc) as communities) select nodes, edges, communities, case when nodes > 1 then round(2.0 * edges / (nodes * (nodes - 1.0)), 4)::double else 0 end as density from x",
         "graph_view": f"with {_LINKS}, t as (select node from dg order by degree desc, node limit 20) select src, dst, weight from l where src in (select node from t) and dst in (select node from t)",
         "trade_graph": "with p as (select l_suppkey, o_custkey, count(*) as weight from lineitem join orders on l_orderkey = o_orderkey group by 1, 2) select l_suppkey, sum(weight)::bigint as degree, count(*) as customers from p group by 1",
         "connected_components": _COMPONENTS + " select node, component from cc",
-        "khop_neighbors": f"with {_LINKS}, a as (select distinct dst as node from l2 where src = 'ENT-000000014' and dst <> 'ENT-000000014'), b as (select distinct dst as node from l2 where src in (select node from a) and dst <> 'ENT-000000014' and dst not in (select node from a)) select 'ENT-000000014' as node, 0 as hop union all select node, 1 from a union all select node, 2 from b",
+        "khop_neighbors": f"with {_LINKS}, {_HELD}, s as (select node_id as node from h group by 1 order by count(*) desc, node_id limit 5), a as (select distinct dst as node from l2 where src in (select node from s) and dst not in (select node from s)), b as (select distinct dst as node from l2 where src in (select node from a) and dst not in (select node from a) and dst not in (select node from s)) select node, 0 as hop from s union all select node, 1 from a union all select node, 2 from b",
         "neighbor_expansion": f"with {_LINKS}, {_HELD}, n as (select src as seed, dst as neighbour, weight, row_number() over (partition by src order by weight desc, dst) as r from l2 where src in (select id from v2_entities)), k as (select *, row_number() over (partition by node_id order by source || '_' || chunk_id) as r from h) select seed, neighbour, weight, source, chunk_id from n join k on k.node_id = neighbour where n.r <= 5 and k.r <= 20",
         "community_chunks": _COMPONENTS + ", x as (select distinct component, source || '_' || chunk_id as chunk_key from cc join h on h.node_id = node), y as (select *, row_number() over (partition by component order by chunk_key) as k from x) select component as \"group\", chunk_key, k from y where k <= 6",
         "community_relationships": _COMPONENTS + ' select a.component as "group", src, dst, weight from l join cc a on a.node = src join cc b on b.node = dst where a.component = b.component',
-        "rank_community_entities": _COMPONENTS
-        + ", mc as (select node_id as node, count(*) as n from h group by 1), x as (select component as community_id, cc.node, round(ln(1 + coalesce(n, 0)) + 1.5 * ln(1 + coalesce(degree, 0)), 6) as score from cc left join mc using (node) left join dg using (node)) select *, row_number() over (partition by community_id order by score desc, lower(node), node) as rank from x",
+        "entity_chunks_canonical": f"with {_CANON} select distinct new_id as node_id, source, chunk_id from (select distinct label || '::' || name as node_id, source, chunk_id from m) h join cv using (node_id)",
+        "rank_community_entities": f"""with recursive {_CANON}, nn as (select new_id as node, name, sum(mention_count)::bigint as mentions from cv group by 1, 2), ce as (select least(a.new_id, b.new_id) as src, greatest(a.new_id, b.new_id) as dst, sum(weight)::bigint as weight from ec join cv a on a.node_id = src join cv b on b.node_id = dst where a.new_id <> b.new_id group by 1, 2),
+e2 as (select src, dst, weight from ce union all select dst, src, weight from ce), reach as (select src as node, src as low from e2 union select e2.dst, reach.low from reach join e2 on e2.src = reach.node), co as (select node, min(low) as community_id from reach group by 1),
+held as (select distinct new_id as node, source, chunk_id from (select distinct label || '::' || name as node_id, source, chunk_id from m) h join cv using (node_id)), ca as (select distinct community_id, source, chunk_id from co join held using (node)),
+tx as (select community_id, source, chunk_id, ' ' || regexp_replace(lower({_collapse('text')}), '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g') || ' ' as t from ca join c using (source, chunk_id) where text is not null),
+hi as (select co.community_id, co.node, len(regexp_extract_all(t, '[^\\p{{L}}\\p{{N}}_]' || regexp_escape(regexp_replace(name, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g')) || '[^\\p{{L}}\\p{{N}}_]')) as n from co join nn using (node) join tx on tx.community_id = co.community_id where contains(t, regexp_replace(name, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g'))),
+hm as (select community_id, node, count(*) as coverage, sum(n)::bigint as hits from hi where n > 0 group by 1, 2), de as (select src as node, sum(weight) as degree from e2 group by 1),
+x as (select co.community_id, co.node, coalesce(coverage, 0) as coverage, coalesce(hits, 0) as hits, round(ln(1 + mentions) + 1.5 * ln(1 + coalesce(degree, 0)) + 2.0 * coalesce(coverage, 0) + 0.5 * ln(1 + coalesce(hits, 0)), 6) as score from co join nn using (node) left join hm on hm.community_id = co.community_id and hm.node = co.node left join de on de.node = co.node)
+select community_id, node, coverage, hits, round(score, 4) as score, row_number() over (partition by community_id order by score desc, lower(node), node) as rank from x""",
+        "community_list": _LISTED + " select community_id, size, top7 as top_entities, num_chunks, 'No summary yet.' as summary from listed",
+        "community_view": _LISTED + " select community_id, size, top5 as top_entities, num_chunks, 'No summary yet.' as summary from listed where size <> 1",
+        "report_context": _COMPONENTS
+        + f""", v as (select distinct id, name, coalesce(type, '') as type, coalesce(array_to_string(list_filter(list_distinct_ordered, lambda x: true)[1:6], ' '), '') as description from (select distinct id, name, type, list_filter(list_filter(descriptions, lambda x: x is not null and trim(x) <> ''), lambda x, i: list_position(list_filter(descriptions, lambda y: y is not null and trim(y) <> ''), x) = i) as list_distinct_ordered from v2_entities)),
+en as (select id, min((name, type, description)) as e from v group by 1), {_MERGED.replace('r as (', 'r0 as (', 1).replace('from r)', 'from r0)').replace('from r group', 'from r0 group')},
+sel as (select * from (select component, cc.node, row_number() over (partition by component order by coalesce(degree, 0) desc, cc.node) as k from cc left join dg using (node)) where k <= 25), se as (select component, k, node, e from sel join en on en.id = node),
+el as (select component, string_agg('- ' || e[1] || ' [' || e[2] || ']: ' || e[3], chr(10) order by k) as t from se group by 1),
+bt as (select *, row_number() over (partition by component order by weight desc, source, target, type) as k from (select a.component, m.*, a.e[1] as sn, b.e[1] as tn from merged m join se a on a.node = m.source join se b on b.node = m.target where a.component = b.component)), b35 as (select * from bt where k <= 35),
+rl as (select component, string_agg('- ' || sn || ' --' || type || '--> ' || tn || ': ' || description, chr(10) order by k) as t from b35 group by 1),
+ch as (select component, chunk_id, min((0, k, pos)) as place from (select component, k, unnest(chunk_ids) as chunk_id, unnest(range(len(chunk_ids))) as pos from se join (select distinct id, chunk_ids from v2_entities) q on q.id = node) group by 1, 2
+union all select component, chunk_id, min((1, b35.k, pos)) from b35 join rc using (source, target, type) group by 1, 2),
+cu as (select component, chunk_id, min(place) as place from ch group by 1, 2), c12 as (select * from (select *, row_number() over (partition by component order by place, chunk_id) as k from cu) where k <= 12),
+ck as (select source || '_' || chunk_id as key, source, any_value(text) as text from chunks where source is not null and chunk_id is not null group by source, chunk_id),
+xl as (select component, string_agg('[' || key || '] ' || source || chr(10) || substr(text, 1, 900), chr(10) || chr(10) order by k) as t from c12 join ck on key = chunk_id where text is not null group by 1), ci as (select component, string_agg(chunk_id, '|' order by k) as t from c12 group by 1)
+select g.component as community_id, 'ENTITIES' || chr(10) || coalesce(el.t, '') || chr(10) || chr(10) || 'RELATIONSHIPS' || chr(10) || coalesce(rl.t, '') || chr(10) || chr(10) || 'SOURCE EXCERPTS' || chr(10) || coalesce(xl.t, '') as context, coalesce(ci.t, '') as chunk_ids
+from (select distinct component from cc) g left join el using (component) left join rl using (component) left join xl using (component) left join ci using (component)""",
+        "clean_entities": f"""with {_MENTIONS}, b as (select *, (row_number() over (order by node_id) - 1) // 25 as batch, regexp_replace(name, '^(?:the|a|an) ', '') as plain from n), w as (select batch, name, arg_min(label, node_id) as label from b group by 1, 2)
+select node_id as old_id, coalesce(w.name, b.name) as name, coalesce(w.label, o.label) as label, false as removed from b left join w on w.batch = b.batch and w.name = b.plain left join w o on o.batch = b.batch and o.name = b.name where regexp_matches(b.name, '\\p{{L}}')
+union all select node_id, name, label, true from b where not regexp_matches(name, '\\p{{L}}')""",
+        "chunk_graphs": f"""with {_CHUNKS}, x as (select source || '_' || chunk_id as chunk_id, coalesce(regexp_extract_all(text, '{entities.NAME_RUN}'), []) as ms from c), y as (select chunk_id, ms, list_filter(list_transform(range(1, len(ms)), lambda i: ms[i] || '>' || ms[i + 1]), lambda p: split_part(p, '>', 1) <> split_part(p, '>', 2)) as ps from x)
+select chunk_id, array_to_string(list_filter(ms, lambda v, i: list_position(ms, v) = i)[1:12], '|') as entities, array_to_string(list_filter(ps, lambda v, i: list_position(ps, v) = i)[1:18], '|') as relations, null::varchar as error from y""",
+        "cited_sources": f"with {_CHUNKS}, x as (select source, row_number() over (order by source, chunk_id) - 1 as n from c), y as (select n as query_id, unnest(list_distinct([n + 1, abs(n - 1)])) as k from x) select query_id, printf('CHUNK-%06d', k) as chunk_id, source from y join x on x.n = k",
+        "append_sources": f"""with p as (select distinct id, generated_answer, source from predictions where error is null and generated_answer is not null), q as (select id, source, generated_answer || ' [1][2, 3] [Source: a.txt] .' as x from p),
+a as (select id, source, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_split_to_array(x, '(?im)^[ \\t]*#{{0,6}}[ \\t]*sources?[ \\t]*:?[ \\t]*$')[1], '(?:\\[[ \\t]*[0-9]+(?:[ \\t]*,[ \\t]*[0-9]+)*[ \\t]*\\])+', '', 'g'), '(?i)\\[[ \\t]*source[ \\t]*:[^\\]]+\\]', '', 'g'), '[ \\t]+([.,;:!?])', '\\1', 'g'), '[ \\t]{{2,}}', ' ', 'g') as t from q),
+n as (select id, {_strip('t')} as t, regexp_replace(string_split({_strip("coalesce(source, '')")}, '/')[-1], '(?i)_[a-f0-9]{{8,64}}$', '') as name from a)
+select id as query_id, case when name <> '' then t || chr(10) || chr(10) || '### Sources' || chr(10) || '- ' || name else t end as answer from n""",
+        "strip_html": f"select doc_id, {_strip("regexp_replace(regexp_replace(regexp_replace(text, '" + T.HEADING + "', '\\1'), '" + T.HTML_TAG + "', ' ', 'g'), '" + T.HORIZONTAL + "', ' ', 'g')")} as text from documents where text is not null",
+        "chunk_stats": f"with {_CHUNKS}, x as (select source, len({_words('text')}) as w, length(text) as n from c) select source, count(*) as chunks, sum(w)::bigint as words, coalesce(sum(n), 0)::bigint as chars, max(w)::int as most_words from x group by 1",
+        "text_functions": f"""select distinct id, {_collapse('content')} as collapsed, ((length(content) - length(replace(content, 'the', ''))) / 3)::int as parts, case when role is not null and id is not null then role || '_' || id else content end as key,
+{_strip("coalesce(content, '')")} as tagged, {_strip("coalesce(content, '')")} as loose, case when coalesce({_strip('role')}, '') in ('', '.', '..') then 'PastFile' else string_split({_strip('role')}, '/')[-1] end || '_' || substr(md5(coalesce(content, '')), 1, 12) as source_name,
+array_to_string(list_filter([{_strip('content')}, 'x', ''], lambda v: v is not null and v <> ''), '|') as filled, regexp_full_match(session_id::varchar, '[A-Za-z0-9_-]+') as safe, '[C] ' || role || coalesce(', page ' || session_id, '') as citation, '[C] Source: s' || chr(10) || substr(content, 1, 20) as excerpt from messages""",
+        "mention_counts": f"""with {_CANON}, nn as (select distinct new_id as node_id, name from cv), held as (select distinct new_id as node_id, source, chunk_id from (select distinct label || '::' || name as node_id, source, chunk_id from m) h join cv using (node_id)),
+tx as (select source, chunk_id, ' ' || regexp_replace(lower({_collapse('text')}), '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g') || ' ' as t from c)
+select node_id, source, chunk_id, len(regexp_extract_all(t, '[^\\p{{L}}\\p{{N}}_]' || regexp_escape(regexp_replace(name, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g')) || '[^\\p{{L}}\\p{{N}}_]'))::int as hits from held join nn using (node_id) join tx using (source, chunk_id)""",
+        "user_sessions": "with s as (select distinct * from sessions) select id, title, updated_at from s where user_id = (select user_id from s group by 1 order by count(*) desc, user_id limit 1)",
+        "session_messages": "with s as (select distinct id, user_id from sessions), m as (select distinct * from messages) select user_id, session_id, row_number() over (partition by session_id order by created_at nulls first, m.id) as turn, m.id from m join s on s.id = session_id",
+        "deleted_session": "with f as (select id from sessions order by id limit 1) select 'sessions' as tab, count(*) as n from sessions where id not in (from f) or id is null union all select 'messages', count(*) from messages where session_id not in (from f) or session_id is null union all select 'files', count(*) from files where session_id not in (from f) or session_id is null",
+        "faithfulness": _JUDGED + f", v as (select *, list_transform(sa, lambda s: {_support('te', 's')}) as v from k) select id, case when a = '' then 1.0 when len(sa) = 0 then null when e = '' then 0.0 else round(list_sum(v) / len(v)::double, 6) end::double as score from v",
+        "coverage": _JUDGED + f", v as (select *, list_transform(sg, lambda s: {_support('ta', 's')}) as v from k) select id, case when g = '' then 1.0 when len(sg) = 0 then null else round(list_sum(v) / len(v)::double, 6) end::double as score from v",
+        "context_recall": _JUDGED + f", v as (select *, list_transform(sg, lambda s: {_support('te', 's')}) as v from k) select id, case when len(v) > 0 then round(list_sum(v) / len(v)::double, 6) end as score from v",
+        "context_relevance": _JUDGED + f", v as (select *, {_rouge('question')} as q from k) select id, case when len(q) = 0 then 0.0 else least(2, 3 * len(list_filter(q, lambda t: list_contains(te, t))) // len(q)) / 2.0 end::double as score from v",
+        "answer_correctness": _JUDGED
+        + f", v as (select *, len(list_filter(sa, lambda s: {_support('tg', 's')} = 1)) as tp, len(list_filter(sg, lambda s: {_support('ta', 's')} = 0)) as fn from k) select id, case when a = '' and g = '' then 1.0 when len(sa) = 0 or len(sg) = 0 then null when tp + fn = 0 then 0.0 else round(tp / (tp + fn)::double, 6) end::double as score from v",
         "format_context": f"""with p as (select distinct id, source, evidence, question_type from predictions), x as (select id, nullif(concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10), case when question_type <> '' then '## Knowledge Graph Community Summaries' || chr(10) || chr(10) || '- ' || question_type end,
 case when evidence is not null then '<source id="1" name="' || coalesce(source, 'unknown') || '">' || chr(10) || {_strip('evidence')} || chr(10) || '</source>' end), '') as context from p) select id as query_id, coalesce(context, 'No relevant content found.') as context from x""",
         "chat_recent_history": f"""with r as (select distinct session_id, id, lower({_strip('role')}) as role, content, created_at from messages), k as (select * from r where role in ('user', 'assistant') and {_strip('content')} <> ''),
@@ -598,5 +935,8 @@ select coalesce(question_type, 'Unknown') as question_type, 'rouge_score' as met
         "judged_scores": f"""with p as (select distinct id, question_type, generated_answer, gold_answer from predictions where error is null), a as (select id, {_rouge('generated_answer')} as a from p), v as (select id, len(a) as n, len(list_filter(a, lambda t: length(t) > 4)) as y from a),
 s as (select id, n, case when n > 0 then y / n::double end as s, case when y + n % 3 > 0 then y / (y + n % 3)::double else 0 end as f from v) select id, round(s, 6) as share, round(f, 6) as factuality, case when n % 4 < 3 then (n % 4) / 2.0::double end as relevance, round(0.5 * s + 0.5 * f, 6) as correctness from s""",
         "replace_by_source": f"with {_CHUNKS} select source, chunk_id, case when source like 'file-%' then 0 else length(text) end::int as n from c",
+        "ingest_stats": _BLOCKS
+        + f""", x as (select id, {_strip("regexp_replace(regexp_replace(regexp_replace(regexp_replace(ps[i + 1], '" + T.HEADING + "', '\\1'), '" + T.HTML_TAG + "', ' ', 'g'), '" + T.NUMERIC_CITATION + "', ' ', 'g'), '" + T.HORIZONTAL + "', ' ', 'g')")} as text from bs)
+select 'texts' as step, count(*) as n from (select distinct id, text from files) union all select 'raw_blocks', count(*) from bs union all select 'clean_blocks', count(*) from x where length(text) >= 3""",
         "event_windows": "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     }

@@ -53,3 +53,60 @@ def read_eval_set(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Dat
     """
     sets = spark.read.schema(EVAL_SCHEMA).option("multiLine", True).json(paths).where("trim(corpus_name) <> '' and trim(context) <> ''")
     return sets.select("corpus_name", "context"), sets.select("corpus_name", F.explode("questions").alias("q")).select("corpus_name", "q.*")
+
+
+# Columns of a predictions file.
+PREDICTION_SCHEMA = "id string, question string, source string, context string, evidence string, question_type string, generated_answer string, gold_answer string, error string"
+
+
+def save_predictions(predictions: DataFrame, path: str) -> None:
+    """Writes predictions as JSON, one object a line; columns that are missing are left out, null fields too."""
+    names = [f.split(" ")[0] for f in PREDICTION_SCHEMA.split(", ")]
+    predictions.select(*[n for n in names if n in predictions.columns]).write.mode("overwrite").json(path)
+
+
+def read_predictions(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    """Predictions from JSON lines, or from files of one JSON array each; a path that doesn't exist gives no rows."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(PREDICTION_SCHEMA).option("multiLine", array).json(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], PREDICTION_SCHEMA)
+
+
+REPORT_SCHEMA = "map<string, map<string, map<string, double>>>"
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """(section, question_type, metric, mean) of a report file; none if it doesn't exist."""
+    from pyspark.errors import AnalysisException
+
+    schema = "section string, question_type string, metric string, mean double"
+    try:
+        raw = spark.read.option("wholetext", True).text(path)
+        raw.limit(1).collect()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
+    one = raw.select(F.explode(F.from_json("value", REPORT_SCHEMA)).alias("section", "_types"))
+    two = one.select("section", F.explode("_types").alias("question_type", "_metrics"))
+    return two.select("section", "question_type", F.explode("_metrics").alias("metric", "mean"))
+
+
+def update_report(spark: SparkSession, path: str, new: DataFrame) -> None:
+    """Merges scores (section, question_type, metric, mean) into the report file and writes it as one JSON object.
+
+    A report has a row per section, question type and metric, so it is small whatever was evaluated.
+    """
+    from braidlake.operators.evaluation import merged_report
+    from braidlake.runtime import checkpointed
+
+    rows = checkpointed(merged_report(read_report(spark, path), new))
+    metrics = rows.groupBy("section", "question_type").agg(F.map_from_entries(F.collect_list(F.struct("metric", "mean"))).alias("_m"))
+    types = metrics.groupBy("section").agg(F.map_from_entries(F.collect_list(F.struct("question_type", "_m"))).alias("_t"))
+    whole = types.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("section", "_t")))).alias("value"))
+    whole.write.mode("overwrite").text(path)

@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def ingest_stream(texts: DataFrame, index, checkpoint: str, once: bool = True) -> StreamingQuery:
+def ingest_stream(texts: DataFrame, index, checkpoint: str, once: bool = True, rebuild: bool = True) -> StreamingQuery:
     """Feeds a stream of (source, text) rows into an index batch by batch; the last text of a source in a batch wins.
 
+    Without `rebuild` only chunks and vectors are kept up to date; the graph waits for `index.rebuild()`.
+
     A repeated batch after a failure gives the same index, since sources are replaced.
     """
 
     def feed(batch: DataFrame, number: int) -> None:
         last = batch.withColumn("_n", F.monotonically_increasing_id()).groupBy("source").agg(F.max_by("text", "_n").alias("text"))
         if not last.isEmpty():
-            index.ingest(last)
+            index.ingest(last, rebuild=rebuild)
 
     writer = texts.writeStream.foreachBatch(feed).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

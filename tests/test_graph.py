@@ -44,7 +44,7 @@ def test_random_graphs_beat_trivial_partition():
         rows = sorted({tuple(sorted(random.sample("abcdefghijklmn", 2))) for _ in range(30)})
         links = [(a, b, random.randrange(1, 5)) for a, b in rows]
         names = {x for a, b, _ in links for x in (a, b)}
-        for algorithm in (community.greedy_modularity, community.louvain):
+        for algorithm in (community.greedy_modularity, community.louvain, community.leiden):
             found = algorithm(links)
             assert set(found) == names and community.modularity(links, found) >= -1e-9
 
@@ -61,6 +61,99 @@ def test_communities_table(spark):
     assert {r["node"] for r in large} == set("abcdwxyzpqs")
 
 
+def test_leiden_communities_are_connected():
+    random.seed(5)
+    better = 0
+    for _ in range(30):
+        names = "abcdefghijklmnopqrst"
+        rows = sorted({tuple(sorted(random.sample(names, 2))) for _ in range(45)})
+        links = [(a, b, float(random.randrange(1, 4))) for a, b in rows]
+        found = community.leiden(links)
+        for label in set(found.values()):
+            own = {x for x, c in found.items() if c == label}
+            reached, stack = set(), [min(own)]
+            while stack:
+                x = stack.pop()
+                reached.add(x)
+                stack += [b if a == x else a for a, b, _ in links if x in (a, b) and {a, b} <= own and not {a, b} <= reached]
+            assert reached == own and label == min(own)
+        better += community.modularity(links, found) >= community.modularity(links, community.greedy_modularity(links)) - 1e-9
+    assert better >= 20
+
+
+def test_large_components_keep_modularity(spark):
+    """Moves over the edge table, then the same algorithm on what is left, come near the result of one task."""
+    random.seed(12)
+    group = {f"n{i:03d}": i // 20 for i in range(160)}
+    names = sorted(group)
+    rows = [(a, b, 1.0) for i, a in enumerate(names) for b in names[i + 1 :] if random.random() < (0.35 if group[a] == group[b] else 0.01)]
+    links = spark.createDataFrame(rows, "src string, dst string, weight double")
+    nodes = spark.createDataFrame([(x,) for x in names], "node string")
+    whole = {r["node"]: r["label"] for r in community.partition(links, nodes).collect()}
+    cut = {r["node"]: r["label"] for r in community.partition(links, nodes, largest=len(rows) // 3).collect()}
+    assert set(cut) == set(whole) and all(label == min(n for n in cut if cut[n] == label) for label in set(cut.values()))
+    assert community.modularity(rows, cut) >= 0.95 * community.modularity(rows, whole) > 0.4
+
+
+def test_summary_states(spark):
+    members = spark.createDataFrame([(c, f"X::{n}") for c in range(4) for n in "ab"] + [(9, "X::z")], "community_id bigint, node string")
+    leading = spark.createDataFrame([(c, f"X::{n}", k) for c in range(4) for k, n in enumerate("ab", 1)], "community_id bigint, node string, rank int")
+    chunks = spark.createDataFrame([("s", 1, "good words. more"), ("s", 2, "empty")], "source string, chunk_id int, text string")
+    chosen = spark.createDataFrame([(0, 0, "s", 1), (1, 0, "s", 2)], "community_id bigint, position int, source string, chunk_id int")
+
+    class Writer:
+        def generate(self, prompts):
+            return ["" if "empty" in p else "written" for p in prompts]
+
+    class Broken:
+        def generate(self, prompts):
+            raise ValueError("no")
+
+    first = community.summaries(members, leading, chosen, chunks, Writer())
+    got = {r["community_id"]: (r["summary_status"], r["title"]) for r in first.collect()}
+    assert got == {0: ("generated", "X::a and X::b"), 1: ("fallback", "X::a and X::b"), 2: ("insufficient_evidence", "X::a and X::b"), 3: ("insufficient_evidence", "X::a and X::b")}
+    again = {r["community_id"]: r["summary_status"] for r in community.summaries(members, leading, chosen, chunks, Broken(), previous=first).collect()}
+    assert again == {0: "generated", 1: "failed", 2: "insufficient_evidence", 3: "insufficient_evidence"}
+    forced = {r["community_id"]: r["summary_status"] for r in community.summaries(members, leading, chosen, chunks, Broken(), previous=first, force=True).collect()}
+    assert forced[0] == "failed"
+
+
+def test_cleaning_keeps_to_the_batch(spark):
+    import json
+
+    class Cleaner:
+        asked: list = []
+
+        def generate(self, prompts):
+            out = []
+            for p in prompts:
+                names = [e["name"] for e in json.loads(p.rsplit("INPUT:", 1)[1])]
+                if "broken" in names and "PREVIOUS" not in p:
+                    out.append("no json")
+                else:
+                    items = [{"name": "ada byron", "type": "person", "aliases": ["Ada  Byron", "ada", "stranger"]}, {"name": "invented", "type": "ORG", "aliases": ["bert"]}, {"name": "bert", "type": "WIZARD", "aliases": ["bert"]}]
+                    out.append("```json\n" + json.dumps({"entities": items, "removed_entities": ["junk", "ada"] if "junk" in names else []}) + "\n```")
+            return out
+
+    nodes = spark.createDataFrame([("A::ada", "ada", "ORG"), ("A::ada byron", "ada byron", "ORG"), ("B::bert", "bert", "ORG"), ("C::junk", "junk", "ORG"), ("D::broken", "broken", "ORG"), ("E::ada", "ada", "LOC")], "node_id string, name string, label string")
+    got = {r["old_id"]: (r["name"], r["label"], r["removed"]) for r in entities.clean_entities(nodes, Cleaner(), batch=4).collect()}
+    # removed wins; a foreign alias, an invented name and an unknown label are ignored; the second batch lacks ada byron
+    assert got == {"A::ada byron": ("ada byron", "PERSON", False), "A::ada": ("ada", "ORG", True), "C::junk": ("junk", "ORG", True)}
+
+
+def test_chunk_graphs_are_cut(spark):
+    text = " and ".join(f"Name{chr(97 + i)} Other{chr(97 + i)}" for i in range(26))
+    df = spark.createDataFrame([("a", text), ("b", None), ("c", "")], "chunk_id string, text string")
+    got = {r["chunk_id"]: r for r in entities.extract_chunk_graph(df, "chunk_id", "text").collect()}
+    assert (len(got["a"]["entities"]), len(got["a"]["relationships"])) == (12, 18) and got["b"]["entities"] == [] and got["c"]["error"] is None
+
+    class Broken:
+        def generate(self, prompts):
+            return ["[1, 2" for _ in prompts]
+
+    assert entities.extract_chunk_graph(df, "chunk_id", "text", Broken()).where("error is not null and size(entities) = 0").count() == 3
+
+
 def test_hierarchy(spark):
     links = edges(spark, CLIQUES)
     nodes = spark.createDataFrame([(x,) for x in [*"abcdwxyz", "alone"]], "node string")
@@ -84,7 +177,7 @@ def test_canonicalize_drops_self_loops_and_adds(spark):
     held = spark.createDataFrame([("P::a", "s", 1), ("P::the a", "s", 1), ("P::the a", "s", 2), ("P::b", "s", 1), ("P::gone", "s", 1)], "node_id string, source string, chunk_id int")
     per_chunk = spark.createDataFrame([("P::a", "P::the a", "s", 1, 5), ("P::a", "P::b", "s", 1, 1), ("P::b", "P::the a", "s", 1, 2), ("P::b", "P::gone", "s", 1, 9)], "src string, dst string, source string, chunk_id int, weight bigint")
     mapping = spark.createDataFrame([("P::the a", "a", "P", False), ("P::gone", "b", "P", True)], "old_id string, name string, label string, removed boolean")
-    new_nodes, new_edges = entities.canonicalize(nodes, held, per_chunk, mapping)
+    new_nodes, new_edges, new_held = entities.canonicalize(nodes, held, per_chunk, mapping)
     assert {r["node_id"]: (r["mention_count"], r["chunk_count"]) for r in new_nodes.collect()} == {"P::a": (5, 2), "P::b": (1, 1)}
     assert [tuple(r) for r in new_edges.collect()] == [("P::a", "P::b", 3, 1)]
 

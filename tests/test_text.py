@@ -70,3 +70,41 @@ def test_offsets(spark):
     stripped = text.strip()
     for r in chunking.chunk_with_offsets(df, "source", "text", 2, 1).collect():
         assert stripped[r["char_start"] : r["char_end"]] == r["text"] and len(r["text"].split()) == r["token_count"]
+
+
+def test_token_windows():
+    from braidlake.operators.chunking import token_windows
+
+    assert token_windows([1] * 10, 4, 1) == [(0, 4), (3, 7), (6, 10)]
+    assert token_windows([9, 1, 1, 9, 1], 3, 1) == [(0, 1), (1, 3), (2, 3), (3, 4), (4, 5)]
+    assert token_windows([], 4, 1) == [] and token_windows([1], 1, 0) == [(0, 1)]
+    import random
+
+    random.seed(2)
+    for _ in range(300):
+        counts = [random.randrange(1, 7) for _ in range(random.randrange(1, 40))]
+        size = random.randrange(1, 12)
+        found = token_windows(counts, size, random.randrange(0, size))
+        assert found[0][0] == 0 and found[-1][1] == len(counts) and all(j - i == 1 or sum(counts[i:j]) <= size for i, j in found)
+        assert all(a < c <= b for (a, b), (c, d) in zip(found, found[1:]))
+
+
+def test_byte_pairs_and_prefixes(spark):
+    import os
+
+    import pytest
+
+    from braidlake.functions import models
+    from braidlake.functions import vectors as V
+    from braidlake.operators import chunking
+
+    df = spark.createDataFrame([("a", "one  two\nthree"), ("b", None), ("c", " ")], "k string, t string")
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if os.path.exists(path):
+        rows = chunking.chunk_by_tokens(df, "k", "t", 2, 0, models.BytePairCounter(path)).collect()
+        assert [(r["text"], r["char_start"], r["char_end"]) for r in rows] == [("one  two", 0, 8), ("three", 9, 14)]
+    with pytest.raises(ValueError):
+        chunking.chunk_by_tokens(df, "k", "t", 2, 2)
+    both = models.embed_column(models.embed_column(df, "t", "v"), "t", "w", prefix="query: ")
+    got = {r["k"]: (r["s"], r["v"] == r["w"]) for r in both.select("k", "v", "w", V.text_similarity("t", "t", "v", "v").alias("s")).collect()}
+    assert got["a"][0] > 0.99 and not got["a"][1] and got["b"][0] == got["c"][0] == 1.0
