@@ -29,23 +29,22 @@ def test_default_judge(spark):
     assert judging.with_faithfulness(df.limit(0), "question", "answer", "contexts", "score").count() == 0
 
 
-class Wrong:
-    """Replies with chatter first; after the repair request with one verdict too many."""
-
-    def generate(self, prompts):
-        out = []
-        for p in prompts:
-            if "PREVIOUS" not in p:
-                out.append("let me think")
-            elif "TASK: statements" in p:
-                out.append(json.dumps({"statements": ["a", " ", "b"]}))
-            else:
-                verdicts = [{"statement": "a", "verdict": v} for v in (True, "0", "1")]
-                out.append("```" + json.dumps({"verdicts": verdicts, "relevance": 3}) + "```")
-        return out
+def test_repair_and_counts(spark):
+    class Wrong:
+        """Replies with chatter first; after the repair request with one verdict too many."""
 
+        def generate(self, prompts):
+            out = []
+            for p in prompts:
+                if "PREVIOUS" not in p:
+                    out.append("let me think")
+                elif "TASK: statements" in p:
+                    out.append(json.dumps({"statements": ["a", " ", "b"]}))
+                else:
+                    verdicts = [{"statement": "a", "verdict": v} for v in (True, "0", "1")]
+                    out.append("```" + json.dumps({"verdicts": verdicts, "relevance": 3}) + "```")
+            return out
 
-def test_repair_and_counts(spark):
     df = spark.createDataFrame(ROWS[:1], SCHEMA)
     assert scores(judging.with_faithfulness(df, "question", "answer", "contexts", "score", Wrong())) == {1: None}
     assert scores(judging.with_context_relevance(df, "question", "contexts", "score", Wrong())) == {1: None}
