@@ -11,7 +11,8 @@ The total is the largest for which every source that has tokens reaches its targ
 reported. A source with a target and no tokens is reported with a share of 0, and the others keep their proportions.
 
 Defined results: documents with a null key, null source, a source without a target, or without tokens get no copies;
-null or non-positive shares count as no target; targets are brought to a sum of 1; repeated rows count once.
+null or non-positive shares count as no target; targets are brought to a sum of 1; repeated rows count once; two different
+targets of one source, and rates that don't settle, are errors.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def _largest_total(sizes: dict[str, tuple[int, int]], targets: dict[str, tuple[f
     return min((sizes[s][0] * cap / share for s, (share, cap) in targets.items() if s in sizes), default=0.0)
 
 
-def solve_rates(sized: DataFrame, targets: dict[str, tuple[float, int]], total: float, sizes: dict, rounds: int = 60, close: float = 1e-9) -> dict[str, tuple[float, float]]:
+def solve_rates(sized: DataFrame, targets: dict[str, tuple[float, int]], total: float, sizes: dict, rounds: int = 100, close: float = 1e-9) -> dict[str, tuple[float, float]]:
     """(lambda, scale) per source: rate = least(cap, exp(lambda * tokens / scale)).
 
     `sized` holds (source, tokens, n). A round is one aggregation of the rates' token sum and its slope per source;
@@ -107,6 +108,8 @@ def solve_rates(sized: DataFrame, targets: dict[str, tuple[float, int]], total:
             if abs(step - s["at"]) < 1e-14:
                 open_.discard(row["source"])
             s["at"] = step
+    if open_:
+        raise RuntimeError(f"rates of {sorted(open_)} didn't settle in {rounds} rounds")
     return {s: (math.inf if x["full"] else x["at"], x["scale"]) for s, x in state.items()}
 
 
@@ -118,9 +121,11 @@ def mixture(
 
     `targets` has (source, target_share, max_repeats), one row per source; it is small by nature (a row per source).
     """
-    wanted = targets.select("source", "target_share", "max_repeats").where("source is not null and target_share > 0 and max_repeats > 0").distinct()
-    total_share = sum(r["target_share"] for r in wanted.collect()) or 1.0
-    goals = {r["source"]: (r["target_share"] / total_share, int(r["max_repeats"])) for r in wanted.collect()}
+    wanted = targets.select("source", "target_share", "max_repeats").where("source is not null and target_share > 0 and max_repeats > 0").distinct().collect()
+    if len({r["source"] for r in wanted}) < len(wanted):
+        raise ValueError("a source must have one target")
+    total_share = sum(r["target_share"] for r in wanted) or 1.0
+    goals = {r["source"]: (r["target_share"] / total_share, int(r["max_repeats"])) for r in wanted}
     spark = documents.sparkSession
     picked = documents.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("_body")).where(F.col("doc_id").isNotNull() & F.col("source").isin(list(goals)))
     counted = checkpointed(token_counts(picked, "doc_id", "_body", ["source"], tokenizer).where("tokens > 0").dropDuplicates(["doc_id"]))

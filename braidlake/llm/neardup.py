@@ -413,12 +413,12 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, words: int = 5, thr
     return equal.unionByName(other).distinct()
 
 
-def near_duplicate_groups(df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8, scope: str | None = None) -> DataFrame:
     """(key, group_id, group_size): one row per record; groups are connected by links, a record without a partner is alone.
 
     Copies are never paired: they share the representative of their set.
     """
-    members, links = near_duplicates(df, key, text, words, threshold)
+    members, links = near_duplicates(df, key, text, words, threshold, scope)
     components = connected_components(links.select(F.col("rec_a").alias("src"), F.col("rec_b").alias("dst")))
     grouped = members.join(components.select(F.col("node").alias("rec"), "component"), "rec", "left").withColumn("_group", F.coalesce("component", "rec"))
     # Partial counts and minima are taken before the shuffle, so a group of any size sends one row per task.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidlake.llm import conversations, cooccurrence, leakage, lookalike, mixing, names, neardup, pii, qa_defects, splitting
@@ -52,20 +52,26 @@ def _chunk_keys(chunks: DataFrame) -> DataFrame:
     return chunks.where("source is not null and chunk_id is not null").select(F.concat_ws("_", "source", F.col("chunk_id").cast("string")).alias("key"), "text")
 
 
+def _scoped(spark: SparkSession, d: str) -> DataFrame:
+    """(tab, key, text) of files and chunks. Both run as one, each a scope of its own; the common prefix of the keys leaves
+    their order as it is."""
+    files = read_table(spark, d, "files").select(F.col("id").cast("string").alias("key"), "text").withColumn("tab", F.lit("files"))
+    both = files.unionByName(_chunk_keys(read_table(spark, d, "chunks")).withColumn("tab", F.lit("chunks")))
+    return both.select("tab", F.concat("tab", F.lit("\u001f"), "key").alias("key"), "text")
+
+
+def _unscoped(column: str) -> Column:
+    return F.regexp_replace(column, "^(files|chunks)\u001f", "").alias(column)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    files = read_table(spark, d, "files").select(F.col("id").cast("string").alias("key"), "text")
-    chunks = _chunk_keys(read_table(spark, d, "chunks"))
-    # Both tables run as one, each a scope of its own; the common prefix of the keys leaves their order as it is.
-    both = files.withColumn("tab", F.lit("files")).unionByName(chunks.withColumn("tab", F.lit("chunks")))
-    both = both.select("tab", F.concat("tab", F.lit("\u001f"), "key").alias("key"), "text")
-    found = neardup.near_duplicate_pairs(both, "key", "text", 3, 0.6, "tab")
-    plain = lambda c: F.regexp_replace(c, "^(files|chunks)\u001f", "").alias(c)
-    return found.select(F.substring_index("key_a", "\u001f", 1).alias("tab"), plain("key_a"), plain("key_b"))
+    found = neardup.near_duplicate_pairs(_scoped(spark, d), "key", "text", 3, 0.6, "tab")
+    return found.select(F.substring_index("key_a", "\u001f", 1).alias("tab"), _unscoped("key_a"), _unscoped("key_b"))
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _chunk_keys(read_table(spark, d, "chunks"))
-    return neardup.near_duplicate_groups(chunks, "key", "text", 3, 0.6)
+    found = neardup.near_duplicate_groups(_scoped(spark, d), "key", "text", 3, 0.6, "tab")
+    return found.select(F.substring_index("key", "\u001f", 1).alias("tab"), _unscoped("key"), _unscoped("group_id"), "group_size")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,6 +82,13 @@ def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(read_table(spark, d, "messages"), read_table(spark, d, "sessions"))
 
 
+def p6_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The turns of the sessions without a defect, in order."""
+    found = conversations.conversations(read_table(spark, d, "messages"), read_table(spark, d, "sessions"))
+    first = found.groupBy("session_id").agg(F.min("turn").alias("_first"))
+    return found.join(first, "session_id").select("session_id", (F.col("turn") - F.col("_first") + 1).alias("turn"), "id", "role")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return qa_defects.answer_defects(read_table(spark, d, "predictions"), "id", "question", "generated_answer", "error")
 
@@ -139,7 +152,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_masked, p2_found, p2_pairs, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_conversations, p7_found, p8_found, p8_leaks, p8_overlaps, p8_joined, p9_mixture, p9_shares, p9_total, p10_found, p10_texts, p10_classes, p3_classes,
+            p1_found, p1_masked, p2_found, p2_pairs, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_conversations, p6_turns, p7_found, p8_found, p8_leaks, p8_overlaps, p8_joined, p9_mixture, p9_shares, p9_total, p10_found, p10_texts, p10_classes, p3_classes,
         )
     }
 
@@ -162,6 +175,40 @@ n as (select doc_id, item_id, side, count(*) + 11 as overlap from r group by doc
 select doc_id, item_id, side, max(overlap)::int as overlap from n group by 1, 2, 3"""
 
 
+_DEFECTS = r"""
+with m as (select distinct session_id, id, trim(lower(role), e' \t\r\n') as role, content, created_at from messages where session_id is not null and content is not null and trim(content, e' \t\r\n') <> ''),
+u as (select * from m where role is null or role <> 'system'),
+v as (select *, lag(session_id) over w is not null and role is not distinct from lag(role) over w and content = lag(content) over w as again from u window w as (partition by session_id order by created_at, id)),
+t as (select *, row_number() over w as k, lag(role) over w as before, lead(role) over w as after from v where not again window w as (partition by session_id order by created_at, id)),
+d as (select session_id, bool_or(role is null or role not in ('user', 'assistant') or role = 'assistant' and (k = 1 or coalesce(before = 'assistant', false))) as broken, bool_or(coalesce(role = 'user', false) and not coalesce(after = 'assistant', false)) as missing from t group by 1),
+s as (select distinct id as session_id from sessions where id is not null),
+df as (select coalesce(d.session_id, s.session_id) as session_id, case when d.session_id is null then 'empty' when s.session_id is null or broken then 'broken' else 'missing_reply' end as defect
+from s full join d on s.session_id = d.session_id where d.session_id is null or s.session_id is null or broken or missing)"""
+_NEAR_KEYS = (("files", "id::varchar"), ("chunks", "source || '_' || chunk_id"))
+_NEAR = r"""with r as (select distinct {key} as k, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as w from {tab} where text is not null),
+s as (select distinct k, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) as g from r where len(w) >= 3), n as (select k, count(*) as n from s group by 1),
+p as (select a.k as key_a, b.k as key_b, count(*) as c from s a join s b on a.g = b.g and a.k < b.k group by 1, 2)
+select key_a, key_b from p join n x on x.k = key_a join n y on y.k = key_b where c >= 0.6 * (x.n + y.n - c)"""
+
+
+def _look_alike_sql() -> str:
+    """Texts by one fixed form: every class of look-alikes takes its lowest member, then marks are composed by the engine."""
+    plain, longer = {}, {}
+    for own in lookalike.look_alikes().values():
+        chosen = "" if "" in own else min(own, key=lambda x: (not x.isascii(), len(x), x))
+        for x in own:
+            if len(x) == 1 and x != chosen and not (len(chosen) == 1 and ord(x) > 0xFFFF and ord(chosen) > 0xFFFF):
+                (plain if len(chosen) == 1 else longer)[x] = chosen
+    dropped = "".join(sorted(x for x, y in longer.items() if not y))
+    text = f"translate(text, '{''.join(plain)}{dropped}', '{''.join(plain.values()).replace(chr(39), chr(39) * 2)}')"
+    for x, y in sorted(longer.items()):
+        if y and y.isascii():
+            text = f"replace({text}, '{x}', '{y}')"
+    return f"""with f as (select doc_id, text, md5(nfc_normalize({text})) as form from documents where text is not null),
+g as (select * from f where form in (select form from f group by 1 having count(distinct text) > 1))
+select distinct a.doc_id as doc_a, b.doc_id as doc_b from g a join g b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": r"""
@@ -179,26 +226,19 @@ from p left join b on b.id = p.id and b.pos > p.s + 600 and b.pos <= p.s + 1200
         "p2_pairs": _PAIRS
         + "select id_a, id_b, n_ab, x.n as n_a, y.n as n_b, round(n_ab * t.n / (x.n::double * y.n), 6) as lift, case when n_ab < x.n then round((1 - y.n / t.n) / (1 - n_ab / x.n), 6) end as conviction"
         + _FROM,
-        "p6_found": r"""
-with m as (select distinct session_id, id, trim(lower(role), e' \t\r\n') as role, content, created_at from messages where session_id is not null and content is not null and trim(content, e' \t\r\n') <> ''),
-u as (select * from m where role is null or role <> 'system'),
-v as (select *, lag(session_id) over w is not null and role is not distinct from lag(role) over w and content = lag(content) over w as again from u window w as (partition by session_id order by created_at, id)),
-t as (select *, row_number() over w as k, lag(role) over w as before, lead(role) over w as after from v where not again window w as (partition by session_id order by created_at, id)),
-d as (select session_id, bool_or(role is null or role not in ('user', 'assistant') or role = 'assistant' and (k = 1 or coalesce(before = 'assistant', false))) as broken, bool_or(coalesce(role = 'user', false) and not coalesce(after = 'assistant', false)) as missing from t group by 1),
-s as (select distinct id as session_id from sessions where id is not null)
-select coalesce(d.session_id, s.session_id) as session_id, case when d.session_id is null then 'empty' when s.session_id is null or broken then 'broken' else 'missing_reply' end as defect
-from s full join d on s.session_id = d.session_id where d.session_id is null or s.session_id is null or broken or missing""",
+        "p6_found": _DEFECTS + " select session_id, defect from df",
+        "p6_turns": _DEFECTS + " select session_id, row_number() over (partition by session_id order by created_at, id) as turn, id, role from t where session_id not in (select session_id from df)",
+        "p5_groups": "\nunion all\n".join(
+            f"""select * from (with recursive pr as ({_NEAR.format(key=key, tab=tab)}), u as (select key_a as a, key_b as b from pr union all select key_b, key_a from pr), m as (select distinct {key} as k from {tab} where text is not null and len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) >= 3),
+rc as (select k, k as low from m union select u.b, rc.low from rc join u on u.a = rc.k), g as (select k, min(low) as group_id from rc group by 1) select '{tab}' as tab, k as key, group_id, count(*) over (partition by group_id) as group_size from g where k is not null)"""
+            for tab, key in _NEAR_KEYS
+        ),
+        "p10_found": _look_alike_sql(),
         "p8_found": r"""
 with i as (select item_id, unnest([evidence, answer]) as passage from eval_items), iw as (select item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') as w from i where passage is not null),
 ig as (select distinct item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as g from iw where len(w) >= 12),
 dw as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
 dg as (select doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as g from dw where len(w) >= 12)
 select distinct doc_id, item_id from dg join ig using (g)""",
-        "p5_found": "\nunion all\n".join(
-            f"""select * from (with r as (select distinct {key} as k, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from {tab} where text is not null),
-s as (select distinct k, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) as g from r where len(w) >= 3), n as (select k, count(*) as n from s group by 1),
-p as (select a.k as key_a, b.k as key_b, count(*) as c from s a join s b on a.g = b.g and a.k < b.k group by 1, 2)
-select '{tab}' as tab, key_a, key_b from p join n x on x.k = key_a join n y on y.k = key_b where c >= 0.6 * (x.n + y.n - c))"""
-            for tab, key in (("files", "id::varchar"), ("chunks", "source || '_' || chunk_id"))
-        ),
+        "p5_found": "\nunion all\n".join(f"select '{tab}' as tab, key_a, key_b from ({_NEAR.format(key=key, tab=tab)})" for tab, key in _NEAR_KEYS),
     }

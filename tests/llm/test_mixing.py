@@ -37,6 +37,13 @@ def test_fixed_total_reports_shortfall(spark):
     assert got["missing"] == (0, 0, 0.0) and got["a"][0] == 20 and got["b"][1] == 2 * got["a"][1]
 
 
+def test_two_targets_are_an_error(spark):
+    df = spark.createDataFrame([(1, "word", "a")], "doc_id bigint, text string, source string")
+    goals = spark.createDataFrame([("a", 0.5, 1), ("a", 0.4, 1), ("b", 0.1, 1)], "source string, target_share double, max_repeats int")
+    with pytest.raises(ValueError):
+        mixture(df, "doc_id", "text", "source", goals)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, source string")
     goals = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
