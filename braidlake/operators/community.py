@@ -281,10 +281,15 @@ def partition(links: DataFrame, nodes: DataFrame, algorithm=greedy_modularity, l
 def communities(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(community_id, node, member_rank, size): communities by size, then first member, numbered from 0.
 
-    `nodes` has (node, mention_count); members go by mentions, then lower-case name. Numbers and ranks are taken over
-    range partitions, so neither all communities nor a large one are sorted in one task.
+    `nodes` has (node, mention_count); members go by mentions, then lower-case name.
     """
-    parts = checkpointed(partition(links, nodes).join(nodes.select("node", "mention_count"), "node"))
+    return named_communities(partition(links, nodes).join(nodes.select("node", "mention_count"), "node"))
+
+
+def named_communities(parts: DataFrame) -> DataFrame:
+    """The table of `communities` of a division (node, label, mention_count). Numbers and ranks are taken over range
+    partitions, so neither all communities nor a large one are sorted in one task."""
+    parts = checkpointed(parts)
     order = F.struct((-F.col("mention_count")).alias("m"), F.lower("node").alias("n"), F.col("node").alias("x"))
     heads = parts.groupBy("label").agg(F.count("*").alias("size"), F.min(order)["x"].alias("first"))
     heads = heads.withColumn("_size", -F.col("size")).withColumn("_name", F.lower("first"))
@@ -381,13 +386,9 @@ def greedy_cover(texts: list[str], names: list[str], most: int) -> list[int]:
     return chosen
 
 
-def representative_chunks(candidates: DataFrame, leading: DataFrame, most_entities: int = 20, most_chunks: int = 8) -> DataFrame:
-    """(community_id, position, source, chunk_id): chunks that cover a community's leading entities.
-
-    `candidates` has (community_id, source, chunk_id, text), `leading` (community_id, node, rank). Copies by signature
-    drop out first. The choice is that of `greedy_cover` over all chunks of a community: a chunk becomes a narrow row of
-    its base score and the names it holds, and each round is one aggregation per community, so no group is gathered.
-    """
+def scored_chunks(candidates: DataFrame, leading: DataFrame, most_entities: int = 20) -> DataFrame:
+    """(community_id, source, chunk_id, base, held): the base score of each chunk (see `cover_score`) and the places of the
+    leading names it holds. Copies by signature drop out first, the one of the lowest key stays."""
     from braidlake.functions import text as T
 
     names = leading.where(F.col("rank") <= most_entities).groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node"))), lambda x: F.substring_index(x["node"], "::", -1)).alias("names"))
@@ -403,7 +404,18 @@ def representative_chunks(candidates: DataFrame, leading: DataFrame, most_entiti
             yield out
 
     kinds = {c: once.schema[c].dataType.simpleString() for c in ("source", "chunk_id")}
-    scored = once.join(names, "community_id").mapInPandas(score, f"community_id bigint, source {kinds['source']}, chunk_id {kinds['chunk_id']}, base double, held array<int>")
+    return once.join(names, "community_id").mapInPandas(score, f"community_id bigint, source {kinds['source']}, chunk_id {kinds['chunk_id']}, base double, held array<int>")
+
+def representative_chunks(candidates: DataFrame, leading: DataFrame, most_entities: int = 20, most_chunks: int = 8) -> DataFrame:
+    """(community_id, position, source, chunk_id): chunks that cover a community's leading entities.
+
+    `candidates` has (community_id, source, chunk_id, text), `leading` (community_id, node, rank). Copies by signature
+    drop out first. The choice is that of `greedy_cover` over all chunks of a community: a chunk becomes a narrow row of
+    its base score and the names it holds, and each round is one aggregation per community, so no group is gathered.
+    """
+    from braidlake.functions import text as T
+
+    scored = scored_chunks(candidates, leading, most_entities)
     rows = checkpointed(scored.withColumn("key", T.chunk_key("source", "chunk_id")))
     state = rows.select("community_id").distinct().withColumn("covered", F.array().cast("array<int>")).withColumn("picked", F.array().cast("array<string>"))
     for _ in range(most_chunks):

@@ -377,6 +377,24 @@ def rank_community_entities(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("community_id", "node", "coverage", "hits", F.round("score", 4).alias("score"), "rank")
 
 
+@query
+def community_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Components numbered by size and first member, their members ranked by mentions."""
+    g = _named_graph(spark, d)
+    return community.named_communities(g["members"].select("node", F.col("community_id").alias("label"), "mention_count"))
+
+
+@query
+def cover_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Base scores of the chunks of each component for its twenty most mentioned entities."""
+    g = _named_graph(spark, d)
+    ids = community.named_communities(g["members"].select("node", F.col("community_id").alias("label"), "mention_count"))
+    leading = checkpointed(ids.select("community_id", "node", F.col("member_rank").alias("rank")))
+    rows = g["candidates"].drop("community_id").join(g["held"].join(leading.select("community_id", "node"), "node").select("community_id", "source", "chunk_id").distinct(), ["source", "chunk_id"]).distinct()
+    scored = community.scored_chunks(rows, leading)
+    return scored.select("community_id", "source", "chunk_id", F.round("base", 4).alias("base"), F.size("held").alias("names"))
+
+
 def _listed(spark: SparkSession, d: str) -> DataFrame:
     links, held = _links(spark, d), _held(spark, d).withColumnRenamed("node_id", "node")
     counts = held.groupBy("node").agg(F.count("*").alias("mention_count"))
@@ -483,6 +501,29 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "question")
 
 
+def _chunk_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """BM25 hits of the held-out questions among the chunks, known by their keys."""
+    chunks = _chunks(spark, d).withColumn("doc_id", T.chunk_key("source", "chunk_id"))
+    return search.bm25_topk(chunks, "doc_id", "text", _questions(spark, d), "query_id", "question", k)
+
+
+@query
+def local_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 hits among the chunks and the chunks of graph neighbours, before any model ranks them."""
+    chunks = _chunks(spark, d)
+    tables = {k: checkpointed(v) for k, v in index.build_graph(chunks).items() if k != "mentions"}
+    found = ask.Retriever(tables | {"chunks": chunks}).candidates(_questions(spark, d), checkpointed(_chunk_hits(spark, d, 20)))
+    return found.select("query_id", "doc_id", F.round("score", 5).alias("score"), F.col("_o").alias("origin"), F.col("_r").alias("place"))
+
+
+@query
+def response_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """What the answers to the held-out questions were made from, by five BM25 hits each."""
+    none = spark.createDataFrame([], "query_id bigint, community_id bigint")
+    found = ask.response_metadata(_questions(spark, d), _chunk_hits(spark, d, 5), none, "local")
+    return found.select("query_id", "mode", "num_hits", "communities_used", F.array_join("sources", "|").alias("sources"))
+
+
 @query
 def hybrid_query(spark: SparkSession, d: str) -> DataFrame:
     return _retriever(spark, d).hybrid(_questions(spark, d))
@@ -803,6 +844,30 @@ _JUDGED = f"""with p as (select distinct id, question, generated_answer as a, go
 k as (select *, {_sentences('a')} as sa, {_sentences('g')} as sg, {_rouge('a')} as ta, {_rouge('raw')} as tg, {_rouge('e')} as te from j)"""
 
 
+_CHUNK_BM25 = (
+    _BM25.replace("with t as", "t as", 1).replace("from documents", "from (select source || '_' || chunk_id as doc_id, text from c)", 1)
+)
+_NAMED = f"""{_CANON}, nn as (select new_id as node, sum(mention_count)::bigint as mentions from cv group by 1), ce as (select least(a.new_id, b.new_id) as src, greatest(a.new_id, b.new_id) as dst from ec join cv a on a.node_id = src join cv b on b.node_id = dst where a.new_id <> b.new_id),
+e2 as (select distinct src, dst from ce union select dst, src from ce), reach as (select src as node, src as low from e2 union select e2.dst, reach.low from reach join e2 on e2.src = reach.node), co as (select node, min(low) as part from reach group by 1),
+held as (select distinct new_id as node, source, chunk_id from (select distinct label || '::' || name as node_id, source, chunk_id from m) h join cv using (node_id)),
+mr as (select part, node, row_number() over (partition by part order by mentions desc, lower(node), node) as member_rank, count(*) over (partition by part) as size from co join nn using (node)),
+pi as (select part, row_number() over (order by size desc, lower(node), node) - 1 as community_id from mr where member_rank = 1), ids as (select community_id, node, member_rank, size from mr join pi using (part))"""
+
+
+_REPORT = f""", v as (select distinct id, name, coalesce(type, '') as type, coalesce(array_to_string(list_filter(list_distinct_ordered, lambda x: true)[1:6], ' '), '') as description from (select distinct id, name, type, list_filter(list_filter(descriptions, lambda x: x is not null and trim(x) <> ''), lambda x, i: list_position(list_filter(descriptions, lambda y: y is not null and trim(y) <> ''), x) = i) as list_distinct_ordered from v2_entities)),
+en as (select id, min((name, type, description)) as e from v group by 1), {_MERGED.replace('r as (', 'r0 as (', 1).replace('from r)', 'from r0)').replace('from r group', 'from r0 group')},
+sel as (select * from (select component, cc.node, row_number() over (partition by component order by coalesce(degree, 0) desc, cc.node) as k from cc left join dg using (node)) where k <= 25), se as (select component, k, node, e from sel join en on en.id = node),
+el as (select component, string_agg('- ' || e[1] || ' [' || e[2] || ']: ' || e[3], chr(10) order by k) as t from se group by 1),
+bt as (select *, row_number() over (partition by component order by weight desc, source, target, type) as k from (select a.component, m.*, a.e[1] as sn, b.e[1] as tn from merged m join se a on a.node = m.source join se b on b.node = m.target where a.component = b.component)), b35 as (select * from bt where k <= 35),
+rl as (select component, string_agg('- ' || sn || ' --' || type || '--> ' || tn || ': ' || description, chr(10) order by k) as t from b35 group by 1),
+ch as (select component, chunk_id, min((0, k, pos)) as place from (select component, k, unnest(chunk_ids) as chunk_id, unnest(range(len(chunk_ids))) as pos from se join (select distinct id, chunk_ids from v2_entities) q on q.id = node) group by 1, 2
+union all select component, chunk_id, min((1, b35.k, pos)) from b35 join rc using (source, target, type) group by 1, 2),
+cu as (select component, chunk_id, min(place) as place from ch group by 1, 2), c12 as (select * from (select *, row_number() over (partition by component order by place, chunk_id) as k from cu) where k <= 12),
+ck as (select source || '_' || chunk_id as key, source, any_value(text) as text from chunks where source is not null and chunk_id is not null group by source, chunk_id),
+xl as (select component, string_agg('[' || key || '] ' || source || chr(10) || substr(text, 1, 900), chr(10) || chr(10) order by k) as t from c12 join ck on key = chunk_id where text is not null group by 1), ci as (select component, string_agg(chunk_id, '|' order by k) as t from c12 group by 1)
+"""
+
+
 def _cosine(table: str, vector: str) -> str:
     return f"""select q.vec_id as query_id, v.vec_id as doc_id, round(greatest(0, least(1, coalesce(list_cosine_similarity({vector.format(a='q')}::double[], {vector.format(a='v')}::double[]), 0))), 9) as score
 from {table} q, {table} v where q.vec_id % 20 = 0"""
@@ -878,19 +943,13 @@ select community_id, node, coverage, hits, round(score, 4) as score, row_number(
         "community_list": _LISTED + " select community_id, size, top7 as top_entities, num_chunks, 'No summary yet.' as summary from listed",
         "community_view": _LISTED + " select community_id, size, top5 as top_entities, num_chunks, 'No summary yet.' as summary from listed where size <> 1",
         "report_context": _COMPONENTS
-        + f""", v as (select distinct id, name, coalesce(type, '') as type, coalesce(array_to_string(list_filter(list_distinct_ordered, lambda x: true)[1:6], ' '), '') as description from (select distinct id, name, type, list_filter(list_filter(descriptions, lambda x: x is not null and trim(x) <> ''), lambda x, i: list_position(list_filter(descriptions, lambda y: y is not null and trim(y) <> ''), x) = i) as list_distinct_ordered from v2_entities)),
-en as (select id, min((name, type, description)) as e from v group by 1), {_MERGED.replace('r as (', 'r0 as (', 1).replace('from r)', 'from r0)').replace('from r group', 'from r0 group')},
-sel as (select * from (select component, cc.node, row_number() over (partition by component order by coalesce(degree, 0) desc, cc.node) as k from cc left join dg using (node)) where k <= 25), se as (select component, k, node, e from sel join en on en.id = node),
-el as (select component, string_agg('- ' || e[1] || ' [' || e[2] || ']: ' || e[3], chr(10) order by k) as t from se group by 1),
-bt as (select *, row_number() over (partition by component order by weight desc, source, target, type) as k from (select a.component, m.*, a.e[1] as sn, b.e[1] as tn from merged m join se a on a.node = m.source join se b on b.node = m.target where a.component = b.component)), b35 as (select * from bt where k <= 35),
-rl as (select component, string_agg('- ' || sn || ' --' || type || '--> ' || tn || ': ' || description, chr(10) order by k) as t from b35 group by 1),
-ch as (select component, chunk_id, min((0, k, pos)) as place from (select component, k, unnest(chunk_ids) as chunk_id, unnest(range(len(chunk_ids))) as pos from se join (select distinct id, chunk_ids from v2_entities) q on q.id = node) group by 1, 2
-union all select component, chunk_id, min((1, b35.k, pos)) from b35 join rc using (source, target, type) group by 1, 2),
-cu as (select component, chunk_id, min(place) as place from ch group by 1, 2), c12 as (select * from (select *, row_number() over (partition by component order by place, chunk_id) as k from cu) where k <= 12),
-ck as (select source || '_' || chunk_id as key, source, any_value(text) as text from chunks where source is not null and chunk_id is not null group by source, chunk_id),
-xl as (select component, string_agg('[' || key || '] ' || source || chr(10) || substr(text, 1, 900), chr(10) || chr(10) order by k) as t from c12 join ck on key = chunk_id where text is not null group by 1), ci as (select component, string_agg(chunk_id, '|' order by k) as t from c12 group by 1)
-select g.component as community_id, 'ENTITIES' || chr(10) || coalesce(el.t, '') || chr(10) || chr(10) || 'RELATIONSHIPS' || chr(10) || coalesce(rl.t, '') || chr(10) || chr(10) || 'SOURCE EXCERPTS' || chr(10) || coalesce(xl.t, '') as context, coalesce(ci.t, '') as chunk_ids
+        + _REPORT
+        + """select g.component as community_id, 'ENTITIES' || chr(10) || coalesce(el.t, '') || chr(10) || chr(10) || 'RELATIONSHIPS' || chr(10) || coalesce(rl.t, '') || chr(10) || chr(10) || 'SOURCE EXCERPTS' || chr(10) || coalesce(xl.t, '') as context, coalesce(ci.t, '') as chunk_ids
 from (select distinct component from cc) g left join el using (component) left join rl using (component) left join xl using (component) left join ci using (component)""",
+        "community_reports": _COMPONENTS
+        + _REPORT
+        + """, tt as (select component, first(e[1] order by k) as title, 'Concerns ' || string_agg(e[1], ', ' order by k) filter (where k <= 5) || '.' as summary from se group by 1), fc as (select component, least(7, count(*))::int as findings from c12 join ck on key = chunk_id where text is not null group by 1), cc12 as (select component, count(*)::int as chunks from c12 group by 1)
+select g.component as community_id, coalesce(title, g.component) as title, coalesce(summary, '') as summary, coalesce(findings, 0) as findings, coalesce(chunks, 0) as chunks from (select distinct component from cc) g left join tt using (component) left join fc using (component) left join cc12 using (component)""",
         "clean_entities": f"""with {_MENTIONS}, b as (select *, (row_number() over (order by node_id) - 1) // 25 as batch, regexp_replace(name, '^(?:the|a|an) ', '') as plain from n), w as (select batch, name, arg_min(label, node_id) as label from b group by 1, 2)
 select node_id as old_id, coalesce(w.name, b.name) as name, coalesce(w.label, o.label) as label, false as removed from b left join w on w.batch = b.batch and w.name = b.plain left join w o on o.batch = b.batch and o.name = b.name where regexp_matches(b.name, '\\p{{L}}')
 union all select node_id, name, label, true from b where not regexp_matches(name, '\\p{{L}}')""",
@@ -918,6 +977,20 @@ select node_id, source, chunk_id, len(regexp_extract_all(t, '[^\\p{{L}}\\p{{N}}_
         "context_relevance": _JUDGED + f", v as (select *, {_rouge('question')} as q from k) select id, case when len(q) = 0 then 0.0 else least(2, 3 * len(list_filter(q, lambda t: list_contains(te, t))) // len(q)) / 2.0 end::double as score from v",
         "answer_correctness": _JUDGED
         + f", v as (select *, len(list_filter(sa, lambda s: {_support('tg', 's')} = 1)) as tp, len(list_filter(sg, lambda s: {_support('ta', 's')} = 0)) as fn from k) select id, case when a = '' and g = '' then 1.0 when len(sa) = 0 or len(sg) = 0 then null when tp + fn = 0 then 0.0 else round(tp / (tp + fn)::double, 6) end::double as score from v",
+        "local_candidates": f"""with {_CANON}, ce as (select least(a.new_id, b.new_id) as src, greatest(a.new_id, b.new_id) as dst, sum(weight)::bigint as weight from ec join cv a on a.node_id = src join cv b on b.node_id = dst where a.new_id <> b.new_id group by 1, 2), e2 as (select src, dst, weight from ce union all select dst, src, weight from ce),
+held as (select distinct new_id as node, source || '_' || chunk_id as key from (select distinct label || '::' || name as node_id, source, chunk_id from m) h join cv using (node_id)), {_CHUNK_BM25},
+qs as (select item_id, string_split(regexp_replace(question, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)) as ss from eval_items), qx as (select item_id, unnest(ss) as sx from qs), qr as (select item_id, unnest(regexp_extract_all(sx, '{entities.NAME_RUN}')) as raw from qx),
+sd as (select item_id as query_id, {_LABEL} || '::' || lower({_collapse('raw')}) as seed from qr where length({_collapse('raw')}) > 2 union select query_id, label || '::' || name from rk join m on m.source || '_' || m.chunk_id = doc_id where rank <= 5),
+ne as (select * from (select src as seed, dst as neighbour, row_number() over (partition by src order by weight desc, dst) as r from e2 where src in (select seed from sd)) where r <= 5), hk as (select * from (select node, key, row_number() over (partition by node order by key) as r from held) where r <= 20),
+ex as (select distinct query_id, key as doc_id from sd join ne using (seed) join hk on hk.node = neighbour)
+select query_id, doc_id, round(score, 5) as score, 0 as origin, rank::int as place from rk where rank <= 20 union all select query_id, doc_id, 0.4, 1, 0 from ex where not exists (select 1 from rk where rk.query_id = ex.query_id and rk.doc_id = ex.doc_id and rank <= 20)""",
+        "response_metadata": f"with {_CHUNKS}, {_CHUNK_BM25}, x as (select query_id, count(*) as num_hits, array_to_string(list_sort(list(distinct regexp_replace(doc_id, '_[^_]*$', ''))), '|') as sources from rk where rank <= 5 group by 1) select item_id as query_id, 'local' as mode, coalesce(num_hits, 0) as num_hits, 0::bigint as communities_used, coalesce(sources, '') as sources from eval_items left join x on query_id = item_id",
+        "community_ids": f"with recursive {_NAMED} select community_id, node, member_rank, size from ids",
+        "cover_scores": f"""with recursive {_NAMED}, tn as (select community_id, member_rank as k, lower(regexp_replace(node, '^.*::', '')) as name from ids where member_rank <= 20),
+cd as (select distinct community_id, source, chunk_id from ids join held using (node)), ct as (select community_id, source, chunk_id, {_collapse('text')} as text from cd join c using (source, chunk_id) where text is not null),
+sg as (select *, regexp_replace(lower(text), '{T.NOT_WORD}', '', 'g') as sig from ct), one as (select * from (select *, row_number() over (partition by community_id, sig order by source || '_' || chunk_id) as r from sg where sig <> '') where r = 1),
+sc as (select o.community_id, source, chunk_id, any_value(length(text)) as n, sum(least((length(lower(text)) - length(replace(lower(text), name, ''))) / length(name), 4) * greatest(1.0, 4 - 0.2 * (k - 1))) as s, sum(case when contains(lower(text), name) then 1 else 0 end) as names from one o join tn using (community_id) group by o.community_id, source, chunk_id)
+select community_id, source, chunk_id, round(s + 2 * names + least(n, 1500) / 1500.0::double, 4)::double as base, names::int as names from sc""",
         "format_context": f"""with p as (select distinct id, source, evidence, question_type from predictions), x as (select id, nullif(concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10), case when question_type <> '' then '## Knowledge Graph Community Summaries' || chr(10) || chr(10) || '- ' || question_type end,
 case when evidence is not null then '<source id="1" name="' || coalesce(source, 'unknown') || '">' || chr(10) || {_strip('evidence')} || chr(10) || '</source>' end), '') as context from p) select id as query_id, coalesce(context, 'No relevant content found.') as context from x""",
         "chat_recent_history": f"""with r as (select distinct session_id, id, lower({_strip('role')}) as role, content, created_at from messages), k as (select * from r where role in ('user', 'assistant') and {_strip('content')} <> ''),
