@@ -14,9 +14,11 @@ then the earlier start, then the longer one; repeated rows give equal rows, whic
 
 from __future__ import annotations
 
+import base64
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -69,9 +71,14 @@ NAME_CUES = (
 LABELS = ("name=", "name: ", "contact: ", "signed: ", "regards,\n", "sincerely,\n", '"author": "', '"holder": "', '"name": "', '"owner": "', "author: ", "holder: ", "owner: ", "attn: ", "patient: ", "client: ")
 # Words after which a person may be named.
 PERSON_CUES = """
-to for by with from tell told ask asked meet met contact call called thank thanks email message and or of für von mit bei an und durch de par avec chez pour à et con por para a y con di da per visit see saw inform notify send envoyez
+to for by with from tell told ask asked meet met contact call called thank thanks email and für von mit bei und durch de par avec chez pour à et con por para y di da per saw inform notify send envoyez
 colleague doctor nurse teacher professor student client customer patient employee manager director author writer president chairman minister officer neighbour neighbor friend brother sister cousin uncle aunt wife husband son daughter
 """.split()
+# Those of them that lead to other things as well, and verbs of motion, after which a place follows.
+LOOSE_CUES = frozenset("to for by with from and für von mit bei und durch de par avec chez pour à et con por para y di da per".split())
+MOTION = re.compile(r"\b(?:mov|went|go|going|goes|came|com|flew|fl[yi]|travel|trip|drive|drove|driv|walk|ran|return|way|visit|journey|train|road|route|ship|sail)\w*\b[^.!?\n]*$", re.I)
+#: A public byte-level vocabulary; its lower-case words are common ones.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Verbs and turns after a person's name.
 PERSON_VERBS = ("said", "says", "wrote", "writes", "asked", "replied", "lives", "lived", "works", "worked", "called", "signed", "told", "explained", "thinks", "phoned", "emailed", "is", "was", "has", "had", "will", "sagte", "schrieb", "wohnt", "écrit", "habite", "vive", "dijo", "escribió")
 # Words before a capitalised word that make it a place or institution.
@@ -147,12 +154,29 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+@lru_cache(maxsize=2)
+def common_words(path: str) -> frozenset[str]:
+    """Lower-case words that are single tokens of a public vocabulary; none if the file isn't there."""
+    try:
+        with open(path, "rb") as file:
+            tokens = (base64.b64decode(line.split()[0]) for line in file)
+            words = (t[1:].decode("utf-8", "ignore") for t in tokens if t[:1] == b" ")
+            return frozenset(w for w in words if w.isalpha() and w.islower())
+    except FileNotFoundError:
+        return frozenset()
+
+
 class Scanner:
-    """The automaton and the local parsers; one is built in each Python worker."""
+    """The automaton and the local parsers; one is built in each Python worker.
+
+    `vocabulary` is a file of a public tokenizer: capitalised words that are common in lower case are no unlisted names.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, vocabulary: str = VOCABULARY) -> None:
         import ahocorasick
 
+        self.common = common_words(vocabulary)
+
         self.given = frozenset(GIVEN_NAMES)
         self.blocked = frozenset(NOT_SURNAMES) | frozenset(STARTERS)
         self.cues = frozenset(PERSON_CUES)
@@ -211,7 +235,7 @@ class Scanner:
             elif kind == "title":
                 item = None if start and low[start - 1].isalnum() else self._cued(text, end) or self._lower_cued(text, low, start, end, True)
             elif kind == "person":
-                item = None if start and low[start - 1].isalnum() else self._person(text, end)
+                item = None if start and low[start - 1].isalnum() else self._person(text, start, end)
             elif kind == "verb":
                 item = None if end < len(low) and low[end].isalnum() else self._before_verb(text, start)
             elif kind == "id":
@@ -370,24 +394,31 @@ class Scanner:
         known = m.group(1).split("-")[0] in self.given
         return ("NAME", at, m.end()) if known or ENDS.match(text, m.end()) and (label or low[start:at].startswith(("my name", "me llamo", "je m'app", "ich hei", "mein name", "mi nombre", "mi chiamo"))) else None
 
-    def _paired(self, first: str, last: str) -> bool:
-        """Whether two capitalised words may be a person's name by their form."""
-        return all(self._surname(t) and not t.isupper() for t in (first, last)) and first.lower() not in PLACE_BEFORE
+    def _paired(self, first: str, last: str, loose: bool) -> bool:
+        """Whether two capitalised words may be a person's name by their form: they are no place or institution, and at most
+        one is a common word, none where the context is loose."""
+        if first.lower() in PLACE_BEFORE or not all(self._surname(t) and not t.isupper() for t in (first, last)):
+            return False
+        return sum(t.lower() in self.common for t in (first, last)) <= (not loose)
 
-    def _person(self, text: str, at: int):
+    def _person(self, text: str, start: int, at: int):
         """Two capitalised words after a word that names persons."""
         if at >= len(text) or not text[at].isupper():
             return None
-        m = CUED.match(text, at)
-        if not m or m.group(2) or len(m.group(1)) < 3 or len(m.group(4)) < 2 or not (len(m.group(4)) > 2 and self._paired(m.group(1), m.group(4))):
+        begin = TITLE_RUN.match(text, at).end()
+        m = CUED.match(text, begin)
+        loose = text[start : at - 1].lower() in LOOSE_CUES and begin == at
+        if not m or m.group(2) or min(len(m.group(1)), len(m.group(4))) < 3 or not self._paired(m.group(1), m.group(4), loose):
+            return None
+        if loose and MOTION.search(text, max(0, start - 60), start):
             return None
         word = re.match(rf"(?:[ \t]|[ \t]?-)({NAME_TOKEN})", text[m.end() : m.end() + 30])
-        return None if word and word.group(1).lower() not in STARTERS else ("NAME", at, m.end())
+        return None if word and word.group(1).lower() not in STARTERS else ("NAME", begin, m.end())
 
     def _before_verb(self, text: str, end: int):
         """Two capitalised words before a verb of saying or living."""
         m = PAIR_BEFORE.search(text, max(0, end - 60), end)
-        if not m or not self._paired(m.group(1), m.group(3)):
+        if not m or not self._paired(m.group(1), m.group(3), True):
             return None
         word = re.search(r"(\S+)[ \t]$", text[max(0, m.start() - 20) : m.start()])
         return None if word and word.group(1)[0].isupper() and word.group(1).lower().rstrip(".") not in TITLES else ("NAME", m.start(), end)

@@ -21,7 +21,7 @@ HELD_OUT = [
     "Please contact {} about the lease.", "I spoke with {} yesterday.", "{} said it was fine.", "The report by {} is late.", "We met {} and left.", "{} lives next door.", "my neighbour {} called.", "Thanks to {} it worked.", "This is {}'s bag.", "Ask Dr {} for it.", "{} was there.",
 ]
 PEOPLE = ["Svetlana Petrova", "Nadeem Qureshi", "Giulia Rossi", "Rajesh Kumar", "Fiona Gallagher", "Aoife O'Brien", "Mehmet Yılmaz", "Łukasz Wójcik", "Ngozi Okafor", "Jean-Luc Moreau"]
-NO_PEOPLE = ["We drove to Lake Superior and saw Tower Bridge.", "It was sent by Northfield College to Oxford Street Station.", "The Old Harbour was closed.", "Dinner with Victoria Sponge Company is on.", "Gegen Mitternacht verließ der Gärtner mit Der Müller das Haus."]
+NO_PEOPLE = ["We drove to Lake Superior and saw Tower Bridge.", "It was sent by Northfield College to Oxford Street Station.", "The Old Harbour was closed.", "Dinner with Victoria Sponge Company is on.", "We flew from Buenos Aires to Hong Kong.", "Open it with Google Maps or Microsoft Word.", "It is a Golden Retriever by Machine Learning.", "Das ist für Frau Müller.", "Gegen Mitternacht verließ der Gärtner mit Der Müller das Haus."]
 
 
 def test_cases():
