@@ -8,7 +8,7 @@ set sizes differ beyond the radius are skipped. What passes is checked on the fu
 All tiles of a large collection can't be compared with all others, so records first meet by the rarest runs of their
 sets (prefix filter): two sets of similarity t share a run among the (1 - t) n + 1 rarest of each, and must share the
 more of them the larger they are, since what lies outside both prefixes can't make up for it (`least_common`). Meetings
-are counted per pair, and only pairs that reach that number are compared. Where more than `tile` records meet in one
+are counted per pair, and only pairs that reach that number are compared. Where more than `MEET` records meet in one
 run, nothing is counted: the run is cut into pairs of tiles, each a task of its own, whose sketches are compared whole.
 
 Rarity is that of a table of hashed counts over all records. It only has to tell common runs from others: any fixed
@@ -36,6 +36,8 @@ _WORD = re.compile(r"[^\W_]+")
 WIDTHS = (512, 1024, 2048, 4096)
 #: Bits of the hash in the table of counts, segments it travels in, and bits of the map of records that passed.
 COUNT_BITS, SEGMENTS, MAP_BITS = 22, 16, 24
+#: Records of a run up to which its pairs are counted one by one.
+MEET = 256
 
 
 class _Known(dict):
@@ -188,10 +190,10 @@ def least_common(n, m, threshold: float):
     return np.maximum(1, common - np.maximum(n - prefix_size(n, threshold), m - prefix_size(m, threshold)))
 
 
-def _prefixes(sets: DataFrame, threshold: float, table, tile: int) -> DataFrame:
+def _prefixes(sets: DataFrame, threshold: float, table, meet: int) -> DataFrame:
     """(rec, n, cold, warm, bits): the rarest runs of each set, shortened to 32 bits, as many as the threshold needs.
 
-    `warm` are those whose count in the table exceeds `tile`: only they may be shared by more records than that. The
+    `warm` are those whose count in the table exceeds `meet`: only they may be shared by more records than that. The
     sketch comes along where there are any.
     """
     shared = sets.sparkSession.sparkContext.broadcast(table)
@@ -207,7 +209,7 @@ def _prefixes(sets: DataFrame, threshold: float, table, tile: int) -> DataFrame:
                 counts = rare[r & ((1 << COUNT_BITS) - 1)]
                 order = np.lexsort((r, counts))[: int(prefix_size(np.int64(len(r)), threshold))]
                 own = r[order].view(np.uint64).astype(np.uint32).view(np.int32)
-                hot = counts[order] > tile
+                hot = counts[order] > meet
                 cold.append(np.unique(own[~hot]))
                 warm.append(np.unique(own[hot]))
                 sizes.append(len(r))
@@ -272,10 +274,19 @@ def _by_run(batches: Iterator[pd.DataFrame], columns: list[str]):
         yield rest, np.array([0]), np.array([len(rest)])
 
 
-def _met(prefixes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (rec_a, rec_b), rec_a < rec_b, that share as many cold runs as `least_common` asks for."""
-    rows = prefixes.select("rec", "n", F.explode("cold").alias("run"))
-    grouped = rows.repartition(python_tasks(prefixes.sparkSession), "run").sortWithinPartitions("run", "n", "rec")
+def _warm(prefixes: DataFrame) -> DataFrame:
+    """(rec, n, run, many): warm runs that records share, with the exact number of those that meet in them."""
+    met = prefixes.where(F.size("warm") > 0).select("rec", "n", F.explode("warm").alias("run"))
+    shared = met.groupBy("run").agg(F.count("*").alias("many")).where("many > 1")
+    return checkpointed(met.join(shared, "run").select("rec", "n", "run", "many"))
+
+
+def _met(rows: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (rec_a, rec_b), rec_a < rec_b, of (rec, n, run) that share as many runs as `least_common` asks for.
+
+    Runs that more than `MEET` records share are not among the rows: pairs that meet in one of them are compared there.
+    """
+    grouped = rows.repartition(python_tasks(rows.sparkSession), "run").sortWithinPartitions("run", "n", "rec")
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -298,11 +309,9 @@ def _met(prefixes: DataFrame, threshold: float) -> DataFrame:
     return counted.where("_n >= least").select("rec_a", "rec_b")
 
 
-def _tiled(prefixes: DataFrame, threshold: float, tile: int) -> DataFrame:
-    """Distinct (rec_a, rec_b), rec_a < rec_b, that meet in a warm run and pass the comparison of sketches."""
-    met = prefixes.where(F.size("warm") > 0).select("rec", "n", F.explode("warm").alias("run"))
-    shared = met.groupBy("run").agg(F.count("*").alias("_many")).where("_many > 1")
-    met = met.join(shared, "run").withColumn("_blocks", F.ceil(F.col("_many") / F.lit(tile)).cast("int"))
+def _tiled(rows: DataFrame, prefixes: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """Distinct (rec_a, rec_b), rec_a < rec_b, of (rec, n, run, many) that meet in a run and pass the comparison of sketches."""
+    met = rows.withColumn("_blocks", F.ceil(F.col("many") / F.lit(tile)).cast("int"))
     mine = F.pmod(F.xxhash64("rec"), F.col("_blocks")).cast("int")
     placed = (
         met.withColumn("_mine", mine)
@@ -360,14 +369,16 @@ def _paired_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sets.select("rec", "runs").mapInPandas(kept, "rec bigint, n int, bits binary, runs array<bigint>")
 
 
-def similar_sets(sets: DataFrame, threshold: float, tile: int = 2000, without: DataFrame | None = None) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float, tile: int = 2000, without: DataFrame | None = None, meet: int = MEET) -> DataFrame:
     """(rec_a, rec_b, similarity) of all pairs of sets with Jaccard similarity >= threshold, but for those of `without`.
 
     `sets` has rec (bigint, unique) and runs (sorted distinct hashes) and is read more than once; `without` has rec.
     """
-    prefixes = _prefixes(sets, threshold, _hashed_counts(sets), tile)
+    prefixes = _prefixes(sets, threshold, _hashed_counts(sets), meet)
     prefixes = checkpointed(prefixes if without is None else prefixes.join(without, "rec", "left_anti"))
-    pairs = checkpointed(_met(prefixes, threshold).unionByName(_tiled(prefixes, threshold, tile)).distinct())
+    warm = _warm(prefixes)
+    few = prefixes.select("rec", "n", F.explode("cold").alias("run")).unionByName(warm.where(F.col("many") <= meet).select("rec", "n", "run"))
+    pairs = checkpointed(_met(few, threshold).unionByName(_tiled(warm.where(F.col("many") > meet), prefixes, threshold, tile)).distinct())
     own = checkpointed(_paired_sets(pairs, sets))
     side = lambda x: own.select(*[F.col(c).alias(f"{c}_{x}") for c in ("rec", "n", "bits")])
 
@@ -391,7 +402,7 @@ def similar_sets(sets: DataFrame, threshold: float, tile: int = 2000, without: D
 
 
 def near_duplicates(
-    df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8, scope: str | None = None, tile: int = 2000
+    df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8, scope: str | None = None, tile: int = 2000, meet: int = MEET
 ) -> tuple[DataFrame, DataFrame]:
     """Two tables: members (key, rec) that map each record to the representative of its set, and links
     (rec_a, rec_b, similarity) between representatives of different sets. Only records of one scope are compared."""
@@ -400,7 +411,7 @@ def near_duplicates(
     first = checkpointed(records.groupBy("digest").agg(F.min("rec").alias("first"), F.count("*").alias("copies")))
     members = records.select("key", "digest").distinct().join(first.select("digest", F.col("first").alias("rec")), "digest").select("key", "rec")
     copies = records.select("rec", "digest").join(first.where("copies > 1"), "digest").where("rec <> first").select("rec")
-    return members, similar_sets(records.select("rec", "runs"), threshold, tile, copies)
+    return members, similar_sets(records.select("rec", "runs"), threshold, tile, copies, meet)
 
 
 def near_duplicate_pairs(df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8, scope: str | None = None) -> DataFrame:

@@ -39,11 +39,11 @@ def corpus():
     return [*texts, ("n", None), ("e", ""), ("two", "two words"), (None, "a b c d e f"), texts[0]]
 
 
-@pytest.mark.parametrize(("n", "t", "tile"), [(3, 0.6, 2000), (3, 0.6, 7), (5, 0.8, 2000)])
-def test_brute_force(spark, n, t, tile, monkeypatch):
+@pytest.mark.parametrize(("n", "t", "tile", "meet"), [(3, 0.6, 2000, 256), (3, 0.6, 7, 0), (3, 0.6, 7, 5), (5, 0.8, 2000, 256)])
+def test_brute_force(spark, n, t, tile, meet, monkeypatch):
     from braidlake.llm import neardup
 
-    monkeypatch.setattr(neardup.near_duplicates, "__defaults__", (5, 0.8, None, tile))
+    monkeypatch.setattr(neardup.near_duplicates, "__defaults__", (5, 0.8, None, tile, meet))
     texts = corpus()
     df = spark.createDataFrame([(k, x, "c") for k, x in texts], "key string, text string, runs string")
     got = [tuple(r) for r in near_duplicate_pairs(df, "key", "text", n, t).collect()]
