@@ -55,18 +55,14 @@ def greedy_modularity(links: list[tuple[str, str, float]]) -> dict[str, str]:
             near[b][a] = near[b].get(a, 0.0) + w / total
     members = {x: [x] for x in names}
     gain = lambda a, b: near[a][b] - 2 * share[a] * share[b]
-    heap = [(-gain(a, b), a, b) for a in names for b in near[a] if a < b]
+    heap = [(-gain(a, b), a, b) for a in names for b in near[a] if a < b and gain(a, b) > 1e-12]
     heapq.heapify(heap)
     while heap:
         minus, a, b = heapq.heappop(heap)
         if a not in members or b not in members or b not in near[a]:
             continue
-        now = gain(a, b)
-        if abs(now + minus) > 1e-12:
-            heapq.heappush(heap, (-now, a, b))
+        if gain(a, b) != -minus:  # a merge has changed the pair and pushed it again
             continue
-        if now <= 1e-12:
-            break
         keep, drop = (a, b) if len(near[a]) >= len(near[b]) else (b, a)
         members[keep] += members.pop(drop)
         share[keep] += share.pop(drop)
@@ -76,7 +72,9 @@ def greedy_modularity(links: list[tuple[str, str, float]]) -> dict[str, str]:
                 near[keep][x] = near[keep].get(x, 0.0) + w
                 near[x][keep] = near[keep][x]
         for x in near[keep]:
-            heapq.heappush(heap, (-gain(keep, x), *sorted((keep, x))))
+            a, b = min(keep, x), max(keep, x)
+            if (more := gain(a, b)) > 1e-12:
+                heapq.heappush(heap, (-more, a, b))
     return {x: min(own) for own in members.values() for x in own}
 
 

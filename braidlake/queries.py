@@ -384,7 +384,7 @@ def rank_community_entities(spark: SparkSession, d: str) -> DataFrame:
     g = _named_graph(spark, d)
     matches = community.entity_matches(g["members"].select("community_id", "node"), g["candidates"])
     ranked = community.rank_entities(g["members"], g["edges"], checkpointed(matches))
-    return ranked.select("community_id", "node", "coverage", "hits", F.round("score", 4).alias("score"), "rank")
+    return ranked.select("community_id", "node", "coverage", "hits", "score", "rank")
 
 
 @query
@@ -949,7 +949,7 @@ tx as (select community_id, source, chunk_id, ' ' || regexp_replace(lower({_coll
 hi as (select co.community_id, co.node, len(regexp_extract_all(t, '[^\\p{{L}}\\p{{N}}_]' || regexp_escape(regexp_replace(name, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g')) || '[^\\p{{L}}\\p{{N}}_]')) as n from co join nn using (node) join tx on tx.community_id = co.community_id where contains(t, regexp_replace(name, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g'))),
 hm as (select community_id, node, count(*) as coverage, sum(n)::bigint as hits from hi where n > 0 group by 1, 2), de as (select src as node, sum(weight) as degree from e2 group by 1),
 x as (select co.community_id, co.node, coalesce(coverage, 0) as coverage, coalesce(hits, 0) as hits, round(ln(1 + mentions) + 1.5 * ln(1 + coalesce(degree, 0)) + 2.0 * coalesce(coverage, 0) + 0.5 * ln(1 + coalesce(hits, 0)), 6) as score from co join nn using (node) left join hm on hm.community_id = co.community_id and hm.node = co.node left join de on de.node = co.node)
-select community_id, node, coverage, hits, round(score, 4) as score, row_number() over (partition by community_id order by score desc, lower(node), node) as rank from x""",
+select community_id, node, coverage, hits, score, row_number() over (partition by community_id order by score desc, lower(node), node) as rank from x""",
         "community_list": _LISTED + " select community_id, size, top7 as top_entities, num_chunks, 'No summary yet.' as summary from listed",
         "community_view": _LISTED + " select community_id, size, top5 as top_entities, num_chunks, 'No summary yet.' as summary from listed where size <> 1",
         "report_context": _COMPONENTS
