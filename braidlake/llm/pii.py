@@ -372,7 +372,7 @@ class Scanner:
         return len(token) > 2 and all(len(part) < 2 or part.lower() not in self.blocked for part in re.split(r"[-'’]", token))
 
     def _lower(self, text: str, start: int, end: int):
-        """A given name in lower case: a name only after a cue or between commas, before a word that may be a surname."""
+        """A given name in lower case: a name only after a cue, before a verb of persons or between commas, with a word that may be a surname."""
         if start and (text[start - 1].isalnum() or text[start - 1] in "_-@.'’") or text[start:end] in COMMON_WORDS:
             return None
         m = LOWER_REST.match(text, end)
@@ -381,7 +381,9 @@ class Scanner:
         prefix = text[max(0, start - 30) : start]
         word = re.search(r"([^\W\d_]+)\.?[ \t]+$", prefix)
         between = prefix.endswith(", ") and text[m.end() : m.end() + 1] == ","
-        return ("NAME", start, m.end()) if between or word and word.group(1).lower() in self.cues else None
+        verb = re.match(r"[ \t]([^\W\d_]+)", text[m.end() : m.end() + 20])
+        told = verb and verb.group(1) in PERSON_VERBS
+        return ("NAME", start, m.end()) if between or told or word and word.group(1).lower() in self.cues else None
 
     def _lower_cued(self, text: str, low: str, start: int, at: int, label: bool):
         """A name in lower case after a cue: two words that are no common ones; after a phrase, a known given name or an end."""
