@@ -44,7 +44,7 @@ institute institution laboratory lab department society association academy univ
 archive museum hospital press company office group project survey observatory library center centre school church
 valley bay canal river island isle port mount mountain hill bridge tower park garden forest field coast county city
 town village district province act treaty law ballad ledger almanac reader viewer expedition conference prize award
-interview report notes chapter section team club union bank hotel theatre theater opera
+report notes chapter section team club union bank hotel theatre theater opera
 """.split()
 # Words that start a sentence or clause and are therefore capitalised without being names.
 STARTERS = """
@@ -372,7 +372,7 @@ class Scanner:
         return len(token) > 2 and all(len(part) < 2 or part.lower() not in self.blocked for part in re.split(r"[-'’]", token))
 
     def _lower(self, text: str, start: int, end: int):
-        """A given name in lower case: a name only after a cue, before a verb of persons or between commas, with a word that may be a surname."""
+        """A given name in lower case: a name only after a cue, before a verb of persons, between commas or alone in a field, with a word that may be a surname."""
         if start and (text[start - 1].isalnum() or text[start - 1] in "_-@.'’") or text[start:end] in COMMON_WORDS:
             return None
         m = LOWER_REST.match(text, end)
@@ -380,7 +380,8 @@ class Scanner:
             return None
         prefix = text[max(0, start - 30) : start]
         word = re.search(r"([^\W\d_]+)\.?[ \t]+$", prefix)
-        between = prefix.endswith(", ") and text[m.end() : m.end() + 1] == ","
+        rest = text[m.end() : m.end() + 3].lstrip(" \t")
+        between = prefix.endswith(", ") and rest[:1] == "," or prefix.rstrip(" \t")[-1:] in ("|", ";", '"') and rest[:1] in ("|", ";", '"')
         verb = re.match(r"[ \t]([^\W\d_]+)", text[m.end() : m.end() + 20])
         told = verb and verb.group(1) in PERSON_VERBS
         return ("NAME", start, m.end()) if between or told or word and word.group(1).lower() in self.cues else None
