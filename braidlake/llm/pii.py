@@ -231,7 +231,7 @@ class Scanner:
             elif kind == "initial":
                 item = self._initial(text, start)
             elif kind in ("cue", "label"):
-                item = self._cued(text, end) or self._lower_cued(text, low, start, end, kind == "label")
+                item = self._cued(text, end, kind == "label") or self._lower_cued(text, low, start, end, kind == "label")
             elif kind == "title":
                 item = None if start and low[start - 1].isalnum() else self._cued(text, end) or self._lower_cued(text, low, start, end, True)
             elif kind == "person":
@@ -484,7 +484,8 @@ class Scanner:
             return None
         return ("NAME", start, m.end())
 
-    def _cued(self, text: str, at: int):
+    def _cued(self, text: str, at: int, label: bool = False):
+        """A name after a cue. After a label it is one whatever follows; else a word of places or institutions forbids it."""
         while at < len(text) and text[at] in " \t":
             at += 1
         at = TITLE_RUN.match(text, at).end()
@@ -497,7 +498,7 @@ class Scanner:
         if any(not (len(t) == 2 and t.endswith(".")) and not self._surname(t) for t in (first, last)):
             return None
         word = re.match(rf"[ \t]({NAME_TOKEN})", text[m.end() : m.end() + 25])
-        if word and word.group(1).lower() in NOT_SURNAMES:
+        if word and not label and word.group(1).lower() in NOT_SURNAMES:
             return None
         return ("NAME", at, m.end())
 
