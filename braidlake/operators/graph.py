@@ -37,3 +37,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     else:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     return own.join(links.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def endpoints(links: DataFrame) -> DataFrame:
+    """(node): the distinct ends of edges (src, dst), which is all that a view of a graph needs besides its edges."""
+    return links.select(F.col("src").alias("node")).union(links.select("dst")).where("node is not null").distinct()

@@ -316,6 +316,14 @@ def graph_view(spark: SparkSession, d: str) -> DataFrame:
     return entities.induced(links, top).select("src", "dst", "weight").orderBy(F.desc("weight"), "src", "dst")
 
 
+@query
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes that edges of at least twice the mean weight connect."""
+    links = _links(spark, d)
+    mean = links.agg(F.avg("weight").alias("w"))
+    return graph.endpoints(links.where(F.col("weight") >= 2 * mean.scalar()))
+
+
 @query
 def trade_graph(spark: SparkSession, d: str) -> DataFrame:
     """A large bipartite graph: suppliers and customers linked by orders, and the suppliers' weighted degree."""
@@ -935,6 +943,7 @@ select id, name, type, coalesce(description, '') as description, coalesce(chunk_
         "weighted_degree": f"with {_LINKS} select * from dg",
         "graph_stats": _COMPONENTS + ", x as (select (select count(distinct id) from v2_entities) as nodes, (select count(*) from l) as edges, (select count(distinct component) from cc) as communities) select nodes, edges, communities, case when nodes > 1 then round(2.0 * edges / (nodes * (nodes - 1.0)), 4)::double else 0 end as density from x",
         "graph_view": f"with {_LINKS}, t as (select node from dg order by degree desc, node limit 20) select src, dst, weight from l where src in (select node from t) and dst in (select node from t)",
+        "graph_nodes": f"with {_LINKS}, x as (select src, dst from l where weight >= 2 * (select avg(weight) from l)) select src as node from x union select dst from x",
         "trade_graph": "with p as (select l_suppkey, o_custkey, count(*) as weight from lineitem join orders on l_orderkey = o_orderkey group by 1, 2) select l_suppkey, sum(weight)::bigint as degree, count(*) as customers from p group by 1",
         "connected_components": _COMPONENTS + " select node, component from cc",
         "khop_neighbors": f"with {_LINKS}, {_HELD}, s as (select node_id as node from h group by 1 order by count(*) desc, node_id limit 5), a as (select distinct dst as node from l2 where src in (select node from s) and dst not in (select node from s)), b as (select distinct dst as node from l2 where src in (select node from a) and dst not in (select node from a) and dst not in (select node from s)) select node, 0 as hop from s union all select node, 1 from a union all select node, 2 from b",

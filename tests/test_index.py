@@ -96,6 +96,7 @@ def test_converse(spark, built):
         assert [r["query_id"] for r in rows] == [1]
         meta = rows[0]["metadata"]
         assert meta["retrieval_query"].endswith("Valley?") and meta["num_hits"] > 0 and meta["mode"] == mode and "### Sources" in rows[0]["answer"]
+        assert any(e.endswith("salt valley") for e in meta["entities"]) and meta["entities"] == sorted(set(meta["entities"]))
     empty = {k: v.limit(0) for k, v in tables(own).items()}
     none = ask.converse(ask.Retriever(empty), asked, messages, sessions, "local").collect()
     assert none[0]["answer"] == ask.NO_CONTEXT
