@@ -156,14 +156,15 @@ def _lower(text: str) -> str:
 
 @lru_cache(maxsize=2)
 def common_words(path: str) -> frozenset[str]:
-    """Lower-case words that are single tokens of a public vocabulary; none if the file isn't there."""
-    try:
-        with open(path, "rb") as file:
-            tokens = (base64.b64decode(line.split()[0]) for line in file)
-            words = (t[1:].decode("utf-8", "ignore") for t in tokens if t[:1] == b" ")
-            return frozenset(w for w in words if w.isalpha() and w.islower())
-    except FileNotFoundError:
-        return frozenset()
+    """Lower-case words that are single tokens of a public vocabulary; without them names come out otherwise, so a file
+    that is missing or holds none is an error."""
+    with open(path, "rb") as file:
+        tokens = (base64.b64decode(line.split()[0]) for line in file)
+        words = (t[1:].decode("utf-8", "ignore") for t in tokens if t[:1] == b" ")
+        found = frozenset(w for w in words if w.isalpha() and w.islower())
+    if not found:
+        raise ValueError(f"no words in the vocabulary {path}")
+    return found
 
 
 class Scanner:

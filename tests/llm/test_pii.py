@@ -1,3 +1,5 @@
+import pytest
+
 from braidlake.llm.pii import Scanner, mask_pii, pii_items
 
 CASES = [
@@ -68,3 +70,11 @@ def test_many_items_in_one_text():
     text = "mail a.b@c.example now; " * 16_000
     began = time.time()
     assert len(Scanner().items(text)) == 16_000 and time.time() - began < 5
+
+
+def test_a_vocabulary_that_cannot_be_read_is_an_error(tmp_path):
+    with pytest.raises(FileNotFoundError):
+        Scanner(str(tmp_path / "none.tiktoken"))
+    (tmp_path / "empty.tiktoken").touch()
+    with pytest.raises(ValueError, match="no words"):
+        Scanner(str(tmp_path / "empty.tiktoken"))
