@@ -87,3 +87,41 @@ def test_groups_and_empty(spark):
     got = {r["key"]: (r["group_id"], r["group_size"]) for r in near_duplicate_groups(df, "key", "text", 3, 0.6).collect()}
     assert got == {"a": ("a", 3), "b": ("a", 3), "c": ("a", 3), "d": ("d", 1)}
     assert near_duplicate_pairs(df.limit(0), "key", "text").count() == 0
+
+
+def test_little_stays_on_disk(spark):
+    """Neither sets, which are larger than their texts, nor what steps have shuffled stay on disk."""
+    import os
+
+    from braidlake.llm.neardup import near_duplicates
+
+    def used():
+        folder = (spark.sparkContext.getCheckpointDir() or "").removeprefix("file:")
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        kept = sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs)
+        return kept + sum(files.apply(k).length() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle"))
+
+    random.seed(6)
+    texts = [" ".join(f"w{random.randrange(9000)}" for _ in range(400)) for _ in range(1500)]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "key string, text string")
+    before = used()
+    members, links = near_duplicates(df, "key", "text", 3, 0.6)
+    assert used() - before < 0.5 * sum(map(len, texts))
+    assert members.count() == 1500 and links.count() == 0
+
+
+def test_reach_loses_nothing():
+    """However the order of runs, similar sets share so many runs before both ends."""
+    from braidlake.llm.neardup import reach
+
+    random.seed(12)
+    tried = 0
+    for _ in range(400):
+        a = set(random.sample(range(300), random.randrange(1, 90)))
+        b = (set(a) - set(random.sample(sorted(a), random.randrange(0, len(a) // 3 + 1)))) | set(random.sample(range(300), random.randrange(0, 20)))
+        if not b or len(a & b) < 0.6 * len(a | b):
+            continue
+        tried += 1
+        end_a, end_b, shared = reach(np.array([len(a)]), np.array([len(b)]), 0.6)
+        assert len(set(sorted(a)[: end_a[0]]) & set(sorted(b)[: end_b[0]])) >= shared[0] >= 1
+    assert tried > 100
