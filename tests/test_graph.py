@@ -244,3 +244,21 @@ def test_representatives_come_from_all_chunks(spark):
     want = [order[i] for i in community.greedy_cover([texts[i].strip() for i in order], names, 8)]
     assert [got[1][i] for i in range(8)] == want and 420 in want
     assert got[2] == {0: 1, 1: 0}
+
+
+def test_greedy_merging_keeps_one_pair_of_a_community_in_the_heap(monkeypatch):
+    import heapq
+    import random
+
+    pick, push, pushed = random.Random(7), heapq.heappush, [0]
+
+    def counted(heap, entry):
+        pushed[0] += 1
+        push(heap, entry)
+
+    monkeypatch.setattr(heapq, "heappush", counted)
+    pairs = sorted({tuple(sorted(pick.sample(range(400), 2))) for _ in range(3000)})
+    links = [(f"n{a:03}", f"n{b:03}", 1.0) for a, b in pairs]
+    label = community.greedy_modularity(links)
+    assert community.modularity(links, label) > 0.15
+    assert pushed[0] < len(links)
