@@ -262,3 +262,31 @@ def test_greedy_merging_keeps_one_pair_of_a_community_in_the_heap(monkeypatch):
     label = community.greedy_modularity(links)
     assert community.modularity(links, label) > 0.15
     assert pushed[0] < len(links)
+
+
+def test_names_with_one_first_word_meet_the_texts_of_their_communities(spark):
+    """Texts are given once by key; a name counts in the chunks of its community only, and needs all its words."""
+    texts = ["Ada Byron saw Ada Brook; ada  byron.", "Ada Brook", "ada", "ADA BYRON-Lund, Ada"]
+    chunks = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "source string, chunk_id int, text string")
+    members = spark.createDataFrame([(1, "P::ada byron"), (1, "P::ada"), (2, "P::ada brook"), (2, "P::ada byron-lund")], "community_id bigint, node string")
+    homes = spark.createDataFrame([(1, "s", 0), (1, "s", 3), (2, "s", 1), (2, "s", 3), (2, "s", 3)], "community_id bigint, source string, chunk_id int")
+    got = {(r["community_id"], r["node"]): (r["coverage"], r["hits"]) for r in community.entity_matches(members, homes, chunks).collect()}
+    assert got == {(1, "P::ada byron"): (2, 3), (1, "P::ada"): (2, 5), (2, "P::ada brook"): (1, 1), (2, "P::ada byron-lund"): (1, 1)}
+
+
+def test_a_graph_is_built_from_one_reading_of_the_texts(spark):
+    from braidlake.plans.index import build_graph
+
+    read = spark.sparkContext.accumulator(0)
+
+    def extractor(rows):
+        def find(batches):
+            for b in batches:
+                read.add(len(b))
+                yield b.assign(sent_id=0, pos=0, name="ada byron", label="PERSON").drop(columns="text")
+
+        return rows.mapInPandas(find, "source string, chunk_id int, sent_id int, pos int, name string, label string")
+
+    built = build_graph(spark.createDataFrame([("s", i, "Ada Byron") for i in range(5)], "source string, chunk_id int, text string"), extractor)
+    assert [built[k].count() for k in ("nodes", "edges", "entity_chunks")] == [1, 0, 5]
+    assert read.value == 5
