@@ -274,6 +274,20 @@ def test_names_with_one_first_word_meet_the_texts_of_their_communities(spark):
     assert got == {(1, "P::ada byron"): (2, 3), (1, "P::ada"): (2, 5), (2, "P::ada brook"): (1, 1), (2, "P::ada byron-lund"): (1, 1)}
 
 
+def test_representatives_are_the_same_in_one_task_and_in_rounds(spark):
+    pick = random.Random(5)
+    names = ["ada", "bert", "cleo", "dunn"]
+    rows = [(c, "s", 100 * c + i, " ".join(pick.choices([*names, "x"], k=pick.randint(1, 5))) + f" {i}") for c in (1, 2, 3) for i in range(60)]
+    leading = spark.createDataFrame([(c, f"P::{n}", r) for c in (1, 2, 3) for r, n in enumerate(names, 1)], "community_id bigint, node string, rank int")
+    chunks = spark.createDataFrame(rows, "community_id bigint, source string, chunk_id int, text string")
+    keys, texts = chunks.drop("text"), chunks.drop("community_id")
+    sets = [{tuple(r) for r in community.representative_chunks(keys, leading, chunks=texts, largest=n).collect()} for n in (0, 200_000)]
+    for c in (1, 2, 3):
+        own = sorted(((f"s_{i}", i, t) for g, _, i, t in rows if g == c))
+        want = [own[i][1] for i in community.greedy_cover([t for _, _, t in own], names, 8)]
+        assert [[i for g, _, _, i in sorted(s) if g == c] for s in sets] == [want, want]
+
+
 def test_a_graph_is_built_from_one_reading_of_the_texts(spark):
     from braidlake.plans.index import build_graph
 
